@@ -216,6 +216,8 @@ class Model:
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """(language, its probability among the languages) of every text."""
         names, score = [], np.zeros(len(texts))
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), score
         for a, b in tv.blocks(texts):
             cp, starts, ends, off = letter_runs(texts[a:b])
             total = np.zeros((b - a, len(self.languages)))
@@ -226,9 +228,6 @@ class Model:
                 run = np.zeros((len(starts) + 1, len(self.languages)))
                 np.cumsum(self.word_scores(cp, starts, ends), axis=0, out=run[1:])
                 total = run[edge[1:]] - run[edge[:-1]]
-            if not self.languages:
-                names += [UNDETERMINED] * (b - a)
-                continue
             best = total.argmax(axis=1)
             p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
             score[a:b] = np.where(words > 0, p, 0.0)

@@ -62,8 +62,9 @@ def _fold_table() -> tuple[np.ndarray, np.ndarray]:
 def fold(texts: list[str]) -> tuple[str, np.ndarray]:
     """(all texts folded, words between single blanks and a blank at either end; n + 1 offsets of the texts)
 
-    Zero-width and combining characters vanish. A digit or sign becomes a letter only between letters
-    (of which others of its kind may lie in between), so numbers and closing marks stay what they are.
+    Zero-width and combining characters vanish. A digit or sign becomes a letter between letters (others
+    of its kind may lie in between), or where it begins a word of letters; numbers, closing marks and
+    marks before a word stay what they are.
     """
     texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
     cp, off = tv.codepoints(texts)
@@ -87,6 +88,11 @@ def fold(texts: list[str]) -> tuple[str, np.ndarray]:
     inside = (sign > 0) & ~is_letter & (before > stop) & (behind < stop_r) & (before >= 0) & (behind < n)
     if n:
         inside &= (doc[np.maximum(before, 0)] == doc) & (doc[np.minimum(behind, n - 1)] == doc)
+    if n:
+        mark = (cp == 33) | (cp == 124)
+        begins = (sign > 0) & ~is_letter & ~mark & (before <= stop) & (behind < stop_r) & (behind < n)
+        begins &= (doc[np.minimum(behind, n - 1)] == doc) & ~((stop >= 0) & (cls[np.maximum(stop, 0)] == tv.NUMBER) & (doc[np.maximum(stop, 0)] == doc))
+        inside |= begins
     cp = np.where(inside, sign, letters[cp])
     word = is_letter | inside | (cls == tv.NUMBER)
     # a blank before each text and after it, one between words
