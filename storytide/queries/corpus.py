@@ -100,19 +100,22 @@ def title_ngrams(spark, d):
 _TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('a','an','and','are','as','because','for','from','in','is','of','or','the','to')))"
 
 
-@query("WITH " + views.TEXTS_SQL + f", t AS (SELECT document_id, {_TOK} AS w FROM texts WHERE lang = 'es'), p AS (SELECT a.document_id AS a, b.document_id AS b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM t a JOIN t b ON a.document_id < b.document_id AND len(a.w) > 0 AND len(b.w) > 0) SELECT a, b, floor(j * 1000 + 0.5) / 1000.0 AS similarity FROM p WHERE j >= 0.5")
+@query("WITH " + views.TEXTS_SQL + f", t AS (SELECT min(document_id) AS id, count(*) AS n, w FROM (SELECT document_id, list_sort({_TOK}) AS w FROM texts) WHERE len(w) > 0 GROUP BY w), p AS (SELECT a.id AS a, b.id AS b, a.n AS members_a, b.n AS members_b, CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS j FROM t a JOIN t b ON a.id < b.id) SELECT a, b, members_a, members_b, floor(j * 1000 + 0.5) / 1000.0 AS similarity FROM p WHERE j >= 0.5")
 def token_jaccard_pairs(spark, d):
+    """Pairs of different title word sets with Jaccard similarity of a half at least, by the first document of each set."""
     from ..functions.numeric import half_up
 
-    t = views.texts(spark, d).where("lang = 'es'").select("document_id", text.tokens(F.col("title"), synonyms=False).alias("w"))
-    # two sets of Jaccard 0.5 share one of the rarest words of each: the first half of the words by rarity
-    df = t.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ranked = t.select("document_id", F.size("w").alias("k"), F.explode("w").alias("word")).join(df, "word")
-    prefix = relational.fair_share(ranked, "document_id", F.asc("n"), F.asc("word")).where(F.col("turn") <= F.col("k") - F.ceil(F.col("k") * 0.5) + 1).select("document_id", "word", "k")
+    t = views.texts(spark, d).select("document_id", F.array_sort(text.tokens(F.col("title"), synonyms=False)).alias("w")).where(F.size("w") > 0)
+    t = t.groupBy("w").agg(F.min("document_id").alias("id"), F.count("*").alias("n"))
+    # sets of Jaccard 0.5 share one of the rarest words of each: the first half of the words by rarity
+    df = t.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    ranked = t.select("id", F.size("w").alias("k"), F.explode("w").alias("word")).join(df, "word")
+    prefix = relational.fair_share(ranked, "id", F.asc("df"), F.asc("word")).where(F.col("turn") <= F.col("k") - F.ceil(F.col("k") * 0.5) + 1).select("id", "word", "k")
     a, b = prefix.toDF("a", "word", "ka"), prefix.toDF("b", "word", "kb")
     near = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.col("ka") >= 0.5 * F.col("kb")) & (F.col("kb") >= 0.5 * F.col("ka"))).select("a", "b").distinct()
-    x = near.join(t.toDF("a", "wa"), "a").join(t.toDF("b", "wb"), "b").withColumn("j", similarity.jaccard(F.col("wa"), F.col("wb")))
-    return x.where("j >= 0.5").select("a", "b", half_up(F.col("j"), 3).alias("similarity"))
+    of = lambda k: t.select(F.col("id").alias(k), F.col("w").alias(f"w{k}"), F.col("n").alias(f"members_{k}"))
+    x = near.join(of("a"), "a").join(of("b"), "b").withColumn("j", similarity.jaccard(F.col("wa"), F.col("wb")))
+    return x.where("j >= 0.5").select("a", "b", "members_a", "members_b", half_up(F.col("j"), 3).alias("similarity"))
 
 
 @query("WITH " + views.TEXTS_SQL + " SELECT document_id, regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)license|token') AND NOT regexp_matches(text, '(?i)idiot') AS passes FROM texts")

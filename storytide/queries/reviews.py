@@ -139,15 +139,20 @@ def promotion_evidence_selection(spark, d):
     return candidates.selected_evidence(x.select("candidate_id", "document_id", "score", F.col("published"), F.concat(F.lit("s"), (F.col("document_id") % 17).cast("string")).alias("snippet_key"), F.concat(F.lit("t"), (F.col("document_id") % 29).cast("string")).alias("title_key"), F.col("story_fingerprint").alias("near_key")))
 
 
-def _described(spark, d, mod: int):
-    """Names and propositions from the first words of texts."""
-    t = views.table(spark, d, "documents").where(F.col("doc_id") % 10 == mod)
-    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    return t.select("doc_id", F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.array_join(F.slice(words, 5, 12), " ").alias("proposition"))
+def _described(table, key: str, text: str):
+    """Names and propositions: the first four words of a text and the twelve after them."""
+    words = F.split(F.regexp_replace(text, r"\s+", " "), " ")
+    return table.select(F.col(key), F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.array_join(F.slice(words, 5, 12), " ").alias("proposition"))
 
 
 _TOK = "list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('a','an','and','are','as','because','for','from','in','is','of','or','the','to')), lambda w: CASE WHEN w IN ('oil','crude','petroleum') THEN 'energy' WHEN w IN ('rates','hike','hikes','tightening') THEN 'rate' WHEN w IN ('prices','pricing') THEN 'price' ELSE w END))"
-_DESC = "words AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM documents), described AS (SELECT doc_id, {name} AS n, {text} AS t FROM (SELECT doc_id, array_to_string(w[1:4], ' ') AS name, array_to_string(w[5:16], ' ') AS prop FROM words))".replace("{name}", _TOK.replace("{x}", "name")).replace("{text}", _TOK.replace("{x}", "prop"))
+_SHORT = "SELECT {key}, {name} AS n, {text} AS t FROM (SELECT {key}, array_to_string(w[1:4], ' ') AS name, array_to_string(w[5:16], ' ') AS prop FROM (SELECT {key}, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM {table}))"
+
+
+def _short(key: str, table: str) -> str:
+    return _SHORT.replace("{key}", key).replace("{table}", table).replace("{name}", _TOK.replace("{x}", "name")).replace("{text}", _TOK.replace("{x}", "prop"))
+
+
 _J = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END"
 _O = "CASE WHEN len(list_intersect({a}, {b})) >= 3 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / least(len({a}), len({b})) ELSE 0 END"
 
@@ -156,10 +161,10 @@ def _pair(t, a, b):
     return "(" + t.replace("{a}", a).replace("{b}", b) + ")"
 
 
-@query(f"WITH {_DESC} SELECT a.doc_id AS candidate_id, b.doc_id AS definition_id FROM described a JOIN described b ON a.doc_id % 10 = 1 AND b.doc_id % 10 = 2 WHERE {_pair(_J, 'a.n', 'b.n')} >= 0.5 OR {_pair(_O, 'a.n', 'b.n')} >= 0.5 OR {_pair(_J, 'a.t', 'b.t')} >= 0.55")
+@query(f"WITH a AS ({_short('doc_id', 'documents')}), b AS ({_short('item_id', 'benchmark')}) SELECT doc_id AS candidate_id, item_id AS definition_id FROM a JOIN b ON {_pair(_J, 'a.n', 'b.n')} >= 0.5 OR {_pair(_O, 'a.n', 'b.n')} >= 0.5 OR {_pair(_J, 'a.t', 'b.t')} >= 0.55")
 def overlap_coefficient_pairs(spark, d):
-    a = _described(spark, d, 1).withColumnRenamed("doc_id", "candidate_id")
-    return candidates.description_collisions(a, _described(spark, d, 2).withColumnRenamed("doc_id", "definition_id"))
+    a = _described(views.table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "candidate_id")
+    return candidates.description_collisions(a, _described(views.table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "definition_id"))
 
 
 @query("SELECT event_type AS stratum, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp, count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn FROM (SELECT event_type, value >= 50 AS e, event_id % 3 = 0 AS p FROM events) GROUP BY 1 UNION ALL SELECT 'all', count(*) FILTER (e AND p), count(*) FILTER (NOT e AND p), count(*) FILTER (e AND NOT p), count(*) FILTER (NOT e AND NOT p) FROM (SELECT value >= 50 AS e, event_id % 3 = 0 AS p FROM events)")
