@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import address, similarity, text
+from ..functions import address, lists, similarity, text
 from ..operators import ingest, relational, research
 from ..plans import views
 from .registry import query
@@ -176,7 +176,10 @@ def companies_without_transcript(spark, d):
     return research.without_transcript(t.select("company").distinct(), t.where("source_class = 'transcript'"), "2024-03-31", 20)
 
 
-@query("WITH " + views.TEXTS_SQL + " SELECT document_id, CASE WHEN regexp_matches(substr(lower(text), 1, 320), 'reuters') THEN 'reuters' END AS wire FROM texts")
+_WIRE = "CASE " + " ".join(f"WHEN regexp_matches(substr(t, 1, 320), '{head}') OR regexp_matches(t, '{said}') THEN '{name}'" for name, head, said in lists.WIRES) + " END"
+
+
+@query("WITH " + views.TEXTS_SQL + f" SELECT document_id, {_WIRE} AS wire FROM (SELECT document_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM texts)")
 def wire_origins(spark, d):
     return views.texts(spark, d).select("document_id", text.wire_origin(F.col("text")).alias("wire"))
 
@@ -185,3 +188,39 @@ def wire_origins(spark, d):
 def preview_detection(spark, d):
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     return views.texts(spark, d).select("document_id", ingest.preview(F.col("document_id") % 2 == 0, F.substring("text", 1, 200), words).alias("preview"))
+
+
+def _reasons_sql() -> str:
+    q, c, out = "substr(text, 1, 300)", "(substr(text, 301, 300) || ' ' || substr(text, 1, 40))", []
+    for said, claimed, lacks, _ in lists.UNSUPPORTED:
+        out.append(f"CASE WHEN regexp_matches({q}, '(?i){said}') AND regexp_matches({c}, '(?i){claimed}')" + (f" AND NOT regexp_matches({q}, '(?i){lacks}')" if lacks else "") + " THEN 1 ELSE 0 END")
+    words, number, claimed, _ = lists.FRAGMENT
+    out.append(f"CASE WHEN len(regexp_split_to_array(trim({q}), '\\s+')) < {words} AND NOT regexp_matches({q}, '(?i){number}') AND regexp_matches({c}, '(?i){claimed}') THEN 1 ELSE 0 END")
+    return " + ".join(out)
+
+
+@query("WITH " + views.TEXTS_SQL + f" SELECT document_id, {_reasons_sql()} AS reasons FROM texts")
+def evidence_quality_reasons(spark, d):
+    q, i, p = F.substring("text", 1, 300), F.substring("text", 301, 300), F.substring("text", 1, 40)
+    return views.texts(spark, d).select("document_id", F.size(text.evidence_reasons(q, i, p)).alias("reasons"))
+
+
+@query()
+def folded_titles(spark, d):
+    """Near-duplicate keys after compatibility decomposition, Arrow-batched; tested on its own."""
+    x = views.texts(spark, d).select("document_id", text.near_duplicate_key(text.nfkd(F.col("title"))).alias("key"))
+    return x.groupBy("key").agg(F.count("*").alias("documents"))
+
+
+_HAS = lambda words: " OR ".join(f"contains(t, '{w}')" for w in words)
+
+
+@query(f"""SELECT form, CASE WHEN form IN ('10-K', 'NT 10-K') THEN 'high' WHEN form = 'DEF 14A' THEN 'medium' WHEN {_HAS(lists.HIGH_SIGNALS)} THEN 'high' WHEN {_HAS(lists.MEDIUM_SIGNALS)} THEN 'medium' ELSE 'low' END AS relevance, count(*) AS n
+FROM (SELECT CASE p_partkey % 5 WHEN 0 THEN '10-K' WHEN 1 THEN 'NT 10-K' WHEN 2 THEN 'DEF 14A' WHEN 3 THEN '8-K' ELSE '425' END AS form, CASE p_size % 4 WHEN 0 THEN '2.02' WHEN 1 THEN '5.02' ELSE '4.01' END || ' ' || lower(p_type) AS t FROM part) GROUP BY 1, 2""")
+def filing_relevance(spark, d):
+    from ..sources.readers import relevance
+
+    k, n = F.col("p_partkey") % 5, F.col("p_size") % 4
+    form = F.when(k == 0, "10-K").when(k == 1, "NT 10-K").when(k == 2, "DEF 14A").when(k == 3, "8-K").otherwise("425")
+    items = F.when(n == 0, "2.02").when(n == 1, "5.02").otherwise("4.01")
+    return views.table(spark, d, "part").select(form.alias("form"), relevance(form, items, F.col("p_type")).alias("relevance")).groupBy("form", "relevance").agg(F.count("*").alias("n"))

@@ -311,3 +311,33 @@ def expanding_baseline_z(spark, d):
     x = x.withColumn("whole", whole).withColumn("mean", F.avg("whole").over(before)).withColumn("deviation", F.stddev_samp("whole").over(before)).withColumn("k", F.count("whole").over(before))
     z = (F.col("total") - F.coalesce("mean", F.lit(0.0))) / F.greatest(F.coalesce("deviation", F.lit(0.0)), F.lit(1.0))
     return x.select("definition_id", "date", "total", F.col("k").cast("int").alias("n"), half_up(z, 3).alias("z"))
+
+
+@query(
+    "WITH " + _BURST_SQL + ", defs AS (SELECT DISTINCT definition_id || ' ' || source_class AS haystack FROM evidence WHERE source_class IN ('filing', 'newspaper')) SELECT term, stories FROM burst b WHERE (novel OR z >= 0.5) AND NOT EXISTS (SELECT 1 FROM defs WHERE contains(defs.haystack, b.term))"
+)
+def burst_watchlist(spark, d):
+    """Bursts that no definition covers."""
+    e = views.evidence(spark, d).where("source_class in ('filing', 'newspaper')")
+    defs = e.select("definition_id", F.concat_ws(" ", "definition_id", "source_class").alias("name"), F.lit("").alias("proposition"), F.lit("").alias("inclusion"), F.lit("").alias("examples")).distinct()
+    x = bursts.covering(bursts.scored_terms(_burst_terms(spark, d), BURST_AS_OF, BURSTS).select("term", "stories"), defs)
+    return x.where(F.size("covering") == 0).select("term", "stories")
+
+
+@query(f"WITH {series_sql()}, {_DEFS}, {_BOARD} SELECT definition_id, row_number() OVER (ORDER BY story_breadth > 0 DESC, CASE kind WHEN 'structural' THEN 0 ELSE 1 END, attention_z DESC, density_z DESC, story_breadth DESC, name) AS place FROM board WHERE date = DATE '{LAST}'")
+def board_order(spark, d):
+    x = _board(spark, d).where(F.col("date") == F.to_date(F.lit(LAST)))
+    return x.select("definition_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*board.by_kind())).cast("long").alias("place"))
+
+
+@query("WITH " + views.EVIDENCE_SQL + ", x AS (SELECT definition_id AS e, CASE WHEN document_id % 4 = 0 THEN 'view' ELSE definition_id END AS p FROM evidence WHERE document_id % 6 <> 0) SELECT count(*) AS documents, count(*) FILTER (e = p) AS found, floor(CAST(count(*) FILTER (e = p) AS DOUBLE) / count(*) * 1000 + 0.5) / 1000.0 AS document_recall FROM x")
+def document_recall(spark, d):
+    e = views.evidence(spark, d)
+    return evaluation.document_recall(e.select(F.when(F.col("document_id") % 6 != 0, F.array("definition_id")).alias("expected_slugs"), F.array(F.when(F.col("document_id") % 4 == 0, "view").otherwise(F.col("definition_id"))).alias("predicted_slugs")))
+
+
+@query("WITH " + views.EVIDENCE_SQL + " SELECT definition_id, source_class, count(*) AS n, max(date) AS latest FROM evidence WHERE date BETWEEN DATE '2024-01-30' - 6 AND DATE '2024-01-30' AND match_score >= 20 GROUP BY 1, 2")
+def evidence_page_counts(spark, d):
+    """The evidence of a window, by class, as the evidence page pages through it."""
+    x = views.evidence(spark, d).where("date between date'2024-01-24' and date'2024-01-30' and match_score >= 20")
+    return x.groupBy("definition_id", "source_class").agg(F.count("*").alias("n"), F.max("date").alias("latest"))

@@ -100,3 +100,29 @@ def stream_content_dedupe(spark, d):
     """Stateful removal of repeated texts from a stream: the first of each hash stays."""
     x = streams.parquet_stream(spark, f"{d}/documents.parquet").select(F.sha2("text", 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
     return streams.drain(streams.first_by_hash(x, "seen", "hash"), "stream_content_dedupe", tempfile.mkdtemp()).agg(F.count("*").alias("documents"))
+
+
+@query("WITH " + views.TEXTS_SQL + ", x AS (SELECT document_id, CASE WHEN source_class = 'transcript' THEN 0 WHEN source_class = 'filing' AND document_id % 3 = 0 THEN 1 ELSE 2 END AS band FROM texts) SELECT band, count(*) AS n, min(document_id) AS first_document FROM x GROUP BY 1")
+def extraction_order(spark, d):
+    form = F.when(F.col("document_id") % 3 == 0, "10-K")
+    x = views.texts(spark, d).select("document_id", status.extraction_rank(F.col("source_class"), form).alias("band"))
+    return x.groupBy("band").agg(F.count("*").alias("n"), F.min("document_id").alias("first_document"))
+
+
+@query("WITH " + views.EVIDENCE_SQL + ", a AS (SELECT document_id, match_score AS v FROM evidence WHERE document_id % 3 <> 1), b AS (SELECT document_id, CASE WHEN document_id % 5 = 0 THEN -1.0 ELSE match_score END AS v FROM evidence WHERE document_id % 2 = 0) SELECT coalesce(a.document_id, b.document_id) AS document_id, CASE WHEN b.document_id IS NOT NULL THEN b.v ELSE a.v END AS v, b.document_id IS NOT NULL AND (a.document_id IS NULL OR a.v IS DISTINCT FROM b.v) AS changed FROM a FULL JOIN b ON a.document_id = b.document_id")
+def merge_upsert(spark, d):
+    """The rows that an upsert would store, with those that changed."""
+    from ..sources.sinks import merge
+
+    e = views.evidence(spark, d).select("document_id", F.col("match_score").alias("v"))
+    b = e.where("document_id % 2 = 0").withColumn("v", F.when(F.col("document_id") % 5 == 0, -1.0).otherwise(F.col("v")))
+    return merge(e.where("document_id % 3 <> 1"), b, ["document_id"]).withColumnRenamed("__changed", "changed")
+
+
+@query("WITH w AS (SELECT user_id, max(ts) AS last_ts FROM events WHERE event_id % 2 = 0 GROUP BY 1), p AS (SELECT user_id, max(ts) AS new_ts FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT coalesce(w.user_id, p.user_id) AS user_id, greatest(last_ts, new_ts) AS last_published FROM w FULL JOIN p ON w.user_id = p.user_id")
+def watermark_advance(spark, d):
+    from ..sources.readers import advance_watermark
+
+    e = views.table(spark, d, "events")
+    stored = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("last_published"))
+    return advance_watermark(stored, e.where("event_id % 2 = 1").select("user_id", F.col("ts").alias("published")), "user_id")

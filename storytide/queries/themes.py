@@ -197,3 +197,17 @@ def mapping_application(spark, d):
 def or_condition_theme_evidence(spark, d):
     any_ = F.array_distinct(F.array_compact(F.array("theme_id", "canonical_theme_id", "canonical_subtheme_id")))
     return views.signals(spark, d).select("signal_id", "document_id", F.explode(any_).alias("theme")).groupBy("theme").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"))
+
+
+@query("WITH " + views.CONTRIBUTIONS_SQL + f", x AS (SELECT theme_id, unnest(entities) AS entity FROM contributions WHERE date BETWEEN DATE '{AS_OF}' - 29 AND DATE '{AS_OF}'), c AS (SELECT theme_id, entity, count(*) AS n FROM x GROUP BY 1, 2) SELECT theme_id, entity, n FROM (SELECT *, row_number() OVER (PARTITION BY theme_id ORDER BY n DESC, entity) AS k FROM c) WHERE k <= 5")
+def theme_top_entities(spark, d):
+    """The entities of a theme's last 30 days, the five most frequent."""
+    x = _rows(spark, d).where(F.col("date").between(F.date_sub(F.to_date(F.lit(AS_OF)), 29), F.to_date(F.lit(AS_OF))))
+    c = x.select("theme_id", F.explode("entities").alias("entity")).withColumn("entity", F.trim("entity")).groupBy("theme_id", "entity").agg(F.count("*").alias("n"))
+    return relational.top_per(c, ["theme_id"], 5, F.desc("n"), F.asc("entity"))
+
+
+@query(_scores_sql() + " SELECT trend_window, trend_level, count(*) FILTER (candidate) AS candidates, count(DISTINCT theme_id) FILTER (candidate) AS themes, max(z_score) AS top_z FROM kept GROUP BY 1, 2")
+def candidate_themes(spark, d):
+    x = themes.window_scores(_rows(spark, d), AS_OF, POLICY)
+    return x.groupBy("trend_window", "trend_level").agg(F.count_if("candidate").alias("candidates"), F.count_distinct(F.when(F.col("candidate"), F.col("theme_id"))).alias("themes"), F.max("z_score").alias("top_z"))
