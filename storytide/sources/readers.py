@@ -124,7 +124,7 @@ def constituents(spark: SparkSession, path: str) -> DataFrame:
 
 def publications(spark: SparkSession, path: str) -> DataFrame:
     """A list of publications in a simple YAML file: '- name: ..' entries with one 'key: value' a line."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entry = F.explode(F.filter(F.split("value", r"(?m)^\s*-\s+"), lambda e: F.trim(e) != ""))
     pairs = F.transform(F.regexp_extract_all(F.col("entry"), F.lit(r"(?m)^\s*([A-Za-z_]+\s*:\s*[^#\n]+)"), 1), lambda p: F.struct(F.trim(F.regexp_extract(p, r"^([A-Za-z_]+)", 1)), F.trim(F.regexp_replace(F.regexp_extract(p, r":\s*(.*)$", 1), "^['\"]|['\"]$", ""))))
     return text.select(entry.alias("entry")).select(F.map_from_entries(pairs).alias("m")).where(F.size("m") > 0).select(*[F.try_element_at("m", F.lit(k)).alias(k) for k in ("name", "url", "slug", "owner")])
