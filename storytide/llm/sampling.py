@@ -17,7 +17,7 @@ def smallest(rows: DataFrame, bound: int, key: str) -> DataFrame:
     h = F.xxhash64(F.col(key))
     if n > bound:
         share = min(1.0, 1.2 * bound / n + 100 / n)
-        rows = rows.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1))))
+        rows = rows.where(h <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64))))
     return rows.orderBy(h, F.col(key)).limit(bound)
 
 
