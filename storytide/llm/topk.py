@@ -145,7 +145,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
 
     parts = max(1, -(-n // PART))
     dealt = common.written(rows.repartitionByRange(parts, F.desc("norm"), "vec_id").select("vec_id", "v", "norm", F.spark_partition_id().alias("part")), "vector-parts")
-    present = [r["part"] for r in dealt.select("part").distinct().collect()]  # a row a part
+    last_part = dealt.agg(F.max("part")).first()[0]
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     groups = max(1, -(-(n // every + 1) // GROUP))
 
@@ -157,7 +157,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floor)], ["query_id", "v", "floor"])
 
     queries = common.map_arrow(asked.select("vec_id", "v"), first, "query_id long, v binary, floor double")
-    queries = queries.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("part", F.explode(F.array(*map(F.lit, present))))
+    queries = queries.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last_part))))
     candidates = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
