@@ -177,44 +177,41 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def lexicon(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int, size: int = LEXICON) -> tuple[dict[str, float], list[str]]:
-    """Patterns and exceptions from (word, toxic texts, clean texts with it).
+def _odds(t, c, n_toxic: int, n_clean: int):
+    """Log-odds column of t toxic and c clean texts."""
+    return F.log((t + 0.5) / (n_toxic + 1)) - F.log((c + 0.5) / (n_clean + 1))
+
+
+def lexicon(words: DataFrame, n_toxic: int, n_clean: int, size: int = LEXICON) -> tuple[dict[str, float], list[str]]:
+    """Patterns and exceptions from words: word, toxic, clean (texts of either kind with it).
 
     A beginning that many different toxic words share is one pattern; of a word that stands alone, the
     whole word. A word that begins like a pattern but comes mostly in clean texts is an exception.
     What one text in a hundred of the toxic ones doesn't have is left out: rare words say little.
+    Only patterns and exceptions, at most `size` of either, reach the driver.
     """
-    least = max(4, math.ceil(0.01 * n_toxic))
-    odds = lambda t, c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-    toxic = [(w, t, c) for w, t, c in counts if t]
-    begins: dict[str, list] = {}
-    clean_begins: Counter = Counter()
-    for w, t, c in counts:
-        for k in range(4, min(len(w), 8) + 1):
-            clean_begins[w[:k]] += c
-    for w, t, _c in toxic:
-        for k in range(4, min(len(w), 8)):
-            own = begins.setdefault(w[:k], [0, 0, 0])
-            own[0] += t
-            own[1] += 1
-            own[2] = max(own[2], t)
+    least, threshold = max(4, math.ceil(0.01 * n_toxic)), math.log(20)
+    longer = (F.col("toxic") > 0) & (F.length("word") > F.col("k"))
+    begins = words.where(F.length("word") >= 4).withColumn("k", F.explode(F.sequence(F.lit(4), F.least(F.lit(8), F.length("word")))))
+    begins = begins.groupBy(F.expr("substring(word, 1, k)").alias("begin")).agg(F.sum(F.when(longer, F.col("toxic")).otherwise(0)).alias("t"), F.count_if(longer).alias("n"), F.max(F.when(longer, F.col("toxic")).otherwise(0)).alias("most"), F.sum("clean").alias("c"))
+    begins = begins.withColumn("odds", _odds(F.col("t"), F.col("c"), n_toxic, n_clean))
+    shared = begins.where((F.col("n") >= 6) & (F.col("most") <= 0.3 * F.col("t")) & (F.col("t") >= max(20, 2 * least)) & (F.col("c") <= 0.01 * F.col("t")) & (F.col("odds") >= threshold))
     weights: dict[str, float] = {}
-    threshold = math.log(20)
-    # the shortest beginning that is toxic throughout and shared by several words
-    good = {p: odds(t, clean_begins[p]) for p, (t, words, most) in begins.items() if words >= 6 and most <= 0.3 * t and t >= max(20, 2 * least)}
-    for p in sorted((p for p, o in good.items() if o >= threshold and clean_begins[p] <= 0.01 * begins[p][0]), key=len):
-        if not any(f" {p[:k]}" in weights for k in range(4, len(p))):
-            weights[f" {p}"] = good[p]
-    exceptions = []
-    for w, t, c in counts:
-        pattern = next((f" {w[:k]}" for k in range(4, min(len(w), 8) + 1) if f" {w[:k]}" in weights), None)
-        if pattern:
-            if c >= 2 and odds(t, c) < 0:
-                exceptions.append(w)
-        elif t >= least and odds(t, c) >= threshold:
-            weights[f" {w} "] = odds(t, c)
+    for r in sorted(shared.orderBy(F.desc("odds"), "begin").limit(size).collect(), key=lambda r: (len(r["begin"]), r["begin"])):
+        if not any(f" {r['begin'][:k]}" in weights for k in range(4, len(r["begin"]))):
+            weights[f" {r['begin']}"] = r["odds"]
+    covered = F.lit(False)
+    for k in range(4, 9):
+        own = [p[1:] for p in weights if len(p) == k + 1]
+        if own:
+            covered = covered | F.substring("word", 1, k).isin(own)
+    odds = _odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
+    alone = words.where(~covered & (F.col("toxic") >= least)).withColumn("odds", odds).where(F.col("odds") >= threshold)
+    weights |= {f" {r['word']} ": r["odds"] for r in alone.orderBy(F.desc("odds"), "word").limit(size).collect()}
+    mostly_clean = words.where(covered & (F.col("clean") >= 2) & (odds < 0))
+    exceptions = [r["word"] for r in mostly_clean.orderBy(F.desc("clean"), "word").limit(size).collect()]
     best = sorted(weights, key=lambda p: (-weights[p], p))[:size]
-    return {p: weights[p] for p in best}, sorted(exceptions)[:size]
+    return {p: weights[p] for p in best}, sorted(exceptions)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, held_out: bool = True) -> Model:
@@ -239,16 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tu
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[True][w] if w else n[True] for w in words], pa.int64()), pa.array([seen[False][w] if w else n[False] for w in words], pa.int64())], ["word", "toxic", "clean"])
 
     per_word = common.written(sample.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
-    # what begins like a toxic word decides; the sample bounds this table
-    start = F.substring("word", 1, 4)
-    starts = per_word.where("word != '' and toxic >= 2").select(start.alias("start")).distinct()
-    near = per_word.withColumn("start", start).join(starts, "start", "left_semi").where("word != ''")
-    counts = [(r["word"], r["toxic"], r["clean"]) for r in near.where("toxic >= 1 or clean >= 1").collect()]
     totals = per_word.where("word = ''").collect()
     n_toxic, n_clean = (totals[0]["toxic"] or 0, totals[0]["clean"] or 0) if totals else (0, 0)
     if not n_toxic or not n_clean:
         return Model({})
-    weights, learned = lexicon(counts, n_toxic, n_clean)
+    weights, learned = lexicon(per_word.where("word != ''"), n_toxic, n_clean)
     model = Model(weights, sorted({*exceptions, *learned}))
     frozen = pickle.dumps((model.weights, model.exceptions))
 
