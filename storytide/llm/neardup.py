@@ -10,8 +10,9 @@ and candidates are verified on their whole shingle sets.
 
 Equal texts are one node from the start. A band's bucket never emits all its
 pairs: its members are compared with its smallest member, those found connected
-to it leave the bucket, and the rest go on in the next round, until all members
-left are connected. A last round tests the pairs that this order passed over and
+to it leave the bucket, and the rest go on in the next round with the smallest
+members of the first 16 components left, then 256, until all members left are
+connected. A last round tests the pairs that this order passed over and
 that the triangle inequality does not rule out, so classes are those that
 comparing all pairs of each bucket would give.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,6 +30,8 @@ from . import textvec as tv
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: A round compares with so many times the representatives of the round before.
+MORE = 16
 #: Characters of texts whose registers are filled together.
 BLOCK = 1_000_000
 _MULT = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,6 +160,14 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, to: str) -> DataFra
     return df.join(own, column, "left").withColumn(to, F.coalesce(to, column))
 
 
+def first_per_key(low: DataFrame, n: int) -> DataFrame:
+    """key, rep: the n smallest representatives of each key."""
+    if n == 1:
+        return low.groupBy("key").agg(F.min("rep").alias("rep"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    return low.withColumn("n", rank).where(F.col("n") <= n).select("key", "rep")
+
+
 def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: id, node; links: a, b, similarity between nodes; labels: node, label)
 
@@ -172,7 +183,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min("bands").alias("bands"))
     keyed = texts.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    left = members = common.written(keyed.join(shared, "key", "left_semi").select("key", "node"), "buckets")
+    members = common.written(keyed.join(shared, "key", "left_semi").select("key", "node"), "buckets")
+    left = members.withColumn("label", F.col("node"))
 
     nodes = members.select("node").distinct()
 
@@ -186,24 +198,31 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     sets = common.written(common.map_arrow(whole, pack, "node binary, items binary"), "shingle-sets")
 
     tested = found = None
-    labels = None
+    labels, n_reps = None, 1
     while not left.isEmpty():
-        reps = left.groupBy("key").agg(F.min("node").alias("rep"))
-        against = common.written(left.join(reps, "key").where("node <> rep").select("key", "node", "rep"), "against")
-        pairs = against.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+        # the smallest member of each of the first components of a bucket
+        low = left.groupBy("key", "label").agg(F.min("node").alias("rep"))
+        reps = first_per_key(low, n_reps)
+        against = left.select("key", "node").join(reps, "key").where("node <> rep")
+        pairs = against.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
         sims = verify(_less(pairs, tested), sets)
         tested = sims if tested is None else tested.unionByName(sims)
         found = tested.where(F.col("similarity") >= similarity)
         labels = components(found)
-        open_ = _labelled(_labelled(against, labels, "node", "label"), labels, "rep", "rep_label").where("label <> rep_label")
+        # members that no representative's component holds go on, if they are of more than one component
+        now = _labelled(left.select("key", "node"), labels, "node", "label")
+        held = _labelled(reps, labels, "rep", "label").select("key", "label").distinct()
+        open_ = now.join(held, ["key", "label"], "left_anti")
         several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = common.written(open_.join(several, "key", "left_semi").select("key", "node"), "buckets")
+        left = common.written(open_.join(several, "key", "left_semi").select("key", "node", "label"), "buckets")
+        n_reps *= MORE
     if tested is None:
         empty = members.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
         return signed.select("id", "node"), empty, members.select("node", F.col("node").alias("label")).limit(0)
     # a member that left a bucket with its smallest member was not compared with those that stayed: by the
     # triangle inequality their similarities to that member differ by at most 1 - similarity if they are linked
-    near = common.written(_labelled(_labelled(tested, labels, "b", "label"), labels, "a", "rep_label"), "tested")
+    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    near = common.written(_labelled(_labelled(both, labels, "b", "label"), labels, "a", "rep_label"), "tested")
     outside = near.where("label <> rep_label").select("a", F.col("b").alias("x"), F.col("similarity").alias("sx"))
     inside = near.where("label = rep_label").select("a", F.col("b").alias("y"), F.col("similarity").alias("sy"))
     passed = outside.join(inside, "a").where(F.abs(F.col("sx") - F.col("sy")) <= 1 - similarity + 1e-9).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
