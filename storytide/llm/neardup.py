@@ -9,12 +9,13 @@ weights). Registers are cut into bands; texts that share a band are candidates,
 and candidates are verified on their whole shingle sets.
 
 Equal texts are one node from the start. A band's bucket never emits all its
-pairs: its members are compared with its smallest member, those found connected
-to it leave the bucket, and the rest go on in the next round with the smallest
-members of the first 16 components left, then 256, until all members left are
-connected. A last round tests the pairs that this order passed over and
-that the triangle inequality does not rule out, so classes are those that
-comparing all pairs of each bucket would give.
+pairs: its members are compared with its first member (that with the most bucket
+mates overall, which in a group of copies is what they are copies of), those
+found connected to it leave the bucket, and the rest go on in the next round
+with the first members of 16 components left, then 256, until all members left
+are connected. A last round tests the pairs that this order passed over. Before
+verification, sketches of four bits a register rule out pairs that differ in more
+bits than a pair of the wanted similarity does once in 100 000 cases.
 """
 
 from __future__ import annotations
@@ -89,9 +90,13 @@ def registers(owner: np.ndarray, items: np.ndarray, weights: np.ndarray, n_texts
     return who.reshape(n_texts, m), drawn
 
 
-def bands(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> list[list[int] | None]:
-    """The band keys of every text; None without words. Weights grow with the logarithm of the occurrences."""
-    out: list = []
+def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[list[list[int] | None], list[list[int] | None]]:
+    """(band keys, sketch) of every text; None without words. Weights grow with the logarithm of the occurrences.
+
+    The sketch has four bits of each register, as signed 64-bit numbers.
+    """
+    keys: list = []
+    sketches: list = []
     for a, b in tv.blocks(texts, BLOCK):
         owner, items, n = shingles(texts[a:b], width)
         who, _ = registers(owner, items, 1.0 + np.log(n), b - a, n_bands * rows)
@@ -99,8 +104,33 @@ def bands(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int =
         key = np.full((b - a, n_bands), 1, np.uint64) + np.arange(n_bands, dtype=np.uint64)
         for k in range(rows):
             key = tv.mix(key * _MULT[k] + grid[:, :, k])
-        some = np.bincount(owner, minlength=b - a) > 0
-        out += [k if x else None for k, x in zip(key.view(np.int64).tolist(), some.tolist(), strict=True)]
+        bits = np.zeros((b - a, -(-n_bands * rows * 4 // 64) * 64), np.uint8)
+        mixed = tv.mix(who)
+        for k in range(4):
+            bits[:, k : n_bands * rows * 4 : 4] = (mixed >> np.uint64(k)) & np.uint64(1)
+        sketch = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        some = (np.bincount(owner, minlength=b - a) > 0).tolist()
+        keys += [k if x else None for k, x in zip(key.view(np.int64).tolist(), some, strict=True)]
+        sketches += [k if x else None for k, x in zip(sketch.tolist(), some, strict=True)]
+    return keys, sketches
+
+
+def far(similarity: float, n_registers: int = BANDS * ROWS) -> int:
+    """Differing sketch bits that a pair of the given similarity has with a chance of about 1 in 100 000 or less."""
+    d = 1 - similarity
+    return int(2 * n_registers * d + 4.5 * (n_registers * (d + 4 * d * (1 - d))) ** 0.5)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) whose sketches do not tell them apart."""
+    of = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_differing("sa", "sb") <= limit).select("a", "b")
+
+
+def _differing(x: str, y: str):
+    out = F.lit(0)
+    for k in range(-(-BANDS * ROWS * 4 // 64)):
+        out = out + F.coalesce(F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))), F.lit(0))
     return out
 
 
@@ -114,22 +144,23 @@ def _less(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similarity (of the whole shingle sets) of the pairs (a, b). sets: node, items (sorted, 32 bits each)."""
+    """a, b, similarity, na, nb, both (sizes of the whole shingle sets and of what they share), xa, xb (what only
+    one has) of the pairs (a, b). sets: node, items (sorted, 32 bits each)."""
 
     def run(b):
-        sims = []
+        out: list[list] = [[] for _ in range(6)]
         for x, y in zip(b.column(2), b.column(3), strict=True):
             u, v = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            if len(u) > len(v):
-                u, v = v, u
-            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-            both = int((v[at] == u).sum())
-            sims.append(both / (len(u) + len(v) - both))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], ["a", "b", "similarity"])
+            xu, xv = (np.setdiff1d(p, q, assume_unique=True).view(np.int32) for p, q in ((u, v), (v, u)))
+            both = len(u) - len(xu)
+            for c, w in zip(out, (both / (len(u) + len(xv)), len(u), len(v), both, xu, xv), strict=True):
+                c.append(w)
+        types = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["a", "b", "similarity", "na", "nb", "both", "xa", "xb"])
 
     withb = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     both = withb.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    return common.written(common.map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary, similarity double"), "near-pairs")
+    return common.written(common.map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary, similarity double, na int, nb int, both int, xa array<int>, xb array<int>"), "near-pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -160,12 +191,26 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, to: str) -> DataFra
     return df.join(own, column, "left").withColumn(to, F.coalesce(to, column))
 
 
+def extend(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """The labels once the linked pairs (a, b) are added: only what joins different components is worked on."""
+    if labels is None:
+        return components(pairs)
+    e = _labelled(_labelled(pairs.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    e = common.written(e, "edges")
+    if e.isEmpty():
+        return labels
+    more = components(e).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    moved = labels.join(more, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = more.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return common.written(moved.unionByName(fresh), "labels")
+
+
 def first_per_key(low: DataFrame, n: int) -> DataFrame:
-    """key, rep: the n smallest representatives of each key."""
+    """key, rep: the first n representatives of each key."""
     if n == 1:
-        return low.groupBy("key").agg(F.min("rep").alias("rep"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    return low.withColumn("n", rank).where(F.col("n") <= n).select("key", "rep")
+        return low.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("rep"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("m"))
+    return low.withColumn("n", rank).where(F.col("n") <= n).select("key", F.col("m.node").alias("rep"))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,16 +222,21 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
 
     def sign(b):
         texts = common.texts_of(b.column(1))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bands(texts, n_bands, rows, width), pa.list_(pa.int64()))], ["id", "node", "bands"])
-
-    signed = common.written(common.map_arrow(source.select("id", "text", "node"), sign, "id long, node binary, bands array<long>"), "signatures")
-    texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min("bands").alias("bands"))
-    keyed = texts.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    members = common.written(keyed.join(shared, "key", "left_semi").select("key", "node"), "buckets")
-    left = members.withColumn("label", F.col("node"))
-
-    nodes = members.select("node").distinct()
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.list_(pa.int64())) for x in signatures(texts, n_bands, rows, width))], ["id", "node", "bands", "sketch"])
+
+    signed = common.written(common.map_arrow(source.select("id", "text", "node"), sign, "id long, node binary, bands array<long>, sketch array<long>"), "signatures")
+    texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min(F.struct("bands", "sketch")).alias("s"))
+    keyed = texts.select("node", F.explode("s.bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
+    mated = common.written(keyed.join(shared, "key"), "buckets")
+    # a text that many others are copies of sits in the largest buckets: it comes first
+    weight = mated.groupBy("node").agg(F.negate(F.sum("mates")).alias("w"))
+    members = common.written(mated.select("key", "node").join(weight, "node").select("key", F.struct("w", "node").alias("m")), "buckets")
+    left = members.withColumn("label", F.col("m.node"))
+
+    nodes = weight.select("node")
+    sketches = common.written(texts.select("node", F.col("s.sketch").alias("sketch")).join(nodes, "node", "left_semi"), "sketches")
+    limit = far(similarity, n_bands * rows)
 
     def pack(b):
         owner, items, _ = shingles(common.texts_of(b.column(1)), width)
@@ -197,41 +247,48 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     whole = source.where("node is not null").select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = common.written(common.map_arrow(whole, pack, "node binary, items binary"), "shingle-sets")
 
-    tested = found = None
-    labels, n_reps = None, 1
+    seen = tested = labels = None
+    n_reps = 1
     while not left.isEmpty():
-        # the smallest member of each of the first components of a bucket
-        low = left.groupBy("key", "label").agg(F.min("node").alias("rep"))
-        reps = first_per_key(low, n_reps)
-        against = left.select("key", "node").join(reps, "key").where("node <> rep")
+        # the first member of each of the first components of a bucket
+        reps = first_per_key(left.groupBy("key", "label").agg(F.min("m").alias("m")), n_reps)
+        against = left.select("key", F.col("m.node").alias("node")).join(reps, "key").where("node <> rep")
         pairs = against.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-        sims = verify(_less(pairs, tested), sets)
+        pairs = common.written(_less(pairs, seen), "candidates")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        sims = verify(_close(pairs, sketches, limit), sets)
         tested = sims if tested is None else tested.unionByName(sims)
-        found = tested.where(F.col("similarity") >= similarity)
-        labels = components(found)
+        labels = extend(labels, sims.where(F.col("similarity") >= similarity))
         # members that no representative's component holds go on, if they are of more than one component
-        now = _labelled(left.select("key", "node"), labels, "node", "label")
+        now = _labelled(left.select("key", "m", F.col("m.node").alias("node")), labels, "node", "label")
         held = _labelled(reps, labels, "rep", "label").select("key", "label").distinct()
         open_ = now.join(held, ["key", "label"], "left_anti")
         several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = common.written(open_.join(several, "key", "left_semi").select("key", "node", "label"), "buckets")
+        left = common.written(open_.join(several, "key", "left_semi").select("key", "m", "label"), "buckets")
         n_reps *= MORE
-    if tested is None:
-        empty = members.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-        return signed.select("id", "node"), empty, members.select("node", F.col("node").alias("label")).limit(0)
-    # a member that left a bucket with its smallest member was not compared with those that stayed: by the
-    # triangle inequality their similarities to that member differ by at most 1 - similarity if they are linked
-    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    near = common.written(_labelled(_labelled(both, labels, "b", "label"), labels, "a", "rep_label"), "tested")
-    outside = near.where("label <> rep_label").select("a", F.col("b").alias("x"), F.col("similarity").alias("sx"))
-    inside = near.where("label = rep_label").select("a", F.col("b").alias("y"), F.col("similarity").alias("sy"))
-    passed = outside.join(inside, "a").where(F.abs(F.col("sx") - F.col("sy")) <= 1 - similarity + 1e-9).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sims = verify(_less(passed, tested), sets)
-    more = sims.where(F.col("similarity") >= similarity)
-    if not more.isEmpty():
-        found = found.unionByName(more)
-        labels = components(found)
-    return signed.select("id", "node"), found, labels
+    if seen is None:
+        empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+        return signed.select("id", "node"), empty, nodes.select("node", F.col("node").alias("label")).limit(0)
+    # A member y that left a bucket with its representative was not compared with the x that stayed. They share
+    # at most what both share with the representative and what neither does. So x and y, unless the former is
+    # enough, must have a shingle in common that the representative lacks; where x was already told apart from
+    # it by sketches, the triangle inequality rules out every y linked to it.
+    info = tested.select("a", "b", "similarity", F.col("nb").alias("n"), "both", F.col("xb").alias("own"))
+    info = info.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("na").alias("n"), "both", F.col("xa").alias("own")))
+    pairs = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(info, ["a", "b"], "left")
+    near = _labelled(_labelled(pairs, labels, "b", "label"), labels, "a", "rep_label").join(sketches.select(F.col("node").alias("b"), "sketch"), "b")
+    near = common.written(near, "seen")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("b", "sketch", "similarity", "n", "both", "own")]
+    outside = near.where("label <> rep_label").select("a", *side("x"))
+    inside = near.where("label = rep_label").select("a", *side("y"))
+    common_part = F.least("both_x", "both_y")
+    linked = (common_part >= similarity * (F.col("n_x") + F.col("n_y") - common_part) - 1e-9) | F.arrays_overlap("own_x", "own_y")
+    unknown = F.col("own_y").isNull() | (F.col("own_x").isNull() & (F.col("similarity_y") < similarity))
+    met = outside.join(inside, "a").where((_differing("sketch_x", "sketch_y") <= limit) & (unknown | F.coalesce(linked, F.lit(False))))
+    passed = met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    sims = verify(_less(passed, seen), sets)
+    linked = tested.unionByName(sims).where(F.col("similarity") >= similarity)
+    return signed.select("id", "node"), linked, extend(labels, sims.where(F.col("similarity") >= similarity))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
