@@ -4,9 +4,10 @@ Texts become sets of five-word shingles. A shingle of weight w is a Poisson
 process of rate w; its arrivals fall on random registers, each register keeps
 the shingle that arrives first, and a process ends as soon as its next arrival
 is later than every register of its text. Two texts agree on a register with the
-probability Jaccard similarity of their weights (the plain one for equal
-weights). Registers are cut into bands; texts that share a band are candidates,
-and candidates are verified on their whole shingle sets.
+probability Jaccard similarity of their weights. All shingles weigh the same,
+however often a text repeats them, so that this is the Jaccard similarity of the
+sets, which links are decided by. Registers are cut into bands; texts that share
+a band are candidates, and candidates are verified on their whole shingle sets.
 
 Equal texts are one node from the start. A band's bucket never emits all its
 pairs: its members are compared with its first member (that with the most bucket
@@ -91,15 +92,15 @@ def registers(owner: np.ndarray, items: np.ndarray, weights: np.ndarray, n_texts
 
 
 def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[list[list[int] | None], list[list[int] | None]]:
-    """(band keys, sketch) of every text; None without words. Weights grow with the logarithm of the occurrences.
+    """(band keys, sketch) of every text; None without words. All shingles of a text weigh the same.
 
     The sketch has four bits of each register, as signed 64-bit numbers.
     """
     keys: list = []
     sketches: list = []
     for a, b in tv.blocks(texts, BLOCK):
-        owner, items, n = shingles(texts[a:b], width)
-        who, _ = registers(owner, items, 1.0 + np.log(n), b - a, n_bands * rows)
+        owner, items, _ = shingles(texts[a:b], width)
+        who, _ = registers(owner, items, np.ones(len(items)), b - a, n_bands * rows)
         grid = who.reshape(b - a, n_bands, rows)
         key = np.full((b - a, n_bands), 1, np.uint64) + np.arange(n_bands, dtype=np.uint64)
         for k in range(rows):

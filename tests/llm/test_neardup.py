@@ -90,6 +90,23 @@ def test_large_group_of_copies(spark):
     assert {x.class_id for x in r} == {0} and {x.class_size for x in r} == {300}
 
 
+def test_repeated_lines(spark):
+    """Pairs that differ in how often a line repeats: sets alike, counts far apart."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        words, line, times = [(60, 20, 50), (100, 20, 1000), (200, 40, 200)][k % 3]
+        own = " ".join(f"w{k}x{rng.randrange(10**6)}" for _ in range(words))
+        said = " ".join(f"l{k}x{rng.randrange(10**6)}" for _ in range(line))
+        rows += [(2 * k, f"{own}\n{said}", "en"), (2 * k + 1, f"{own}\n" + "\n".join([said] * times), "en")]
+    got = {}
+    for r in neardup.classes(odd(spark, rows)).collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    want = brute(rows)
+    assert len(want) == 60
+    assert sorted(tuple(sorted(v)) for v in got.values()) == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     items = rng.integers(1, 2**63, 400, dtype=np.uint64)
