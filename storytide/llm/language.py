@@ -28,8 +28,6 @@ from .bpe import tokenizer_file
 
 #: Texts that a language is learned from, at most.
 FIT_TEXTS = 1_500
-#: (language, word) counts that the fit keeps, the most frequent first.
-FIT_WORDS = 80_000
 #: Rounds of expectation-maximisation.
 ROUNDS = 4
 #: Letters of a word that are segmented together; a longer run of letters is cut.
@@ -235,10 +233,11 @@ class Model:
         return names, score
 
 
-def fit(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", texts: int = FIT_TEXTS, words: int = FIT_WORDS, held_out: bool = True) -> Model:
+def fit(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", texts: int = FIT_TEXTS, held_out: bool = True) -> Model:
     """A model of the languages in docs (doc_id, text, lang), from at most about `texts` texts a language.
 
-    The sample of each language is drawn by a hash of doc_id, at a share that its count gives.
+    The sample of each language is drawn by a hash of doc_id, at a share that its count gives; all words of
+    its texts count. The driver holds the words of one language at a time.
     Rows with null text, lang or id, and the held-out rows, are not learned from.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id is not null and lang is not null")
@@ -265,9 +264,14 @@ def fit(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", texts: int = FI
 
     common.small_batches(docs.sparkSession)
     per_word = drawn.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = per_word.orderBy(F.desc("n"), "lang", "word").limit(words).toPandas()
-    counts = {k: dict(zip(g["word"], g["n"].tolist(), strict=True)) for k, g in top.groupby("lang", sort=True)}
-    return Model(list(counts), estimate(counts, tokenizer) if counts else np.zeros((1, 0)), tokenizer)
+    per_word = common.written(per_word, "words")
+    found, columns = [], []
+    for k in sorted(sizes):
+        own = per_word.where(F.col("lang") == k).select("word", "n").toPandas().sort_values("word")
+        if len(own):
+            found.append(k)
+            columns.append(estimate({k: dict(zip(own["word"], own["n"].tolist(), strict=True))}, tokenizer))
+    return Model(found, np.hstack(columns) if found else np.zeros((1, 0)), tokenizer)
 
 
 @functools.lru_cache(2)

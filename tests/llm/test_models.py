@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,25 @@ def test_language_held_out(spark):
     assert {x.lang_pred for x in language.predict(odd(spark), empty).collect()} == {"und"}
 
 
+def test_language_fit_counts_all_words(spark, monkeypatch):
+    """A language of rare words beside one of more than 80 000 frequent words: every word of both counts."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(5))
+    big = [" ".join(name(k) for k in range(a, a + 5000)) for a in range(0, 90_000, 5000) for _ in range(2)]
+    small = [" ".join("z" + name(k) for k in range(a, a + 200)) for a in range(0, 2000, 200)]
+    rows = [(k, t, "aa" if k < len(big) else "zz") for k, t in enumerate(big + small)]
+    seen = {}
+
+    def estimate(counts, *_):
+        seen.update(counts)
+        return np.full((len(language.vocabulary("piece_bpe_32k.model").pieces), len(counts)), 1e-3)
+
+    monkeypatch.setattr(language, "estimate", estimate)
+    m = language.fit(odd(spark, rows), held_out=False)
+    assert m.languages == ["aa", "zz"] and m.prob.shape[1] == 2
+    want = {lang: Counter(w for _, t, x in rows if x == lang for w in t.split()) for lang in m.languages}
+    assert seen == want
+
+
 @there
 def test_importance(spark):
     docs, labels = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
