@@ -75,11 +75,15 @@ def title_ngrams(title: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Distinct word pairs and triples of a title, without short words, stop words and numbers; each with a word of three letters."""
     words = F.filter(F.split(normalise_term(title), " "), lambda w: (F.length(w) > 1) & ~w.isin(lists.TITLE_STOPWORDS) & ~w.rlike(r"^[0-9.,%$\-]+$"))
 
-    def of_size(k: int) -> Column:
-        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+    def of_size(w: Column, k: int) -> Column:
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
 
-    return F.array_distinct(F.filter(F.concat(*[of_size(k) for k in sizes]), lambda g: g.rlike("(^| )[a-z]{3,}( |$)")))
+    def grams(w: Column) -> Column:
+        return F.array_distinct(F.filter(F.concat(*[of_size(w, k) for k in sizes]), lambda g: g.rlike("(^| )[a-z]{3,}( |$)")))
+
+    # the words are bound once, not split anew for every pair of a long title
+    return F.transform(F.array(words), grams)[0]
 
 
 def tokens(x: Column, stopwords: list[str] = lists.PROPOSITION_STOPWORDS, synonyms: bool = True) -> Column:

@@ -141,6 +141,11 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), "text", F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 200).alias("title"), day.alias("date"), _pick(CLASSES, F.col("doc_id") % 4).alias("source_class"), F.col("source").alias("publisher"), "lang", "n_chars")
 
 
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, title: the whole first line, however long; where texts() cuts it as its SQL does."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"))
+
+
 TEXTS_SQL = """
 texts AS (
   SELECT doc_id AS document_id, text, substr(regexp_extract(text, '^([^\\n]*)', 1), 1, 200) AS title, DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER) AS date,

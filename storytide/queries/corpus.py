@@ -94,7 +94,7 @@ def publisher_owners(spark, d):
 @query()
 def title_ngrams(spark, d):
     """Word pairs and triples of titles with their documents; the stop list is long, so tested against a loop."""
-    return views.texts(spark, d).select("document_id", F.explode(text.title_ngrams(F.col("title"))).alias("gram")).groupBy("gram").agg(F.count_distinct("document_id").alias("documents"))
+    return views.first_lines(spark, d).select("document_id", F.explode(text.title_ngrams(F.col("title"))).alias("gram")).groupBy("gram").agg(F.count_distinct("document_id").alias("documents"))
 
 
 _TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('a','an','and','are','as','because','for','from','in','is','of','or','the','to')))"
@@ -208,7 +208,7 @@ def evidence_quality_reasons(spark, d):
 @query()
 def folded_titles(spark, d):
     """Near-duplicate keys after compatibility decomposition, Arrow-batched; tested on its own."""
-    x = views.texts(spark, d).select("document_id", text.near_duplicate_key(text.nfkd(F.col("title"))).alias("key"))
+    x = views.first_lines(spark, d).select("document_id", text.near_duplicate_key(text.nfkd(F.col("title"))).alias("key"))
     return x.groupBy("key").agg(F.count("*").alias("documents"))
 
 

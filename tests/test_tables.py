@@ -64,3 +64,31 @@ def test_touched_days(spark, tmp_path):
     seen = []
     streams.touched_days(streams.parquet_stream(spark, str(tmp_path / "in"), 100), "d", lambda df, days: seen.append(days), str(tmp_path / "ck")).awaitTermination()
     assert sorted(d for x in seen for d in x) == ["2024-01-01", "2024-01-02"]
+
+
+def test_titles_are_whole_first_lines(spark, tmp_path):
+    """Titles beyond 200 characters: title_ngrams and folded_titles against a loop."""
+    import hashlib
+    import re
+    import unicodedata
+    from collections import Counter
+
+    import storytide.queries  # noqa: F401  registers
+    from storytide.functions import lists
+    from storytide.queries.registry import QUERIES
+
+    name = lambda k: "".join(chr(97 + k // 20**i % 20) for i in range(4))
+    long = " ".join(name(k) for k in range(500, 1500))
+    lines = [f"{long} first", f"{long} second", "½ " * 120 + "alpha", "½ " * 120 + "gamma", "... " * 60 + "delta epsilon", "... " * 60 + "zeta eta", "short title"]
+    rows = [(k, f"{t}\nbody text of no title", "en", "s", len(t)) for k, t in enumerate(lines)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def words(t):
+        w = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9&%$.\- ]+", " ", t.lower())).strip().split(" ")
+        return [x for x in w if len(x) > 1 and x not in lists.TITLE_STOPWORDS and not re.fullmatch(r"[0-9.,%$\-]+", x)]
+
+    grams = Counter(g for t in lines for g in {" ".join(words(t)[i : i + n]) for n in (2, 3) for i in range(len(words(t)) - n + 1)} if any(re.fullmatch("[a-z]{3,}", x) for x in g.split()))
+    assert {r["gram"]: r["documents"] for r in QUERIES["title_ngrams"](spark, str(tmp_path)).collect()} == grams
+    fold = lambda t: re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).lower()).strip()[:180]
+    keys = Counter(hashlib.sha256(fold(t).encode()).hexdigest() for t in lines)
+    assert {r["key"]: r["documents"] for r in QUERIES["folded_titles"](spark, str(tmp_path)).collect()} == keys
