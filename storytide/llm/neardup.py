@@ -272,8 +272,8 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
         return signed.select("id", "node"), empty, nodes.select("node", F.col("node").alias("label")).limit(0)
     # A member y that left a bucket with its representative was not compared with the x that stayed. They share
     # at most what both share with the representative and what neither does. So x and y, unless the former is
-    # enough, must have a shingle in common that the representative lacks; where x was already told apart from
-    # it by sketches, the triangle inequality rules out every y linked to it.
+    # enough, must have a shingle in common that the representative lacks; where sketches told either apart from
+    # it, this is not known, and the sketches of x and y and verification decide.
     info = tested.select("a", "b", "similarity", F.col("nb").alias("n"), "both", F.col("xb").alias("own"))
     info = info.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("na").alias("n"), "both", F.col("xa").alias("own")))
     pairs = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(info, ["a", "b"], "left")
@@ -284,7 +284,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     inside = near.where("label = rep_label").select("a", *side("y"))
     common_part = F.least("both_x", "both_y")
     linked = (common_part >= similarity * (F.col("n_x") + F.col("n_y") - common_part) - 1e-9) | F.arrays_overlap("own_x", "own_y")
-    unknown = F.col("own_y").isNull() | (F.col("own_x").isNull() & (F.col("similarity_y") < similarity))
+    unknown = F.col("own_y").isNull() | F.col("own_x").isNull()
     met = outside.join(inside, "a").where((_differing("sketch_x", "sketch_y") <= limit) & (unknown | F.coalesce(linked, F.lit(False))))
     passed = met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     sims = verify(_less(passed, seen), sets)

@@ -1,5 +1,6 @@
 """Near-duplicate classes against all pairs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -107,6 +108,29 @@ def test_repeated_lines(spark):
     assert sorted(tuple(sorted(v)) for v in got.values()) == want
 
 
+def test_chain_over_a_representative_told_apart(spark, monkeypatch):
+    """a-y-x, linked step by step, where sketches tell a and x apart and the only shared bucket has a first."""
+    rng = random.Random(13)
+    differing = lambda u, v: sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(u, v, strict=True))
+    for _ in range(200_000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        texts = [" ".join(words[k : k + 60]) for k in (0, 5, 10)]  # neighbours at 51 of 61, the ends at 46 of 66
+        if hashlib.md5(texts[0].encode()).digest() > min(hashlib.md5(t.encode()).digest() for t in texts[1:]):
+            continue
+        keys, sketches = neardup.signatures(texts, 2)
+        if not keys[0][0] == keys[1][0] == keys[2][0] or len({k[1] for k in keys}) < 3:
+            continue
+        near = max(differing(sketches[0], sketches[1]), differing(sketches[1], sketches[2]))
+        if near < differing(sketches[0], sketches[2]):
+            break
+    monkeypatch.setattr(neardup, "far", lambda *_: near)
+    docs = odd(spark, [(k, t, "en") for k, t in enumerate(texts)]).selectExpr("doc_id AS id", "text")
+    _, _, labels = neardup.links(docs, n_bands=2)
+    assert len(brute([(k, t, "en") for k, t in enumerate(texts)])) == 1
+    found = [r.label for r in labels.collect()]
+    assert len(found) == 3 and len(set(found)) == 1
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     items = rng.integers(1, 2**63, 400, dtype=np.uint64)
