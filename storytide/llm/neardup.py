@@ -9,21 +9,29 @@ however often a text repeats them, so that this is the Jaccard similarity of the
 sets, which links are decided by. Registers are cut into bands; texts that share
 a band are candidates, and candidates are verified on their whole shingle sets.
 
-Equal texts are one node from the start. A band's bucket never emits all its
-pairs: its members are compared with its first member (that with the most bucket
-mates overall, which in a group of copies is what they are copies of), those
-found connected to it leave the bucket, and the rest go on in the next round
-with the first members of 16 components left, then 256, until all members left
-are connected. A last round tests the pairs that this order passed over. Before
-verification, sketches of four bits a register rule out pairs that differ in more
-bits than a pair of the wanted similarity does once in 100 000 cases.
+Equal texts are one node from the start. A group of candidates (at first a
+band's bucket) never emits all its pairs. All members are compared with one of
+them, the pivot: the one with the most bucket mates, which in a group of copies
+is what they are copies of. A group left with several components goes on:
+
+* with at most SMALL members, those of different components are compared;
+* else it splits by the shingles that members have and the pivot lacks. Write
+  |x| for the size of a set and c = s / (1 + s); x and y are linked if they
+  share at least c (|x| + |y|). If x is not linked to the pivot a and y has at
+  least `low` shingles, x and y must share c (|x| + low) - |x and a| of the
+  shingles that a lacks. Where that is positive, the first ones of x's, in the
+  order of their hashes, are enough to meet y. Members for which it is not form
+  a group with those members that are small enough to be linked to one of them.
+
+The new groups lack the pivot and begin again. No linked pair that shares a band
+is lost, and a member meets one pivot, or fewer than SMALL others, in a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,8 +40,10 @@ from . import textvec as tv
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: A round compares with so many times the representatives of the round before.
-MORE = 16
+#: Groups of so many members are settled by comparing those of different components.
+SMALL = 16
+#: Members of one pivot that one task compares with it.
+PER_TASK = 256
 #: Characters of texts whose registers are filled together.
 BLOCK = 1_000_000
 _MULT = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,13 +101,18 @@ def registers(owner: np.ndarray, items: np.ndarray, weights: np.ndarray, n_texts
     return who.reshape(n_texts, m), drawn
 
 
-def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[list[list[int] | None], list[list[int] | None]]:
-    """(band keys, sketch) of every text; None without words. All shingles of a text weigh the same.
+def compact(owner: np.ndarray, items: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct 32-bit items of all texts in a row, n + 1 offsets) of items sorted by owner and value."""
+    small = (items >> np.uint64(32)).astype("<u4")
+    new = np.ones(len(small), bool)
+    new[1:] = (small[1:] != small[:-1]) | (owner[1:] != owner[:-1])
+    return small[new], np.searchsorted(owner[new], np.arange(n_texts + 1))
 
-    The sketch has four bits of each register, as signed 64-bit numbers.
-    """
+
+def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[list[list[int] | None], list[int]]:
+    """(band keys or None without words, size of the set of 32-bit shingles) of every text."""
     keys: list = []
-    sketches: list = []
+    sizes: list = []
     for a, b in tv.blocks(texts, BLOCK):
         owner, items, _ = shingles(texts[a:b], width)
         who, _ = registers(owner, items, np.ones(len(items)), b - a, n_bands * rows)
@@ -105,34 +120,10 @@ def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width:
         key = np.full((b - a, n_bands), 1, np.uint64) + np.arange(n_bands, dtype=np.uint64)
         for k in range(rows):
             key = tv.mix(key * _MULT[k] + grid[:, :, k])
-        bits = np.zeros((b - a, -(-n_bands * rows * 4 // 64) * 64), np.uint8)
-        mixed = tv.mix(who)
-        for k in range(4):
-            bits[:, k : n_bands * rows * 4 : 4] = (mixed >> np.uint64(k)) & np.uint64(1)
-        sketch = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-        some = (np.bincount(owner, minlength=b - a) > 0).tolist()
-        keys += [k if x else None for k, x in zip(key.view(np.int64).tolist(), some, strict=True)]
-        sketches += [k if x else None for k, x in zip(sketch.tolist(), some, strict=True)]
-    return keys, sketches
-
-
-def far(similarity: float, n_registers: int = BANDS * ROWS) -> int:
-    """Differing sketch bits that a pair of the given similarity has with a chance of about 1 in 100 000 or less."""
-    d = 1 - similarity
-    return int(2 * n_registers * d + 4.5 * (n_registers * (d + 4 * d * (1 - d))) ** 0.5)
-
-
-def _close(pairs: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    """The pairs (a, b) whose sketches do not tell them apart."""
-    of = lambda k: sketches.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_differing("sa", "sb") <= limit).select("a", "b")
-
-
-def _differing(x: str, y: str):
-    out = F.lit(0)
-    for k in range(-(-BANDS * ROWS * 4 // 64)):
-        out = out + F.coalesce(F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))), F.lit(0))
-    return out
+        n = np.diff(compact(owner, items, b - a)[1]).tolist()
+        keys += [k if x else None for k, x in zip(key.view(np.int64).tolist(), n, strict=True)]
+        sizes += n
+    return keys, sizes
 
 
 def _node(text):
@@ -140,28 +131,28 @@ def _node(text):
     return F.unhex(F.md5(text))
 
 
-def _less(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-    return pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similarity, na, nb, both (sizes of the whole shingle sets and of what they share), xa, xb (what only
-    one has) of the pairs (a, b). sets: node, items (sorted, 32 bits each)."""
+    """a, b, na, nb, both (sizes of the whole shingle sets and of what they share), own (what b has and a lacks,
+    sorted; null if not asked for) of the pairs (a, b, size, ask). sets: node, items (sorted, 32 bits each).
+
+    size: members of the group that a is the pivot of; a's set is dealt out to a task for every PER_TASK of them.
+    """
 
     def run(b):
-        out: list[list] = [[] for _ in range(6)]
-        for x, y in zip(b.column(2), b.column(3), strict=True):
+        out: list[list] = [[] for _ in range(4)]
+        for x, y, ask in zip(b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
             u, v = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            xu, xv = (np.setdiff1d(p, q, assume_unique=True).view(np.int32) for p, q in ((u, v), (v, u)))
-            both = len(u) - len(xu)
-            for c, w in zip(out, (both / (len(u) + len(xv)), len(u), len(v), both, xu, xv), strict=True):
+            own = np.setdiff1d(v, u, assume_unique=True)
+            for c, w in zip(out, (len(u), len(v), len(v) - len(own), own.view(np.int32) if ask else None), strict=True):
                 c.append(w)
-        types = (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["a", "b", "similarity", "na", "nb", "both", "xa", "xb"])
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["a", "b", "na", "nb", "both", "own"])
 
-    withb = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    both = withb.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    return common.written(common.map_arrow(both.select("a", "b", "x", "y"), run, "a binary, b binary, similarity double, na int, nb int, both int, xa array<int>, xb array<int>"), "near-pairs")
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PER_TASK))
+    withb = pairs.withColumn("salt", salt).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    dealt = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    met = withb.join(dealt, ["a", "salt"]).select("a", "b", "x", "y", "ask")
+    return common.written(common.map_arrow(met, run, "a binary, b binary, na int, nb int, both int, own array<int>"), "near-pairs")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,90 +197,90 @@ def extend(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return common.written(moved.unionByName(fresh), "labels")
 
 
-def first_per_key(low: DataFrame, n: int) -> DataFrame:
-    """key, rep: the first n representatives of each key."""
-    if n == 1:
-        return low.groupBy("key").agg(F.min("m").alias("m")).select("key", F.col("m.node").alias("rep"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("m"))
-    return low.withColumn("n", rank).where(F.col("n") <= n).select("key", F.col("m.node").alias("rep"))
+def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: float) -> DataFrame:
+    """key, m, label: the groups that the members of large groups fall into by what their pivot lacks.
+
+    left: key, m, label; groups: key, a (the pivot), size, low; sims: what `verify` found of the pivots.
+    """
+    c = similarity / (1 + similarity)
+    of = sims.where("own is not null").select("a", "b", "both", "own", (F.col("both") >= c * (F.col("na") + F.col("nb")) - 1e-6).alias("linked"))
+    rows = left.join(groups.where(F.col("size") > SMALL), "key").where("m.node <> a").withColumn("b", F.col("m.node")).join(of, ["a", "b"])
+    need = F.ceil(c * (F.col("m.n") + F.col("low")) - F.col("both") - 1e-6)
+    rows = common.written(rows.select("key", "m", "label", "both", "own", "linked", need.alias("need")), "members")
+    loose = ~F.col("linked") & (F.col("need") <= 0)
+    caps = rows.where(loose).groupBy("key").agg(F.max(F.col("both") / c - F.col("m.n")).alias("cap"))
+    rows = rows.join(caps, "key", "left")
+    some = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - F.greatest(F.lit(1), F.col("need")) + 1).cast("int"))
+    subs = F.concat(F.transform(some, lambda s: F.xxhash64("key", s)), F.when(loose | (F.col("m.n") <= F.col("cap") + 1e-6), F.array(F.xxhash64("key", F.lit("loose")))).otherwise(F.array().cast("array<bigint>")))
+    split = rows.select(F.explode(subs).alias("key"), "m", "label")
+    several = split.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    return common.written(split.join(several, "key", "left_semi"), "groups")
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: id, node; links: a, b, similarity between nodes; labels: node, label)
 
-    docs: id, text. A null text has no node.
+    docs: id, text. A null text has no node; a text without words has one without links; null ids and repeated
+    rows stay in `rows`; an empty table gives three empty ones. The links connect every class; two members of a
+    class that others connect need not be linked themselves.
     """
     source = docs.select("id", F.col("text").cast("string").alias("text")).withColumn("node", _node(F.col("text")))
 
     def sign(b):
-        texts = common.texts_of(b.column(1))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.list_(pa.int64())) for x in signatures(texts, n_bands, rows, width))], ["id", "node", "bands", "sketch"])
+        keys, sizes = signatures(common.texts_of(b.column(1)), n_bands, rows, width)
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["id", "node", "bands", "n"])
 
-    signed = common.written(common.map_arrow(source.select("id", "text", "node"), sign, "id long, node binary, bands array<long>, sketch array<long>"), "signatures")
-    texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min(F.struct("bands", "sketch")).alias("s"))
-    keyed = texts.select("node", F.explode("s.bands").alias("key"))
+    signed = common.written(common.map_arrow(source.select("id", "text", "node"), sign, "id long, node binary, bands array<long>, n int"), "signatures")
+    texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min(F.struct("bands", "n")).alias("s"))
+    keyed = texts.select("node", F.col("s.n").alias("n"), F.explode("s.bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
     mated = common.written(keyed.join(shared, "key"), "buckets")
-    # a text that many others are copies of sits in the largest buckets: it comes first
     weight = mated.groupBy("node").agg(F.negate(F.sum("mates")).alias("w"))
-    members = common.written(mated.select("key", "node").join(weight, "node").select("key", F.struct("w", "node").alias("m")), "buckets")
-    left = members.withColumn("label", F.col("m.node"))
-
-    nodes = weight.select("node")
-    sketches = common.written(texts.select("node", F.col("s.sketch").alias("sketch")).join(nodes, "node", "left_semi"), "sketches")
-    limit = far(similarity, n_bands * rows)
+    left = common.written(mated.join(weight, "node").select("key", F.struct("w", "n", "node").alias("m"), F.col("node").alias("label")), "groups")
 
     def pack(b):
         owner, items, _ = shingles(common.texts_of(b.column(1)), width)
-        texts_ = np.searchsorted(owner, np.arange(b.num_rows + 1))
-        small = (items >> np.uint64(32)).astype("<u4")
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(small[i:j]).tobytes() for i, j in zip(texts_[:-1].tolist(), texts_[1:].tolist(), strict=True)], pa.binary())], ["node", "items"])
+        small, off = compact(owner, items, b.num_rows)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([small[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["node", "items"])
 
-    whole = source.where("node is not null").select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    whole = source.where("node is not null").select("node", "text").join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = common.written(common.map_arrow(whole, pack, "node binary, items binary"), "shingle-sets")
 
-    seen = tested = labels = None
-    n_reps = 1
-    while not left.isEmpty():
-        # the first member of each of the first components of a bucket
-        reps = first_per_key(left.groupBy("key", "label").agg(F.min("m").alias("m")), n_reps)
-        against = left.select("key", F.col("m.node").alias("node")).join(reps, "key").where("node <> rep")
-        pairs = against.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
-        pairs = common.written(_less(pairs, seen), "candidates")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        sims = verify(_close(pairs, sketches, limit), sets)
-        tested = sims if tested is None else tested.unionByName(sims)
-        labels = extend(labels, sims.where(F.col("similarity") >= similarity))
-        # members that no representative's component holds go on, if they are of more than one component
+    c = similarity / (1 + similarity)
+    found = labels = rest = None
+    while not left.isEmpty() or rest is not None:
+        groups = left.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("size"), F.min("m.n").alias("low"))
+        groups = common.written(groups.select("key", F.col("p.node").alias("a"), "size", "low"), "pivots")
+        against = left.join(groups, "key").where("m.node <> a").groupBy("a", F.col("m.node").alias("b")).agg(F.max("size").alias("size"))
+        pairs = against.withColumn("ask", F.lit(True))
+        if rest is not None:
+            pairs = pairs.unionByName(rest)
+        sims = verify(pairs, sets)
+        linked = sims.where(F.col("both") >= c * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
+        found = linked if found is None else found.unionByName(linked)
+        labels = extend(labels, linked)
         now = _labelled(left.select("key", "m", F.col("m.node").alias("node")), labels, "node", "label")
-        held = _labelled(reps, labels, "rep", "label").select("key", "label").distinct()
-        open_ = now.join(held, ["key", "label"], "left_anti")
-        several = open_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = common.written(open_.join(several, "key", "left_semi").select("key", "m", "label"), "buckets")
-        n_reps *= MORE
-    if seen is None:
+        several = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+        open_ = common.written(now.join(several, "key", "left_semi").select("key", "m", "label"), "groups")
+        if open_.isEmpty():
+            break
+        # the pivot has met all of its group
+        few = open_.join(groups.where(F.col("size") <= SMALL), "key").where("m.node <> a")
+        side = lambda k: few.select("key", F.col("m.node").alias(k), F.col("label").alias(f"l{k}"), F.col("m.n").alias(f"n{k}"))
+        like = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
+        rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like)
+        rest = common.written(rest.select("a", "b", F.lit(1).cast("long").alias("size"), F.lit(False).alias("ask")).distinct(), "candidates")
+        left = refined(open_, groups, sims, similarity)
+        rest = None if rest.isEmpty() else rest
+        needed = left.select("m.node")
+        if rest is not None:
+            needed = needed.union(rest.select("a")).union(rest.select("b"))
+        sets = common.written(sets.join(needed.distinct(), "node", "left_semi"), "shingle-sets")
+    if found is None:
+        nodes = weight.select("node")
         empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
         return signed.select("id", "node"), empty, nodes.select("node", F.col("node").alias("label")).limit(0)
-    # A member y that left a bucket with its representative was not compared with the x that stayed. They share
-    # at most what both share with the representative and what neither does. So x and y, unless the former is
-    # enough, must have a shingle in common that the representative lacks; where sketches told either apart from
-    # it, this is not known, and the sketches of x and y and verification decide.
-    info = tested.select("a", "b", "similarity", F.col("nb").alias("n"), "both", F.col("xb").alias("own"))
-    info = info.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity", F.col("na").alias("n"), "both", F.col("xa").alias("own")))
-    pairs = seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(info, ["a", "b"], "left")
-    near = _labelled(_labelled(pairs, labels, "b", "label"), labels, "a", "rep_label").join(sketches.select(F.col("node").alias("b"), "sketch"), "b")
-    near = common.written(near, "seen")
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("b", "sketch", "similarity", "n", "both", "own")]
-    outside = near.where("label <> rep_label").select("a", *side("x"))
-    inside = near.where("label = rep_label").select("a", *side("y"))
-    common_part = F.least("both_x", "both_y")
-    linked = (common_part >= similarity * (F.col("n_x") + F.col("n_y") - common_part) - 1e-9) | F.arrays_overlap("own_x", "own_y")
-    unknown = F.col("own_y").isNull() | F.col("own_x").isNull()
-    met = outside.join(inside, "a").where((_differing("sketch_x", "sketch_y") <= limit) & (unknown | F.coalesce(linked, F.lit(False))))
-    passed = met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
-    sims = verify(_less(passed, seen), sets)
-    linked = tested.unionByName(sims).where(F.col("similarity") >= similarity)
-    return signed.select("id", "node"), linked, extend(labels, sims.where(F.col("similarity") >= similarity))
+    return signed.select("id", "node"), found, labels
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
