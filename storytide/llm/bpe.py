@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -22,8 +23,8 @@ import pandas as pd
 
 from . import textvec as tv
 
-#: Entries of a worker's word table before it is begun anew.
-TABLE_WORDS = 300_000
+#: Words and letters of a worker's word table before it is begun anew.
+TABLE_WORDS, TABLE_LETTERS = 300_000, 1 << 24
 
 
 def tokenizer_file(name: str) -> str:
@@ -55,24 +56,43 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Table:
-    """Word hash -> token ids, in flat arrays."""
+    """Words -> token ids, in flat arrays. Words are found by hash and compared letter by letter."""
 
     def __init__(self) -> None:
-        self.index = tv.HashIndex(1 << 16)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
-        k, n = self.index.n, len(keys)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.index, self.n = tv.HashIndex(1 << 16), 0
+        self.ids, self.letters = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        self.start, self.length, self.word, self.size = (np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.used = self.spelled = 0
+
+    def put(self, ids: np.ndarray, lens: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The new entries of words, given their ids and letters in a row and how many each has."""
+        k, n = self.n, len(lens)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.spelled + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
         while k + n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.length[k : k + n] = lens
+            self.start, self.length, self.word, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.word, self.size))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.letters[self.spelled : self.spelled + len(letters)] = letters
+        self.length[k : k + n], self.size[k : k + n] = lens, sizes
         self.start[k : k + n] = self.used + np.cumsum(lens) - lens
-        self.used += len(ids)
-        self.index.add(keys, np.arange(k, k + n))
+        self.word[k : k + n] = self.spelled + np.cumsum(sizes) - sizes
+        self.used, self.spelled, self.n = self.used + len(ids), self.spelled + len(letters), k + n
+        return np.arange(k, k + n)
+
+    def unlike(self, entry: np.ndarray, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of the spans that are other words than their entries."""
+        sizes = ends - starts
+        same = self.size[entry] == sizes
+        on = np.flatnonzero(same)
+        sizes, first = sizes[on], starts[on]
+        whole = len(on) and len(on) == len(starts) and ends[-1] - starts[0] == sizes.sum()
+        text = cp[starts[0] : ends[-1]] if whole else cp[tv.ragged(first, sizes)]
+        differ = self.letters[tv.ragged(self.word[entry[on]], sizes)] != text
+        if differ.any():
+            same[on[np.logical_or.reduceat(differ, np.cumsum(sizes) - sizes)]] = False
+        return np.flatnonzero(~same)
 
 
 class Merges:
@@ -149,7 +169,11 @@ class _Encoder:
         self.name = name
         self.table = _Table()
         spec = json.loads(open(tokenizer_file(name), encoding="utf-8").read())
-        self.special = [x["content"] for x in spec.get("added_tokens") or []]
+        added = spec.get("added_tokens") or []
+        if any(x.get(flag) for x in added for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("only added tokens that are matched as they stand are supported")
+        self.added = {x["content"]: x["id"] for x in added}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         self.setup(spec)
 
     def setup(self, spec: dict) -> None:
@@ -161,30 +185,32 @@ class _Encoder:
     def spans(self, cp: np.ndarray, off: np.ndarray):
         raise NotImplementedError
 
+    def hashes(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return tv.word_hashes(cp, starts, ends)
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, n + 1 offsets)."""
-        # added tokens are matched before anything else, so their texts go to the library as they are
-        odd = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
-        ids, lens = [], np.zeros(len(texts), np.int64)
-        for a, b in tv.blocks(texts):
-            part, off = self._block([("" if k in odd else self.normal(texts[k])) for k in range(a, b)])
+        """(ids of all texts in a row, n + 1 offsets). Added tokens are matched first; what stands between them is
+        encoded apart."""
+        parts, owner, after = [], [], []
+        for k, t in enumerate(texts):
+            own = self.cut.split(t) if any(x in t for x in self.added) else [t]
+            parts += map(self.normal, own[::2])
+            owner += [k] * (len(own) // 2 + 1)
+            after += [*(self.added[x] for x in own[1::2]), -1]
+        ids, lens = [np.empty(0, np.uint32)], np.zeros(len(parts), np.int64)
+        for a, b in tv.blocks(parts):
+            part, off = self._block(parts[a:b])
             lens[a:b] = np.diff(off)
-            if odd.isdisjoint(range(a, b)):
-                ids.append(part)
-                continue
-            for k in range(a, b):
-                if k in odd:
-                    own = np.array(library_tokenizer(self.name).encode(texts[k], add_special_tokens=False).ids, np.uint32)
-                    lens[k] = len(own)
-                    ids.append(own)
-                else:
-                    ids.append(part[off[k - a] : off[k - a + 1]])
+            ids.append(part)
+        flat, after = np.concatenate(ids), np.array(after, np.int64)
+        if (after >= 0).any():
+            flat = np.insert(flat, np.cumsum(lens)[after >= 0], after[after >= 0])
         off = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum(lens, out=off[1:])
-        return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), off
+        np.add.at(off, np.array(owner, np.int64) + 1, lens + (after >= 0))
+        return flat, np.cumsum(off)
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = "".join(texts)
@@ -194,20 +220,28 @@ class _Encoder:
         starts, ends = self.spans(cp, off)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if self.table.index.n > TABLE_WORDS:
+        if self.table.n > TABLE_WORDS or self.table.spelled > TABLE_LETTERS:
             self.table = _Table()
-        t, keys = self.table, tv.word_hashes(cp, starts, ends)
+        t, keys = self.table, self.hashes(cp, starts, ends)
+
+        def put(at: np.ndarray) -> np.ndarray:
+            sizes = ends[at] - starts[at]
+            return t.put(*self.words([whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]), cp[tv.ragged(starts[at], sizes)], sizes)
+
         entry = t.index.get(keys)
         new = np.flatnonzero(entry < 0)
         if len(new):
             codes, uniq = pd.factorize(keys[new])
-            at, n = new[tv.first_seen(codes, len(uniq))], t.index.n
-            t.add(uniq, *self.words([whole[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
-            entry[new] = n + codes
+            fresh = put(new[tv.first_seen(codes, len(uniq))])
+            t.index.add(uniq, fresh)
+            entry[new] = fresh[codes]
+        other = t.unlike(entry, cp, starts, ends)
+        if len(other):  # words whose hash is another word's
+            entry[other] = put(other)
         lens = t.length[entry]
         total = np.zeros(len(lens) + 1, np.int64)
         np.cumsum(lens, out=total[1:])
-        return t.flat[tv.ragged(t.start[entry], lens)], total[np.searchsorted(starts, off)]
+        return t.ids[tv.ragged(t.start[entry], lens)], total[np.searchsorted(starts, off)]
 
 
 def byte_pieces(words: list[str], inner: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

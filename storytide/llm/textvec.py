@@ -36,19 +36,10 @@ def _letters() -> np.ndarray:
     return np.random.default_rng(0x5EED).integers(0, 2**64, 1 << 16, dtype=np.uint64)
 
 
-_STEP = 0x9E3779B97F4A7C15 * 2 + 1 & (1 << 64) - 1
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse modulo 2^64."""
-    out = []
-    for base in (_STEP, _BACK):
-        p = np.ones(n + 1, np.uint64)
-        p[1:] = base
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _places(n: int) -> np.ndarray:
+    """Odd random multipliers of the first n places within a word."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def blocks(texts: list[str], limit: int = BLOCK_CHARS):
@@ -81,14 +72,19 @@ def run_starts(key: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: differences of one running polynomial over random letter values."""
-    ahead, back = _powers(1 << max(18, len(cp).bit_length()))
+    """A 64-bit hash of each span (ascending, apart): random letter values times random multipliers of their places in
+    the span, summed. No power of one base is involved, so that no pattern of letters collides by its form."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    at = np.zeros(len(cp), np.int64)
+    at[starts] = starts
+    at = np.arange(len(cp)) - np.maximum.accumulate(at)
     val = _letters()[(cp ^ (cp >> 16)) & 0xFFFF]
     val += cp
-    val *= ahead[: len(cp)]
+    val *= _places(1 << max(16, int(at.max()).bit_length()))[at]
     run = np.zeros(len(cp) + 1, np.uint64)
     np.cumsum(val, out=run[1:])
-    return mix((run[ends] - run[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    return mix(run[ends] - run[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

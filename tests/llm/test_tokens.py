@@ -27,6 +27,25 @@ def test_encoders_match_library(make, name):
         assert e.seen > e.failed > 0  # both ways were taken
 
 
+@pytest.mark.parametrize(("make", "name"), [(bpe.WordBPE, "word_bpe_49k.json"), (bpe.ByteBPE, "byte_bpe_50k.json")])
+def test_words_with_one_hash(make, name):
+    """Words of the Thue-Morse pattern and their mirrors, words that are made to collide, and added tokens between."""
+    e, lib = make(name), bpe.library_tokenizer(name)
+    texts, word = [], "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 1024:
+            mirror = word.translate(str.maketrans("ab", "ba"))
+            texts += [word, mirror, f"{mirror} {word} {mirror}"]
+    texts += ["one<|endoftext|>two <|endoftext|>", "<|endoftext|><|endoftext|>", " <|endoftext|> it's", "É<|endoftext|>\u0301", "a <|startoftext|>b"]
+    for hashes in (e.hashes, lambda cp, s, t: (t - s).astype(np.uint64), lambda cp, s, t: np.full(len(s), 5, np.uint64)):
+        e.hashes, e.table = hashes, bpe._Table()
+        for _ in range(2):  # words are new, then known
+            ids, off = e.encode(texts + TEXTS[:200])
+            want = [x.ids for x in lib.encode_batch(texts + TEXTS[:200], add_special_tokens=False)]
+            assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+
+
 def test_compatible_pairs_are_those_that_merging_leaves():
     e = bpe.byte_encoder("byte_bpe_50k.json")
     rng = np.random.default_rng(0)
