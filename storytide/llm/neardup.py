@@ -14,17 +14,19 @@ band's bucket) never emits all its pairs. All members are compared with one of
 them, the pivot: the one with the most bucket mates, which in a group of copies
 is what they are copies of. A group left with several components goes on:
 
-* with at most SMALL members, those of different components are compared;
+* with few members (SMALL, and MORE times as many each time groups split), those
+  of different components are compared;
 * else it splits by the shingles that members have and the pivot lacks. Write
   |x| for the size of a set and c = s / (1 + s); x and y are linked if they
   share at least c (|x| + |y|). If x is not linked to the pivot a and y has at
-  least `low` shingles, x and y must share c (|x| + low) - |x and a| of the
-  shingles that a lacks. Where that is positive, the first ones of x's, in the
-  order of their hashes, are enough to meet y. Members for which it is not form
-  a group with those members that are small enough to be linked to one of them.
+  least `low` shingles, x and y must share need = c (|x| + low) - |x and a| of
+  the shingles that a lacks. Where that is positive, all of x's but need - 1
+  are enough to meet y, and those left out are the ones that most members have.
+  Members for which it is not form a group with those members that are small
+  enough to be linked to one of them.
 
 The new groups lack the pivot and begin again. No linked pair that shares a band
-is lost, and a member meets one pivot, or fewer than SMALL others, in a group.
+is lost, and a member meets one pivot, or few others, in a group.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ from . import textvec as tv
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Groups of so many members are settled by comparing those of different components.
-SMALL = 16
+#: Groups of so many members are settled by comparing those of different components; the second is what their number
+#: is multiplied by each time groups split.
+SMALL, MORE = 16, 8
 #: Members of one pivot that one task compares with it.
 PER_TASK = 256
 #: Characters of texts whose registers are filled together.
@@ -198,21 +201,25 @@ def extend(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
 
 
 def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: float) -> DataFrame:
-    """key, m, label: the groups that the members of large groups fall into by what their pivot lacks.
+    """key, m, label: the groups that the members of the given ones fall into by what their pivot lacks.
 
-    left: key, m, label; groups: key, a (the pivot), size, low; sims: what `verify` found of the pivots.
+    left: key, m, label; groups: key, a (the pivot), low; sims: what `verify` found of the pivots.
     """
     c = similarity / (1 + similarity)
     of = sims.where("own is not null").select("a", "b", "both", "own", (F.col("both") >= c * (F.col("na") + F.col("nb")) - 1e-6).alias("linked"))
-    rows = left.join(groups.where(F.col("size") > SMALL), "key").where("m.node <> a").withColumn("b", F.col("m.node")).join(of, ["a", "b"])
+    rows = left.join(groups, "key").where("m.node <> a").withColumn("b", F.col("m.node")).join(of, ["a", "b"])
     need = F.ceil(c * (F.col("m.n") + F.col("low")) - F.col("both") - 1e-6)
     rows = common.written(rows.select("key", "m", "label", "both", "own", "linked", need.alias("need")), "members")
-    loose = ~F.col("linked") & (F.col("need") <= 0)
-    caps = rows.where(loose).groupBy("key").agg(F.max(F.col("both") / c - F.col("m.n")).alias("cap"))
-    rows = rows.join(caps, "key", "left")
-    some = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - F.greatest(F.lit(1), F.col("need")) + 1).cast("int"))
-    subs = F.concat(F.transform(some, lambda s: F.xxhash64("key", s)), F.when(loose | (F.col("m.n") <= F.col("cap") + 1e-6), F.array(F.xxhash64("key", F.lit("loose")))).otherwise(F.array().cast("array<bigint>")))
-    split = rows.select(F.explode(subs).alias("key"), "m", "label")
+    # shingles of one component only bring nothing together: they come first in the order that what is left out is last in
+    each = rows.select("key", "m", "label", F.greatest(F.lit(0), F.col("need") - 1).alias("spare"), F.explode("own").alias("s"))
+    met = each.groupBy("key", "s").agg(F.count("*").alias("times"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key", "s", "times")
+    shared = each.join(met, ["key", "s"]).groupBy("key", "m", "label", "spare").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("own"))
+    some = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - F.col("spare")).cast("int"))
+    split = shared.select(F.explode(some).alias("x"), "key", "m", "label").select(F.xxhash64("key", "x.s").alias("key"), "m", "label")
+    loose = rows.where("not linked and need <= 0")
+    caps = loose.groupBy("key").agg(F.max(F.col("both") / c - F.col("m.n")).alias("cap"))
+    small = rows.join(caps, "key").where(((~F.col("linked")) & (F.col("need") <= 0)) | (F.col("m.n") <= F.col("cap") + 1e-6))
+    split = common.written(split.unionByName(small.select(F.xxhash64("key", F.lit("small")).alias("key"), "m", "label")), "groups")
     several = split.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     return common.written(split.join(several, "key", "left_semi"), "groups")
 
@@ -248,6 +255,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
 
     c = similarity / (1 + similarity)
     found = labels = rest = None
+    few = SMALL
     while not left.isEmpty() or rest is not None:
         groups = left.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("size"), F.min("m.n").alias("low"))
         groups = common.written(groups.select("key", F.col("p.node").alias("a"), "size", "low"), "pivots")
@@ -265,12 +273,13 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
         if open_.isEmpty():
             break
         # the pivot has met all of its group
-        few = open_.join(groups.where(F.col("size") <= SMALL), "key").where("m.node <> a")
-        side = lambda k: few.select("key", F.col("m.node").alias(k), F.col("label").alias(f"l{k}"), F.col("m.n").alias(f"n{k}"))
+        others = open_.join(groups.where(F.col("size") <= few), "key").where("m.node <> a")
+        side = lambda k: others.select("key", F.col("m.node").alias(k), F.col("label").alias(f"l{k}"), F.col("m.n").alias(f"n{k}"))
         like = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
         rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like)
         rest = common.written(rest.select("a", "b", F.lit(1).cast("long").alias("size"), F.lit(False).alias("ask")).distinct(), "candidates")
-        left = refined(open_, groups, sims, similarity)
+        left = refined(open_, groups.where(F.col("size") > few), sims, similarity)
+        few *= MORE
         rest = None if rest.isEmpty() else rest
         needed = left.select("m.node")
         if rest is not None:

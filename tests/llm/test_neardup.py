@@ -128,7 +128,8 @@ def group_of_copies(seed=3, n=30):
 
 def test_large_groups_lose_no_link(spark, monkeypatch):
     """Single registers as bands: whole groups of copies share buckets, and only pivots and splits settle them."""
-    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    monkeypatch.setattr(neardup, "MORE", 1.5)
     monkeypatch.setattr(neardup, "PER_TASK", 8)
     rows = group_of_copies()
     docs = odd(spark, rows).selectExpr("doc_id AS id", "text")
