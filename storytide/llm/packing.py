@@ -6,9 +6,10 @@ bin per length, whatever the size of the corpus) is all that the plan needs:
 1. Large lengths, in descending order, are cut into groups of equal
    cardinality, and each group is rounded up to its largest length.
 2. Configurations (how many pieces of which rounded sizes share a sequence)
-   are optimised over those few sizes: each begins with the largest size left
-   and is completed by a subset-sum search to fill the sequence best; it is
-   used as often as the counts allow.
+   are optimised over those few sizes: the linear programme of covering all
+   counts with the fewest sequences is solved by column generation, a knapsack
+   over the sizes' dual prices giving each new configuration. Whole uses are
+   kept; the few pieces beyond them get configurations by subset sums.
 3. Actual lengths replace the rounded ones.
 4. Small lengths go, largest first, into the fullest sequence with room.
 
@@ -32,7 +33,10 @@ from . import common
 from .bpe import word_encoder
 
 CAPACITY = 2048
-GROUPS = 8192
+#: Sizes that large lengths are rounded up to.
+GROUPS = 128
+#: Steps of column generation, at most, and the gain below which it ends: they bound the driver's work, not the result's wholeness.
+STEPS, GAIN = 2000, 1e-2
 #: Lengths of at most this share of the capacity are small.
 SMALL = 1 / 16
 
@@ -61,6 +65,63 @@ def _fill(sizes: list[int], counts: dict[int, int], room: int) -> dict[int, int]
     return uses
 
 
+def _best(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """How many pieces of each size make the dearest sequence: a knapsack over multiples in powers of two."""
+    value, steps = np.zeros(capacity + 1), []
+    for k in np.flatnonzero(prices > 1e-9):
+        n = 1
+        while n * sizes[k] <= capacity:
+            got = value[: -n * sizes[k]] + n * prices[k]
+            took = np.zeros(capacity + 1, bool)
+            took[n * sizes[k] :] = got > value[n * sizes[k] :] + 1e-12
+            value[took] = got[took[n * sizes[k] :]]
+            steps.append((k, n, took))
+            n *= 2
+    uses, room = np.zeros(len(sizes), np.int64), int(value.argmax())
+    for k, n, took in reversed(steps):
+        if took[room]:
+            uses[k] += n
+            room -= n * int(sizes[k])
+    return uses
+
+
+def configurations(sizes: list[int], counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """(uses of each size, times) of configurations that together hold at most `counts` pieces of each size: the
+    whole parts of an optimal fractional packing."""
+    if not sizes:
+        return []
+    size, need = np.array(sizes, np.int64), np.array([counts[s] for s in sizes], float)
+    columns = np.diag(capacity // size).astype(float)
+    amount = need / np.diag(columns)
+    inverse = np.diag(1 / np.diag(columns))
+    for step in range(STEPS):
+        if step % 256 == 255:  # rounding errors of the updates
+            inverse = np.linalg.inv(columns)
+            amount = (inverse * need).sum(axis=1)
+        prices = inverse.sum(axis=0)
+        new = _best(size, np.maximum(prices, 0), capacity)
+        if (prices * new).sum() <= 1 + GAIN:
+            break
+        change = (inverse * new).sum(axis=1)
+        ratio = np.full(len(size), np.inf)
+        np.divide(np.maximum(amount, 0), change, out=ratio, where=change > 1e-9)
+        out = int(ratio.argmin())
+        amount = amount - ratio[out] * change
+        amount[out], columns[:, out] = ratio[out], new
+        inverse[out] /= change[out]
+        change[out] = 0
+        inverse -= np.outer(change, inverse[out])
+    out, left = [], dict(counts)
+    for k, x in enumerate(amount):
+        uses = {s: int(n) for s, n in zip(sizes, columns[:, k], strict=True) if n}
+        times = min([int(x + 1e-6), *(left[s] // n for s, n in uses.items())])
+        if times > 0:
+            out.append((uses, times))
+            for s, n in uses.items():
+                left[s] -= n * times
+    return out
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Intervals (length, first rank, pieces, first sequence, offset), and the number of sequences.
 
@@ -85,21 +146,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     taken, size = each, 0
     for n, c in large:
         while c:
-            if taken == each:
+            if taken == each or len(large) <= groups:  # few lengths are few sizes as they are
                 taken, size = 0, n
-            k = min(c, each - taken)
+            k = c if len(large) <= groups else min(c, each - taken)
             actual.setdefault(size, []).append([n, k])
             taken, c = taken + k, c - k
     left = {s: sum(k for _, k in runs) for s, runs in actual.items()}
     sizes = sorted(left, reverse=True)
     bins: dict[int, list[list[int]]] = {}  # room -> [first sequence, sequences]
+    ready = configurations(sizes, left, capacity)
     while sizes:
-        first = sizes[0]
-        left[first] -= 1
-        uses = _fill(sizes, left, capacity - first)
-        left[first] += 1
-        uses[first] = uses.get(first, 0) + 1
-        times = min(left[s] // k for s, k in uses.items())
+        if ready:
+            uses, times = ready.pop()
+        else:
+            first = sizes[0]
+            left[first] -= 1
+            uses = _fill(sizes, left, capacity - first)
+            left[first] += 1
+            uses[first] = uses.get(first, 0) + 1
+            times = min(left[s] // k for s, k in uses.items())
         slots = [s for s in sorted(uses, reverse=True) for _ in range(uses[s])]
         for s, k in uses.items():
             left[s] -= k * times
