@@ -3,10 +3,12 @@
 A document is a bag of hashed n-grams: words, pairs of words, and triples of
 word shapes. Two generative models over the buckets, one of the target (texts
 labelled good, a bounded sample) and one of the raw corpus (all texts), give the
-log importance weight of a document, the sum of its n-grams' log ratios. Adding
-Gumbel noise and keeping the k largest keys samples k documents without
-replacement in proportion to their weights; the noise is a hash of the row, so
-every run draws the same.
+log importance weight of a document, the sum of its n-grams' log ratios. Sums
+over hundreds of n-grams that depend on each other are far too sure: they are
+tempered to what SHARP n-grams would say, and drawn towards 0 for short texts.
+Adding Gumbel noise and keeping the k largest keys samples k documents without
+replacement in proportion to their tempered weights; the noise is a hash of the
+row, so every run draws the same.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import common, sampling
 from . import textvec as tv
@@ -28,6 +32,8 @@ BUCKETS = 16_384
 FIT_ROWS = 20_000
 #: The share of good labelled documents that the choice of k has to leave in.
 KEEP_GOOD = 0.998
+#: N-grams that a document's weight counts for, and those that stand for the raw corpus in every document.
+SHARP, PRIOR = 128, 32
 #: Bits of a sampling key that one counting pass fixes.
 DIGIT = 16
 
@@ -73,6 +79,11 @@ def weigh(texts: list[str], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def temper(log_weight: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The tempered log weights of documents of n n-grams."""
+    return SHARP * log_weight / (n + PRIOR)
+
+
 def gumbel(ids: list[int | None], texts: list[str], seed: int) -> np.ndarray:
     """Gumbel noise from a hash of each row's id and text."""
     import xxhash
@@ -84,7 +95,7 @@ def gumbel(ids: list[int | None], texts: list[str], seed: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The buckets' log ratios, and the weight above which a document counts towards k."""
+    """The buckets' log ratios, and the tempered weight from which a document counts towards k."""
 
     ratio: np.ndarray
     threshold: float
@@ -129,9 +140,8 @@ def threshold(good: np.ndarray, bad: np.ndarray, keep: float = KEEP_GOOD) -> flo
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
     """The model of the documents `docs`: raw counts over all of them, the target from at most `rows`
     rows of labels (doc_id, quality) with quality 1, whose texts are looked up in `corpus` (docs by default).
-    Without good labelled texts every document counts as good."""
-    use = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").cast("string").alias("quality")).where("doc_id is not null and quality in ('0', '1')").dropDuplicates(["doc_id"])
-    keys = sampling.smallest(use, rows, "doc_id")
+    Without good labelled texts every document counts as good; ids whose labels differ are not learned from."""
+    keys = sampling.smallest(sampling.agreed(labels, "quality"), rows, "doc_id")
     sample = common.written(sampling.texts_with(docs if corpus is None else corpus, keys, "doc_id", "quality"), "quality-sample")
     target, raw = counts(sample.where("value = '1'"), buckets), counts(docs, buckets)
     if not target.sum():
@@ -140,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, row
 
     def measure(b):
         w, n = weigh(common.texts_of(b.column(1)), ratio)
-        return pa.RecordBatch.from_arrays([pa.array(w), pa.array([v == "1" for v in b.column(2).to_pylist()])], ["w", "good"])
+        return pa.RecordBatch.from_arrays([pa.array(temper(w, n)), pa.array([v == "1" for v in b.column(2).to_pylist()])], ["w", "good"])
 
     got = common.map_arrow(sample, measure, "w double, good boolean").toPandas()
     good = got["good"].to_numpy(bool)
@@ -154,18 +164,28 @@ def _sortable(x: np.ndarray) -> np.ndarray:
     return np.where(i < 0, np.int64(-(2**63)) - i, i)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, log_weight, n_grams, key (weight with noise), rank_key (its order as a long) of every document."""
-    frozen = pickle.dumps(model)
+def _keyed(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """docs with the columns log_weight, n_grams, weight (tempered), key (weight with noise), rank_key (its order
+    as a long) and row (a number of the row), under the given names; written, so that numbers stay."""
+    frozen, text_at, id_at = pickle.dumps(model), docs.columns.index("text"), docs.columns.index("doc_id")
 
-    def run(b):
-        m = _loaded(frozen)
-        texts = common.texts_of(b.column(1))
-        w, n = weigh(texts, m.ratio)
-        key = w + gumbel(b.column(0).to_pylist(), texts, m.seed)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(n), pa.array(key), pa.array(_sortable(key))], ["doc_id", "log_weight", "n_grams", "key", "rank_key"])
+    def run(batches):
+        m, row = _loaded(frozen), TaskContext.get().partitionId() << 40
+        for b in batches:
+            texts = common.texts_of(b.column(text_at))
+            w, n = weigh(texts, m.ratio)
+            weight = temper(w, n)
+            key = weight + gumbel(b.column(id_at).to_pylist(), texts, m.seed)
+            own = [pa.array(x) for x in (w, n, weight, key, _sortable(key), np.arange(row, row + len(texts)))]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, *names])
+
+    common.small_batches(docs.sparkSession)
+    schema = StructType([*docs.schema.fields, *(StructField(n, t()) for n, t in zip(names, (DoubleType, LongType, DoubleType, DoubleType, LongType, LongType), strict=True))])
+    return docs.mapInArrow(run, schema)
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, log_weight double, n_grams long, key double, rank_key long")
+
+MADE = ["log_weight", "n_grams", "weight", "key", "rank_key", "row"]
 
 
 @functools.lru_cache(2)
@@ -193,32 +213,40 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, model: Model, k: int | None = None) -> tuple[DataFrame, int | None]:
-    """(scored documents with `selected`, the smallest selected rank_key).
+def _chosen(keyed: DataFrame, names: list[str], k: int):
+    """Whether a row is among the k of the largest keys; of rows with the key at the border, the first ones by number."""
+    rank, row = names[4], names[5]
+    cut = kth_largest(keyed, rank, k)
+    if k <= 0 or cut is None:
+        return F.lit(k > 0)
+    above = keyed.where(F.col(rank) > cut).count()
+    last = kth_largest(keyed.where(F.col(rank) == cut).select((-F.col(row)).alias(row)), row, k - above)
+    return (F.col(rank) > cut) | ((F.col(rank) == cut) & (F.col(row) <= -last))
 
-    Selects the k largest keys; by default k is the number of documents whose weight reaches the model's
-    threshold. Rows with equal keys (copies of a row) are selected together. Null text is empty and
-    weighs 0; null ids and repeated rows stay; an empty table gives no rows.
-    """
-    scored = common.written(score(docs, model), "importance")
-    if k is None:
-        k = scored.where(F.col("log_weight") >= float(model.threshold)).count()
-    cut = kth_largest(scored, "rank_key", k)
-    selected = F.lit(False) if k <= 0 else F.col("rank_key") >= F.lit(cut if cut is not None else -(2**63))
-    return scored.withColumn("selected", selected), (None if k <= 0 else cut if cut is not None else -(2**63))
-
-
-def keep_selected(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, that resampling selects."""
-    _, cut = resample(docs, model)
-    if cut is None:
-        return docs.limit(0)
-    frozen, text_at, id_at = pickle.dumps(model), docs.columns.index("text"), docs.columns.index("doc_id")
 
-    def run(b):
-        m = _loaded(frozen)
-        texts = common.texts_of(b.column(text_at))
-        key = weigh(texts, m.ratio)[0] + gumbel(b.column(id_at).to_pylist(), texts, m.seed)
-        return b.filter(pa.array(_sortable(key) >= cut))
+def _size(keyed: DataFrame, names: list[str], model: Model) -> int:
+    """The default k: the documents whose tempered weight reaches the model's threshold."""
+    return keyed.where(F.col(names[2]) >= float(model.threshold)).count()
 
-    return common.map_arrow(docs, run, docs.schema)
+
+def resample(docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
+    """doc_id, log_weight, n_grams, weight, key, selected of every document: k of them are selected by Gumbel top-k.
+
+    k is by default the number of documents whose tempered weight reaches the model's threshold; all rows if
+    there are fewer than k. Copies of a row (equal id and text) have the same key, and where it is the last to be
+    selected, only as many of them are as make k. Null text is empty and weighs 0; null ids and repeated rows
+    stay; an empty table gives no rows.
+    """
+    keyed = common.written(_keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, MADE).drop("text"), "importance")
+    chosen = _chosen(keyed, MADE, _size(keyed, MADE, model) if k is None else k)
+    return keyed.select("doc_id", "log_weight", "n_grams", "weight", "key", chosen.alias("selected"))
+
+
+def keep_selected(docs: DataFrame, model: Model, k: int | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, whatever their names, that resampling selects (see `resample`)."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    names = [mark + n for n in MADE]
+    keyed = common.written(_keyed(docs, model, names), "importance")
+    return keyed.where(_chosen(keyed, names, _size(keyed, names, model) if k is None else k)).select(*docs.columns)

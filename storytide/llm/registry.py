@@ -52,7 +52,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return importance.resample(docs, importance.fit(docs, common.table(spark, sf_dir, "labels")))[0]
+    return importance.resample(docs, importance.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

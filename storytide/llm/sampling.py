@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,12 @@ def smallest(rows: DataFrame, bound: int, key: str) -> DataFrame:
     return rows.orderBy(h, F.col(key)).limit(bound)
 
 
+def agreed(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id, column ('0' or '1') of labels: one row an id. Null ids, other labels and ids whose labels differ are left out."""
+    use = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").cast("string").alias("v")).where("doc_id is not null and v in ('0', '1')")
+    return use.groupBy("doc_id").agg(F.min("v").alias(column), F.max("v").alias("high")).where(F.col(column) == F.col("high")).drop("high")
+
+
 def texts_with(docs: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
     """The texts of the sampled keys with their value. keys: a bounded sample, collected and sent to the tasks."""
     chosen = {r[key]: r[value] for r in keys.collect()}
@@ -29,8 +36,7 @@ def texts_with(docs: DataFrame, keys: DataFrame, key: str, value: str) -> DataFr
 
     def run(batches):
         for b in batches:
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            own = np.where(np.isnan(own), -1, own).astype(np.int64) if own.dtype.kind == "f" else own
+            own = pc.fill_null(b.column(0), 0).to_numpy(zero_copy_only=False)
             at = np.searchsorted(ids, own)
             hit = np.zeros(len(own), bool)
             if len(ids):

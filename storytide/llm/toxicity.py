@@ -217,12 +217,12 @@ def lexicon(words: DataFrame, n_toxic: int, n_clean: int, size: int = LEXICON) -
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS, held_out: bool = True) -> Model:
     """A model from at most `rows` labelled rows: of `labels` (doc_id, toxic) those not held out, by hash.
 
-    Rows with null labels or ids don't count. Without labels of both kinds the model finds nothing.
+    Rows with null labels or ids and ids whose labels differ don't count. Without labels of both kinds the model finds nothing.
     """
-    use = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").cast("string").alias("toxic")).where("doc_id is not null and toxic in ('0', '1')")
+    use = sampling.agreed(labels, "toxic")
     if held_out:
         use = use.where(~common.held_out(F.col("doc_id")))
-    sample = common.written(sampling.texts_with(docs, sampling.smallest(use.dropDuplicates(["doc_id"]), rows, "doc_id"), "doc_id", "toxic"), "toxicity-sample")
+    sample = common.written(sampling.texts_with(docs, sampling.smallest(use, rows, "doc_id"), "doc_id", "toxic"), "toxicity-sample")
 
     def count(batches):
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}

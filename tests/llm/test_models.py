@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, and brute force on small fixtures."""
 
+import itertools
 import math
 import os
 import random
@@ -9,9 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from storytide.llm import common, importance, language, topk, toxicity
+from storytide.llm import common, importance, language, sampling, topk, toxicity
 
-from .frames import none, odd
+from .frames import ODD, none, odd
 
 DATA = "/root/testdata/sf0.01"
 there = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -109,10 +110,9 @@ def test_language_fit_counts_all_words(spark, monkeypatch):
 def test_importance(spark):
     docs, labels = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
     m = importance.fit(docs, labels)
-    scored, cut = importance.resample(docs, m)
-    x = scored.toPandas()
-    k = (x.log_weight >= m.threshold).sum()
-    assert x.selected.sum() == k == (x.rank_key >= cut).sum()
+    x = importance.resample(docs, m).toPandas()
+    k = (x.weight >= m.threshold).sum()
+    assert x.selected.sum() == k
     assert set(x[x.selected].doc_id) == set(x.sort_values("key", ascending=False).head(k).doc_id)
     y = x.merge(labels.toPandas(), on="doc_id")
     assert ((~y.selected) & (y.quality == 1)).sum() <= 0.01 * (y.quality == 1).sum()
@@ -125,9 +125,53 @@ def test_importance(spark):
     for t in texts:
         want += np.bincount(importance.grams([t])[0], minlength=importance.BUCKETS)
     assert np.array_equal(importance.counts(docs), want)
-    few, _ = importance.resample(odd(spark), m, 3)
-    assert 3 <= few.where("selected").count() <= 4 and few.count() == odd(spark).count()  # a repeated row ties with its copy
-    assert importance.resample(none(spark), m)[0].count() == 0 and importance.keep_selected(none(spark), m).count() == 0
+    for n in range(len(ODD) + 2):  # exactly k rows, though two are copies
+        few = importance.resample(odd(spark), m, n)
+        assert few.where("selected").count() == min(n, len(ODD)) == importance.keep_selected(odd(spark), m, n).count() and few.count() == len(ODD)
+    assert importance.resample(none(spark), m).count() == 0 and importance.keep_selected(none(spark), m).count() == 0
+    assert importance.fit(docs, labels.limit(0)).threshold == -np.inf
+
+
+def test_weights_by_brute_force():
+    """Log weights of n-grams counted one by one."""
+    import re
+
+    rng = random.Random(4)
+    words = "the cat Sat on 12 mats, (and) slept! Über 日本".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    ratio = np.random.default_rng(1).normal(size=512)
+    got, n = importance.weigh(texts, ratio)
+    for t, w, k in zip(texts, got, n, strict=True):
+        parts = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", t)
+        g, _ = importance.grams([t], 512)
+        assert len(g) == k == max(0, len(parts)) + max(0, len(parts) - 1) + max(0, len(parts) - 2)
+        own = [importance.grams([p], 512)[0][0] for p in parts]
+        assert g[: len(parts)].tolist() == own and w == pytest.approx(ratio[g].sum())
+
+
+def test_inclusion_follows_the_weights():
+    """Gumbel top-k over seeds against drawing one after another in proportion to the weights."""
+    weight = np.array([2.0, 1.0, 0.0, 0.0, -1.0, -3.0])
+    ids, texts, k, runs = list(range(6)), list("abcdef"), 3, 6000
+    got = np.zeros(6)
+    for seed in range(runs):
+        got[np.argsort(-(weight + importance.gumbel(ids, texts, seed)))[:k]] += 1
+    p = np.exp(weight)
+    want = np.zeros(6)
+    for order in itertools.permutations(range(6), k):
+        left, chance = p.sum(), 1.0
+        for i in order:
+            chance, left = chance * p[i] / left, left - p[i]
+        want[list(order)] += chance
+    assert np.abs(got / runs - want).max() < 0.02
+
+
+def test_labels_that_differ_and_large_ids(spark):
+    labels = spark.createDataFrame([(2**53 + 1, 1), (2, 0), (2, 1), (None, 1), (3, 1), (3, 1), (4, 7)], "doc_id long, quality int")
+    keys = sampling.agreed(labels, "quality")
+    assert sorted(map(tuple, keys.collect())) == [(3, "1"), (2**53 + 1, "1")]
+    docs = spark.createDataFrame([(None, "x"), (2**53 + 1, "y"), (2**53, "z"), (3, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in sampling.texts_with(docs, keys, "doc_id", "quality").collect()) == [(3, None, "1"), (2**53 + 1, "y", "1")]
 
 
 def test_kth_largest(spark):
