@@ -1,12 +1,17 @@
 """License scans with SQL functions only.
 
-Licence templates are indexed by word: of each template the words with the
-highest inverse document frequency are its anchors. A file's anchor words give
-the places where a template would begin; every template word is then compared
-at its relative position from there, weighted by its frequency, and a template
-counts when enough weight agrees and its mandatory key phrase stands in place.
-Short key phrases that count on their own (the base) are found the same way:
-the rarest word of the phrase, then all its words by relative position.
+Every word of the licence templates has a posting: its template, its place there
+and its weight, the inverse document frequency among the templates. A file's
+licence words are looked up in that index. For each template the file's anchor is
+the word of the mandatory key phrase that it has least often, the rarer among
+the templates of equals; its places give the places where the template would
+begin, which may lie before the text. There the postings are intersected by
+relative position: all key phrases must stand word by word, and the weights of
+the template words in place are summed. A template counts when enough weight
+agrees. As the key phrase is mandatory and all places of one of its words are
+tried, nothing that the definition holds for is missed.
+
+Short phrases that count on their own (the base) are found the same way.
 """
 
 from __future__ import annotations
@@ -31,22 +36,49 @@ AGREE = 0.6
 
 @dataclass(frozen=True)
 class Template:
-    """label; the words of the licence text; the key phrase that must stand in it word by word."""
+    """label; the words of the licence or its notice; the key phrases that must stand in it word by word."""
 
     label: str
     text: str
-    key: str
+    keys: tuple[str, ...]
 
 
-#: Opening statements of common licences.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_GNU = "this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind}general public license for more details"
+_CC = "this work is licensed under {a} creative commons attribution{kind} {version} international license"
+
+
+def _gnu(label: str, what: str, kind: str, version: str) -> Template:
+    return Template(label, _GNU.format(what=what, kind=kind, version=version), (f"gnu {kind}general public license as published", f"either version {version} of the license"))
+
+
+#: Licence texts and the notices that stand for long ones.
 TEMPLATES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "deal in the software without restriction"),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2"),
-    Template("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    Template("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license"),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software " + _AS_IS, ("deal in the software without restriction",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("deal in the software without restriction",)),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license version 2",)),
+    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
+    Template("bsd-2", _BSD, ("redistribution and use in source and binary forms",)),
+    Template("bsd-3", _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    _gnu("gpl-2", "program", "", "2"),
+    _gnu("gpl-3", "program", "", "3"),
+    Template("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ("gnu general public license", "version 3 of the license")),
+    _gnu("lgpl-2", "library", "lesser ", "2 1"),
+    _gnu("lgpl-3", "library", "lesser ", "3"),
+    _gnu("agpl-3", "program", "affero ", "3"),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("mozilla public license",)),
+    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("with or without fee is hereby granted",)),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("to alter it and redistribute it freely",)),
+    Template("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ("covered by this license the software to use reproduce",)),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software released into the public domain",)),
+    Template("cc-by", _CC.format(a="a", kind="", version="4 0"), ("creative commons attribution 4 0",)),
+    Template("cc-by-sa", _CC.format(a="a", kind=" sharealike", version="4 0"), ("creative commons attribution sharealike",)),
+    Template("cc-by-nc", _CC.format(a="a", kind=" noncommercial", version="4 0"), ("creative commons attribution noncommercial",)),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
 )
 
 #: Everything that is no word character: ASCII but digits and letters. The second keeps capitals as letters.
@@ -59,28 +91,32 @@ def split_words(text: str) -> list[str]:
     return [w for w in re.split(NO_WORD, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
 
 
-class Index:
-    """Weights of the template words, and the anchors to look for."""
+@dataclass
+class Entry:
+    """A template in words: its keys as (place, words), and the whole-numbered weights of its words."""
 
-    def __init__(self, templates: tuple[Template, ...], base: dict[str, str]) -> None:
-        self.templates = [(t, split_words(t.text), split_words(t.key)) for t in templates]
-        self.base = [(split_words(p), label) for p, label in base.items()]
-        df = Counter(w for _, words, _ in self.templates for w in set(words))
-        n = len(self.templates) + 1
-        self.idf = lambda w: 0.1 if w in FREQUENT else math.log(1 + n / (1 + df[w]))
-        for t, words, key in self.templates:
-            if find(words, key) < 0:
-                raise ValueError(f"the key phrase of {t.label} is not in its template")
-
-    def rarest(self, words: list[str], k: int = 1) -> list[int]:
-        """The places of the k words of highest inverse document frequency; the longer, then the earlier of equals."""
-        return sorted(range(len(words)), key=lambda i: (-self.idf(words[i]), -len(words[i]), i))[:k]
+    label: str
+    words: list[str]
+    keys: list[tuple[int, list[str]]]
+    weights: list[int]
 
 
 def find(words: list[str], part: list[str]) -> int:
     return next((i for i in range(len(words) - len(part) + 1) if words[i : i + len(part)] == part), -1)
 
 
+def index(templates: tuple[Template, ...]) -> list[Entry]:
+    """The templates' words with their weights: thousandths of the inverse document frequency among the templates."""
+    cut = [(t, split_words(t.text), [split_words(k) for k in t.keys]) for t in templates]
+    df = Counter(w for _, words, _ in cut for w in set(words))
+    n = len(cut) + 1
+    weight = lambda w: 100 if w in FREQUENT else round(1000 * math.log(1 + n / (1 + df[w])))
+    for t, words, keys in cut:
+        if not keys or any(not k or find(words, k) < 0 for k in keys):
+            raise ValueError(f"a key phrase of {t.label} is not in its template")
+    return [Entry(t.label, words, [(find(words, k), k) for k in keys], [weight(w) for w in words]) for t, words, keys in cut]
+
+
 def _has_all(lowered: Column, words: list[str]) -> Column:
     out = F.lit(True)
     for w in sorted(set(words), key=lambda w: (-len(w), w)):
@@ -88,77 +124,85 @@ def _has_all(lowered: Column, words: list[str]) -> Column:
     return out
 
 
-def _phrase_starts(hits: Column, words: Column, phrase: list[str], anchor: int) -> Column:
-    """Starts of the phrase, from the places of its anchor word."""
-    starts = F.transform(F.filter(hits, lambda h: h["w"] == phrase[anchor]), lambda h: h["i"] - anchor)
+def _back(places: Column, by: int) -> Column:
+    return F.transform(places, lambda i: i - by)
 
-    def stands(s: Column) -> Column:
-        ok = s >= 0
-        for k, w in enumerate(phrase):
-            ok = ok & (F.get(words, s + k) == w)
-        return F.coalesce(ok, F.lit(False))
 
-    return F.filter(starts, stands)
+def _standing(begins: Column, words: list[str], at: int = 0) -> Column:
+    """The begins s of which the words stand one after another from place s + at on."""
 
+    def stands(s: Column) -> Column:
+        ok = F.lit(True)
+        for k, w in enumerate(words):
+            ok = ok & (F.get("words", s + at + k) == w)
+        return F.coalesce(ok, F.lit(False))
 
-def _begins(hits: Column, word: str, at: int) -> Column:
-    """Where a text with this word at place `at` would begin."""
-    return F.filter(F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["i"] - at), lambda s: s >= 0)
+    return F.filter(begins, stands)
 
 
-def _share(words: list[str], key: list[str], begin: int, postings: Column):
-    """The weight of the words in place when the template begins at s; 0 unless its key phrase stands."""
+def _anchored(words: list[str], rarity: dict[str, int]) -> Column:
+    """Where a phrase's anchor would have it begin: the anchor is the phrase's word that the file has least often."""
+    at = {w: k for k, w in reversed(list(enumerate(words)))}
+    order = sorted(at, key=lambda w: (-rarity.get(w, 0), -len(w), at[w]))
+    places = lambda w: F.coalesce(F.try_element_at("hits", F.lit(w)), F.array().cast("array<int>"))
+    lists = [places(w) for w in order]
+    fewest = F.least(*map(F.size, lists)) if len(lists) > 1 else F.size(lists[0])
+    out = None
+    for w, x in zip(order, lists, strict=True):
+        shifted = _back(x, at[w])
+        out = F.when(F.size(x) == fewest, shifted) if out is None else out.when(F.size(x) == fewest, shifted)
+    return F.coalesce(out, F.array().cast("array<int>"))
 
-    def share(s: Column) -> Column:
-        stands = F.coalesce(F.slice("words", s + 1 + begin, len(key)) == F.array(*map(F.lit, key)), F.lit(False))
-        agreed = F.zip_with(F.slice("words", s + 1, len(words)), postings, lambda a, b: F.when(a == b["w"], b["x"]).otherwise(0.0))
-        return F.when(stands, F.aggregate(agreed, F.lit(0.0), lambda x, y: x + y)).otherwise(0.0)
 
-    return share
+def _best(entry: Entry, rarity: dict[str, int]) -> Column:
+    """The largest weight in place of any begin at which all key phrases stand; 0 if there is none."""
+    first, key = entry.keys[0]
+    begins = _back(_anchored(key, rarity), first)
+    for at, k in entry.keys:
+        begins = _standing(begins, k, at)
+    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(j).alias("j"), F.lit(x).alias("x")) for j, (w, x) in enumerate(zip(entry.words, entry.weights, strict=True))])
+    # words before or behind the text are null, and agree with none
+    sums = F.transform(begins, lambda s: F.aggregate(postings, F.lit(0), lambda t, p: t + F.when(F.get("words", s + p["j"]) == p["w"], p["x"]).otherwise(0)))
+    return F.coalesce(F.array_max(sums), F.lit(0))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     docs: doc_id, text; other columns are ignored. A null or empty text has no words, no labels ('')
-    and score 0; repeated rows stay; an empty table gives no rows. Words are counted from 0. score: 1
-    where a base phrase stands, else the largest share of a template's weight in place.
+    and score 0; repeated rows and null ids stay; an empty table gives no rows. Words are counted from 0. score: 1
+    where a base phrase stands, else the largest share of a template's weight in place (0 where no template's key
+    phrases stand). Several templates may have one label; any of them gives it.
     """
-    index = Index(templates, base)
-    anchors = [(t, words, key, index.rarest(words, 2)) for t, words, key in index.templates]
-    phrases = [(words, label, index.rarest(words)[0]) for words, label in index.base]
-    wanted = sorted({words[a] for words, _, a in phrases} | {words[a] for _, words, _, at in anchors for a in at})
+    entries, phrases = index(templates), [(split_words(p), label) for p, label in base.items()]
+    rarity = {w: x for e in entries for w, x in zip(e.words, e.weights, strict=True)}
+    wanted = sorted({w for words, _ in phrases for w in words} | {w for e in entries for w in e.keys[0][1]})
 
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lowered = F.lower("text")
     possible = F.lit(False)
-    for words, _, _ in phrases:
-        possible = possible | _has_all(lowered, words)
-    for _, _, key, _ in anchors:
-        possible = possible | _has_all(lowered, key)
+    for words in {tuple(words): 1 for words, _ in phrases} | {tuple(e.keys[0][1]): 1 for e in entries}:
+        possible = possible | _has_all(lowered, list(words))
     rows = rows.select("doc_id", "text", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), possible.alias("possible"))
-    # only texts that hold every word of some key phrase are cut into words
+    # only texts that hold every word of some key phrase are cut into words; their licence words are looked up once
     words = F.filter(F.split(F.translate("text", _UPPER, _LOWER), NO_WORD), lambda w: w != "")
     rows = rows.select("doc_id", "n_words", F.when(F.col("possible"), words).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(wanted))
-    rows = rows.select("doc_id", "n_words", "words", hits.alias("hits"))
+    near = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(wanted))
+    rows = rows.select("doc_id", "n_words", "words", near.alias("near"))
+    per_word = F.transform(F.array_distinct(F.transform("near", lambda h: h["w"])), lambda w: F.struct(w.alias("w"), F.transform(F.filter("near", lambda h: h["w"] == w), lambda h: h["i"]).alias("at")))
+    rows = rows.select("doc_id", "n_words", "words", F.map_from_entries(per_word).alias("hits"))
 
     none = F.array().cast("array<int>")
-    found = [F.coalesce(_phrase_starts(F.col("hits"), F.col("words"), p, a), none).alias(f"base{k}") for k, (p, _, a) in enumerate(phrases)]
-    scores = []
-    for k, (_t, words, key, at) in enumerate(anchors):
-        weights = [index.idf(w) for w in words]
-        postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(x / sum(weights)).alias("x")) for w, x in zip(words, weights, strict=True)])
-        starts = F.array_distinct(F.flatten(F.array(*[_begins(F.col("hits"), words[a], a) for a in at])))
-        share = _share(words, key, find(words, key), postings)
-        scores.append(F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0)).alias(f"template{k}"))
-    rows = rows.select("doc_id", "n_words", *found, *scores)
+    found = [F.coalesce(_standing(_anchored(p, rarity), p), none).alias(f"base{k}") for k, (p, _) in enumerate(phrases)]
+    sums = [F.when(F.col("words").isNull(), 0).otherwise(_best(e, rarity)).alias(f"template{k}") for k, e in enumerate(entries)]
+    rows = rows.select("doc_id", "n_words", *found, *sums)
 
     places = F.concat(*[F.col(f"base{k}") for k in range(len(phrases))])
-    own = F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label, _) in enumerate(phrases)])
-    more = F.array(*[F.when(F.col(f"template{k}") >= agree, F.lit(t.label)) for k, (t, _, _, _) in enumerate(anchors)])
+    own = F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)])
+    share = lambda k: F.col(f"template{k}").cast("double") / sum(entries[k].weights)
+    more = F.array(*[F.when(share(k) >= agree, F.lit(e.label)) for k, e in enumerate(entries)])
     join = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
-    best = F.greatest(*[F.col(f"template{k}") for k in range(len(anchors))], F.lit(0.0))
+    best = F.greatest(F.lit(0.0), *[share(k) for k in range(len(entries))])
     return rows.select(
         "doc_id",
         "n_words",
@@ -167,5 +211,34 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
         F.array_max(places).cast("long").alias("last_word"),
         join(own).alias("base_labels"),
         join(F.concat(own, more)).alias("labels"),
-        F.when(F.size(places) > 0, 1.0).otherwise(F.least(best, F.lit(1.0))).alias("score"),
+        F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
     )
+
+
+def sql(templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE, table: str = "documents") -> str:
+    """The same in DuckDB's SQL, which tries every place of every text."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" if isinstance(w, str) else str(w) for w in words) + "]"
+    at = lambda words, shift="": f"w[i{shift} + 1 : i{shift} + {len(words)}] = {listed(words)}"
+    phrases = [(split_words(p), label) for p, label in base.items()]
+    places = lambda words, test: f"CASE WHEN list_has_all(w, {listed(sorted(set(words)))}) THEN list_filter(range(len(w)), lambda i: {test}) ELSE [] END"
+    bases = [f"{places(p, at(p))} AS b{k}" for k, (p, _) in enumerate(phrases)]
+    sums, shares = [], []
+    for k, e in enumerate(index(templates)):
+        m, first = len(e.words), e.keys[0][0]
+        keys = " AND ".join(at(words, f" + {place - first}") for place, words in e.keys)
+        place = f"i - {first} + j"
+        in_place = f"list_sum(list_transform(range({m}), lambda j: CASE WHEN {place} >= 0 AND w[{place} + 1] = ({listed(e.words)})[j + 1] THEN ({listed(e.weights)})[j + 1] ELSE 0 END))"
+        sums.append(f"coalesce(list_max(list_transform({places(e.keys[0][1], keys)}, lambda i: {in_place})), 0) / {sum(e.weights)}::DOUBLE AS t{k}")
+        shares.append((f"t{k}", e.label))
+    own = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))
+    more = ", ".join(f"CASE WHEN {t} >= {agree} THEN '{label}' END" for t, label in shares)
+    join = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda l: l IS NOT NULL))), ',')"
+    found = " || ".join(f"b{k}" for k in range(len(phrases)))
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{word}') AS w FROM {table}),
+p AS (SELECT doc_id, w, {", ".join(bases)}, {", ".join(sums)} FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({found}) AS BIGINT) AS n_base, CAST(list_min({found}) AS BIGINT) AS first_word, CAST(list_max({found}) AS BIGINT) AS last_word,
+  {join(own)} AS base_labels, {join(own + ", " + more)} AS labels, CASE WHEN len({found}) > 0 THEN 1.0::DOUBLE ELSE greatest({", ".join(t for t, _ in shares)}) END AS score
+FROM p
+"""

@@ -75,4 +75,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL}
+    return {"op4_license_scan": licenses.sql(), "op8_exact_top_k": OP8_SQL}
