@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, half_up, median_of, percentile_rank, ratio, robust_scale
-from .relational import calendar, first_per, window_ends
+from ..session import written
+from .relational import calendar, first_per, rolling_distinct
 
 
 @dataclass(frozen=True)
@@ -53,44 +54,52 @@ def lifecycle(covered: Column, low_history: Column, density: Column, previous: C
     )
 
 
-def pooled(observations: DataFrame, days: int, first: str, last: str) -> DataFrame:
-    """Per definition and day: density and attention of the trailing window, pooled over its documents.
+def pooled(observations: DataFrame, grid: DataFrame, days: int) -> DataFrame:
+    """Per definition and day of the grid (definition_id, date, idx): density and attention of the trailing window,
+    pooled over its documents.
 
     Each class weighs ln(1 + eligible documents). Documents are distinct over the window; attention weights
     (score over 100, the best row of a document within day and class) are summed over its days.
     """
-    day = observations.groupBy("definition_id", "date", "source_class", "document_id").agg(F.max(F.col("matched").cast("int")).alias("matched"), F.max(F.when(F.col("raw_matched"), clamp(F.col("match_score"), 0.0, 100.0) / 100.0)).alias("weight"))
-    ends = window_ends(day, days).where(F.col("end_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
-    docs = ends.groupBy("definition_id", "end_date", "source_class", "document_id").agg(F.max("matched").alias("matched"), F.sum("weight").alias("weight"))
-    per_class = docs.groupBy("definition_id", "end_date", "source_class").agg(F.count("*").alias("eligible"), F.sum("matched").alias("matched"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("attention"))
+    keys = ["definition_id", "source_class"]
+    day = observations.groupBy(*keys, "date", "document_id").agg(F.bool_or("matched").alias("matched"), F.max(F.when(F.col("raw_matched"), clamp(F.col("match_score"), 0.0, 100.0) / 100.0)).alias("weight"))
+    day = written(day, "document-days")
+    one = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("document_id").cast("string").alias("m"))
+    both = F.when(F.col("matched"), F.array(one("all"), one("hit"))).otherwise(F.array(one("all")))
+    members = day.select(*keys, "date", F.explode(both).alias("x")).select(*keys, "date", "x.kind", "x.m")
+    daily = day.groupBy(*keys, "date").agg(F.sum("weight").alias("weight"))
+    cells = grid.join(daily.select(*keys).distinct(), "definition_id").join(daily, [*keys, "date"], "left")
+    x = rolling_distinct(members, cells, keys, days, {"all": "eligible", "hit": "hits"})
+    span = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-(days - 1), 0)
+    x = x.withColumn("attention", F.coalesce(F.sum("weight").over(span), F.lit(0.0))).where("eligible > 0")
     w = F.log1p("eligible")
-    return per_class.groupBy("definition_id", F.col("end_date").alias("date")).agg(ratio(F.sum(100.0 * F.col("matched") / F.col("eligible") * w), F.sum(w)).alias("density"), ratio(F.sum(100.0 * F.col("attention") / F.col("eligible") * w), F.sum(w)).alias("attention_density"))
+    return x.groupBy("definition_id", "date").agg(ratio(F.sum(100.0 * F.col("hits") / F.col("eligible") * w), F.sum(w)).alias("density"), ratio(F.sum(100.0 * F.col("attention") / F.col("eligible") * w), F.sum(w)).alias("attention_density"))
 
 
-def window_breadth(observations: DataFrame, days: int, first: str, last: str) -> DataFrame:
-    """Per definition and day: distinct documents, publishers, owners, stories, classes and entities of the trailing window."""
+def window_breadth(observations: DataFrame, grid: DataFrame, days: int) -> DataFrame:
+    """The grid (definition_id, date, idx) with the distinct documents, publishers, owners, stories, classes and entities of the trailing window."""
     s = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("m"))
     story = F.coalesce(F.nullif("story_fingerprint", F.lit("")), F.col("document_id").cast("string"))
     on_match = [s("matched", F.col("document_id")), s("publisher", F.nullif(F.col("publisher_id").cast("string"), F.lit(""))), s("owner", F.nullif("publisher_owner", F.lit(""))), s("story", story), s("class", F.col("source_class"))]
     none = F.array().cast("array<struct<kind:string,m:string>>")
     all_ = F.concat(F.array(s("classified", F.col("document_id"))), F.when(F.col("raw_matched"), F.array(s("raw", F.col("document_id")))).otherwise(none), F.when(F.col("matched"), F.concat(F.array(*on_match), F.transform("entities", lambda e: s("entity", e)))).otherwise(none))
-    members = observations.select("definition_id", "date", F.explode(all_).alias("x")).select("definition_id", "date", "x.kind", "x.m").where("m is not null").distinct()
-    ends = window_ends(members, days).where(F.col("end_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).select("definition_id", "end_date", "kind", "m").distinct()
-    kinds = (("classified", "classified_documents"), ("matched", "matched_documents"), ("raw", "attention_matched_documents"), ("publisher", "publisher_breadth"), ("owner", "owner_breadth"), ("story", "story_breadth"), ("class", "class_breadth"), ("entity", "entity_breadth"))
-    return ends.groupBy("definition_id", F.col("end_date").alias("date")).agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in kinds])
+    members = observations.select("definition_id", "date", F.explode(all_).alias("x")).select("definition_id", "date", "x.kind", "x.m").where("m is not null")
+    kinds = {"classified": "classified_documents", "matched": "matched_documents", "raw": "attention_matched_documents", "publisher": "publisher_breadth", "owner": "owner_breadth", "story": "story_breadth", "class": "class_breadth", "entity": "entity_breadth"}
+    return rolling_distinct(members, grid, ["definition_id"], days, kinds)
 
 
-def window_corpus(corpus: DataFrame, days: int, first: str, last: str) -> DataFrame:
-    """Per day: distinct documents of the trailing window."""
-    ends = window_ends(corpus.select("date", "document_id").distinct(), days).where(F.col("end_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
-    return ends.groupBy(F.col("end_date").alias("date")).agg(F.count_distinct("document_id").alias("corpus_documents"))
+def window_corpus(corpus: DataFrame, calendar_: DataFrame, days: int) -> DataFrame:
+    """Per day of the calendar: distinct documents of the trailing window."""
+    members = corpus.select(F.lit(0).alias("all"), "date", F.lit("document").alias("kind"), F.col("document_id").cast("string").alias("m"))
+    return rolling_distinct(members, calendar_.select(F.lit(0).alias("all"), "date"), ["all"], days, {"document": "corpus_documents"}).drop("all")
 
 
-def tones(observations: DataFrame, days: int, first: str, last: str) -> DataFrame:
-    """Per definition and day: means of the daily mean tones above 0 of the trailing window, over matched rows."""
+def tones(observations: DataFrame, grid: DataFrame, days: int) -> DataFrame:
+    """Per definition and day of the grid: means of the daily mean tones above 0 of the trailing window, over matched rows."""
     daily = observations.where("matched").groupBy("definition_id", "date").agg(F.avg("risk_tone").alias("risk"), F.avg("bullish_tone").alias("bullish"))
-    ends = window_ends(daily, days).where(F.col("end_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
-    return ends.groupBy("definition_id", F.col("end_date").alias("date")).agg(*[F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)).alias(f"{c}_tone") for c in ("risk", "bullish")])
+    span = Window.partitionBy("definition_id").orderBy("idx").rowsBetween(-(days - 1), 0)
+    x = grid.join(daily, ["definition_id", "date"], "left")
+    return x.select("definition_id", "date", *[F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))).over(span), F.lit(0.0)).alias(f"{c}_tone") for c in ("risk", "bullish")])
 
 
 def trend_series(observations: DataFrame, corpus: DataFrame, first: str, last: str, policy: NarrativePolicy = NarrativePolicy()) -> DataFrame:
@@ -102,12 +111,13 @@ def trend_series(observations: DataFrame, corpus: DataFrame, first: str, last: s
     """
     spark, w, s = observations.sparkSession, policy.window, policy.stride
     inside = F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
-    observations, corpus = observations.where(inside), corpus.where(inside)
+    observations, corpus = written(observations.where(inside), "observations"), corpus.where(inside)
     days = calendar(spark, first, last)
-    x = observations.select("definition_id").distinct().crossJoin(F.broadcast(days))
-    for part in (pooled(observations, w, first, last), window_breadth(observations, w, first, last), tones(observations, w, first, last)):
+    grid = observations.select("definition_id").distinct().crossJoin(F.broadcast(days))  # a bounded calendar
+    x = window_breadth(observations, grid, w)
+    for part in (pooled(observations, grid, w), tones(observations, grid, w)):
         x = x.join(part, ["definition_id", "date"], "left")
-    x = x.join(F.broadcast(window_corpus(corpus, w, first, last)), "date", "left")  # a row a day
+    x = x.join(window_corpus(corpus, days, w), "date", "left")
     x = x.fillna(0)
     x = x.withColumn("coverage", coverage_state(F.col("corpus_documents"), F.col("classified_documents"), F.col("matched_documents"), policy.measured_percent))
     x = x.withColumn("covered", F.col("coverage").isin("measured", "measured_zero"))
@@ -138,4 +148,5 @@ def trend_series(observations: DataFrame, corpus: DataFrame, first: str, last: s
     x = x.withColumn("peak_density", F.col("peak.density")).withColumn("days_since_peak", F.col("idx") - F.col("peak.idx"))
     x = x.withColumn("state", lifecycle(F.col("covered"), F.col("low_history"), F.col("density"), F.col("previous"), F.col("change"), F.col("previous_change"), F.col("density_percentile"), F.col("peak_density"), F.col("days_since_peak"), F.col("story_breadth"), F.col("owner_breadth"), policy))
     two = lambda c: half_up(F.col(c)).alias(c)
-    return x.select("definition_id", "date", *map(two, ("density", "attention_density", "risk_tone", "bullish_tone", "change", "acceleration", "density_z", "attention_z", "peak_density")), "density_percentile", "attention_percentile", "days_since_peak", "samples", "low_history", "coverage", "state", "corpus_documents", "classified_documents", "matched_documents", "attention_matched_documents", "publisher_breadth", "owner_breadth", "story_breadth", "class_breadth", "entity_breadth")
+    x = x.select("definition_id", "date", *map(two, ("density", "attention_density", "risk_tone", "bullish_tone", "change", "acceleration", "density_z", "attention_z", "peak_density")), "density_percentile", "attention_percentile", "days_since_peak", "samples", "low_history", "coverage", "state", "corpus_documents", "classified_documents", "matched_documents", "attention_matched_documents", "publisher_breadth", "owner_breadth", "story_breadth", "class_breadth", "entity_breadth")
+    return written(x, "series")

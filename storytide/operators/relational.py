@@ -38,11 +38,29 @@ def fill_days(daily: DataFrame, keys: Sequence[str], days: DataFrame, zeros: dic
 
 
 def window_ends(df: DataFrame, days: int, date: str = "date", to: str = "end_date") -> DataFrame:
-    """Each row once for every day whose trailing window of `days` days holds it: distinct counts over
-    windows become plain grouped counts. Reduce to distinct (key, day, member) rows first."""
+    """Each row once for every day whose trailing window of `days` days holds it; for few rows (see rolling_distinct)."""
     return df.withColumn(to, F.explode(F.sequence(F.col(date), F.date_add(F.col(date), days - 1))))
 
 
+def rolling_distinct(members: DataFrame, grid: DataFrame, keys: Sequence[str], days: int, kinds: dict[str, str]) -> DataFrame:
+    """The grid (keys, date) with, for each kind, the number of distinct members of the trailing window of `days` days.
+
+    members: keys, date, kind, m; repeated rows and days outside the grid's calendar count as they are. The days of a
+    member become runs of windows that hold it: a step up where a run begins, a step down where it ends. Steps are
+    summed by key and day, then along the calendar, so that a member costs two rows a run, not one a window.
+    grid: has all days of each key that lie between the first member's and the last. kinds: kind -> column.
+    """
+    gap = F.lit(days)
+    runs = members.groupBy(*keys, "kind", "m").agg(F.array_sort(F.collect_set("date")).alias("on"))
+    up = F.filter("on", lambda d, i: (i == 0) | (F.date_add(F.get("on", i - 1), gap) < d))
+    down = F.transform(F.filter("on", lambda d, i: (i == F.size("on") - 1) | (F.date_add(d, gap) < F.get("on", i + 1))), lambda d: F.date_add(d, gap))
+    step = lambda x, n: F.transform(x, lambda d: F.struct(d.alias("date"), F.lit(n).alias("n")))
+    steps = runs.select(*keys, "kind", F.explode(F.concat(step(up, 1), step(down, -1))).alias("x")).select(*keys, "kind", "x.date", "x.n")
+    per = steps.groupBy(*keys, "date").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n"))).alias(c) for k, c in kinds.items()])
+    so_far = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(per, [*keys, "date"], "left").withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in kinds.values()})
+
+
 def eligible_once(rows: DataFrame, rules: DataFrame, covered: DataFrame, row_key: str, rule_key: str, admits: Column) -> DataFrame:
     """The keys of rows that some rule admits and that are not covered for it. rules: a bounded table."""
     wanted = rows.join(F.broadcast(rules), admits).select(row_key, rule_key)
@@ -52,15 +70,23 @@ def eligible_once(rows: DataFrame, rules: DataFrame, covered: DataFrame, row_key
 def resolve_chain(links: DataFrame, source: str, target: str, hops: int = 20) -> DataFrame:
     """source, target, steps: the end of each chain of links, followed at most `hops` steps.
 
-    Doubles the step each round, so twenty hops take five joins.
+    The steps are the bits of `hops`: a table of jumps of 1, 2, 4, .. links is doubled, and joined to what has been
+    walked where its bit is set, so twenty hops take four doublings and two joins. A source has one link.
     """
     jump = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).alias("n"))
-    done = 1
-    while done < hops:
-        nxt = jump.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-        jump = jump.join(nxt, "t", "left").select("s", F.when(F.col("n") + F.coalesce("n2", F.lit(0)) <= hops, F.coalesce("t2", "t")).otherwise(F.col("t")).alias("t"), F.when(F.col("n") + F.coalesce("n2", F.lit(0)) <= hops, F.col("n") + F.coalesce("n2", F.lit(0))).otherwise(F.col("n")).alias("n"))
-        done *= 2
-    return jump.select(F.col("s").alias(source), F.col("t").alias(target), F.col("n").alias("steps"))
+    walked, left = None, hops
+    while left:
+        if left & 1:
+            walked = jump if walked is None else _then(walked, jump)
+        left >>= 1
+        if left:
+            jump = _then(jump, jump)
+    return walked.select(F.col("s").alias(source), F.col("t").alias(target), F.col("n").alias("steps"))
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    more = second.select(F.col("s").alias("t"), F.col("t").alias("to"), F.col("n").alias("by"))
+    return first.join(more, "t", "left").select("s", F.coalesce("to", "t").alias("t"), (F.col("n") + F.coalesce("by", F.lit(0))).alias("n"))
 
 
 def budget_prefix(df: DataFrame, size: Column, budget: int, group: Sequence[str], *order: Column) -> DataFrame:

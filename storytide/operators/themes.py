@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import deviation_of, half_up, mean_of, percentile_rank
-from .relational import calendar, window_ends
+from ..session import written
+from .relational import calendar, rolling_distinct
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,14 @@ def contributions(signals: DataFrame, themes: DataFrame) -> DataFrame:
 
     A signal whose two themes are equal counts twice. Themes that are not listed drop out. A theme's level
     is that of its non-sector rows where it has any; between them, that of the smallest document, then signal.
+    The signals are read once, and their rows written, as levels and all that follows read them several times.
     """
     keep = ["signal_id", "document_id", "date", "source_class", "entities", "score"]
-    market = signals.select(F.coalesce("canonical_theme_id", "theme_id").alias("theme_id"), F.when(F.col("canonical_theme_id").isNull(), "unmapped").otherwise("market").alias("level"), *keep)
-    sector = signals.where(F.col("canonical_subtheme_id").isNotNull()).select(F.col("canonical_subtheme_id").alias("theme_id"), F.lit("sector").alias("level"), *keep)
-    rows = market.unionAll(sector).join(themes.select("theme_id"), "theme_id", "left_semi")
+    theme = lambda t, level: F.struct(t.alias("theme_id"), level.alias("level"))
+    market = theme(F.coalesce("canonical_theme_id", "theme_id"), F.when(F.col("canonical_theme_id").isNull(), "unmapped").otherwise("market"))
+    sector = F.when(F.col("canonical_subtheme_id").isNotNull(), theme(F.col("canonical_subtheme_id"), F.lit("sector")))
+    rows = signals.select(F.explode(F.array_compact(F.array(market, sector))).alias("x"), *keep).select("x.*", *keep)
+    rows = written(rows.join(themes.select("theme_id"), "theme_id", "left_semi"), "contributions")
     level = rows.groupBy("theme_id").agg(F.min_by("level", F.struct((F.col("level") == "sector").alias("s"), "document_id", "signal_id")).alias("trend_level"))
     return rows.drop("level").join(level, "theme_id")
 
@@ -67,13 +71,12 @@ def source_mix(rows: DataFrame) -> DataFrame:
     return per_class.groupBy("theme_id", "date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_class", "n")))).alias("source_mix"))
 
 
-def trailing_breadth(rows: DataFrame, days: int, first: str, last: str) -> DataFrame:
-    """Per theme and day: distinct documents, classes and entities of the trailing window. Each kind is one
-    distinct (theme, day, member) list, exploded to the window's ends; the three share one shuffle."""
-    members = rows.select("theme_id", "date", F.explode(F.concat(F.array(F.struct(F.lit("d").alias("kind"), F.col("document_id").cast("string").alias("m")), F.struct(F.lit("c").alias("kind"), F.col("source_class").alias("m"))), F.transform(F.filter("entities", lambda e: F.trim(e) != ""), lambda e: F.struct(F.lit("e").alias("kind"), F.trim(e).alias("m"))))).alias("x")).select("theme_id", "date", "x.kind", "x.m").distinct()
-    ends = window_ends(members, days).where(F.col("end_date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
-    per = ends.select("theme_id", "end_date", "kind", "m").distinct().groupBy("theme_id", F.col("end_date").alias("date"))
-    return per.agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("d", "document_breadth"), ("c", "source_diversity"), ("e", "entity_breadth"))])
+def breadth_members(rows: DataFrame) -> DataFrame:
+    """theme_id, date, kind, m: the documents (d), source classes (c) and entities (e) of each theme and day."""
+    member = lambda kind, m: F.struct(F.lit(kind).alias("kind"), m.cast("string").alias("m"))
+    named = F.transform(F.filter("entities", lambda e: F.trim(e) != ""), lambda e: member("e", F.trim(e)))
+    all_ = F.concat(F.array(member("d", F.col("document_id")), member("c", F.col("source_class"))), named)
+    return rows.select("theme_id", "date", F.explode(all_).alias("x")).select("theme_id", "date", "x.kind", "x.m")
 
 
 def window_scores(rows: DataFrame, as_of: str, policy: TrendPolicy = TrendPolicy(), suppress: bool = True) -> DataFrame:
@@ -89,13 +92,16 @@ def window_scores(rows: DataFrame, as_of: str, policy: TrendPolicy = TrendPolicy
     own = rows.where(F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(as_of))))
     daily = daily_buckets(own)
     levels = own.groupBy("theme_id").agg(F.min("trend_level").alias("trend_level"))
-    grid = levels.crossJoin(F.broadcast(calendar(spark, first, as_of)))
+    grid = levels.crossJoin(F.broadcast(calendar(spark, first, as_of)))  # a bounded calendar
     dense = grid.join(daily.select("theme_id", "date", "intensity", "base_intensity", "evidence_count"), ["theme_id", "date"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("intensity", "base_intensity", "evidence_count")})
+    dense = written(dense, "daily-themes")
+    members = breadth_members(own)
     series = Window.partitionBy("theme_id").orderBy("idx")
     out = None
     for w in policy.windows:
         roll = series.rowsBetween(-(w - 1), 0)
-        x = dense.select("theme_id", "trend_level", "date", "idx", *[F.sum(c).over(roll).alias(c) for c in ("intensity", "base_intensity", "evidence_count")])
+        x = rolling_distinct(members, dense, ["theme_id"], w, {"d": "document_breadth", "c": "source_diversity", "e": "entity_breadth"})
+        x = x.withColumns({c: F.sum(c).over(roll) for c in ("intensity", "base_intensity", "evidence_count")})
         x = x.withColumn("total", F.when(F.col("idx") >= w - 1, F.col("intensity")))
         # what ended before the current window began; a partial first total only where no whole one is there
         x = x.withColumn("history", F.collect_list("total").over(series.rowsBetween(Window.unboundedPreceding, -w)))
@@ -105,7 +111,6 @@ def window_scores(rows: DataFrame, as_of: str, policy: TrendPolicy = TrendPolicy
         mean = F.coalesce(mean_of(F.col("history")), F.lit(0.0))
         x = x.withColumn("mean", mean).withColumn("deviation", F.greatest(deviation_of(F.col("history")), F.lit(1.0)))
         x = x.withColumn("z", (F.col("intensity") - F.col("mean")) / F.col("deviation")).withColumn("percentile_rank", percentile_rank(F.col("history"), F.col("intensity")))
-        x = x.join(trailing_breadth(own, w, store, as_of), ["theme_id", "date"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("document_breadth", "source_diversity", "entity_breadth")})
         low = F.size("history") < policy.low_history
         broad = (F.col("trend_level") != "market") | ((F.col("document_breadth") >= 2) & (F.col("entity_breadth") >= 2))
         x = x.select("theme_id", "trend_level", "date", F.lit(f"{w}d").alias("trend_window"), half_up(F.col("intensity"), 3).alias("intensity"), half_up(F.col("base_intensity"), 3).alias("base_intensity"), half_up(F.col("mean"), 3).alias("baseline_mean"), half_up(F.col("deviation"), 3).alias("baseline_stddev"), half_up(F.col("z"), 3).alias("z_score"), "percentile_rank", low.alias("low_history"), F.size("history").alias("baseline_days"), F.col("evidence_count").cast("long").alias("evidence_count"), "document_breadth", "source_diversity", "entity_breadth", (~low & promotes(F.col("z"), F.col("percentile_rank"), F.col("evidence_count"), policy) & broad & (F.col("source_diversity") >= 1)).alias("candidate"))

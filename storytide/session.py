@@ -1,12 +1,14 @@
-"""Makes the package known to executors."""
+"""Makes the package known to executors; the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +29,46 @@ def ship(spark: SparkSession) -> None:
                         z.write(os.path.join(at, n), os.path.join("storytide", os.path.relpath(os.path.join(at, n), root)))
         spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the warehouse where that is unset: both are shared by the driver and all executors."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+_roots: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, in a folder of this application, which `clear` removes, at the latest when
+    the driver's Python ends."""
+    root = f"{shared_folder(spark)}/storytide/{spark.sparkContext.applicationId}"
+    if not _roots:
+        atexit.register(_clear_all)
+    _roots[root] = spark
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the application's scratch tables. Frames that read them can't be used any more."""
+    for root in [r for r, s in _roots.items() if s is spark or s.sparkContext.applicationId == spark.sparkContext.applicationId]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _roots[root]
+
+
+def _clear_all() -> None:
+    for spark in list(_roots.values()):
+        try:
+            clear(spark)
+        except Exception:  # the session has ended; its folder stays
+            _roots.clear()
+            return

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files at the path (a folder or one file), with time columns that watermarks accept."""
@@ -54,8 +56,22 @@ def touched_days(stream: DataFrame, date: str, recompute: Callable[[DataFrame, l
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there into a table in memory, for reports of bounded size and tests."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs the stream over what is there into Parquet in the shared folder, and reads that. Checkpoints lie beside it.
+
+    Each batch writes a folder of its own, so that a batch that is run again replaces its rows. In complete mode
+    the last batch is the result.
+    """
+    spark = stream.sparkSession
+    path, last = scratch(spark, name), []
+
+    def batch(df: DataFrame, k: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/batch={k}")
+        last.append(k)
+
+    q = stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(f"{path}/rows/batch={max(last)}") if mode == "complete" else rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows")

@@ -54,7 +54,7 @@ def test_daily_counts_stream_equals_batch(spark, tmp_path):
     src = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     src.write.parquet(str(tmp_path / "all"))
     s = streams.daily_counts(streams.parquet_stream(spark, str(tmp_path / "all")), "ts", "event_type")
-    got = sorted(map(tuple, streams.drain(s, "t_daily", str(tmp_path / "ck"), "complete").collect()))
+    got = sorted(map(tuple, streams.drain(s, "t_daily", "complete").collect()))
     want = sorted(map(tuple, src.groupBy(F.to_date("ts").alias("date"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()))
     assert got == want
 
