@@ -21,11 +21,12 @@ def has_key(x: Column, key: str) -> Column:
 
 
 def as_map(x: Column) -> Column:
-    return F.from_json(x, "map<string,string>")
+    """The object's keys with their values as they are: numbers, booleans, nulls and nested values keep their types."""
+    return F.from_json(x, "map<string,variant>")
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Both objects' keys, b's values first; values become text."""
+    """Both objects' keys, b's values first."""
     left = F.map_filter(as_map(a), lambda k, _: ~F.coalesce(F.map_contains_key(as_map(b), k), F.lit(False)))
     return F.to_json(F.map_concat(left, as_map(b)))
 

@@ -57,6 +57,13 @@ def html_to_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def without_chrome(html: Column) -> Column:
+    """A newsletter's HTML without its widgets (subscription boxes, buttons, digests, paywalls) and closing calls to share."""
+    widgets = "subscribe|button-wrapper|post-ufi|digest|share-dialog|paywall|subscription-widget"
+    out = F.regexp_replace(html, f"""(?is)<([a-z0-9]+)[^>]*class=["'][^"']*(?:{widgets})[^"']*["'][^>]*>.*?</\\1>""", " ")
+    return F.regexp_replace(out, r"(?is)<(p|div)[^>]*>\s*(?:thanks for reading|share this post).*?</\1>", " ")
+
+
 def slug(x: Column, cap: int | None = None, default: str | None = None) -> Column:
     """'&' becomes ' and ', runs of other characters '-', without dashes at the ends."""
     out = F.regexp_replace(F.lower(F.replace(x, F.lit("&"), F.lit(" and "))), "[^a-z0-9]+", "-")
@@ -72,15 +79,15 @@ def normalise_term(x: Column) -> Column:
 
 
 def title_ngrams(title: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
-    """Distinct word pairs and triples of a title, without short words, stop words and numbers; each with a word of three letters."""
-    words = F.filter(F.split(normalise_term(title), " "), lambda w: (F.length(w) > 1) & ~w.isin(lists.TITLE_STOPWORDS) & ~w.rlike(r"^[0-9.,%$\-]+$"))
+    """Distinct word pairs and triples of a title, without short words, stop words and plain numbers and percentages; each with a run of three letters."""
+    words = F.filter(F.split(normalise_term(title), " "), lambda w: (F.length(w) > 1) & ~w.isin(lists.TITLE_STOPWORDS) & ~w.rlike(r"^\d+(\.\d+)?%?$"))
 
     def of_size(w: Column, k: int) -> Column:
         starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
 
     def grams(w: Column) -> Column:
-        return F.array_distinct(F.filter(F.concat(*[of_size(w, k) for k in sizes]), lambda g: g.rlike("(^| )[a-z]{3,}( |$)")))
+        return F.array_distinct(F.filter(F.concat(*[of_size(w, k) for k in sizes]), lambda g: g.rlike("[a-z]{3,}")))
 
     # the words are bound once, not split anew for every pair of a long title
     return F.transform(F.array(words), grams)[0]
@@ -120,8 +127,8 @@ def contains_loosely(content: Column, part: Column) -> Column:
 
 
 def passages(x: Column) -> Column:
-    """Sentences and lines of a text."""
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+(?=[A-Z])|\n+|•"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences and lines of a text, and what its bullets (as entities) part; trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+(?=[A-Z])|\n+|&#(?:8226|x2022);"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def speakers(x: Column) -> Column:

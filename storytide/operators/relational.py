@@ -89,6 +89,30 @@ def _then(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(more, "t", "left").select("s", F.coalesce("to", "t").alias("t"), (F.col("n") + F.coalesce("by", F.lit(0))).alias("n"))
 
 
+def optional(column: Column, value) -> Column:
+    """A predicate that a null parameter switches off."""
+    return F.lit(True) if value is None else column == F.lit(value)
+
+
+def day_end(as_of: str, now: str) -> Column:
+    """The end of the day as_of, but not later than now."""
+    return F.least(F.date_trunc("day", F.to_timestamp(F.lit(as_of))) + F.expr("INTERVAL 1 DAY"), F.to_timestamp(F.lit(now)))
+
+
+def counters(*tables: tuple[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each table, as scalar subqueries would give."""
+    out = None
+    for name, df in tables:
+        one = df.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
+def hashed_sample(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
+    """n rows drawn by a hash of their keys, so that a seed draws the same ones again."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *keys)), *keys).limit(n)
+
+
 def budget_prefix(df: DataFrame, size: Column, budget: int, group: Sequence[str], *order: Column) -> DataFrame:
     """The rows of each group, in order, whose running size stays within the budget; the first always."""
     w = Window.partitionBy(*group).orderBy(*order)

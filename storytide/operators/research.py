@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
@@ -14,8 +14,9 @@ FACTS_PER_DOCUMENT = 40
 
 def facts(documents: DataFrame, most: int = FACTS_PER_DOCUMENT) -> DataFrame:
     """document_id, company, published, place, metric, basis, quote: passages of 45 to 600 characters with a quantity and
-    a reporting verb, not of an excluded kind; the metric named first counts. documents: one company each."""
-    rows = documents.select("document_id", "company", "published", F.posexplode(passages(F.col("text"))).alias("place", "quote"))
+    a reporting verb, not of an excluded kind; the metric named first counts. documents: one company each; only
+    filings and transcripts (source_class) are read."""
+    rows = documents.where(F.col("source_class").isin("filing", "transcript")).select("document_id", "company", "published", F.posexplode(passages(F.col("text"))).alias("place", "quote"))
     q = F.col("quote")
     like = lambda p: q.rlike(f"(?i){p}")
     rows = rows.where(F.length(q).between(45, 600) & like(lists.QUANTITY) & like(lists.REPORTING_VERB) & (F.size(F.regexp_extract_all(q, F.lit(r"(\d[\d,.]*)"), 1)) <= 12))
@@ -29,14 +30,31 @@ def facts(documents: DataFrame, most: int = FACTS_PER_DOCUMENT) -> DataFrame:
     return top_per(rows, ["document_id"], most, F.asc("place"))
 
 
+def question(company: Column, names: Column, quotes: Column) -> Column:
+    """What a lead asks, from its metrics and passages."""
+    says = lambda p: F.exists(quotes, lambda q: q.rlike(f"(?i){p}"))
+    cash, demand = F.array_contains(names, "Cash and investment"), F.array_contains(names, "Demand and capacity")
+    return (
+        F.when(says("prepayment") & demand, F.concat(F.lit("prepayments and backlog: "), company))
+        .when(says("upfront license"), F.concat(F.lit("upfront licences and recurring revenue: "), company))
+        .when(cash & demand, F.concat(F.lit("demand against cash and investment: "), company))
+        .otherwise(F.concat(F.lit("figures against profitability: "), company))
+    )
+
+
 def leads(found: DataFrame, limit: int = 5) -> DataFrame:
-    """company, reported, metrics, counter-evidence: the newest, most relevant fact of each metric; companies with two metrics at least."""
+    """company, question, reported, metrics, metric_names, counter_evidence, invalidation, gaps, rank: the newest, most
+    relevant fact of each metric, a passage counting once; companies with two metrics at least."""
     relevance = F.when(F.col("quote").rlike("(?i)prepayment|upfront license"), 6).otherwise(0) + F.when(F.col("quote").rlike("(?i)year.over.year|relative to|compared to|increased|decreased|grew|declined"), 3).otherwise(0)
     x = found.withColumn("relevance", relevance).withColumn("contrary", F.col("quote").rlike(f"(?i){lists.NEGATIVE}"))
     best = top_per(x, ["company", "metric"], 1, F.desc("published"), F.desc("relevance"), F.asc("document_id"), F.asc("place"))
-    per = best.groupBy("company").agg(F.count("*").alias("metrics"), F.max("published").alias("reported"), F.array_sort(F.collect_list("metric")).alias("metric_names")).where("metrics >= 2")
+    per = best.groupBy("company").agg(F.count("*").alias("metrics"), F.max("published").alias("reported"), F.array_sort(F.collect_list("metric")).alias("metric_names"), F.collect_list("quote").alias("quotes")).where("metrics >= 2")
     against = x.where("contrary").select("company", "quote").distinct().groupBy("company").agg(F.least(F.count("*"), F.lit(2)).alias("counter_evidence"))
     out = per.join(against, "company", "left").withColumn("counter_evidence", F.coalesce("counter_evidence", F.lit(0)))
+    cash = F.array_contains("metric_names", "Cash and investment")
+    # one report window is one source event, so independent evidence is always missing; so are expectations
+    missing = F.array_compact(F.array(F.lit("one_source_event"), F.when(~cash, "no_cash_passage"), F.when(F.col("counter_evidence") == 0, "no_contrary_passage"), F.lit("management_reported"), F.lit("expectations_unchecked")))
+    out = out.select("company", question(F.col("company"), F.col("metric_names"), F.col("quotes")).alias("question"), "reported", "metrics", "metric_names", "counter_evidence", F.when(cash, "cash_conversion").otherwise("revenue_demand_margins").alias("invalidation"), missing.alias("gaps"))
     order = [F.desc("reported"), F.desc("metrics"), F.asc("company")]
     return out.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 

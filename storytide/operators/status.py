@@ -58,3 +58,17 @@ def usage(messages: DataFrame, *group: str) -> DataFrame:
     n = lambda k: F.coalesce(F.get_json_object("usage", f"$.{k}").try_cast("long"), F.lit(0).cast("long"))
     names = ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
     return messages.groupBy(*group).agg(F.count("*").alias("requests"), *[F.sum(n(k)).alias(k) for k in names])
+
+
+def job_states(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """job, state, attempts: from the attempts' outcomes (job, at, status); the last one decides. A failed job is queued
+    again until its attempts are used up; a finished one stays so whatever comes later."""
+    per = attempts.groupBy("job").agg(F.max_by("status", "at").alias("last"), F.count_if(F.col("status") == "failed").alias("attempts"), F.bool_or(F.col("status") == "succeeded").alias("done"))
+    state = F.when(F.col("done"), "succeeded").when(F.col("last") == "running", "running").when(F.col("attempts") >= most, "exhausted").when(F.col("last") == "failed", "retry").otherwise("queued")
+    return per.select("job", state.alias("state"), "attempts")
+
+
+def backfill_cursor(days: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """key, cursor: the first day of each key that is not done, from which a backfill goes on; null where all are."""
+    open_ = days.join(done.select(key, "date"), [key, "date"], "left_anti")
+    return days.select(key).distinct().join(open_.groupBy(key).agg(F.min("date").alias("cursor")), key, "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import deviation_of, half_up, mean_of, percentile_rank
 from ..session import written
-from .relational import calendar, rolling_distinct
+from ..sources.sinks import difference
+from .relational import calendar, rolling_distinct, top_per
 
 
 @dataclass(frozen=True)
@@ -123,6 +124,30 @@ def informative(scores: DataFrame, as_of: str) -> DataFrame:
     return scores.where((F.col("intensity") != 0) | (F.col("z_score") != 0) | (F.col("evidence_count") != 0) | (F.col("date") == F.to_date(F.lit(as_of))))
 
 
+def publication(stored: DataFrame, fresh: DataFrame, keys: list[str], first: str, last: str, keep_from: str, rebuild_at: int = 50_000) -> tuple[DataFrame, str]:
+    """(the table after publishing, how): fresh rows replace those of [first, last]; rows outside stay unless older than
+    keep_from. With rebuild_at changes or more the table is to be built anew beside the old one and swapped, else
+    changed in place; the rows are the same."""
+    inside = F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
+    changes = difference(stored.where(inside), fresh, keys).where("action <> 'keep'").count()
+    after = stored.where(~inside & (F.col("date") >= F.to_date(F.lit(keep_from)))).unionByName(fresh)
+    return after, "rebuild" if changes >= rebuild_at else "in_place"
+
+
+def details(scores: DataFrame, rows: DataFrame, as_of: str, most: int = 5, evidence: int = 3) -> DataFrame:
+    """Per theme of the last day: its seven-day figures, whether it is confirmed (a candidate with enough history) or
+    emerging (low history, yet evidence), its most frequent entities and its strongest documents of the last 30 days."""
+    now = scores.where((F.col("date") == F.to_date(F.lit(as_of))) & (F.col("trend_window") == "7d"))
+    kind = F.when(F.col("candidate"), "confirmed").when(F.col("low_history") & (F.col("evidence_count") > 0), "emerging").otherwise("quiet")
+    recent = rows.where(F.datediff(F.to_date(F.lit(as_of)), "date").between(0, 29))
+    named = recent.select("theme_id", F.explode("entities").alias("e")).groupBy("theme_id", F.trim("e").alias("entity")).agg(F.count("*").alias("n"))
+    listed = top_per(named, ["theme_id"], most, F.desc("n"), F.asc("entity"), rank="k").groupBy("theme_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "entity"))), lambda x: x["entity"]), ",").alias("top_entities"))
+    per = recent.groupBy("theme_id", "document_id").agg(F.max("score").alias("score"))
+    shown = top_per(per, ["theme_id"], evidence, F.desc("score"), F.asc("document_id"), rank="k").groupBy("theme_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "document_id"))), lambda x: x["document_id"].cast("string")), ",").alias("evidence"))
+    out = now.select("theme_id", kind.alias("kind"), "z_score", "evidence_count").join(listed, "theme_id", "left").join(shown, "theme_id", "left")
+    return out.fillna("", ["top_entities", "evidence"])
+
+
 def average_score(daily: DataFrame, as_of: str, window: int, baseline: int) -> DataFrame:
     """The older scorer: mean daily intensity of the window against that of the baseline before it; deviation 0 counts as 1."""
     age = F.datediff(F.to_date(F.lit(as_of)), "date")

@@ -135,20 +135,20 @@ CONTRIBUTIONS_SQL = (
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus of texts: document_id, text, title (the first line), date, source_class, publisher, published."""
+    """The corpus of texts: document_id, text, title (the whole first line), date, source_class, publisher, published."""
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("doc_id") % 91).cast("int"))
-    return d.select(F.col("doc_id").alias("document_id"), "text", F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 200).alias("title"), day.alias("date"), _pick(CLASSES, F.col("doc_id") % 4).alias("source_class"), F.col("source").alias("publisher"), "lang", "n_chars")
+    return d.select(F.col("doc_id").alias("document_id"), "text", F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"), day.alias("date"), _pick(CLASSES, F.col("doc_id") % 4).alias("source_class"), F.col("source").alias("publisher"), "lang", "n_chars")
 
 
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, title: the whole first line, however long; where texts() cuts it as its SQL does."""
+    """document_id, title: the first line, read without the other columns."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"))
 
 
 TEXTS_SQL = """
 texts AS (
-  SELECT doc_id AS document_id, text, substr(regexp_extract(text, '^([^\\n]*)', 1), 1, 200) AS title, DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER) AS date,
+  SELECT doc_id AS document_id, text, regexp_extract(text, '^([^\\n]*)', 1) AS title, DATE '2024-01-01' + CAST(doc_id % 91 AS INTEGER) AS date,
     CASE doc_id % 4 WHEN 0 THEN 'filing' WHEN 1 THEN 'press_release' WHEN 2 THEN 'newspaper' ELSE 'transcript' END AS source_class, source AS publisher, lang, n_chars
   FROM documents
 )"""

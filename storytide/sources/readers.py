@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from ..functions.address import hostname
 from ..functions.text import html_to_text
 from ..operators.relational import top_per
 
@@ -40,19 +41,65 @@ def poll_all(spark: SparkSession, connectors: list[Connector]) -> DataFrame:
     return top_per(out, ["url"], 1, F.asc("__order"), F.asc("document_id")).drop("__order")
 
 
-def feed(spark: SparkSession, path: str, as_of: str, lookback_hours: int = 48, limit: int = 250, row_tag: str = "item", source: str = "rss", source_class: str = "newspaper", retention: str = "snippet") -> DataFrame:
-    """An RSS (row_tag item), Atom (entry) or RDF file: entries with title, address, date and body within the lookback, newest first."""
-    schema = "title string, link string, pubDate string, date string, updated string, description string, summary string, content string, guid string"
-    x = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-    stamp = F.coalesce("pubDate", "date", "updated")
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """document_id, title, url, stamp, html of the entries of RSS, RDF (item) and Atom (entry) files; an Atom link is an attribute."""
+    common = "title string, pubDate string, date string, updated string, published string, description string, summary string, content string, encoded string, guid string, id string"
+    xml = lambda tag, link: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(f"{common}, link {link}").load(path)
+    both = xml("item", "string").unionByName(xml("entry", "array<struct<_href:string,_rel:string>>").withColumn("link", F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])))
+    url, text = F.trim("link"), F.coalesce("encoded", "content", "description", "summary")
+    return both.select(F.coalesce("guid", "id", url).alias("document_id"), F.trim("title").alias("title"), url.alias("url"), F.coalesce("pubDate", "published", "date", "updated").alias("stamp"), text.alias("html"))
+
+
+def feed(spark: SparkSession, path: str, as_of: str, lookback_hours: int = 48, limit: int = 250, source: str = "rss", source_class: str = "newspaper", retention: str = "snippet") -> DataFrame:
+    """RSS, RDF and Atom files: entries with title, address, date and body within the lookback, newest first."""
+    stamp = F.col("stamp")
     when = F.coalesce(F.try_to_timestamp(F.regexp_replace(stamp, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(stamp))
-    body = html_to_text(F.coalesce("content", "description", "summary"))
-    rows = x.select(F.coalesce("guid", "link").alias("document_id"), F.lit(source).alias("source"), F.lit(source_class).alias("source_class"), F.trim("title").alias("title"), F.lit(source).alias("publisher"), F.trim("link").alias("url"), when.alias("published"), F.when(F.lit(retention) == "snippet", F.substring(body, 1, SNIPPET)).otherwise(body).alias("text"), F.lit(retention).alias("retention"))
+    body = html_to_text(F.col("html"))
+    rows = _entries(spark, path).select("document_id", F.lit(source).alias("source"), F.lit(source_class).alias("source_class"), "title", F.lit(source).alias("publisher"), "url", when.alias("published"), F.when(F.lit(retention) == "snippet", F.substring(body, 1, SNIPPET)).otherwise(body).alias("text"), F.lit(retention).alias("retention"))
     end = F.to_timestamp(F.lit(as_of))
     kept = rows.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "") & F.col("published").between(end - F.make_interval(hours=F.lit(lookback_hours)), end))
     return kept.orderBy(F.desc("published"), "url").limit(limit)
 
 
+def _documents(rows: DataFrame, source: str, retention: str, **columns: Column) -> DataFrame:
+    """Rows with a title, an address and a date as documents, each address once, the newest of it."""
+    own = {"document_id": F.concat(F.lit(f"{source}:"), F.substring(F.sha2("url", 256), 1, 24)), "source": F.lit(source), "source_class": F.lit("newspaper"), "retention": F.lit(retention)}
+    x = rows.where((F.coalesce("url", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != "") & F.col("published").isNotNull()).withColumns(own | columns)
+    return top_per(x.select(*[f.split()[0] for f in DOCUMENT.split(", ")]), ["url"], 1, F.desc("published"), F.asc("title"))
+
+
+def discovered(spark: SparkSession, path: str) -> DataFrame:
+    """News discovery payloads {articles: [..]}: metadata only, the title stands for the text; dates as 20240131T120000Z."""
+    schema = "articles array<struct<url:string,url_mobile:string,title:string,seendate:string,domain:string>>"
+    a = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("articles").alias("a")).select("a.*")
+    url = F.coalesce(F.nullif(F.trim("url"), F.lit("")), F.nullif(F.trim("url_mobile"), F.lit("")))
+    when = F.try_to_timestamp(F.concat(F.regexp_replace("seendate", "Z$", ""), F.lit(" +0000")), F.lit("yyyyMMdd'T'HHmmss Z"))
+    rows = a.select(url.alias("url"), F.trim("title").alias("title"), when.alias("published"), F.coalesce(F.nullif(F.trim("domain"), F.lit("")), hostname(url)).alias("publisher"))
+    return _documents(rows.withColumn("text", F.col("title")), "gdelt-news", "metadata_only")
+
+
+def discovery_query(query: str, domains: list[str]) -> str:
+    """The search string: the query, and any of the domains if there are some."""
+    return query if not domains else f"{query} ({' OR '.join(f'domain:{d}' for d in domains)})"
+
+
+def searched(spark: SparkSession, path: str, pages: int = 5) -> DataFrame:
+    """Article search payloads {response: {docs: [..]}}, a page each: abstracts, or snippets where they are missing."""
+    schema = "page int, response struct<docs:array<struct<web_url:string,headline:struct<main:string>,abstract:string,snippet:string,pub_date:string,source:string>>>"
+    x = spark.read.schema(schema).json(path, multiLine=True).where(F.coalesce("page", F.lit(0)) < min(5, max(1, pages))).select(F.explode("response.docs").alias("d")).select("d.*")
+    body = F.trim(F.coalesce(F.nullif("abstract", F.lit("")), "snippet", F.lit("")))
+    rows = x.select(F.trim("web_url").alias("url"), F.trim("headline.main").alias("title"), F.try_to_timestamp("pub_date").alias("published"), F.coalesce("source", F.lit("The New York Times")).alias("publisher"), body.alias("text"))
+    return _documents(rows.where("text <> ''"), "nyt-search", "summary")
+
+
+def market_news(spark: SparkSession, path: str, as_of: str, lookback_hours: int = 48) -> DataFrame:
+    """News items (symbol, publishedDate, title, text, site, url) of tickers, or general ones, within the lookback."""
+    x = spark.read.schema("symbol string, publishedDate string, title string, text string, site string, url string").json(path)
+    end = F.to_timestamp(F.lit(as_of))
+    rows = x.select(F.trim("url").alias("url"), F.trim("title").alias("title"), F.try_to_timestamp("publishedDate").alias("published"), F.coalesce("site", hostname(F.col("url"))).alias("publisher"), F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("title")).alias("text"))
+    return _documents(rows.where(F.col("published") >= end - F.make_interval(hours=F.lit(lookback_hours))), "fmp-news", "snippet")
+
+
 def filings(spark: SparkSession, path: str, forms: list[str], since: str, most: int) -> DataFrame:
     """Filings from JSON of parallel arrays (ticker, form[], filingDate[], accessionNumber[], primaryDocument[], items[], description[]): the enabled forms since a date, the newest of each ticker."""
     schema = "ticker string, form array<string>, filingDate array<string>, accessionNumber array<string>, primaryDocument array<string>, items array<string>, description array<string>"
@@ -62,18 +109,54 @@ def filings(spark: SparkSession, path: str, forms: list[str], since: str, most:
     return top_per(rows, ["ticker"], most, F.desc("filingDate"), F.asc("accessionNumber"))
 
 
-#: Forms by category, fixed values.
-PERIODIC = ("10-K", "10-Q", "20-F", "40-F", "6-K")
-CATEGORIES = {"periodic": PERIODIC, "current": ("8-K",), "stress": ("NT 10-K", "NT 10-Q"), "proxy": ("DEF 14A", "PRE 14A"), "capital_markets": ("S-1", "S-3", "424B5"), "ownership": ("SC 13D", "SC 13G", "13F-HR", "4")}
+#: Forms of each kind, fixed values.
+CORE = ("10-K", "10-Q", "8-K")
+PERIODIC = ("10-K", "10-Q")
+FOREIGN_REPORTS = ("20-F", "40-F", "6-K")
+PROXY = ("DEF 14A", "DEFA14A", "PRE 14A")
+CAPITAL_MARKETS = ("S-1", "S-1/A", "S-3", "S-3/A", "S-4", "S-4/A", "424B1", "424B2", "424B3", "424B4", "424B5")
+FOREIGN_CAPITAL = ("F-1", "F-1/A", "F-3", "F-3/A", "F-4", "F-4/A")
+OWNERSHIP = ("SC 13D", "SC 13D/A", "SC 13G", "SC 13G/A")
+STRESS = ("NT 10-K", "NT 10-Q", "10-K/A", "10-Q/A", "8-K/A")
+FOREIGN_STRESS = ("20-F/A", "40-F/A", "6-K/A", "NT 20-F")
+STRUCTURED_OWNERSHIP = ("13F-HR", "4")
+#: What filings of a category are read for; all other categories are formal disclosure.
+USE_CASES = {"exhibit": "market_narrative", "proxy": "governance_political_regulatory", "capital_markets": "capital_markets_risk_appetite", "ownership": "activism_ownership_change", "stress": "accounting_operational_stress", "structured_ownership": "structured_positioning"}
+
+_BY_CATEGORY = {"proxy": PROXY, "capital_markets": CAPITAL_MARKETS + FOREIGN_CAPITAL, "ownership": OWNERSHIP, "stress": STRESS + FOREIGN_STRESS, "structured_ownership": STRUCTURED_OWNERSHIP}
+
+
+def enabled_forms(core: bool = True, current: bool = True, foreign: bool = True, proxy: bool = True, capital_markets: bool = True, ownership: bool = True, stress: bool = True, structured_ownership: bool = False) -> list[str]:
+    """The forms to read. Foreign forms follow the switch of their domestic kind; `current` is for the 8-K among the core forms."""
+    wanted = [
+        (core, CORE if current else PERIODIC),
+        (foreign and core, FOREIGN_REPORTS),
+        (foreign and capital_markets, FOREIGN_CAPITAL),
+        (foreign and stress, FOREIGN_STRESS),
+        (proxy, PROXY),
+        (capital_markets, CAPITAL_MARKETS),
+        (ownership, OWNERSHIP),
+        (stress, STRESS),
+        (structured_ownership, STRUCTURED_OWNERSHIP),
+    ]
+    return [form for on, forms in wanted if on for form in forms]
 
 
 def form_category(form: Column) -> Column:
-    out = F.lit("other")
-    for name, forms in reversed(list(CATEGORIES.items())):
+    """proxy, capital_markets, ownership, stress, structured_ownership, or core for all other forms."""
+    out = F.lit("core")
+    for name, forms in _BY_CATEGORY.items():
         out = F.when(form.isin(*forms), name).otherwise(out)
     return out
 
 
+def use_case(category: Column) -> Column:
+    out = F.lit("formal_disclosure")
+    for name, case in USE_CASES.items():
+        out = F.when(category == name, case).otherwise(out)
+    return out
+
+
 def _holds(text: Column, signals: list[str]) -> Column:
     out = F.lit(False)
     for s in signals:
@@ -82,9 +165,10 @@ def _holds(text: Column, signals: list[str]) -> Column:
 
 
 def relevance(form: Column, items: Column, description: Column) -> Column:
-    """high, medium or low by the form's category, then by what items and description say."""
+    """high, medium or low: by the form where its kind decides, else by what items and description say."""
     text, category = F.lower(F.concat_ws(" ", F.coalesce(items, F.lit("")), F.coalesce(description, F.lit("")))), form_category(form)
-    return F.when(category.isin("periodic", "stress"), "high").when(category.isin("proxy", "capital_markets", "ownership"), "medium").when(_holds(text, lists.HIGH_SIGNALS), "high").when(_holds(text, lists.MEDIUM_SIGNALS), "medium").otherwise("low")
+    by_form = F.when(form.isin(*PERIODIC, *FOREIGN_REPORTS) | (category == "stress"), "high").when(category.isin("proxy", "capital_markets", "ownership"), "medium")
+    return by_form.when(_holds(text, lists.HIGH_SIGNALS), "high").when(_holds(text, lists.MEDIUM_SIGNALS), "medium").otherwise("low")
 
 
 def exhibit_relevance(kind: Column, name: Column) -> Column:
