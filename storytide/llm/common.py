@@ -1,38 +1,19 @@
-"""What the training-data operators share: the shared folder, written tables, Arrow maps over texts."""
+"""What the training-data operators share: written tables (by the session), Arrow maps over texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written  # noqa: F401
 
 #: Rows of one Arrow batch sent to Python; whole texts travel, so batches hold few rows.
 ARROW_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='storytide-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/storytide/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of whole texts may hold, and sends the package to the workers."""
     ship(spark)
