@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions.numeric import half_up, mad_of, mean_of
 from ..functions.text import normalise_term, title_ngrams
+from .relational import small
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,8 @@ def rank_order() -> list:
 def without_nested(bursts: DataFrame, limit: int = 60) -> DataFrame:
     """In rank order, drops a title n-gram that a kept one with the same stories contains or is contained by; then the first `limit`.
 
-    Terms that share stories and a word are the only ones compared, in one pass over the ranked list of a
-    few hundred bursts.
+    Only terms with the same number of stories are compared, so each number's terms are one group; the first `limit`
+    that a group keeps are all that can come out of it.
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,16 +81,18 @@ def without_nested(bursts: DataFrame, limit: int = 60) -> DataFrame:
                     continue
                 kept.append((r.term, r.stories))
             rows.append(i)
+            if len(rows) == limit:
+                break
         return pdf.sort_values("rank").iloc[rows]
 
-    ranked = bursts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*rank_order())))
-    kept = ranked.groupBy(F.lit(1).alias("g")).applyInPandas(lambda pdf: keep(pdf), ranked.schema)
-    return kept.orderBy("rank").limit(limit).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("rank")))
+    ranked = bursts.withColumn("rank", F.row_number().over(Window.partitionBy("stories").orderBy(*rank_order())))
+    kept = ranked.groupBy("stories").applyInPandas(lambda pdf: keep(pdf), ranked.schema).drop("rank").orderBy(*rank_order()).limit(limit)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*rank_order())))
 
 
 def covering(bursts: DataFrame, definitions: DataFrame) -> DataFrame:
     """bursts x definitions: the definitions whose name, proposition, criteria or examples hold the term. definitions: a bounded table."""
     text = F.lower(F.concat_ws(" ", "name", "proposition", "inclusion", "examples"))
-    small = definitions.select("definition_id", text.alias("haystack"))
-    hits = bursts.join(F.broadcast(small), F.contains("haystack", "term"), "left")
+    texts = definitions.select("definition_id", text.alias("haystack"))
+    hits = bursts.join(small(texts), F.contains("haystack", "term"), "left")
     return hits.groupBy(*bursts.columns).agg(F.array_sort(F.collect_set("definition_id")).alias("covering"))

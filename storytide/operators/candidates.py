@@ -60,8 +60,8 @@ def description_collisions(candidates: DataFrame, definitions: DataFrame) -> Dat
     words = lambda d, key: d.select(key, tokens(F.col("name")).alias(f"{key}_name"), tokens(F.col("proposition")).alias(f"{key}_text"))
     a, b = words(candidates, "candidate_id"), words(definitions, "definition_id")
     on = lambda d, key: d.withColumn("word", F.explode(F.array_distinct(F.concat(F.transform(f"{key}_name", lambda w: F.concat(F.lit("n:"), w)), F.transform(f"{key}_text", lambda w: F.concat(F.lit("t:"), w))))))
-    met = on(a, "candidate_id").join(F.broadcast(on(b, "definition_id").select("definition_id", "word")), "word").select("candidate_id", "definition_id").distinct()
-    return met.join(a, "candidate_id").join(F.broadcast(b), "definition_id").where(promotion_duplicate(F.col("candidate_id_name"), F.col("definition_id_name"), F.col("candidate_id_text"), F.col("definition_id_text"))).select("candidate_id", "definition_id")
+    met = on(a, "candidate_id").join(on(b, "definition_id").select("definition_id", "word"), "word").select("candidate_id", "definition_id").distinct()
+    return met.join(a, "candidate_id").join(b, "definition_id").where(promotion_duplicate(F.col("candidate_id_name"), F.col("definition_id_name"), F.col("candidate_id_text"), F.col("definition_id_text"))).select("candidate_id", "definition_id")
 
 
 def promotable(evidence: DataFrame, as_of: str, definition_documents: DataFrame, policy: PromotionPolicy = PromotionPolicy()) -> DataFrame:

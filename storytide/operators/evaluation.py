@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, ratio
+from .relational import small
 
 
 def confusion(expected: Column, predicted: Column) -> list[Column]:
@@ -27,7 +28,7 @@ def stratified(cases: DataFrame, stratum: str) -> DataFrame:
 
 def expand_cases(cases: DataFrame, definitions: DataFrame) -> DataFrame:
     """Labelled cases x definitions (a bounded table) with expected and predicted."""
-    return cases.where("expected_slugs is not null").join(F.broadcast(definitions.select("slug"))).withColumn("expected", F.array_contains("expected_slugs", F.col("slug"))).withColumn("predicted", F.array_contains("predicted_slugs", F.col("slug")))
+    return cases.where("expected_slugs is not null").join(small(definitions.select("slug"))).withColumn("expected", F.array_contains("expected_slugs", F.col("slug"))).withColumn("predicted", F.array_contains("predicted_slugs", F.col("slug")))
 
 
 def document_recall(cases: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def first_fires(trends: DataFrame, signal_z: float = 2.0) -> DataFrame:
 
 def backtest(timelines: DataFrame, truth: DataFrame) -> DataFrame:
     """Timelines with the true date (truth: definition_id, truth_date) and the days between detectors, definition and truth."""
-    x = timelines.join(F.broadcast(truth), "definition_id", "left")
+    x = timelines.join(truth, "definition_id", "left")
     return x.withColumns(
         {
             "attention_lead_vs_definition": F.datediff("created", "first_attention"),

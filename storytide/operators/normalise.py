@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..functions.text import contains_loosely, slug, squeezed
-from .relational import first_per, top_per
+from .relational import first_per, small, top_per
 
 
 def valid_signals(signals: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def normalise_observations(raw: DataFrame, documents: DataFrame, definitions: Da
     A match needs matched, the contract satisfied, no exclusion, a score of 70 and a quotation in the text;
     other scores are at most 69.
     """
-    grid = documents.select("document_id", "content").join(F.broadcast(definitions.select("definition_id")))
+    grid = documents.select("document_id", "content").join(small(definitions.select("definition_id")))
     x = grid.join(raw, ["document_id", "definition_id"], "left")
     f = lambda c: F.coalesce(F.col(c), F.lit(False))
     matched = f("matched") & f("satisfied") & ~f("excluded") & (F.coalesce("score", F.lit(0.0)) >= 70) & F.coalesce(contains_loosely(F.col("content"), F.col("snippet")), F.lit(False))
@@ -48,14 +48,14 @@ def theme_groups(signals: DataFrame, limit: int, representatives: int = 3) -> Da
 
 def mapping_status(signals: DataFrame, mappings: DataFrame) -> DataFrame:
     """Per mapped theme: signals (one for each of their entities, one at least), and the distinct entities in order."""
-    exploded = signals.withColumn("entity", F.explode_outer("entities")).join(F.broadcast(mappings), "theme_id")
+    exploded = signals.withColumn("entity", F.explode_outer("entities")).join(mappings, "theme_id")
     return exploded.groupBy("canonical_theme_id").agg(F.count("signal_id").alias("signal_rows"), F.count_distinct("theme_id").alias("themes"), F.array_join(F.slice(F.array_sort(F.collect_set("entity")), 1, 3), ",").alias("top_entities"))
 
 
 def apply_mappings(signals: DataFrame, mappings: DataFrame, least: float = 80.0) -> DataFrame:
     """Signals with the canonical theme of mappings that are sure enough to apply."""
     sure = mappings.where(F.col("confidence") >= least).select("theme_id", F.col("canonical_theme_id").alias("__to"))
-    return signals.join(F.broadcast(sure), "theme_id", "left").withColumn("canonical_theme_id", F.coalesce("__to", "canonical_theme_id")).drop("__to")
+    return signals.join(sure, "theme_id", "left").withColumn("canonical_theme_id", F.coalesce("__to", "canonical_theme_id")).drop("__to")
 
 
 def sequence(df: DataFrame, *order: Column) -> DataFrame:

@@ -20,6 +20,12 @@ def top_per(df: DataFrame, keys: Sequence[str], k: int, *order: Column, rank: st
     return out if rank else out.drop(name)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most` rows, which is counted up to there; else as it is, and Spark
+    chooses the join. For the bounded side of joins without an equality."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fair_share(df: DataFrame, group: str, *order: Column) -> DataFrame:
     """Adds `turn`: the place of a row within its group, so that ordering by turn deals the groups round robin."""
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
@@ -63,7 +69,7 @@ def rolling_distinct(members: DataFrame, grid: DataFrame, keys: Sequence[str], d
 
 def eligible_once(rows: DataFrame, rules: DataFrame, covered: DataFrame, row_key: str, rule_key: str, admits: Column) -> DataFrame:
     """The keys of rows that some rule admits and that are not covered for it. rules: a bounded table."""
-    wanted = rows.join(F.broadcast(rules), admits).select(row_key, rule_key)
+    wanted = rows.join(small(rules), admits).select(row_key, rule_key)
     return wanted.join(covered.select(row_key, rule_key), [row_key, rule_key], "left_anti").select(row_key).distinct()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, ratio
-from .relational import fair_share
+from .relational import top_per
 
 #: Stages of the ingestion funnel after `ingested`, in order, fixed values.
 STAGES = ("with_text", "extracted", "with_signals", "classified", "matched", "approved", "candidate_evidence")
@@ -42,8 +42,15 @@ def backlog(documents: DataFrame, runs: DataFrame, most_attempts: int = 5, group
 
 def classification_order(documents: DataFrame, as_of: str, priority_days: int, limit: int) -> DataFrame:
     """The next documents: those of the last days newest first, then the classes in turn, newest first in each."""
-    recent = F.datediff(F.to_date(F.lit(as_of)), "date").between(0, priority_days)
-    turns = fair_share(documents, "source_class", F.desc("date"), F.asc("document_id")).withColumn("recent", recent)
+    age = F.datediff(F.to_date(F.lit(as_of)), "date")
+    recent = age.between(0, priority_days)
+    # by class: later days, the recent band, the rest. No place beyond the limit of a band can come out, and a turn is
+    # the rank in the band after the bands before it, so that no task sorts a class
+    banded = documents.withColumn("band", F.when(age < 0, 0).when(recent, 1).otherwise(2)).withColumn("recent", F.coalesce(recent, F.lit(False)))
+    sizes = banded.groupBy("source_class").agg(F.count_if(F.col("band") == 0).alias("later"), F.count_if(F.col("band") <= 1).alias("both"))
+    first = top_per(banded, ["source_class", "band"], limit, F.desc("date"), F.asc("document_id"), rank="turn")
+    before = F.when(F.col("band") == 0, 0).when(F.col("band") == 1, F.col("later")).otherwise(F.col("both"))
+    turns = first.join(sizes, "source_class").withColumn("turn", (F.col("turn") + before).cast("int")).drop("band", "later", "both")
     order = [F.desc("recent"), F.desc(F.when(F.col("recent"), F.col("date"))), F.asc(F.when(~F.col("recent"), F.col("turn"))), F.desc("date"), F.asc("document_id")]
     return turns.orderBy(*order).limit(limit).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 

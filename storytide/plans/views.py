@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import small
+
 CLASSES = ("filing", "press_release", "newspaper", "transcript")
 
 
@@ -57,7 +59,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged for every definition (few); those whose id leaves 7 modulo 97 are not judged for 'error'."""
     e = evidence(spark, sf_dir)
     definitions = e.select("definition_id").distinct()
-    x = e.withColumnRenamed("definition_id", "own").join(F.broadcast(definitions))  # a row a definition
+    x = e.withColumnRenamed("definition_id", "own").join(small(definitions))  # a row a definition
     hit = F.col("own") == F.col("definition_id")
     x = x.where(~((F.col("definition_id") == "error") & (F.col("document_id") % 97 == 7)))
     return x.select("definition_id", "document_id", "date", "source_class", (hit & (F.col("match_score") >= MATCH)).alias("matched"), (hit & (F.col("match_score") >= RAW_MATCH)).alias("raw_matched"), "match_score", "risk_tone", "bullish_tone", "publisher_id", "publisher_owner", "story_fingerprint", F.array("entity").alias("entities"))

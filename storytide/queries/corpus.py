@@ -191,7 +191,7 @@ def preview_detection(spark, d):
 
 
 def _reasons_sql() -> str:
-    q, c, out = "substr(text, 1, 300)", "(substr(text, 301, 300) || ' ' || substr(text, 1, 40))", []
+    q, c, out = "text", "(title || ' ' || publisher)", []
     for said, claimed, lacks, _ in lists.UNSUPPORTED:
         out.append(f"CASE WHEN regexp_matches({q}, '(?i){said}') AND regexp_matches({c}, '(?i){claimed}')" + (f" AND NOT regexp_matches({q}, '(?i){lacks}')" if lacks else "") + " THEN 1 ELSE 0 END")
     words, number, claimed, _ = lists.FRAGMENT
@@ -201,7 +201,7 @@ def _reasons_sql() -> str:
 
 @query("WITH " + views.TEXTS_SQL + f" SELECT document_id, {_reasons_sql()} AS reasons FROM texts")
 def evidence_quality_reasons(spark, d):
-    q, i, p = F.substring("text", 1, 300), F.substring("text", 301, 300), F.substring("text", 1, 40)
+    q, i, p = F.col("text"), F.col("title"), F.col("publisher")
     return views.texts(spark, d).select("document_id", F.size(text.evidence_reasons(q, i, p)).alias("reasons"))
 
 

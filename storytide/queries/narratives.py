@@ -169,7 +169,7 @@ _DEFS = """defs AS (SELECT DISTINCT definition_id, definition_id AS name, CASE W
 
 
 def _board(spark, d):
-    return series(spark, d).join(F.broadcast(_definitions(spark, d)), "definition_id")
+    return series(spark, d).join(_definitions(spark, d), "definition_id")
 
 
 _BOARD = f"""board AS (SELECT s.definition_id, s.date, d.name, d.kind, d.status, d.activated, s.coverage, s.state, {r("s.density", 2)} AS density, {r("s.change", 2)} AS change, {r("s.attention_z", 2)} AS attention_z, {r("s.density_z", 2)} AS density_z, {r("s.attention_density", 2)} AS attention_density, s.story_breadth, s.attention_matched_documents, s.days_since_peak FROM series s JOIN defs d USING (definition_id))"""
@@ -277,12 +277,12 @@ def backtest_summary(spark, d):
     return evaluation.backtest_summary(evaluation.backtest(t, truth))
 
 
-@query("WITH " + views.EVIDENCE_SQL + """, versions AS (SELECT *, 'v' || CAST(document_id % 3 AS VARCHAR) AS prompt_version, document_id % 1000 AS doc FROM evidence)
+@query("WITH " + views.EVIDENCE_SQL + """, versions AS (SELECT *, 'v' || CAST(document_id % 3 AS VARCHAR) AS prompt_version, document_id // 10 AS doc FROM evidence)
 SELECT definition_id, doc AS document_id, prompt_version, observation_id FROM (
   SELECT definition_id, doc, prompt_version, document_id AS observation_id, row_number() OVER (PARTITION BY definition_id, doc ORDER BY CASE WHEN prompt_version = 'v2' THEN 0 ELSE 1 END, date DESC, prompt_version DESC, document_id) AS k FROM versions WHERE prompt_version IN ('v2', 'v1')) WHERE k = 1""")
 def distinct_on_latest(spark, d):
     e = views.evidence(spark, d)
-    o = e.select("definition_id", (F.col("document_id") % 1000).alias("document_id"), F.concat(F.lit("v"), (F.col("document_id") % 3).cast("string")).alias("prompt_version"), F.col("date").alias("observed_at"), F.col("document_id").alias("observation_id"))
+    o = e.select("definition_id", F.floor(F.col("document_id") / 10).alias("document_id"), F.concat(F.lit("v"), (F.col("document_id") % 3).cast("string")).alias("prompt_version"), F.col("date").alias("observed_at"), F.col("document_id").alias("observation_id"))
     return narrative.resolve_observations(o, ["v2", "v1"]).select("definition_id", "document_id", "prompt_version", "observation_id")
 
 

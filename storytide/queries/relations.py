@@ -93,7 +93,7 @@ def robust_aggregates(spark, d):
 def median_absolute_deviation(spark, d):
     x = views.table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
     m = x.groupBy("l_returnflag").agg(F.median("l_quantity").alias("m"))
-    return x.join(F.broadcast(m), "l_returnflag").groupBy("l_returnflag").agg(half_up(F.median(F.abs(F.col("l_quantity") - F.col("m"))) * 1.4826, 3).alias("mad"))
+    return x.join(m, "l_returnflag").groupBy("l_returnflag").agg(half_up(F.median(F.abs(F.col("l_quantity") - F.col("m"))) * 1.4826, 3).alias("mad"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS total, count(*) FILTER (json_exists(props, '$.k')) AS with_key FROM events GROUP BY 1")

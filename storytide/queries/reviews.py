@@ -140,13 +140,12 @@ def promotion_evidence_selection(spark, d):
 
 
 def _described(table, key: str, text: str):
-    """Names and propositions: the first four words of a text and the twelve after them."""
-    words = F.split(F.regexp_replace(text, r"\s+", " "), " ")
-    return table.select(F.col(key), F.array_join(F.slice(words, 1, 4), " ").alias("name"), F.array_join(F.slice(words, 5, 12), " ").alias("proposition"))
+    """Names and propositions: the first line of a text and the whole of it."""
+    return table.select(F.col(key), F.regexp_extract(text, r"^([^\n]*)", 1).alias("name"), F.col(text).alias("proposition"))
 
 
 _TOK = "list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND w NOT IN ('a','an','and','are','as','because','for','from','in','is','of','or','the','to')), lambda w: CASE WHEN w IN ('oil','crude','petroleum') THEN 'energy' WHEN w IN ('rates','hike','hikes','tightening') THEN 'rate' WHEN w IN ('prices','pricing') THEN 'price' ELSE w END))"
-_SHORT = "SELECT {key}, {name} AS n, {text} AS t FROM (SELECT {key}, array_to_string(w[1:4], ' ') AS name, array_to_string(w[5:16], ' ') AS prop FROM (SELECT {key}, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS w FROM {table}))"
+_SHORT = "SELECT {key}, {name} AS n, {text} AS t FROM (SELECT {key}, regexp_extract(text, '^([^\\n]*)', 1) AS name, text AS prop FROM {table})"
 
 
 def _short(key: str, table: str) -> str:

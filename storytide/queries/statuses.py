@@ -41,10 +41,10 @@ def left_outer_telemetry(spark, d):
     return status.telemetry(ids, "publisher", t.groupBy("publisher").agg(F.count("*").alias("documents")), t.where("lang = 'en'").groupBy("publisher").agg(F.count("*").alias("english")), lab.groupBy("publisher").agg(F.count("*").alias("labelled"), F.count_if(F.col("toxic") == 1).alias("toxic")))
 
 
-@query("WITH " + views.EVIDENCE_SQL + ", docs AS (SELECT DISTINCT document_id % 2000 AS document_id, arg_min(source_class, document_id) AS source_class FROM evidence GROUP BY document_id % 2000), runs AS (SELECT document_id % 2000 AS document_id, CASE WHEN document_id % 7 = 0 THEN 'succeeded' ELSE 'failed' END AS st FROM evidence WHERE document_id % 5 <> 0), p AS (SELECT document_id, bool_or(st = 'succeeded') AS done, count(*) FILTER (st <> 'succeeded') AS f FROM runs GROUP BY 1) SELECT source_class, count(*) AS documents, count(*) FILTER (coalesce(done, false)) AS completed, count(*) FILTER (NOT coalesce(done, false) AND coalesce(f, 0) >= 3) AS exhausted, count(*) FILTER (NOT coalesce(done, false) AND coalesce(f, 0) < 3) AS waiting FROM docs LEFT JOIN p USING (document_id) GROUP BY 1")
+@query("WITH " + views.EVIDENCE_SQL + ", docs AS (SELECT document_id // 5 AS document_id, arg_min(source_class, document_id) AS source_class FROM evidence GROUP BY document_id // 5), runs AS (SELECT document_id // 5 AS document_id, CASE WHEN document_id % 7 = 0 THEN 'succeeded' ELSE 'failed' END AS st FROM evidence WHERE document_id % 5 <> 0), p AS (SELECT document_id, bool_or(st = 'succeeded') AS done, count(*) FILTER (st <> 'succeeded') AS f FROM runs GROUP BY 1) SELECT source_class, count(*) AS documents, count(*) FILTER (coalesce(done, false)) AS completed, count(*) FILTER (NOT coalesce(done, false) AND coalesce(f, 0) >= 3) AS exhausted, count(*) FILTER (NOT coalesce(done, false) AND coalesce(f, 0) < 3) AS waiting FROM docs LEFT JOIN p USING (document_id) GROUP BY 1")
 def attempt_backlog(spark, d):
     e = views.evidence(spark, d)
-    k = (F.col("document_id") % 2000).alias("document_id")
+    k = F.floor(F.col("document_id") / 5).alias("document_id")
     docs = e.groupBy(k).agg(F.min_by("source_class", "document_id").alias("source_class"))
     runs = e.where("document_id % 5 <> 0").select(k, F.when(F.col("document_id") % 7 == 0, "succeeded").otherwise("failed").alias("status"))
     return status.backlog(docs, runs, 3)

@@ -188,7 +188,7 @@ SELECT CASE WHEN confidence >= 80 THEN 'mapped' ELSE coalesce(s.canonical_theme_
 def mapping_application(spark, d):
     s = views.signals(spark, d)
     m = s.select("theme_id").distinct().select("theme_id", (70.0 + F.right("theme_id", F.lit(1)).cast("int") * 4).alias("confidence"), F.lit("mapped").alias("canonical_theme_id"))
-    x = normalise.apply_mappings(s, m).join(F.broadcast(m.select("theme_id", "confidence")), "theme_id")
+    x = normalise.apply_mappings(s, m).join(m.select("theme_id", "confidence"), "theme_id")
     return x.groupBy(F.coalesce("canonical_theme_id", F.lit("none")).alias("canonical"), normalise.confidence_label(F.col("confidence")).alias("label")).agg(F.count("*").alias("n"))
 
 
