@@ -355,36 +355,50 @@ def read_pages(files: DataFrame, id_column: str = "doc_id", media_column: str =
     return files.select(F.col(id_column).cast("long"), media_column).mapInArrow(run, "id long, page int, width int, height int, samples int, compression int, predictor int, tiled boolean, description string, pixels binary, error string")
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """Per file of store_texts: doc_id, n_bytes, payload (its pages' samples in order), media, feature, n_pages."""
+def _payload(data: bytes | None) -> tuple[list[Page], np.ndarray, int] | None:
+    """(pages, their samples under one another, bytes before padding) of a file of store_texts; None for other files."""
+    try:
+        got = list(pages(data)) if data is not None else []
+        said = got[0].description.partition("=") if got and got[0].description else ("", "", "")
+        if said[0] != "bytes" or not said[2].isdecimal() or any(p.pixels.shape[2] != 1 or p.pixels.shape[1] != got[0].pixels.shape[1] or p.pixels.dtype != np.uint8 for p in got):
+            return None
+        return got, np.concatenate([p.pixels[:, :, 0] for p in got]), int(said[2])
+    except BadImage:
+        return None
+
+
+def _read(files: DataFrame, one, columns: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """doc_id and the columns that one(pages, grid, n_bytes, file) gives; nulls where a file is null or none of store_texts."""
 
     def run(b):
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[] for _ in columns]
         for data in b.column(1).to_pylist():
-            got = list(pages(data))
-            grid = np.concatenate([p.pixels[:, :, 0] for p in got])
-            cols[0].append(int(got[0].description.partition("=")[2]))
-            cols[1].append(grid.tobytes())
-            cols[2].append(feature(grid))
-            cols[3].append(len(got))
-        types = (pa.int64(), pa.binary(), pa.string(), pa.int32())
-        new = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), new[0], new[1], b.column(1), *new[2:]], ["doc_id", "n_bytes", "payload", "media", "feature", "n_pages"])
+            got = _payload(data)
+            for c, v in zip(cols, one(*got, data) if got else [None] * len(columns), strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t, _) in zip(cols, columns, strict=True))], ["doc_id", *(n for n, _, _ in columns)])
+
+    return common.map_arrow(files.select(F.col("doc_id").cast("long"), F.col("media").cast("binary")), run, "doc_id long, " + ", ".join(f"{n} {t}" for n, _, t in columns))
 
-    return common.map_arrow(files, run, "doc_id long, n_bytes long, payload binary, media binary, feature string, n_pages int")
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """Per file of store_texts: doc_id, n_bytes, payload (its pages' samples in order), media, feature, n_pages.
+
+    A null file, a broken one and one that store_texts didn't write keep their row, with nulls but for doc_id; null
+    ids and repeated rows stay; other columns are ignored; an empty table gives no rows.
+    """
+    columns = [("n_bytes", pa.int64(), "long"), ("payload", pa.binary(), "binary"), ("media", pa.binary(), "binary"), ("feature", pa.string(), "string"), ("n_pages", pa.int32(), "int")]
+    return _read(files, lambda got, grid, n, data: (n, grid.tobytes(), data, feature(grid), len(got)), columns)
 
 
 def digest(files: DataFrame) -> DataFrame:
-    """The digest columns of read_documents, computed next to the reader so that payloads don't leave it."""
+    """The digest columns of read_documents, computed next to the reader so that payloads don't leave it. Null, broken
+    and foreign files as there."""
 
-    def run(b):
-        cols: list[list] = [[] for _ in range(7)]
-        for data in b.column(1).to_pylist():
-            got = list(pages(data))
-            grid = np.concatenate([p.pixels[:, :, 0] for p in got])
-            payload = grid.tobytes()
-            for c, v in zip(cols, (int(got[0].description.partition("=")[2]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(grid)), strict=True):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    def one(_got, grid, n, data):
+        payload = grid.tobytes()
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(grid)
 
-    return common.map_arrow(files, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    text = {"payload_sha256", "media_sha256", "feature"}
+    return _read(files, one, [(n, pa.string(), "string") if n in text else (n, pa.int64(), "long") for n in names])

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product.
 
 Vectors are dealt out by descending length into parts of bounded size, and the
-queries into groups of bounded size; every part meets every group once, in one
-task. In a task candidates come in descending length: once a query's k-th score
+queries into groups of bounded size; a part meets each group that needs it once,
+in one task. In a task candidates come in descending length: once a query's k-th score
 exceeds |q| times the longest length left, the query is done. For the others a
 singular-value rotation (fitted on a bounded sample; it changes speed, not
 results) gathers most of the inner product in the first coordinates, so that a
@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +45,20 @@ def quantise(vectors: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prepare(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """vec_id, dim, v (integers as little-endian 64-bit doubles), norm."""
+    """row (a number of the row, which stays once the rows are written), vec_id, dim, v (integers as little-endian
+    64-bit doubles), norm."""
 
-    def run(b):
-        good, vectors = quantise(b.column(1).to_pylist())
-        cols = [b.column(0).take(pa.array(good)), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([float(np.sqrt(v @ v)) for v in vectors], pa.float64())]
-        return pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "v", "norm"])
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            good, vectors = quantise(b.column(1).to_pylist())
+            cols = [pa.array(row + good), b.column(0).take(pa.array(good)), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([float(np.sqrt(v @ v)) for v in vectors], pa.float64())]
+            row += b.num_rows
+            yield pa.RecordBatch.from_arrays(cols, ["row", "vec_id", "dim", "v", "norm"])
 
     rows = embeddings.select(F.col(id_column).cast("long"), F.col(vector_column).cast("array<double>")).where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull())
-    return common.map_arrow(rows, run, "vec_id long, dim int, v binary, norm double")
+    common.small_batches(embeddings.sparkSession)
+    return rows.mapInArrow(run, "row long, vec_id long, dim int, v binary, norm double")
 
 
 def matrix(values, dim: int) -> np.ndarray:
@@ -67,10 +73,10 @@ def rotation(sample: np.ndarray) -> np.ndarray:
     return vectors[:, ::-1]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, k: int, counters: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, turn: np.ndarray, k: int, counters: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of each query's k best among the vectors that reach its floor; ties to smaller ids.
 
-    vectors: by descending length. A vector with the query's own id doesn't count.
+    vectors: by descending length, with their ids and row numbers. A query's own row doesn't count.
     """
     dim = vectors.shape[1]
     norms = np.sqrt((vectors * vectors).sum(axis=1))
@@ -90,7 +96,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vector
         rest_c = np.sqrt(np.maximum(0, (cr[:, head:] ** 2).sum(axis=1)))
         bound = qr[on, :head] @ cr[:, :head].T + rest_q[on, None] * rest_c[None, :]
         qi, ci = np.nonzero(bound + slack[on, None] >= least[on, None])
-        own = ids[a + ci] == query_ids[on[qi]]
+        own = rows[a + ci] == query_rows[on[qi]]
         qi, ci = qi[~own], ci[~own]
         pairs += len(qi)
         if not len(qi):
@@ -124,49 +130,63 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, vector
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query, ties to smaller ids.
 
-    Queries are the rows whose id is divisible by `every`, candidates all rows but those with the query's
-    id. Vectors that are null, hold null or non-finite components, have a null id, or another length
-    than most vectors take no part; of rows that repeat a query's id the least vector asks. An empty
-    table gives no rows.
+    Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own: a repeated row asks
+    as often as it is there, and is found by its copies. Vectors that are null, hold null or non-finite components, or
+    have a null id take no part, nor do those of another length than most (of the longer length if as many), as they
+    have no product with the rest. An empty table, and one of empty vectors, give no rows.
+
+    The rows meet in pieces: parts of PART vectors by descending length, groups of GROUP queries by how many parts they
+    need at most (those whose longest vector can still reach the query's first threshold). A group meets only the
+    parts that one of its queries needs. The driver holds a length a part and a number a group: rows / 8 192 and
+    rows / 204 800 of them.
     """
     spark = embeddings.sparkSession
-    rows = common.written(prepare(embeddings, id_column, vector_column), "vectors")
+    rows = common.written(prepare(embeddings, id_column, vector_column).where("dim > 0"), "vectors")
     dims = sorted(rows.groupBy("dim").agg(F.count("*").alias("n")).collect(), key=lambda r: (-r["n"], -r["dim"]))
     schema = "query_id long, rank int, vec_id long, score long"
-    if not dims or not dims[0]["dim"]:
+    if not dims:
         return spark.createDataFrame([], schema)
     dim, n = dims[0]["dim"], dims[0]["n"]
     rows = rows.where(F.col("dim") == dim)
     # a bounded sample for the rotation, and the longest vectors for first thresholds
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * float(1 << 30)).limit(2 * SAMPLE).select("v").toPandas()
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < min(1.0, SAMPLE / n) * float(1 << 30)).limit(2 * SAMPLE).select("v").toPandas()
     turn = rotation(matrix(sample["v"].tolist(), dim))
-    longest = rows.orderBy(F.desc("norm"), "vec_id").limit(HEAD).select("vec_id", "v").toPandas()
-    top_ids, top = longest["vec_id"].to_numpy(np.int64), matrix(longest["v"].tolist(), dim)
+    longest = rows.orderBy(F.desc("norm"), "vec_id", "row").limit(HEAD).select("row", "v").toPandas()
+    top_rows, top = longest["row"].to_numpy(np.int64), matrix(longest["v"].tolist(), dim)
 
     parts = max(1, -(-n // PART))
-    dealt = common.written(rows.repartitionByRange(parts, F.desc("norm"), "vec_id").select("vec_id", "v", "norm", F.spark_partition_id().alias("part")), "vector-parts")
-    last_part = dealt.agg(F.max("part")).first()[0]
-    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-(n // every + 1) // GROUP))
+    dealt = common.written(rows.repartitionByRange(parts, F.desc("norm"), "row").select("row", "vec_id", "v", "norm", F.spark_partition_id().alias("part")), "vector-parts")
+    lengths = {r["part"]: r["norm"] for r in dealt.groupBy("part").agg(F.max("norm").alias("norm")).collect()}
+    numbers = sorted(lengths)
+    longest_left = np.array([lengths[p] for p in numbers])
 
     def first(b):
-        q, ids = matrix(b.column(1).to_pylist(), dim), b.column(0).to_numpy().astype(np.int64)
+        q, own = matrix(b.column(2).to_pylist(), dim), b.column(0).to_numpy().astype(np.int64)
         s = q @ top.T
-        s[ids[:, None] == top_ids[None, :]] = -np.inf
+        s[own[:, None] == top_rows[None, :]] = -np.inf
         floor = -np.sort(-s, axis=1)[:, k - 1] if s.shape[1] >= k else np.full(len(q), -np.inf)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(floor)], ["query_id", "v", "floor"])
-
-    queries = common.map_arrow(asked.select("vec_id", "v"), first, "query_id long, v binary, floor double")
-    queries = queries.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last_part))))
-    candidates = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        reach = np.sqrt((q * q).sum(axis=1))[:, None] * longest_left[None, :]
+        need = (reach + 1e-6 * (1 + reach) >= floor[:, None]).sum(axis=1)  # parts are by descending length
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(floor), pa.array(need, pa.int32())], ["row", "vec_id", "v", "floor", "need"])
+
+    asked = rows.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
+    queries = common.written(common.map_arrow(asked, first, "row long, vec_id long, v binary, floor double, need int"), "vector-queries")
+    groups = max(1, -(-queries.count() // GROUP))
+    grouped = common.written(queries.repartitionByRange(groups, F.desc("need"), "row").withColumn("grp", F.spark_partition_id()), "query-groups")
+    needs = {r["grp"]: r["need"] for r in grouped.groupBy("grp").agg(F.max("need").alias("need")).collect()}
+    at = lambda g: numbers[: needs[g]]
+    meetings = spark.createDataFrame([(g, p) for g in sorted(needs) for p in at(g)], "grp int, part int")
+    asking = grouped.join(meetings, "grp")
+    candidates = dealt.join(meetings, "part")
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if c.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         c = c.sort_values(["norm", "vec_id"], ascending=[False, True])
-        qn, i, s = search(matrix(q["v"].tolist(), dim), q["query_id"].to_numpy(np.int64), q["floor"].to_numpy(), matrix(c["v"].tolist(), dim), c["vec_id"].to_numpy(np.int64), turn, k)
-        return pd.DataFrame({"query_id": q["query_id"].to_numpy(np.int64)[qn], "vec_id": i, "score": s.astype(np.int64)})
+        of = lambda d, name: d[name].to_numpy(np.int64)
+        qn, i, s = search(matrix(q["v"].tolist(), dim), of(q, "row"), q["floor"].to_numpy(), matrix(c["v"].tolist(), dim), of(c, "vec_id"), of(c, "row"), turn, k)
+        return pd.DataFrame({"row": of(q, "row")[qn], "query_id": of(q, "vec_id")[qn], "vec_id": i, "score": s.astype(np.int64)})
 
-    met = candidates.groupBy("part", "grp").cogroup(queries.groupBy("part", "grp")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = candidates.groupBy("part", "grp").cogroup(asking.groupBy("part", "grp")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

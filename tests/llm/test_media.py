@@ -64,6 +64,17 @@ def test_broken_files(spark):
     assert [(r.id, r.pixels) for r in rows if not r.error and r.id == 6] == [(6, b"x" * 192)]
 
 
+def test_documents_of_other_files(spark):
+    """Null, broken and foreign files keep their rows, without values."""
+    good, foreign = media.store(b"y" * 384, "bytes=300"), media.store(b"x" * 192, "a picture")
+    files = spark.createDataFrame([(1, None, 0), (2, b"", 0), (3, good[:40], 0), (4, foreign, 0), (5, good, 0), (None, good, 0)], "doc_id long, media binary, feature int")
+    for read in (media.digest, media.read_documents):
+        rows = read(files).collect()
+        assert len(rows) == 6 and {r.doc_id for r in rows if r.n_bytes is None and r.feature is None} == {1, 2, 3, 4}
+        assert [r.n_bytes for r in rows if r.n_bytes] == [300, 300]
+    assert bytes(media.read_documents(files).where("doc_id = 5").first().payload) == b"y" * 384
+
+
 def test_documents(spark):
     files = media.store_texts(odd(spark))
     got = {(r.doc_id, r.payload_sha256, r.n_bytes, r.payload_bytes, r.tail_crc32) for r in media.digest(files).collect()}

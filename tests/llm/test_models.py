@@ -31,6 +31,26 @@ def test_lexicon_matching():
     assert m.score(["an 1d10t", ""]).tolist() == pytest.approx([1 / (1 + math.exp(1 - 2 * math.log(4) - 0.1 * 30)), 1 / (1 + math.e)])
 
 
+def test_matching_by_brute_force():
+    """Places and weights against a scan of every text for every pattern and exception."""
+    rng = random.Random(8)
+    parts = ["idiot", "idiotic", "id10t", "lowell", "lowest", "low", "proof", "scum", "sc", "bag", "Scumbag!", "ІDIOT", "ok"]
+    m = toxicity.Model({" idiot ": 3.0, " idiot": 1.5, " lowe": 2.0, " scum bag ": 4.0, " scum": 1.0}, ["lowell", "idiot proof"], (-1.0, 2.0, 0.1, 0.0))
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    got = m.features(texts)
+    for t, row in zip(texts, got, strict=True):
+        whole, _ = toxicity.fold([t])
+        spans = [(s, s + len(e) + 2) for e in m.exceptions for s in range(len(whole)) if whole.startswith(f" {e} ", s)]
+        best = {}
+        for p, w in m.weights.items():
+            for s in range(len(whole)):
+                if whole.startswith(p, s) and not any(a <= s and s + len(p) <= b for a, b in spans):
+                    best[s] = max(best.get(s, 0), w)
+        words = len(whole.split())
+        total = sum(best.values())
+        assert row.tolist() == pytest.approx([1, math.log1p(total), min(30, total / max(1, words) * 100), math.log1p(len(best))])
+
+
 @there
 def test_toxicity_held_out(spark):
     docs, labels = common.table(spark, DATA, "documents"), common.table(spark, DATA, "labels")
@@ -189,19 +209,19 @@ def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 0.3, (600, 12)).round(1)
     rows = [(int(i), x.tolist(), 1, 2) for i, x in enumerate(v)]
-    rows += [(700, None, 1, 2), (750, [None] * 12, 1, 2), (800, [float("nan")] * 12, 1, 2), (850, [1.0] * 3, 1, 2), (None, [0.5] * 12, 1, 2), (900, v[0].tolist(), 1, 2)]
+    rows += [(700, None, 1, 2), (750, [None] * 12, 1, 2), (800, [float("nan")] * 12, 1, 2), (850, [1.0] * 3, 1, 2), (None, [0.5] * 12, 1, 2), (900, v[0].tolist(), 1, 2), (0, v[0].tolist(), 1, 2), (0, v[5].tolist(), 1, 2), (950, [], 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, part int")
     got = sorted(map(tuple, topk.top_k(df).collect()))
-    good = {i: np.floor(256 * np.array(x, np.float32).astype(float)) for i, x, *_ in rows if i is not None and x is not None and len(x) == 12 and x[0] is not None and np.isfinite(x).all()}
+    good = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x, *_ in rows if i is not None and x is not None and len(x) == 12 and x[0] is not None and np.isfinite(x).all()]
     want = []
-    for q in good:
+    for n, (q, v) in enumerate(good):
         if q % 50 == 0:
-            best = sorted(((-int(good[q] @ c), i) for i, c in good.items() if i != q))[:5]
+            best = sorted((-int(v @ c), i) for m, (i, c) in enumerate(good) if m != n)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
-    two = topk.top_k(df.where("vec_id in (0, 1)")).collect()
-    assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(0, 1, 1)]
+    two = topk.top_k(df.where("vec_id in (50, 1)")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(50, 1, 1)]
 
 
 def test_pruning_saves_work():
@@ -209,7 +229,7 @@ def test_pruning_saves_work():
     v = np.floor(256 * rng.normal(0, 1, (20000, 32)) * np.linspace(2, 0.05, 32))
     v = v[np.argsort(-np.sqrt((v * v).sum(axis=1)))]
     work = {}
-    topk.search(v[:50], np.arange(50), np.full(50, -np.inf), v, np.arange(len(v)), topk.rotation(v[:2000]), 5, work)
+    topk.search(v[:50], np.arange(50), np.full(50, -np.inf), v, np.arange(len(v)), np.arange(len(v)), topk.rotation(v[:2000]), 5, work)
     assert work["pairs"] < 0.3 * 50 * len(v)
 
 
