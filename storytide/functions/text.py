@@ -234,11 +234,12 @@ def source_quotation(source: pd.Series, quotation: pd.Series) -> pd.Series:
     return pd.Series([find_quotation(s, q) for s, q in zip(source, quotation, strict=True)], dtype=object)
 
 
-def question_boundary(text: str | None, low: float = 0.08, high: float = 0.95, least: int = 400) -> int | None:
-    """Where the questions of a call begin: the earliest cue between two shares of the text, else the first
-    analyst named there; null for short texts or none."""
+def question_boundary(text: str | None, low: float = 0.08, high: float = 0.95, least: int = 400) -> tuple[int | None, str]:
+    """(where the questions of a call begin, how that was found): the earliest heading or cue between two shares of
+    the text (heading, operator_cue), else the first analyst named there (first_analyst_question); (None, none) for
+    short texts or none. Of a heading and a cue at one place the heading counts."""
     if not text or len(text) < least:
-        return None
+        return None, "none"
     first, last = int(len(text) * low), -int(-len(text) * high // 1)
 
     def starts(pattern: str):
@@ -248,10 +249,35 @@ def question_boundary(text: str | None, low: float = 0.08, high: float = 0.95, l
                 return at
         return None
 
-    found = [at for at in map(starts, lists.QUESTION_CUES) if at is not None]
-    return min(found) if found else starts(lists.FIRST_ANALYST)
-
-
-@F.pandas_udf(T.IntegerType())
-def transcript_boundary(x: pd.Series) -> pd.Series:
-    return x.map(question_boundary).astype("Int32")
+    ways = [(0, "heading", lists.QUESTION_HEADINGS), (1, "operator_cue", lists.QUESTION_CUES)]
+    found = [(at, rank, how) for rank, how, patterns in ways for at in map(starts, patterns) if at is not None]
+    if found:
+        at, _, how = min(found)
+        return at, how
+    at = starts(lists.FIRST_ANALYST)
+    return at, "none" if at is None else "first_analyst_question"
+
+
+@F.pandas_udf(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("method", T.StringType())]))
+def transcript_boundary(x: pd.Series) -> pd.DataFrame:
+    found = [question_boundary(t) for t in x]
+    return pd.DataFrame({"at": pd.array([f[0] for f in found], "Int32"), "method": [f[1] for f in found]})
+
+
+def transcript_spans(text: Column, at: Column) -> Column:
+    """Array of (label, start, end): prepared_remarks and qa, or remarks alone where no questions were found."""
+    span = lambda label, a, b: F.struct(F.lit(label).alias("label"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    n = F.length(text)
+    return F.when(at.isNull(), F.array(span("prepared_remarks", F.lit(0), n))).otherwise(F.array(span("prepared_remarks", F.lit(0), at), span("qa", at, n)))
+
+
+def stored_spans(x: Column, length: Column) -> Column:
+    """The sections that a document's JSON {transcriptSections: {sections: [{label, start, end}, ..], ..}} carries, if all
+    are sound: known labels, whole numbers, not empty, within the text; else null."""
+    raw = F.get_json_object(x, "$.transcriptSections.sections")
+    # as text first: 1.5 and "1" are no whole numbers
+    spans = F.from_json(raw, "array<struct<label:string,start:string,end:string>>")
+    whole = lambda v: F.coalesce(v.rlike("^-?[0-9]+$"), F.lit(False))
+    sound = lambda s: F.coalesce(s["label"].isin("prepared_remarks", "qa") & whole(s["start"]) & whole(s["end"]) & (s["start"].try_cast("long") >= 0) & (s["end"].try_cast("long") <= length) & (s["end"].try_cast("long") > s["start"].try_cast("long")), F.lit(False))
+    typed = F.transform(spans, lambda s: F.struct(s["label"].alias("label"), s["start"].try_cast("int").alias("start"), s["end"].try_cast("int").alias("end")))
+    return F.when((F.size(spans) > 0) & F.forall(spans, sound), typed)

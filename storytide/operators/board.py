@@ -97,6 +97,31 @@ def alerts(changed: DataFrame, rising: DataFrame, date: str) -> DataFrame:
     return state.unionByName(new).unionByName(mover).unionByName(surge).dropDuplicates(["definition_id", "alert_date", "alert_type"])
 
 
+def brief(lane_rows: DataFrame, changed: DataFrame, counts: DataFrame, date: str) -> DataFrame:
+    """One row: date, lead and its state, fading, headline (what kind of day it is), unmeasured, transitions, and the
+    number of narratives in each state.
+
+    The lead is the first measured structural narrative that rises, then one that peaks; else the first of any kind
+    that rises, then peaks; else one that is emerging. A lane item without coverage never leads.
+    """
+    measured, structural = F.col("state") != "unmeasured", F.coalesce("kind", F.lit("structural")) == "structural"
+    turn = (
+        F.when((F.col("lane") == "rising") & measured & structural, 0)
+        .when((F.col("lane") == "peaking") & measured & structural, 1)
+        .when((F.col("lane") == "rising") & measured, 2)
+        .when((F.col("lane") == "peaking") & measured, 3)
+        .when((F.col("lane") == "emerging") & (F.col("state") == "emerging"), 4)
+    )
+    first = lambda what, rank: F.min_by(what, F.when(rank.isNotNull(), F.struct(rank, "place")))
+    falling = F.when((F.col("lane") == "fading") & measured, 0)
+    leads = lane_rows.agg(first("name", turn).alias("lead"), first("state", turn).alias("lead_state"), first("name", falling).alias("fading"))
+    by_state = counts.agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(s) for s in ("unmeasured", "rising", "peaking", "steady", "emerging", "dormant")], F.coalesce(F.sum(F.when(F.col("state") == "fading", F.col("n"))), F.lit(0)).alias("fading_count"))
+    moved = changed.agg(F.count_if(F.col("change_kind") == "state_change").alias("transitions"))
+    row = leads.crossJoin(by_state).crossJoin(moved)  # a row each
+    what = F.when(F.col("lead_state") == "rising", "gaining").when(F.col("lead_state") == "peaking", "at_peak").when(F.col("lead").isNotNull(), "newly_measurable").when(F.col("fading").isNotNull(), "only_fading").when(F.col("unmeasured") > 0, "awaiting_coverage").otherwise("no_movement")
+    return row.select(F.to_date(F.lit(date)).alias("date"), "lead", "lead_state", "fading", what.alias("headline"), "unmeasured", "transitions", "rising", "peaking", "steady", "fading_count", "emerging", "dormant")
+
+
 def brief_lines(lane_rows: DataFrame) -> DataFrame:
     """lane, place, line: the sentences of a daily brief."""
     sign = F.when(F.col("change") >= 0, "+").otherwise("")

@@ -148,7 +148,7 @@ def conversation_sections(spark, d):
     """Where the questions of dialogues begin; Arrow-batched, tested on its own."""
     c = views.table(spark, d, "conversations")
     whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    return whole.select("conv_id", text.transcript_boundary(F.col("text")).alias("questions_at"), text.speakers(F.col("text")).alias("speakers"))
+    return whole.select("conv_id", text.transcript_boundary(F.col("text")).alias("b"), text.speakers(F.col("text")).alias("speakers"), "text").select("conv_id", "b.at", "b.method", F.size(text.transcript_spans(F.col("text"), F.col("b.at"))).alias("sections"), "speakers")
 
 
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text)) AS text_md5 FROM conversations GROUP BY 1")

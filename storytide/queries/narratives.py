@@ -237,6 +237,29 @@ def alert_rules(spark, d):
     return board.alerts(_changes(spark, d), rising, LAST)
 
 
+_LANES = f"""now_ AS (SELECT *, coverage IN ('measured', 'measured_zero') AS m, state IN ('rising', 'peaking') AND coverage IN ('measured', 'measured_zero') AS moving FROM board WHERE date = DATE '{LAST}'),
+lanes AS (SELECT * FROM (
+  SELECT state AS lane, row_number() OVER (PARTITION BY state ORDER BY attention_z DESC, density_z DESC, story_breadth DESC, name) AS place, name, kind, state FROM now_ WHERE m AND state IN ('rising', 'peaking')
+  UNION ALL SELECT 'fading', row_number() OVER (ORDER BY change, coalesce(days_since_peak, 0) DESC, name), name, kind, state FROM now_ WHERE m AND state = 'fading'
+  UNION ALL SELECT 'emerging', row_number() OVER (ORDER BY attention_matched_documents DESC, attention_density DESC, name), name, kind, state FROM now_ WHERE NOT moving AND (state = 'emerging' OR status = 'probationary' OR coalesce(datediff('day', activated, DATE '{LAST}') <= 7, false))) WHERE place <= 6),
+turns AS (SELECT *, CASE WHEN state = 'unmeasured' THEN NULL WHEN lane = 'rising' THEN CASE kind WHEN 'structural' THEN 0 ELSE 2 END WHEN lane = 'peaking' THEN CASE kind WHEN 'structural' THEN 1 ELSE 3 END WHEN lane = 'emerging' AND state = 'emerging' THEN 4 END AS turn FROM lanes),
+lead_ AS (SELECT name, state FROM turns WHERE turn IS NOT NULL ORDER BY turn, place LIMIT 1), falls AS (SELECT name FROM lanes WHERE lane = 'fading' AND state <> 'unmeasured' ORDER BY place LIMIT 1),
+states AS (SELECT CASE WHEN now_ AND cs IS NOT NULL THEN cs WHEN status <> 'expired' THEN 'unmeasured' END AS state FROM flags)"""
+
+
+@query(f"""WITH {series_sql()}, {_DEFS}, {_BOARD}, {_SNAP}, {_LANES.replace("now_ AS (", "today AS (", 1).replace("FROM now_", "FROM today")}
+SELECT DATE '{LAST}' AS date, (SELECT name FROM lead_) AS lead, (SELECT state FROM lead_) AS lead_state, (SELECT name FROM falls) AS fading,
+  CASE WHEN (SELECT state FROM lead_) = 'rising' THEN 'gaining' WHEN (SELECT state FROM lead_) = 'peaking' THEN 'at_peak' WHEN (SELECT name FROM lead_) IS NOT NULL THEN 'newly_measurable' WHEN (SELECT name FROM falls) IS NOT NULL THEN 'only_fading' WHEN (SELECT count(*) FROM states WHERE state = 'unmeasured') > 0 THEN 'awaiting_coverage' ELSE 'no_movement' END AS headline,
+  (SELECT count(*) FROM states WHERE state = 'unmeasured') AS unmeasured, (SELECT count(*) FROM changes WHERE change_kind = 'state_change') AS transitions, {", ".join(f"(SELECT count(*) FROM states WHERE state = '{x}') AS {x}" for x in ("rising", "peaking", "steady", "emerging", "dormant"))}, (SELECT count(*) FROM states WHERE state = 'fading') AS fading_count""")
+def daily_brief_summary(spark, d):
+    """Who leads the brief, who fades, how many changed; the series is read by lanes, changes and counts."""
+    trends = series(spark, d)
+    definitions = _definitions(spark, d)
+    shown = board.lanes(trends.join(definitions, "definition_id").where(F.col("date") == F.to_date(F.lit(LAST))), LAST)
+    snaps = board.snapshots(definitions, trends, LAST, PREVIOUS)
+    return board.brief(shown, board.changes(snaps, LAST, PREVIOUS), board.state_counts(snaps), LAST)
+
+
 @query()
 def daily_brief(spark, d):
     """The sentences of the brief; number formatting differs between engines, so without SQL."""

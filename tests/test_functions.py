@@ -58,8 +58,10 @@ def test_texts(spark):
     assert text.find_quotation("He said:  “we  grew”&nbsp;fast.", '"we grew" fast') == "“we  grew”&nbsp;fast"
     assert text.find_quotation("abc", "x") is None
     body = "Welcome to the call. " * 40
-    assert text.question_boundary(body + "\nOperator: our first question comes from Ann of X.\n" + "Thanks. " * 40) is not None
-    assert text.question_boundary("short") is None
+    assert text.question_boundary(body + "\nOperator: our first question comes from Ann of X.\n" + "Thanks. " * 40)[1] == "operator_cue"
+    assert text.question_boundary("short") == (None, "none") == text.question_boundary(None)
+    assert text.question_boundary(body + "\n[Q&A]\n" + "Thanks. " * 40) == (len(body) + 1, "heading")
+    assert text.question_boundary(body + "\nOperator: it comes from Ann with X.\n" + "Thanks. " * 40)[1] == "first_analyst_question"
 
 
 def test_addresses(spark):
@@ -187,3 +189,21 @@ def test_rolling_distinct_against_loop(spark):
         for r in got:
             for kind, n in (("x", r.n_x), ("y", r.n_y)):
                 assert n == len({m for k, d, c, m in rows if k == r.k and c == kind and 0 <= (r.date - d).days < w})
+
+
+def test_transcript_sections(spark):
+    body = "We had a fine quarter. " * 40
+    call = body + "\nQuestion-and-Answer Session\n" + "Thanks. " * 40
+    x = spark.createDataFrame([(call,), ("short",), (None,)], "t string").withColumn("b", text.transcript_boundary("t"))
+    got = [(r.b.at, r.b.method, r.s and [tuple(p) for p in r.s]) for r in x.withColumn("s", text.transcript_spans(F.col("t"), F.col("b.at"))).collect()]
+    assert got[0] == (len(body) + 1, "heading", [("prepared_remarks", 0, len(body) + 1), ("qa", len(body) + 1, len(call))])
+    assert got[1] == (None, "none", [("prepared_remarks", 0, 5)]) and got[2][:2] == (None, "none")
+
+
+def test_stored_sections(spark):
+    ok = '{"transcriptSections":{"sections":[{"label":"prepared_remarks","start":0,"end":5},{"label":"qa","start":5,"end":9}]}}'
+    read = lambda s, n=9: one(spark, text.stored_spans(F.lit(s), F.lit(n)))
+    assert [tuple(s) for s in read(ok)] == [("prepared_remarks", 0, 5), ("qa", 5, 9)]
+    for bad in (ok.replace('"qa"', '"other"'), ok.replace('"end":9', '"end":10'), ok.replace('"end":9', '"end":5'), ok.replace('"start":0', '"start":-1'), ok.replace('"end":5', '"end":5.5'), '{"transcriptSections":{"sections":[]}}', "{}", None):
+        assert read(bad) is None
+
