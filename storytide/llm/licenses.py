@@ -16,6 +16,7 @@ Short phrases that count on their own (the base) are found the same way.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -117,53 +118,49 @@ def index(templates: tuple[Template, ...]) -> list[Entry]:
     return [Entry(t.label, words, [(find(words, k), k) for k in keys], [weight(w) for w in words]) for t, words, keys in cut]
 
 
-def _has_all(lowered: Column, words: list[str]) -> Column:
-    out = F.lit(True)
-    for w in sorted(set(words), key=lambda w: (-len(w), w)):
-        out = out & lowered.contains(w)
-    return out
+def _has_any(lowered: Column, phrases: list[set[str]]) -> Column:
+    """Whether the text holds all words of some phrase, as parts of it. The word that most phrases have is looked for
+    first, so that most texts are searched for a few words only."""
+    if not phrases:
+        return F.lit(False)
+    if not all(phrases):
+        return F.lit(True)
+    n = Counter(w for p in phrases for w in p)
+    word = min(n, key=lambda w: (w in FREQUENT, -n[w], -len(w), w))
+    within = [p - {word} for p in phrases if word in p]
+    return (lowered.contains(word) & _has_any(lowered, within)) | _has_any(lowered, [p for p in phrases if word not in p])
 
 
-def _back(places: Column, by: int) -> Column:
-    return F.transform(places, lambda i: i - by)
+_KEY = "array<struct<at:int,words:array<string>>>"
+_PHRASE = f"struct<label:string,anchors:array<struct<w:string,at:int,rank:int>>,keys:{_KEY}"
 
 
-def _standing(begins: Column, words: list[str], at: int = 0) -> Column:
-    """The begins s of which the words stand one after another from place s + at on."""
+def _phrase(label: str, words: list[str], first: int, keys: list[tuple[int, list[str]]], rarity: dict[str, int]) -> dict:
+    """A phrase for the expressions below. anchors: its distinct words with their places from the begin, the rarest first."""
+    at = {w: first + k for k, w in reversed(list(enumerate(words)))}
+    order = sorted(at, key=lambda w: (-rarity.get(w, 0), -len(w), at[w]))
+    return {"label": label, "anchors": [{"w": w, "at": at[w], "rank": k} for k, w in enumerate(order)], "keys": [{"at": p, "words": k} for p, k in keys]}
+
 
-    def stands(s: Column) -> Column:
-        ok = F.lit(True)
-        for k, w in enumerate(words):
-            ok = ok & (F.get("words", s + at + k) == w)
-        return F.coalesce(ok, F.lit(False))
+def _table(rows: list[dict], schema: str) -> Column:
+    """A constant array of structs. As data, not as expressions: the plan stays small however many templates there are."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{schema}>")
 
+
+def _begins(phrase: Column) -> Column:
+    """Where the phrase begins, before the text too: from the places of its anchor, the word that the file has least
+    often, all begins of which all keys stand word by word."""
+    places = lambda w: F.coalesce(F.try_element_at("hits", w), F.array().cast("array<int>"))
+    anchor = F.array_min(F.transform(phrase["anchors"], lambda a: F.struct(F.size(places(a["w"])).alias("n"), a["rank"], a["at"], a["w"])))
+    begins = F.transform(places(anchor["w"]), lambda i: i - anchor["at"])
+    stands = lambda s: F.forall(phrase["keys"], lambda k: F.forall(F.transform(k["words"], lambda w, j: F.coalesce(F.get("words", s + k["at"] + j) == w, F.lit(False))), lambda x: x))
     return F.filter(begins, stands)
 
 
-def _anchored(words: list[str], rarity: dict[str, int]) -> Column:
-    """Where a phrase's anchor would have it begin: the anchor is the phrase's word that the file has least often."""
-    at = {w: k for k, w in reversed(list(enumerate(words)))}
-    order = sorted(at, key=lambda w: (-rarity.get(w, 0), -len(w), at[w]))
-    places = lambda w: F.coalesce(F.try_element_at("hits", F.lit(w)), F.array().cast("array<int>"))
-    lists = [places(w) for w in order]
-    fewest = F.least(*map(F.size, lists)) if len(lists) > 1 else F.size(lists[0])
-    out = None
-    for w, x in zip(order, lists, strict=True):
-        shifted = _back(x, at[w])
-        out = F.when(F.size(x) == fewest, shifted) if out is None else out.when(F.size(x) == fewest, shifted)
-    return F.coalesce(out, F.array().cast("array<int>"))
-
-
-def _best(entry: Entry, rarity: dict[str, int]) -> Column:
-    """The largest weight in place of any begin at which all key phrases stand; 0 if there is none."""
-    first, key = entry.keys[0]
-    begins = _back(_anchored(key, rarity), first)
-    for at, k in entry.keys:
-        begins = _standing(begins, k, at)
-    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(j).alias("j"), F.lit(x).alias("x")) for j, (w, x) in enumerate(zip(entry.words, entry.weights, strict=True))])
-    # words before or behind the text are null, and agree with none
-    sums = F.transform(begins, lambda s: F.aggregate(postings, F.lit(0), lambda t, p: t + F.when(F.get("words", s + p["j"]) == p["w"], p["x"]).otherwise(0)))
-    return F.coalesce(F.array_max(sums), F.lit(0))
+def _share(template: Column) -> Column:
+    """The largest share of the template's weight in place at any begin; words before or behind the text agree with none."""
+    in_place = lambda s: F.aggregate(template["postings"], F.lit(0), lambda t, p: t + F.when(F.get("words", s + p["j"]) == p["w"], p["x"]).otherwise(0))
+    return F.coalesce(F.array_max(F.transform(_begins(template), in_place)), F.lit(0)).cast("double") / template["total"]
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE) -> DataFrame:
@@ -180,9 +177,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
 
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lowered = F.lower("text")
-    possible = F.lit(False)
-    for words in {tuple(words): 1 for words, _ in phrases} | {tuple(e.keys[0][1]): 1 for e in entries}:
-        possible = possible | _has_all(lowered, list(words))
+    possible = _has_any(lowered, [set(words) for words, _ in phrases] + [set(e.keys[0][1]) for e in entries])
     rows = rows.select("doc_id", "text", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), possible.alias("possible"))
     # only texts that hold every word of some key phrase are cut into words; their licence words are looked up once
     words = F.filter(F.split(F.translate("text", _UPPER, _LOWER), NO_WORD), lambda w: w != "")
@@ -192,26 +187,26 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     per_word = F.transform(F.array_distinct(F.transform("near", lambda h: h["w"])), lambda w: F.struct(w.alias("w"), F.transform(F.filter("near", lambda h: h["w"] == w), lambda h: h["i"]).alias("at")))
     rows = rows.select("doc_id", "n_words", "words", F.map_from_entries(per_word).alias("hits"))
 
-    none = F.array().cast("array<int>")
-    found = [F.coalesce(_standing(_anchored(p, rarity), p), none).alias(f"base{k}") for k, (p, _) in enumerate(phrases)]
-    sums = [F.when(F.col("words").isNull(), 0).otherwise(_best(e, rarity)).alias(f"template{k}") for k, e in enumerate(entries)]
-    rows = rows.select("doc_id", "n_words", *found, *sums)
-
-    places = F.concat(*[F.col(f"base{k}") for k in range(len(phrases))])
-    own = F.array(*[F.when(F.size(f"base{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)])
-    share = lambda k: F.col(f"template{k}").cast("double") / sum(entries[k].weights)
-    more = F.array(*[F.when(share(k) >= agree, F.lit(e.label)) for k, e in enumerate(entries)])
-    join = lambda a: F.array_join(F.array_sort(F.array_distinct(F.array_compact(a))), ",")
-    best = F.greatest(F.lit(0.0), *[share(k) for k in range(len(entries))])
+    bases = _table([_phrase(label, words, 0, [(0, words)], rarity) for words, label in phrases], _PHRASE + ">")
+    table = _table([_phrase(e.label, e.keys[0][1], e.keys[0][0], e.keys, rarity) | {"total": sum(e.weights), "postings": [{"w": w, "j": j, "x": x} for j, (w, x) in enumerate(zip(e.words, e.weights, strict=True))]} for e in entries], _PHRASE + ",total:int,postings:array<struct<w:string,j:int,x:int>>>")
+    base_found = F.transform(bases, lambda p: F.struct(p["label"].alias("label"), _begins(p).alias("at")))
+    found = F.transform(table, lambda t: F.struct(t["label"].alias("label"), _share(t).alias("share")))
+    rows = rows.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.struct(base_found.alias("base"), found.alias("more"))).alias("x"))
+    own = F.transform(F.filter("x.base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
+    more = F.transform(F.filter("x.more", lambda t: t["share"] >= agree), lambda t: t["label"])
+    none, join = F.array().cast("array<string>"), lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    places = F.coalesce(F.flatten(F.transform("x.base", lambda b: b["at"])), F.array().cast("array<int>"))
+    best = F.coalesce(F.array_max(F.transform("x.more", lambda t: t["share"])), F.lit(0.0))
+    rows = rows.select("doc_id", "n_words", places.alias("places"), F.coalesce(own, none).alias("own"), F.coalesce(more, none).alias("more"), best.alias("best"))
     return rows.select(
         "doc_id",
         "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        join(own).alias("base_labels"),
-        join(F.concat(own, more)).alias("labels"),
-        F.when(F.size(places) > 0, 1.0).otherwise(best).alias("score"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
+        join(F.col("own")).alias("base_labels"),
+        join(F.concat("own", "more")).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.col("best")).alias("score"),
     )
 
 
