@@ -93,11 +93,9 @@ def configurations(sizes: list[int], counts: dict[int, int], capacity: int) -> l
     size, need = np.array(sizes, np.int64), np.array([counts[s] for s in sizes], float)
     columns = np.diag(capacity // size).astype(float)
     amount = need / np.diag(columns)
+    # rounding errors of the updates cost optimality at most: uses are whole numbers that the counts bound
     inverse = np.diag(1 / np.diag(columns))
-    for step in range(STEPS):
-        if step % 256 == 255:  # rounding errors of the updates
-            inverse = np.linalg.inv(columns)
-            amount = (inverse * need).sum(axis=1)
+    for _ in range(STEPS):
         prices = inverse.sum(axis=0)
         new = _best(size, np.maximum(prices, 0), capacity)
         if (prices * new).sum() <= 1 + GAIN:
