@@ -163,7 +163,7 @@ def events_until_day_end(spark, d):
     return views.table(spark, d, "events").where(F.col("ts").cast("timestamp") < relational.day_end("2024-01-10 15:00:00", "2024-01-10 18:30:00")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + views.SIGNALS_SQL + " SELECT document_id, array_to_string(list_sort(list_distinct(list_concat(list(theme_id), list_filter(list(canonical_subtheme_id), lambda x: x IS NOT NULL)))), ',') AS themes FROM signals WHERE document_id < 2000 OR document_id >= 2000 GROUP BY 1")
+@query("WITH " + views.SIGNALS_SQL + " SELECT document_id, array_to_string(list_sort(list_distinct(list_concat(list(theme_id), list_filter(list(canonical_subtheme_id), lambda x: x IS NOT NULL)))), ',') AS themes FROM signals GROUP BY 1")
 def document_theme_arrays(spark, d):
     """The themes of each document from either column, as an array from a union."""
     s = views.signals(spark, d)
