@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the order; a total order makes it repeatable."""
@@ -119,10 +121,30 @@ def hashed_sample(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *keys)), *keys).limit(n)
 
 
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the running sums of each group in the order, which must be total; a null key is a group of its own.
+
+    Two levels: rows are dealt to ranges of (group, order) and written; the sums of the ranges, one row a range and
+    group, give what comes before each range; within a range the window runs over its rows alone. So neither a large
+    group nor a table that is one group comes to one task.
+    """
+    values = {f"__v{k}": v for k, v in enumerate(sums.values())}
+    ranged = written(df.withColumns(values).repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__range", F.spark_partition_id()), "running-sums")
+    keys = {f"__k{k}": F.col(g) for k, g in enumerate(group)}
+    earlier = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # without a group: one row a range
+    totals = ranged.groupBy(F.col("__range").alias("__r"), *[c.alias(k) for k, c in keys.items()]).agg(*[F.sum(v).alias(f"{v}t") for v in values])
+    before = totals.select("__r", *keys, *[F.sum(f"{v}t").over(earlier).alias(f"{v}b") for v in values])
+    same = F.col("__range") == F.col("__r")
+    for k, c in keys.items():
+        same &= c.eqNullSafe(F.col(k))
+    upto = Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(before, same)
+    return out.select(*df.columns, *[(F.sum(v).over(upto) + F.coalesce(f"{v}b", F.lit(0))).alias(name) for name, v in zip(sums, values, strict=True)])
+
+
 def budget_prefix(df: DataFrame, size: Column, budget: int, group: Sequence[str], *order: Column) -> DataFrame:
     """The rows of each group, in order, whose running size stays within the budget; the first always."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    out = df.withColumn("__sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.row_number().over(w))
+    out = running_sums(df, group, order, {"__sum": size, "__n": F.lit(1)})
     return out.where((F.col("__sum") <= budget) | (F.col("__n") == 1)).drop("__sum", "__n")
 
 
