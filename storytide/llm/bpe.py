@@ -191,12 +191,12 @@ class _Encoder:
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, n + 1 offsets). Added tokens are matched first; what stands between them is
-        encoded apart."""
+        encoded apart. plain: the strings of added tokens are ordinary text."""
         parts, owner, after = [], [], []
         for k, t in enumerate(texts):
-            own = self.cut.split(t) if any(x in t for x in self.added) else [t]
+            own = self.cut.split(t) if not plain and any(x in t for x in self.added) else [t]
             parts += map(self.normal, own[::2])
             owner += [k] * (len(own) // 2 + 1)
             after += [*(self.added[x] for x in own[1::2]), -1]
@@ -422,6 +422,47 @@ class ByteBPE(_Encoder):
         return [data[a : max(a, b - 1)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+class PieceBPE(_Encoder):
+    """Pieces of a sentencepiece model, which are merged by the library, one word at a time.
+
+    A word is a run of blanks and what follows it up to the next blank. No piece goes on past a blank that follows
+    another character, so no merge crosses a word's border, and the words' pieces are those of the whole text.
+    Texts are given with the blank ahead that the model would add.
+    """
+
+    def __init__(self, name: str) -> None:
+        import sentencepiece
+
+        self.name, self.table, self.added, self.cut = name, _Table(), {}, None
+        self.library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(name))
+        shown = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        if any(re.search("[^\u2581]\u2581", p) for p in shown):
+            raise ValueError("pieces go past the end of a word")
+        self.token = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(shown)]
+        self.blank = self.library.piece_to_id("\u2581")
+        lens = np.array([len(t) for t in self.token], np.int64)
+        self.byte_len, self.byte_at = lens, np.cumsum(lens) - lens
+        self.byte_flat = np.frombuffer(b"".join(self.token), np.uint8)
+
+    def spans(self, cp, off):
+        blank = cp == 32
+        new = tv.text_starts(len(cp), off)
+        new[1:] |= blank[1:] & ~blank[:-1]
+        starts = np.flatnonzero(new)
+        return starts, np.append(starts[1:], len(cp))
+
+    def words(self, words):
+        ids = self.library.encode([w[1:] for w in words], num_threads=1)
+        ids = [x if x else [self.blank] for x in ids]  # the library adds no blank to an empty text
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
+
+
+@functools.cache
+def piece_encoder(name: str) -> PieceBPE:
+    return PieceBPE(name)
+
+
 @functools.cache
 def word_encoder(name: str) -> WordBPE:
     return WordBPE(name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, encoding, importance, language, licenses, media, mixing, neardup, packing, spelling, token_files, topk, toxicity
+from . import alignment, common, encoding, importance, language, licenses, media, mixing, neardup, packing, spelling, token_files, topk, toxicity
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op12_byte_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(common.table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(common.table(spark, sf_dir, "documents"), slips=199)
 

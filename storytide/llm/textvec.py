@@ -123,7 +123,7 @@ def split_words(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     's|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+
     """
     cls = classes()[cp]
-    doc = _text_starts(len(cp), off)
+    doc = text_starts(len(cp), off)
     new = run_starts(cls, off)
     new |= cls == NUMBER
     _contractions(cp, cls, doc, new)
@@ -139,7 +139,7 @@ def split_bytes_bpe(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     n = len(cp)
     cls = classes()[cp]
-    doc = _text_starts(n, off)
+    doc = text_starts(n, off)
     new = run_starts(cls, off)
     # the last white-space character before a visible one: joins it when it is a blank, else stands alone
     nxt_visible = np.zeros(n, bool)
@@ -154,7 +154,7 @@ def split_bytes_bpe(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.append(starts[1:], n)
 
 
-def _text_starts(n: int, off: np.ndarray) -> np.ndarray:
+def text_starts(n: int, off: np.ndarray) -> np.ndarray:
     doc = np.zeros(n, bool)
     doc[off[:-1][off[:-1] < n]] = True
     return doc
