@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from ..operators import relational, status
 from ..plans import views
-from ..streaming import streams
+from ..session import scratch
+from ..sources import archive
+from ..streaming import ingestion, streams, windows
 from .registry import query, r
 
 
@@ -124,3 +126,68 @@ def watermark_advance(spark, d):
     e = views.table(spark, d, "events")
     stored = e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("last_published"))
     return advance_watermark(stored, e.where("event_id % 2 = 1").select("user_id", F.col("ts").alias("published")), "user_id")
+
+
+_ARRIVALS = views.TEXTS_SQL + """, arrivals AS (
+  SELECT CAST(document_id AS VARCHAR) AS document_id, date, 'preview' AS content, title AS body FROM texts WHERE lang = 'en' AND text IS NOT NULL
+  UNION ALL SELECT CAST(document_id AS VARCHAR), date + 1, 'full', text FROM texts WHERE text IS NOT NULL
+  UNION ALL SELECT CAST(document_id AS VARCHAR), date + 2, 'full', text || ' (corrected)' FROM texts WHERE lang = 'de' AND text IS NOT NULL
+  UNION ALL SELECT CAST(document_id AS VARCHAR), date + 3, 'preview', title FROM texts WHERE lang = 'fr' AND text IS NOT NULL
+), firsts AS (
+  SELECT *, sha256(body) AS hash FROM arrivals QUALIFY row_number() OVER (PARTITION BY sha256(body) ORDER BY date, document_id) = 1
+), numbered AS (
+  SELECT *, row_number() OVER w AS k, first_value(content) OVER w AS begun, min(CASE WHEN content = 'full' THEN date END) OVER (PARTITION BY document_id) AS full_date FROM firsts WINDOW w AS (PARTITION BY document_id ORDER BY date, hash)
+), changes AS (
+  SELECT *, CASE WHEN k = 1 THEN 'insert' WHEN begun = 'preview' AND content = 'full' AND date = full_date THEN 'upgrade' ELSE 'revision' END AS action FROM numbered
+), stored AS (
+  SELECT CASE WHEN action = 'revision' THEN document_id || ':rev:' || substr(hash, 1, 8) ELSE document_id END AS stored_id, action, content, hash, date FROM changes
+)"""
+
+
+def _arrivals(spark, d):
+    """Arrivals of all texts by day: previews of some languages a day ahead, corrections and previews again later."""
+    t = views.texts(spark, d).where("text IS NOT NULL").withColumn("document_id", F.col("document_id").cast("string"))
+    kinds = [(0, "preview", F.col("title"), "en"), (1, "full", F.col("text"), None), (2, "full", F.concat("text", F.lit(" (corrected)")), "de"), (3, "preview", F.col("title"), "fr")]
+    out = None
+    for days, content, body, lang in kinds:
+        x = (t if lang is None else t.where(F.col("lang") == lang)).select("document_id", F.date_add("date", days).cast("timestamp").alias("at"), F.lit(content).alias("content"), F.sha2(body, 256).alias("hash"), body.alias("text"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("WITH " + _ARRIVALS + " SELECT stored_id, action, content, hash, date FROM stored QUALIFY row_number() OVER (PARTITION BY stored_id ORDER BY CASE WHEN action = 'upgrade' THEN 0 ELSE 1 END, date, hash) = 1")
+def preview_upgrades(spark, d):
+    """Arrivals as a stream of four spans of days, one batch each: first writers of texts, previews that full texts replace."""
+    path = scratch(spark, "arrivals")
+    span = F.least(F.floor(F.datediff("at", F.to_date(F.lit("2024-01-01"))) / 25), F.lit(3))
+    ingestion.written_in_order(_arrivals(spark, d).withColumn("span", span), path, "span", 4)
+    changes = streams.drain(ingestion.ingested(ingestion.arrivals_stream(spark, path)), "preview-upgrades")
+    return ingestion.store(changes).select("stored_id", "action", "content", "hash", F.to_date("at").alias("date"))
+
+
+@query("WITH " + views.EVIDENCE_SQL + " SELECT definition_id, date + CAST(i AS INTEGER) AS date, count(DISTINCT publisher_id) AS publishers, count(DISTINCT story_fingerprint) AS stories, count(*) AS rows FROM evidence, range(7) t(i) WHERE date + CAST(i AS INTEGER) <= (SELECT max(date) FROM evidence) GROUP BY 1, 2")
+def late_evidence_windows(spark, d):
+    """A window series that follows a stream of evidence in which every batch is late for some days and one comes twice."""
+    e = views.evidence(spark, d).select("document_id", "definition_id", "publisher_id", "story_fingerprint", "date")
+    path, last = scratch(spark, "evidence"), str(e.agg(F.max("date")).first()[0])
+    parted = e.withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(3)))
+    ingestion.written_in_order(parted.unionByName(parted.where("part = 1").withColumn("part", F.lit(3))), path, "part", 4)
+    schema = "document_id bigint, definition_id string, publisher_id string, story_fingerprint string, date date"
+    view = windows.WindowView(spark, scratch(spark, "windows"), schema, "document_id", ["definition_id"], {"publishers": "publisher_id", "stories": "story_fingerprint"}, 7, last)
+    view.follow(ingestion.arrivals_stream(spark, path), f"{path}-checkpoint").awaitTermination()
+    return view.series.read()
+
+
+_POSTS = views.TEXTS_SQL + ", posts AS (SELECT publisher AS publication, 'post-' || CAST(document_id AS VARCHAR) AS slug, CAST(date AS VARCHAR) || 'T08:00:00Z' AS post_date, title FROM texts WHERE document_id IS NOT NULL AND publisher IS NOT NULL)"
+
+
+@query("WITH " + _POSTS + " SELECT publication, slug, post_date, title FROM posts WHERE post_date > '2024-01-20T08:00:00Z'")
+def archive_scan(spark, d):
+    """Archives of all publications, read in polls of at most 500 posts of each, back to a watermark."""
+    t = views.texts(spark, d).where("document_id IS NOT NULL AND publisher IS NOT NULL")
+    posts = t.select(F.col("publisher").alias("publication"), F.concat(F.lit("post-"), F.col("document_id").cast("string")).alias("slug"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T08:00:00Z")).alias("post_date"), "title")
+    path = scratch(spark, "archive")
+    posts.repartition("publication").sortWithinPartitions("publication", F.desc("post_date"), F.desc("slug")).write.partitionBy("publication").json(f"{path}/pages")
+    stream = lambda: archive.archive_stream(spark, f"{path}/pages", "2024-01-20T08:00:00Z", 500)
+    archive.drain_polls(spark, stream, f"{path}/posts", f"{path}/checkpoint")
+    return spark.read.schema(archive.POST).option("basePath", f"{path}/posts").parquet(f"{path}/posts").select("publication", "slug", "post_date", "title")
