@@ -12,6 +12,7 @@ add up the counts, and back to their chunks, which then sum their documents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from . import textvec as tv
-from .bpe import byte_encoder, piece_encoder
+from .bpe import ByteBPE, PieceBPE
 
 #: Characters after which a chunk is closed; its last text may reach beyond.
 CHUNK = 8_000_000
@@ -30,6 +31,15 @@ CHUNK = 8_000_000
 WIDE = 4096
 #: Bits of a B id in a pair's code.
 BITS = 15
+#: Words and letters that each of the two encoders' tables keeps: two tables share a worker's memory.
+TABLE = (100_000, 1 << 21)
+
+
+@functools.cache
+def encoders(a_name: str, b_name: str) -> tuple[ByteBPE, PieceBPE]:
+    a, b = ByteBPE(a_name), PieceBPE(b_name)
+    a.most = b.most = TABLE
+    return a, b
 
 
 def _spelled(encoder, ids: np.ndarray) -> np.ndarray:
@@ -60,7 +70,7 @@ class Aligned:
     """
 
     def __init__(self, texts: list[str], a_name: str = "byte_bpe_50k.json", b_name: str = "piece_bpe_32k.model") -> None:
-        self.A, self.B = byte_encoder(a_name), piece_encoder(b_name)
+        self.A, self.B = encoders(a_name, b_name)
         there = np.array([bool(t) for t in texts], bool)
         spaced = [" " + t for t in texts if t]
         raw = [t.encode() for t in spaced]

@@ -165,6 +165,9 @@ class Merges:
 class _Encoder:
     """Encodes texts word by word with a table of known words."""
 
+    #: Words and letters of the table before it is begun anew.
+    most = (TABLE_WORDS, TABLE_LETTERS)
+
     def __init__(self, name: str) -> None:
         self.name = name
         self.table = _Table()
@@ -220,7 +223,7 @@ class _Encoder:
         starts, ends = self.spans(cp, off)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if self.table.n > TABLE_WORDS or self.table.spelled > TABLE_LETTERS:
+        if self.table.n > self.most[0] or self.table.spelled > self.most[1]:
             self.table = _Table()
         t, keys = self.table, self.hashes(cp, starts, ends)
 
@@ -458,11 +461,6 @@ class PieceBPE(_Encoder):
         return np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum())), lens
 
 
-@functools.cache
-def piece_encoder(name: str) -> PieceBPE:
-    return PieceBPE(name)
-
-
 @functools.cache
 def word_encoder(name: str) -> WordBPE:
     return WordBPE(name)

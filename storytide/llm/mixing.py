@@ -25,7 +25,7 @@ from . import common
 
 WEIGHTS, CEILING = (1, 2, 3), 3
 #: Documents of a leaf on average, and leaves that make one leaf of the next level.
-LEAF, FAN = 32768, 64
+LEAF, FAN = 4096, 64
 #: White space between words, fixed values.
 WHITE = " \t\n\x0b\x0c\r"
 _GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1

@@ -16,13 +16,13 @@ TEXTS = ["", "a", " ", "       ", "▁a", "x▁", " lead", "trail ", "<0x41>", "
 
 
 def tokens(text):
-    a_lib, b_lib = bpe.library_tokenizer("byte_bpe_50k.json"), bpe.piece_encoder("piece_bpe_32k.model").library
+    A, B = alignment.encoders("byte_bpe_50k.json", "piece_bpe_32k.model")
+    a_lib, b_lib = bpe.library_tokenizer("byte_bpe_50k.json"), B.library
     a_lib.encode_special_tokens = True
     try:
         a, b = a_lib.encode(" " + text, add_special_tokens=False).ids, b_lib.encode(text)
     finally:
         a_lib.encode_special_tokens = False
-    A, B = bpe.byte_encoder("byte_bpe_50k.json"), bpe.piece_encoder("piece_bpe_32k.model")
     return [(i, A.token[i]) for i in a], [(i, B.token[i]) for i in b]
 
 
