@@ -36,11 +36,22 @@ def blocked_host(url: Column, hosts: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def owner_of(url: Column, publisher: Column, domains: dict[str, str] = lists.OWNER_DOMAINS, aliases: dict[str, str] = lists.OWNER_ALIASES) -> Column:
+def blocked_source(owner: Column, publisher: Column, platform: Column, url: Column, blocked: Column) -> Column:
+    """Whether one of the blocked values (an array) is the lower-case owner, publisher or platform, or stands in the address
+    as a host or the end of one, with or without a port, before a path. Nulls are no match."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    names, address = F.array(low(owner), low(publisher), low(platform)), low(url)
+    at = lambda v: [F.like(address, F.concat(F.lit(f"%{mark}"), v, F.lit(end))) for mark in ("//", ".") for end in ("/%", ":%/%")]
+    return F.exists(blocked, lambda v: (v != "") & (F.array_contains(names, v) | at(v)[0] | at(v)[1] | at(v)[2] | at(v)[3]))
+
+
+def owner_of(url: Column, publisher: Column, owners: tuple = lists.OWNERS) -> Column:
     """The owner by domain, then by a name in the publisher with no letter or digit beside it, else the publisher's slug."""
     h, out = hostname(url), slug(publisher)
-    for name, owner in reversed(list(aliases.items())):
-        out = F.when(F.lower(publisher).rlike(rf"(^|[^a-z0-9]){re.escape(name)}([^a-z0-9]|$)"), owner).otherwise(out)
-    for domain, owner in reversed(list(domains.items())):
-        out = F.when((h == domain) | h.endswith(f".{domain}"), owner).otherwise(out)
+    for owner, _, names in reversed(owners):
+        for name in reversed(names):
+            out = F.when(F.lower(publisher).rlike(rf"(^|[^a-z0-9]){re.escape(name)}([^a-z0-9]|$)"), owner).otherwise(out)
+    for owner, domains, _ in reversed(owners):
+        for domain in reversed(domains):
+            out = F.when((h == domain) | h.endswith(f".{domain}"), owner).otherwise(out)
     return out

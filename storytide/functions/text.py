@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -137,10 +137,20 @@ def speakers(x: Column) -> Column:
 
 
 def transcript_text(x: Column) -> Column:
-    """Line ends made one kind, at most one empty line in a row, blanks collapsed."""
-    out = F.regexp_replace(x, r"\r\n?", "\n")
+    """Line ends made one kind, headings of their own for questions and prepared remarks, at most one empty line in a row,
+    blanks collapsed."""
+    out = F.regexp_replace(x, r"\r\n", "\n")
+    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    for heading, names in lists.CALL_HEADINGS:
+        out = F.regexp_replace(out, f"(?i)({'|'.join(names)})", f"\n\n[{heading}]\n$1")
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
+
+
+def sections(x: Column, whole: int = 120_000, size: int = 60_000, overlap: int = 2_000) -> Column:
+    """Array of (label, text): a text of at most `whole` characters as it is, a longer one in overlapping sections."""
+    parts = F.transform(chunks(x, size, overlap), lambda c, k: F.struct(F.concat(F.lit("Section "), (k + 1).cast("string")).alias("label"), c["content"].alias("text")))
+    return F.when(F.length(x) <= whole, F.array(F.struct(F.lit("Full document").alias("label"), x.alias("text")))).otherwise(parts)
 
 
 def wire_origin(x: Column) -> Column:
@@ -201,32 +211,61 @@ def nfkd(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
 
 
-_QUOTES = str.maketrans("‘’‛“”‟–— ", "'''\"\"\"-- ")
+_ENTITY = re.compile("&#(?:x[0-9a-f]+|[0-9]+);|&[a-z]+;", re.I)
+#: White space and quote marks, fixed values.
+_WHITE = np.array([9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF], np.uint32)
+_SINGLE, _DOUBLE = np.array([0x2018, 0x2019], np.uint32), np.array([0x201C, 0x201D], np.uint32)
+
+
+def _decoded(entity: str) -> str | None:
+    """The character of an entity; null for names that are not listed and numbers that are no character."""
+    if entity[1] != "#":
+        return lists.ENTITIES.get(entity[1:-1])
+    hexed = entity[2] in "xX"
+    digits = entity[3 if hexed else 2 : -1]
+    code = int(digits, 16 if hexed else 10) if len(digits) < 12 else 0
+    return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else None
+
+
+def compared_text(x: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """A text with entities decoded, quote marks straight and one blank for white space; where each of its characters
+    begins and ends in x. Characters of an entity that isn't decoded begin and end with it."""
+    cp = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    first = np.arange(len(cp))
+    last, keep = first + 1, np.ones(len(cp), bool)
+    for m in _ENTITY.finditer(x) if "&" in x else ():
+        a, b = m.span()
+        c = _decoded(m[0])
+        first[a:b], last[a:b] = a, b
+        if c is not None:
+            cp[a] = ord(c)
+            keep[a + 1 : b] = False
+    cp, first, last = cp[keep], first[keep], last[keep]
+    cp[np.isin(cp, _SINGLE)], cp[np.isin(cp, _DOUBLE)] = ord("'"), ord('"')
+    white = np.isin(cp, _WHITE)
+    cp[white] = 32
+    again = white.copy()  # white space behind white space
+    again[:1] = False
+    again[1:] &= white[:-1]
+    heads = np.flatnonzero(~again)
+    tails = np.append(heads[1:], len(cp)) - 1
+    return cp[heads].tobytes().decode("utf-32-le", "surrogatepass"), first[heads], last[tails] if len(heads) else last[:0]
 
 
 def find_quotation(source: str | None, quotation: str | None) -> str | None:
     """The part of the source that a quotation repeats, up to entities, quote marks and white space; else null."""
-    if not source or not quotation or not quotation.strip():
+    quote = (quotation or "").strip()
+    if not source or not quote:
+        return None
+    if quote in source:
+        return quote
+    wanted = compared_text(quote)[0].strip(" ")
+    text, first, last = compared_text(source)
+    at = text.find(wanted) if wanted else -1
+    if at < 0:
         return None
-    kept, place, blank = [], [], True
-    k = 0
-    while k < len(source):
-        m = re.compile(r"&(?:[a-z]+|#\d+);", re.I).match(source, k)
-        piece, size = (html.unescape(m[0]), len(m[0])) if m else (source[k], 1)
-        for c in piece.translate(_QUOTES):
-            if c.isspace():
-                if not blank:
-                    kept.append(" ")
-                    place.append((k, k + size))
-                blank = True
-            else:
-                kept.append(c)
-                place.append((k, k + size))
-                blank = False
-        k += size
-    wanted = " ".join(html.unescape(quotation).translate(_QUOTES).split())
-    at = "".join(kept).find(wanted)
-    return None if at < 0 else source[place[at][0] : place[at + len(wanted) - 1][1]]
+    found = source[first[at] : last[at + len(wanted) - 1]]
+    return found if compared_text(found)[0].strip(" ") == wanted else None
 
 
 @F.pandas_udf(T.StringType())

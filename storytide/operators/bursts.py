@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lists
 from ..functions.numeric import half_up, mad_of, mean_of
 from ..functions.text import normalise_term, title_ngrams
-from .relational import small
+from .containment import containing
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,9 @@ def without_nested(bursts: DataFrame, limit: int = 60) -> DataFrame:
 
 
 def covering(bursts: DataFrame, definitions: DataFrame) -> DataFrame:
-    """bursts x definitions: the definitions whose name, proposition, criteria or examples hold the term. definitions: a bounded table."""
+    """bursts x definitions: the definitions whose name, proposition, criteria or examples hold the term."""
     text = F.lower(F.concat_ws(" ", "name", "proposition", "inclusion", "examples"))
-    texts = definitions.select("definition_id", text.alias("haystack"))
-    hits = bursts.join(small(texts), F.contains("haystack", "term"), "left")
-    return hits.groupBy(*bursts.columns).agg(F.array_sort(F.collect_set("definition_id")).alias("covering"))
+    texts = definitions.select("definition_id", F.xxhash64("definition_id", text).alias("k"), text.alias("haystack"))  # an id may have several
+    hits = containing(texts, "k", "haystack", bursts, "term").join(texts.select("k", "definition_id"), "k")
+    found = hits.groupBy("term").agg(F.array_sort(F.collect_set("definition_id")).alias("covering"))
+    return bursts.join(found, "term", "left").select(*bursts.columns, F.coalesce("covering", F.array().cast(found.schema["covering"].dataType)).alias("covering"))

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import attachment_floor, collision_floor, promotion_duplicate
+from ..functions.similarity import attachment_floor, collision_floor
 from ..functions.text import tokens
 from .relational import first_per
+from .setjoin import distinct_sets, jaccard_pairs, overlap_pairs
 
 
 @dataclass(frozen=True)
@@ -53,15 +54,16 @@ def evidence_collisions(evidence: DataFrame, definition_documents: DataFrame) ->
 
 
 def description_collisions(candidates: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The pairs of candidate and definition whose descriptions say the same. definitions: a bounded table.
-
-    Pairs meet on a shared word, which every rule needs.
-    """
-    words = lambda d, key: d.select(key, tokens(F.col("name")).alias(f"{key}_name"), tokens(F.col("proposition")).alias(f"{key}_text"))
-    a, b = words(candidates, "candidate_id"), words(definitions, "definition_id")
-    on = lambda d, key: d.withColumn("word", F.explode(F.array_distinct(F.concat(F.transform(f"{key}_name", lambda w: F.concat(F.lit("n:"), w)), F.transform(f"{key}_text", lambda w: F.concat(F.lit("t:"), w))))))
-    met = on(a, "candidate_id").join(on(b, "definition_id").select("definition_id", "word"), "word").select("candidate_id", "definition_id").distinct()
-    return met.join(a, "candidate_id").join(b, "definition_id").where(promotion_duplicate(F.col("candidate_id_name"), F.col("definition_id_name"), F.col("candidate_id_text"), F.col("definition_id_text"))).select("candidate_id", "definition_id")
+    """candidate_id, definition_id of the pairs whose descriptions say the same: names with half of their words or,
+    of three shared words at least, half of the shorter's, or propositions with 0.55 of theirs. Both sides may be large:
+    equal descriptions are compared once, and only sets that share rare words are."""
+    words = lambda d, key, of: distinct_sets(d.select(key, tokens(F.col(of)).alias("w")), key, "w")
+    (names_a, called_a), (names_b, called_b) = words(candidates, "candidate_id", "name"), words(definitions, "definition_id", "name")
+    (texts_a, told_a), (texts_b, told_b) = words(candidates, "candidate_id", "proposition"), words(definitions, "definition_id", "proposition")
+    names = jaccard_pairs(names_a, names_b, 0.5).select("a", "b").union(overlap_pairs(names_a, names_b, 0.5, 3)).distinct()
+    texts = jaccard_pairs(texts_a, texts_b, 0.55).select("a", "b")
+    of = lambda pairs, x, y: pairs.join(x.withColumnRenamed("id", "a"), "a").join(y.withColumnRenamed("id", "b"), "b").select("candidate_id", "definition_id")
+    return of(names, called_a, called_b).union(of(texts, told_a, told_b)).distinct()
 
 
 def promotable(evidence: DataFrame, as_of: str, definition_documents: DataFrame, policy: PromotionPolicy = PromotionPolicy()) -> DataFrame:

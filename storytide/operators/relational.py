@@ -69,10 +69,19 @@ def rolling_distinct(members: DataFrame, grid: DataFrame, keys: Sequence[str], d
     return grid.join(per, [*keys, "date"], "left").withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in kinds.values()})
 
 
-def eligible_once(rows: DataFrame, rules: DataFrame, covered: DataFrame, row_key: str, rule_key: str, admits: Column) -> DataFrame:
-    """The keys of rows that some rule admits and that are not covered for it. rules: a bounded table."""
-    wanted = rows.join(small(rules), admits).select(row_key, rule_key)
-    return wanted.join(covered.select(row_key, rule_key), [row_key, rule_key], "left_anti").select(row_key).distinct()
+def eligible_within(rows: DataFrame, key: str, date: str, rules: DataFrame, rule: str, days: str, covered: DataFrame, as_of: str) -> DataFrame:
+    """The keys of rows that some rule admits and that are not covered for it: a relational division by counting.
+
+    A rule (one row each; a bounded table) admits the rows of its last `days` days. How many rules admit a row follows
+    from its age alone, a table as long as the longest window; a row is done if as many of those that admit it
+    cover it. rows: a date a key. covered: key, rule, in any number.
+    """
+    age = F.greatest(F.datediff(F.to_date(F.lit(as_of)), date), F.lit(0))
+    steps = rules.select(F.explode(F.sequence(F.lit(0), F.col(days))).alias("age")).groupBy("age").agg(F.count("*").alias("admit"))
+    aged = rows.select(F.col(key), age.alias("age")).distinct().join(steps, "age")
+    spans = rules.select(F.col(rule), F.col(days).alias("__days"))
+    done = covered.select(key, rule).distinct().join(spans, rule).join(aged, key).where("__days >= age").groupBy(key).agg(F.count("*").alias("cover"))
+    return aged.join(done, key, "left").where(F.col("admit") > F.coalesce("cover", F.lit(0))).select(key).distinct()
 
 
 def resolve_chain(links: DataFrame, source: str, target: str, hops: int = 20) -> DataFrame:

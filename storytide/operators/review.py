@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lists
+from ..functions.address import blocked_source
 from .relational import first_per, window_ends
 
 
@@ -21,15 +24,20 @@ class ReviewPolicy:
 STRUCTURAL = ReviewPolicy(least_score=70.0, window_days=14)
 
 
-def corroborated(observations: DataFrame, as_of: str, policy: ReviewPolicy = ReviewPolicy()) -> DataFrame:
+def corroborated(observations: DataFrame, as_of: str, policy: ReviewPolicy = ReviewPolicy(), unreliable: Sequence[str] = tuple(lists.UNRELIABLE)) -> DataFrame:
     """The pending observations to approve, with the stories and owners that corroborate them.
 
     observations: definition_id, observation_id, document_id, published (date), matched, review_status, score,
-    snippet, content, story_fingerprint, publisher_owner, and optionally blocked, seed, satisfied, preview.
+    snippet, content, story_fingerprint, publisher_owner, and optionally publisher, platform, url, blocked, seed, satisfied,
+    preview. Evidence of `unreliable` owners, publishers, platforms and hosts counts for nothing.
     The best row of a story stands for it; a definition needs enough stories and owners over these rows.
     """
     has = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in observations.columns else F.lit(d)
     age = F.datediff(F.to_date(F.lit(as_of)), "published")
+    said = lambda c: F.col(c) if c in observations.columns else F.lit(None).cast("string")
+    if unreliable:
+        values = F.array(*[F.lit(v.lower()) for v in unreliable])
+        observations = observations.where(~blocked_source(F.col("publisher_owner"), said("publisher"), said("platform"), said("url"), values))
     rows = observations.where(F.col("matched") & F.col("review_status").isin("pending", "approved") & (F.col("score") >= policy.least_score) & (F.coalesce("snippet", F.lit("")) != "") & age.between(0, policy.window_days) & ~has("blocked", False) & ~has("seed", False) & has("satisfied", True) & ~has("preview", False) & F.expr("instr(content, snippet) > 0"))
     best = first_per(rows, ["definition_id", "story_fingerprint"], F.desc("score"), F.desc("published"), F.asc("observation_id"))
     breadth = best.groupBy("definition_id").agg(F.count_distinct("story_fingerprint").alias("stories"), F.count_distinct("publisher_owner").alias("owners"))

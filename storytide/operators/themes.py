@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import deviation_of, half_up, mean_of, percentile_rank
 from ..session import written
-from ..sources.sinks import difference
+from ..sources.sinks import DayTable
 from .relational import calendar, rolling_distinct, top_per
 
 
@@ -124,14 +124,34 @@ def informative(scores: DataFrame, as_of: str) -> DataFrame:
     return scores.where((F.col("intensity") != 0) | (F.col("z_score") != 0) | (F.col("evidence_count") != 0) | (F.col("date") == F.to_date(F.lit(as_of))))
 
 
-def publication(stored: DataFrame, fresh: DataFrame, keys: list[str], first: str, last: str, keep_from: str, rebuild_at: int = 50_000) -> tuple[DataFrame, str]:
+def publication(stored: DataFrame, fresh: DataFrame, first: str, last: str, keep_from: str, rebuild_at: int = 50_000) -> tuple[DataFrame, str]:
     """(the table after publishing, how): fresh rows replace those of [first, last]; rows outside stay unless older than
-    keep_from. With rebuild_at changes or more the table is to be built anew beside the old one and swapped, else
-    changed in place; the rows are the same."""
+    keep_from. The table is built anew beside the old one and swapped if there are `rebuild_at` fresh rows or more (never,
+    if that is 0) and the newest stored day, if any, is before the last day; else it is changed in place. The rows are
+    the same."""
     inside = F.col("date").between(F.to_date(F.lit(first)), F.to_date(F.lit(last)))
-    changes = difference(stored.where(inside), fresh, keys).where("action <> 'keep'").count()
     after = stored.where(~inside & (F.col("date") >= F.to_date(F.lit(keep_from)))).unionByName(fresh)
-    return after, "rebuild" if changes >= rebuild_at else "in_place"
+    newest = stored.agg(F.max("date").cast("string")).first()[0]
+    anew = rebuild_at > 0 and (newest is None or newest < last) and fresh.count() >= rebuild_at
+    return after, "rebuild" if anew else "in_place"
+
+
+def publish(table: DayTable, fresh: DataFrame, keys: list[str], first: str, last: str, keep_from: str, rebuild_at: int = 50_000) -> dict:
+    """Publishes the fresh rows of [first, last] to a table of days: how, and the rows changed, removed and pruned.
+
+    In place, only days with a new, differing or obsolete row are written; anew, all days of [first, last] are.
+    """
+    fresh = written(fresh, "fresh-trends")
+    how = publication(table.read(), fresh, first, last, keep_from, rebuild_at)[1]
+    if how == "rebuild":
+        changed = fresh.count()
+        days = [r[0] for r in fresh.select(F.col("date").cast("string")).distinct().collect()]  # a calendar
+        table.replace_days(fresh, sorted({*days, *(d for d in table.days() if first <= d <= last)}))
+        removed = 0
+    else:
+        changed = table.upsert(fresh, keys)
+        removed = table.delete_obsolete(fresh, keys, first, last)
+    return {"how": how, "changed": changed, "removed": removed, "pruned": table.prune(keep_from)}
 
 
 def details(scores: DataFrame, rows: DataFrame, as_of: str, most: int = 5, evidence: int = 3) -> DataFrame:

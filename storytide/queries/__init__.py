@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import corpus, narratives, relations, reports, reviews, statuses, themes
+from . import corpus, judging, narratives, relations, reports, reviews, statuses, themes
 from .registry import QUERIES, SQL
 
-__all__ = ["corpus", "flagship", "narratives", "oracle_sql", "queries", "relations", "reports", "reviews", "statuses", "themes"]
+__all__ = ["corpus", "flagship", "judging", "narratives", "oracle_sql", "queries", "relations", "reports", "reviews", "statuses", "themes"]
 
 
 def flagship(spark, sf_dir: str):

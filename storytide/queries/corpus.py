@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import address, lists, similarity, text
-from ..operators import ingest, relational, research
+from ..operators import ingest, relational, research, setjoin
 from ..plans import views
 from .registry import query
 
@@ -81,7 +81,7 @@ def publisher_owner_rules(spark, d):
     p = views.table(spark, d, "pages")
     name = F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?]*)", 1)
     host = address.hostname(F.col("url"))
-    return p.select("page_id", F.when(host.endswith(".example.com") & host.startswith("th"), "th-group").otherwise(address.owner_of(F.lit("http://none.test/"), name, {}, {"fr": "french"})).alias("owner"))
+    return p.select("page_id", F.when(host.endswith(".example.com") & host.startswith("th"), "th-group").otherwise(address.owner_of(F.lit("http://none.test/"), name, (("french", (), ("fr",)),))).alias("owner"))
 
 
 @query()
@@ -105,17 +105,12 @@ def token_jaccard_pairs(spark, d):
     """Pairs of different title word sets with Jaccard similarity of a half at least, by the first document of each set."""
     from ..functions.numeric import half_up
 
-    t = views.texts(spark, d).select("document_id", F.array_sort(text.tokens(F.col("title"), synonyms=False)).alias("w")).where(F.size("w") > 0)
-    t = t.groupBy("w").agg(F.min("document_id").alias("id"), F.count("*").alias("n"))
-    # sets of Jaccard 0.5 share one of the rarest words of each: the first half of the words by rarity
-    df = t.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = t.select("id", F.size("w").alias("k"), F.explode("w").alias("word")).join(df, "word")
-    prefix = relational.fair_share(ranked, "id", F.asc("df"), F.asc("word")).where(F.col("turn") <= F.col("k") - F.ceil(F.col("k") * 0.5) + 1).select("id", "word", "k")
-    a, b = prefix.toDF("a", "word", "ka"), prefix.toDF("b", "word", "kb")
-    near = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.col("ka") >= 0.5 * F.col("kb")) & (F.col("kb") >= 0.5 * F.col("ka"))).select("a", "b").distinct()
-    of = lambda k: t.select(F.col("id").alias(k), F.col("w").alias(f"w{k}"), F.col("n").alias(f"members_{k}"))
-    x = near.join(of("a"), "a").join(of("b"), "b").withColumn("j", similarity.jaccard(F.col("wa"), F.col("wb")))
-    return x.where("j >= 0.5").select("a", "b", "members_a", "members_b", half_up(F.col("j"), 3).alias("similarity"))
+    t = views.texts(spark, d).select("document_id", text.tokens(F.col("title"), synonyms=False).alias("w"))
+    sets, members = setjoin.distinct_sets(t, "document_id", "w")
+    sizes = members.groupBy("id").agg(F.count("*").alias("n"))
+    of = lambda k: sizes.toDF(k, f"members_{k}")
+    x = setjoin.jaccard_pairs(sets, sets, 0.5, one_way=True).join(of("a"), "a").join(of("b"), "b")
+    return x.select("a", "b", "members_a", "members_b", half_up(F.col("similarity"), 3).alias("similarity"))
 
 
 @query("WITH " + views.TEXTS_SQL + " SELECT document_id, regexp_matches(text, '(?i)the') AND regexp_matches(text, '(?i)license|token') AND NOT regexp_matches(text, '(?i)idiot') AS passes FROM texts")
@@ -190,8 +185,9 @@ def preview_detection(spark, d):
     return views.texts(spark, d).select("document_id", ingest.preview(F.col("document_id") % 2 == 0, F.substring("text", 1, 200), words).alias("preview"))
 
 
-def _reasons_sql() -> str:
-    q, c, out = "text", "(title || ' ' || publisher)", []
+def reasons_sql(q: str = "text", c: str = "(title || ' ' || publisher)") -> str:
+    """How many reasons speak against a quotation q for a conclusion c."""
+    out = []
     for said, claimed, lacks, _ in lists.UNSUPPORTED:
         out.append(f"CASE WHEN regexp_matches({q}, '(?i){said}') AND regexp_matches({c}, '(?i){claimed}')" + (f" AND NOT regexp_matches({q}, '(?i){lacks}')" if lacks else "") + " THEN 1 ELSE 0 END")
     words, number, claimed, _ = lists.FRAGMENT
@@ -199,7 +195,7 @@ def _reasons_sql() -> str:
     return " + ".join(out)
 
 
-@query("WITH " + views.TEXTS_SQL + f" SELECT document_id, {_reasons_sql()} AS reasons FROM texts")
+@query("WITH " + views.TEXTS_SQL + f" SELECT document_id, {reasons_sql()} AS reasons FROM texts")
 def evidence_quality_reasons(spark, d):
     q, i, p = F.col("text"), F.col("title"), F.col("publisher")
     return views.texts(spark, d).select("document_id", F.size(text.evidence_reasons(q, i, p)).alias("reasons"))

@@ -38,7 +38,7 @@ def eligibility_division(spark, d):
     e = views.evidence(spark, d).select("document_id", "date")
     rules = spark.createDataFrame([("click", 5), ("view", 10), ("error", 20)], "rule string, days int")
     covered = e.join(F.broadcast(rules)).where("document_id % 3 <> 0 or rule = 'view'").select("document_id", "rule")  # three rules
-    return relational.eligible_once(e, rules, covered, "document_id", "rule", F.expr("date >= date_sub(date'2024-01-30', days)"))
+    return relational.eligible_within(e, "document_id", "date", rules, "rule", "days", covered, "2024-01-30")
 
 
 @query("SELECT n.n_name, r.r_name, count(DISTINCT c.c_custkey) AS customers, count(DISTINCT s.s_suppkey) AS suppliers FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY 1, 2")

@@ -214,7 +214,7 @@ def publication(spark, d):
     fresh = themes.window_scores(_rows(spark, d), AS_OF, themes.TrendPolicy(windows=(7,))).select("theme_id", "date", "intensity", "z_score")
     days = spark.range(8).select((F.date_add(F.lit("1998-05-01").cast("date"), (F.col("id") * 10).cast("int"))).alias("date"))
     stored = fresh.select("theme_id").distinct().crossJoin(F.broadcast(days)).select("theme_id", "date", F.lit(1.0).alias("intensity"), F.lit(0.0).alias("z_score"))  # eight days
-    after, _ = themes.publication(stored, fresh.where("date >= date'1998-06-15'"), ["theme_id", "date"], "1998-06-15", AS_OF, "1998-05-20")
+    after, _ = themes.publication(stored, fresh.where("date >= date'1998-06-15'"), "1998-06-15", AS_OF, "1998-05-20")
     return after.groupBy("date").agg(F.count("*").alias("themes"), (F.floor(F.sum("intensity") * 1000 + 0.5) / 1000).alias("intensity"))
 
 

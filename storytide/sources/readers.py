@@ -42,23 +42,25 @@ def poll_all(spark: SparkSession, connectors: list[Connector]) -> DataFrame:
 
 
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    """document_id, title, url, stamp, html of the entries of RSS, RDF (item) and Atom (entry) files; an Atom link is an attribute."""
+    """file, document_id, title, url, stamp, html of the entries of RSS, RDF (item) and Atom (entry) files; an Atom link is an attribute."""
     common = "title string, pubDate string, date string, updated string, published string, description string, summary string, content string, encoded string, guid string, id string"
     xml = lambda tag, link: spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(f"{common}, link {link}").load(path)
     both = xml("item", "string").unionByName(xml("entry", "array<struct<_href:string,_rel:string>>").withColumn("link", F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])))
     url, text = F.trim("link"), F.coalesce("encoded", "content", "description", "summary")
-    return both.select(F.coalesce("guid", "id", url).alias("document_id"), F.trim("title").alias("title"), url.alias("url"), F.coalesce("pubDate", "published", "date", "updated").alias("stamp"), text.alias("html"))
+    both = both.withColumn("file", F.input_file_name())
+    return both.select("file", F.coalesce("guid", "id", url).alias("document_id"), F.trim("title").alias("title"), url.alias("url"), F.coalesce("pubDate", "published", "date", "updated").alias("stamp"), text.alias("html"))
 
 
 def feed(spark: SparkSession, path: str, as_of: str, lookback_hours: int = 48, limit: int = 250, source: str = "rss", source_class: str = "newspaper", retention: str = "snippet") -> DataFrame:
-    """RSS, RDF and Atom files: entries with title, address, date and body within the lookback, newest first."""
+    """RSS, RDF and Atom files, a feed each: entries with title, address, date and body within the lookback, the newest
+    `limit` of each feed."""
     stamp = F.col("stamp")
     when = F.coalesce(F.try_to_timestamp(F.regexp_replace(stamp, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(stamp))
     body = html_to_text(F.col("html"))
-    rows = _entries(spark, path).select("document_id", F.lit(source).alias("source"), F.lit(source_class).alias("source_class"), "title", F.lit(source).alias("publisher"), "url", when.alias("published"), F.when(F.lit(retention) == "snippet", F.substring(body, 1, SNIPPET)).otherwise(body).alias("text"), F.lit(retention).alias("retention"))
+    rows = _entries(spark, path).select("file", "document_id", F.lit(source).alias("source"), F.lit(source_class).alias("source_class"), "title", F.lit(source).alias("publisher"), "url", when.alias("published"), F.when(F.lit(retention) == "snippet", F.substring(body, 1, SNIPPET)).otherwise(body).alias("text"), F.lit(retention).alias("retention"))
     end = F.to_timestamp(F.lit(as_of))
     kept = rows.where((F.coalesce("title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "") & (F.coalesce("text", F.lit("")) != "") & F.col("published").between(end - F.make_interval(hours=F.lit(lookback_hours)), end))
-    return kept.orderBy(F.desc("published"), "url").limit(limit)
+    return top_per(kept, ["file"], limit, F.desc("published"), F.asc("url"), F.asc("document_id")).drop("file")
 
 
 def _documents(rows: DataFrame, source: str, retention: str, **columns: Column) -> DataFrame:
@@ -176,6 +178,14 @@ def exhibit_relevance(kind: Column, name: Column) -> Column:
     return F.when(_holds(text, lists.EXHIBIT_HIGH), "high").when(_holds(text, lists.EXHIBIT_MEDIUM), "medium").otherwise("low")
 
 
+def filing_part(text: Column) -> Column:
+    """What part of a filing a text is, by its first 50 000 characters; null if they name none."""
+    begin, out = F.lower(F.substring(text, 1, 50_000)), F.lit(None).cast("string")
+    for label, said in reversed(lists.FILING_PARTS):
+        out = F.when(F.contains(begin, F.lit(said)), label).otherwise(out)
+    return out
+
+
 def transcripts(spark: SparkSession, path: str, quarters: int = 8) -> DataFrame:
     """JSON transcripts (ticker, year, quarter, content): the newest quarters of each ticker."""
     x = spark.read.schema("ticker string, year int, quarter int, date string, content string").json(path)
@@ -183,9 +193,11 @@ def transcripts(spark: SparkSession, path: str, quarters: int = 8) -> DataFrame:
 
 
 def archive_since(posts: DataFrame, since: str | None, cap: int) -> DataFrame:
-    """Posts newer than the stored watermark, newest first, at most `cap`."""
+    """Posts newer than the stored watermark, newest first, at most `cap` of each publication (publisher, if there is
+    such a column)."""
     rows = posts if since is None else posts.where(F.col("published") > F.to_timestamp(F.lit(since)))
-    return rows.orderBy(F.desc("published"), "url").limit(cap)
+    own = ["publisher"] if "publisher" in posts.columns else []
+    return top_per(rows, own, cap, F.desc("published"), F.asc("url")) if own else rows.orderBy(F.desc("published"), "url").limit(cap)
 
 
 def advance_watermark(stored: DataFrame, polled: DataFrame, key: str) -> DataFrame:
