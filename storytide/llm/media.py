@@ -213,38 +213,58 @@ def directories(data: bytes) -> Iterator[dict[int, list]]:
         raise BadImage("the file ends early") from None
 
 
+#: Bytes that a byte of a file may stand for: those of the longest entry of an LZW table, in twelve bits.
+RATIO = 4096 * 8 // 12 + 1
+
+
 def pages(data: bytes) -> Iterator[Page]:
-    """The decoded pages of a file."""
-    for k, tags in enumerate(directories(data)):
-        one = lambda t, default=None: tags[t][0] if tags.get(t) else default  # noqa: B023, E731
-        width, height, samples = one(T_WIDTH, 0), one(T_HEIGHT, 0), one(T_SAMPLES, 1)
-        kind, predictor = one(T_COMPRESSION, NONE), one(T_PREDICTOR, 1)
-        bits = set(tags.get(T_BITS, [1]))
-        if not width or not height or not samples:
-            raise BadImage("a page without size")
-        if bits - {8, 16} or len(bits) != 1 or predictor not in (1, 2) or (one(T_PLANAR, 1) != 1 and samples > 1):
-            raise BadImage("samples, predictor or planes that the reader does not know")
-        sample = np.dtype("u1" if bits == {8} else one(0) + "u2")
-        tiled = T_TILE_AT in tags
-        if tiled:
-            w, h, at, sizes = one(T_TILE_WIDTH, 0), one(T_TILE_HEIGHT, 0), tags[T_TILE_AT], tags.get(T_TILE_BYTES, [])
-        else:
-            w, h, at, sizes = width, min(one(T_STRIP_ROWS, height), height), tags.get(T_STRIP_AT, []), tags.get(T_STRIP_BYTES, [])
-        across, down = -(-width // max(1, w)), -(-height // max(1, h))
-        if not w or not h or len(at) != across * down or len(sizes) != len(at):
-            raise BadImage("strips or tiles do not cover the page")
-        if width * height * samples > 1 << 31:
-            raise BadImage("a page of over 2 GB")
-        grid = np.zeros((down * h, across * w, samples), sample.newbyteorder("="))
-        for i, (a, n) in enumerate(zip(at, sizes, strict=True)):
-            y, x = i // across * h, i % across * w
-            rows = h if tiled else min(h, height - y)
-            part = np.frombuffer(_decode(kind, data[a : a + n], rows * w * samples * sample.itemsize), sample).astype(grid.dtype).reshape(rows, w, samples)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=grid.dtype)
-            grid[y : y + rows, x : x + w] = part
-        text = one(T_DESCRIPTION)
-        yield Page(k, width, height, samples, kind, predictor, tiled, text.rstrip(b"\0").decode("utf-8", "replace") if text else None, grid[:height, :width])
+    """The decoded pages of a file. What isn't one, or breaks off, is a BadImage behind the pages before it."""
+    walk = enumerate(directories(data))
+    while True:
+        try:
+            k, tags = next(walk)
+            page = _page(data, k, tags)
+        except StopIteration:
+            return
+        except (TypeError, ValueError, OverflowError, MemoryError, KeyError, IndexError, struct.error) as e:
+            if isinstance(e, BadImage):
+                raise
+            raise BadImage("a tag that the reader does not know") from None
+        yield page
+
+
+def _page(data: bytes, k: int, tags: dict) -> Page:
+    one = lambda t, default=None: tags[t][0] if tags.get(t) else default
+    width, height, samples = one(T_WIDTH, 0), one(T_HEIGHT, 0), one(T_SAMPLES, 1)
+    kind, predictor = one(T_COMPRESSION, NONE), one(T_PREDICTOR, 1)
+    bits = set(tags.get(T_BITS, [1]))
+    if not width or not height or not samples:
+        raise BadImage("a page without size")
+    if bits - {8, 16} or len(bits) != 1 or predictor not in (1, 2) or (one(T_PLANAR, 1) != 1 and samples > 1):
+        raise BadImage("samples, predictor or planes that the reader does not know")
+    sample = np.dtype("u1" if bits == {8} else one(0) + "u2")
+    tiled = T_TILE_AT in tags
+    if tiled:
+        w, h, at, sizes = one(T_TILE_WIDTH, 0), one(T_TILE_HEIGHT, 0), tags[T_TILE_AT], tags.get(T_TILE_BYTES, [])
+    else:
+        w, h, at, sizes = width, min(one(T_STRIP_ROWS, height), height), tags.get(T_STRIP_AT, []), tags.get(T_STRIP_BYTES, [])
+    across, down = -(-width // max(1, w)), -(-height // max(1, h))
+    if not w or not h or len(at) != across * down or len(sizes) != len(at):
+        raise BadImage("strips or tiles do not cover the page")
+    if down * h * across * w * samples * sample.itemsize > min(1 << 31, RATIO * len(data)):
+        raise BadImage("a page of over 2 GB, or larger than the file can hold")
+    grid = np.zeros((down * h, across * w, samples), sample.newbyteorder("="))
+    for i, (a, n) in enumerate(zip(at, sizes, strict=True)):
+        y, x = i // across * h, i % across * w
+        rows = h if tiled else min(h, height - y)
+        part = np.frombuffer(_decode(kind, data[a : a + n], rows * w * samples * sample.itemsize), sample).astype(grid.dtype).reshape(rows, w, samples)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=grid.dtype)
+        grid[y : y + rows, x : x + w] = part
+    text = one(T_DESCRIPTION)
+    if isinstance(text, int):  # written as bytes
+        text = bytes(tags[T_DESCRIPTION])
+    return Page(k, width, height, samples, kind, predictor, tiled, text.rstrip(b"\0").decode("utf-8", "replace") if text else None, grid[:height, :width])
 
 
 def _page_parts(grid: np.ndarray, tiled: bool, predictor: int, kind: int) -> list[bytes]:

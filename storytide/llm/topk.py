@@ -29,18 +29,24 @@ HEAD = 1024
 SAMPLE = 10_000
 #: Scale of the integer grid.
 GRID = 256.0
+#: Length on the grid from which a vector takes no part: products of shorter ones fit 64 bits.
+LONGEST = 2.0**31.5
+#: Products below it are whole numbers in 64-bit floating point.
+EXACT = 2.0**52
 
 
 def quantise(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that are whole and finite, their integers floor(256 x))."""
+    """(rows that are whole, finite and not too long, their integers floor(256 x))."""
     good, out = [], []
     for k, v in enumerate(vectors):
         if v is None:
             continue
         a = np.array([np.nan if x is None else x for x in v], np.float64)
-        if np.isfinite(a).all():
-            good.append(k)
-            out.append(np.floor(GRID * a))
+        if np.isfinite(a).all() and np.abs(a).max(initial=0) < LONGEST:
+            a = np.floor(GRID * a)
+            if a @ a < LONGEST**2:
+                good.append(k)
+                out.append(a)
     return np.array(good, np.int64), out
 
 
@@ -101,12 +107,15 @@ def search(queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, vecto
         pairs += len(qi)
         if not len(qi):
             continue
-        if len(qi) > 0.1 * bound.size:
+        exact = qn[on].max() * norms[a] < EXACT
+        if exact and len(qi) > 0.1 * bound.size:
             s = (queries[on] @ c.T)[qi, ci]
-        else:
-            s = np.concatenate([np.einsum("ij,ij->i", queries[on[qi[j : j + 65536]]], c[ci[j : j + 65536]]) for j in range(0, len(qi), 65536)])
+        else:  # beyond EXACT on 64-bit integers
+            x, y = (queries, c) if exact else (queries.astype(np.int64), c.astype(np.int64))
+            s = np.concatenate([np.einsum("ij,ij->i", x[on[qi[j : j + 65536]]], y[ci[j : j + 65536]]) for j in range(0, len(qi), 65536)])
+        s = s.astype(np.int64)
         q = on[qi]
-        up = s >= least[q]
+        up = s >= least[q] - 1e-9 * np.abs(np.where(np.isfinite(least[q]), least[q], 0))
         q, s, i = q[up], s[up], ids[a + ci[up]]
         order = np.lexsort((i, -s, q))
         q, s, i = q[order], s[order], i[order]
@@ -119,7 +128,7 @@ def search(queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, vecto
     if counters is not None:
         counters["pairs"] = counters.get("pairs", 0) + pairs
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     q, i, s = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((i, -s, q))
     q, i, s = q[order], i[order], s[order]
@@ -133,12 +142,12 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
     Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own: a repeated row asks
     as often as it is there, and is found by its copies. Vectors that are null, hold null or non-finite components, or
     have a null id take no part, nor do those of another length than most (of the longer length if as many), as they
-    have no product with the rest. An empty table, and one of empty vectors, give no rows.
+    have no product with the rest, nor those whose integers have a Euclidean length of 2^31.5 or more, as their products
+    may not fit a long. Scores are exact, also beyond 2^53. An empty table, and one of empty vectors, give no rows.
 
-    The rows meet in pieces: parts of PART vectors by descending length, groups of GROUP queries by how many parts they
-    need at most (those whose longest vector can still reach the query's first threshold). A group meets only the
-    parts that one of its queries needs. The driver holds a length a part and a number a group: rows / 8 192 and
-    rows / 204 800 of them.
+    The rows meet in pieces: parts of PART vectors by descending length, groups of GROUP queries by the last part they
+    need (whose longest vector can still reach the query's first threshold). A group meets only the parts up to the last
+    that one of its queries needs. The driver holds a length a part, a number for 8 192 rows.
     """
     spark = embeddings.sparkSession
     rows = common.written(prepare(embeddings, id_column, vector_column).where("dim > 0"), "vectors")
@@ -157,25 +166,26 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
     parts = max(1, -(-n // PART))
     dealt = common.written(rows.repartitionByRange(parts, F.desc("norm"), "row").select("row", "vec_id", "v", "norm", F.spark_partition_id().alias("part")), "vector-parts")
     lengths = {r["part"]: r["norm"] for r in dealt.groupBy("part").agg(F.max("norm").alias("norm")).collect()}
-    numbers = sorted(lengths)
-    longest_left = np.array([lengths[p] for p in numbers])
+    numbers = np.array(sorted(lengths), np.int32)
+    longest_left = np.array([lengths[p] for p in numbers.tolist()])
 
     def first(b):
         q, own = matrix(b.column(2).to_pylist(), dim), b.column(0).to_numpy().astype(np.int64)
         s = q @ top.T
         s[own[:, None] == top_rows[None, :]] = -np.inf
         floor = -np.sort(-s, axis=1)[:, k - 1] if s.shape[1] >= k else np.full(len(q), -np.inf)
-        reach = np.sqrt((q * q).sum(axis=1))[:, None] * longest_left[None, :]
-        need = (reach + 1e-6 * (1 + reach) >= floor[:, None]).sum(axis=1)  # parts are by descending length
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(floor), pa.array(need, pa.int32())], ["row", "vec_id", "v", "floor", "need"])
+        floor = np.where(np.isfinite(floor), floor - 1e-9 * np.abs(floor), floor)
+        length = np.sqrt((q * q).sum(axis=1))
+        reach = np.where(length > 0, (floor - 1e-6) / (1 + 1e-6) / np.maximum(length, 1e-300), np.where(floor > 1e-6, np.inf, -np.inf))
+        need = np.searchsorted(-longest_left, -reach, side="right")  # parts are by descending length
+        last = np.where(need > 0, numbers[np.maximum(need, 1) - 1], -1)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(floor), pa.array(last, pa.int32())], ["row", "vec_id", "v", "floor", "last"])
 
     asked = rows.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
-    queries = common.written(common.map_arrow(asked, first, "row long, vec_id long, v binary, floor double, need int"), "vector-queries")
+    queries = common.written(common.map_arrow(asked, first, "row long, vec_id long, v binary, floor double, last int").where("last >= 0"), "vector-queries")
     groups = max(1, -(-queries.count() // GROUP))
-    grouped = common.written(queries.repartitionByRange(groups, F.desc("need"), "row").withColumn("grp", F.spark_partition_id()), "query-groups")
-    needs = {r["grp"]: r["need"] for r in grouped.groupBy("grp").agg(F.max("need").alias("need")).collect()}
-    at = lambda g: numbers[: needs[g]]
-    meetings = spark.createDataFrame([(g, p) for g in sorted(needs) for p in at(g)], "grp int, part int")
+    grouped = common.written(queries.repartitionByRange(groups, F.desc("last"), "row").withColumn("grp", F.spark_partition_id()), "query-groups")
+    meetings = grouped.groupBy("grp").agg(F.max("last").alias("last")).select("grp", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"))
     asking = grouped.join(meetings, "grp")
     candidates = dealt.join(meetings, "part")
 
@@ -185,7 +195,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
         c = c.sort_values(["norm", "vec_id"], ascending=[False, True])
         of = lambda d, name: d[name].to_numpy(np.int64)
         qn, i, s = search(matrix(q["v"].tolist(), dim), of(q, "row"), q["floor"].to_numpy(), matrix(c["v"].tolist(), dim), of(c, "vec_id"), of(c, "row"), turn, k)
-        return pd.DataFrame({"row": of(q, "row")[qn], "query_id": of(q, "vec_id")[qn], "vec_id": i, "score": s.astype(np.int64)})
+        return pd.DataFrame({"row": of(q, "row")[qn], "query_id": of(q, "vec_id")[qn], "vec_id": i, "score": s})
 
     met = candidates.groupBy("part", "grp").cogroup(asking.groupBy("part", "grp")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))

@@ -88,3 +88,47 @@ def test_documents(spark):
     assert sorted((r.doc_id or 0, bytes(r.payload[: r.n_bytes]).decode()) for r in rows) == sorted((i or 0, t or "") for i, t, _ in ODD)
     assert len(media.digest(files).collect()) == len(ODD)
     assert media.digest(media.store_texts(none(spark))).count() == 0
+
+
+def test_ten_thousand_broken_files():
+    """Files with bytes changed, cut out or added, and tags of other types: pages, or a BadImage."""
+    rng = np.random.default_rng(11)
+    whole = [media.store(rng.integers(0, 256, 192 * n, dtype=np.uint8).tobytes() if n % 2 else b" " * 192 * n, f"bytes={n}") for n in (1, 2, 3, 8)]
+    bad = 0
+    for _ in range(10_000):
+        data = bytearray(whole[rng.integers(len(whole))])
+        heads = len(data) - 12 * 14  # directories come last
+        for _ in range(rng.integers(1, 6)):
+            at = int(rng.integers(max(0, heads), len(data))) if rng.random() < 0.7 else int(rng.integers(len(data)))
+            way = rng.random()
+            if way < 0.8:
+                data[at] = int(rng.choice([0, 1, 2, 3, 5, 11, 12, 255, int(rng.integers(256))]))
+            elif way < 0.9:
+                del data[at : at + int(rng.integers(1, 9))]
+            else:
+                data[at:at] = rng.integers(0, 256, 4, dtype=np.uint8).tobytes()
+            if not data:
+                data = bytearray(b"I")
+        try:
+            list(media.pages(bytes(data)))
+        except media.BadImage:
+            bad += 1
+    assert bad > 5000
+
+
+def test_description_of_bytes(spark):
+    """A description with the type of bytes is read; the file is still one of store_texts."""
+    data = bytearray(media.store(b"x" * 192, "bytes=192"))
+    at = data.index(struct.pack("<HH", media.T_DESCRIPTION, 2))
+    data[at + 2 : at + 4] = struct.pack("<H", 1)
+    assert [p.description for p in media.pages(bytes(data))] == ["bytes=192"]
+    data[at + 2 : at + 4] = struct.pack("<H", 11)  # numbers with fractions
+    files = spark.createDataFrame([(1, bytes(data))], "doc_id long, media binary")
+    assert [r.error is None for r in media.read_pages(files).collect()] == [False] or media.digest(files).first()["n_bytes"] is None
+
+
+def test_a_small_file_asks_for_little():
+    tags = [(media.T_WIDTH, 4, 40000), (media.T_HEIGHT, 4, 40000), (media.T_BITS, 3, 8), (media.T_STRIP_AT, 4, 8), (media.T_STRIP_BYTES, 4, 4)]
+    data = b"II*\0\x0c\0\0\0abcd" + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + b"\0" * 4
+    with pytest.raises(media.BadImage, match="larger than the file can hold"):
+        list(media.pages(data))

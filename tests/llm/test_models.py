@@ -224,6 +224,29 @@ def test_top_k(spark, monkeypatch):
     assert [(r.query_id, r["rank"], r.vec_id) for r in two] == [(50, 1, 1)]
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Scores beyond 2^53 are exact, also where they nearly tie; a vector whose products may not fit a long, and one
+    whose integers overflow, take no part and disturb no other."""
+    monkeypatch.setattr(topk, "PART", 40)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(1, 300)]
+    rows += [(1000 + i, [float(x) for x in rng.integers(0, 3_000_000, 8)]) for i in range(0, 120)]
+    base = [2_000_000.0, 1.0, 1_500_000.0, 3.0, 0.25, 0.5, 7.0, 0.0]
+    rows += [(3000 + 50 * i, [*base[:7], i / 256]) for i in range(6)]
+    rows += [(5000, [1e16] * 8), (5050, [1e307, *[1.0] * 7]), (5100, [1e38] * 8), (5150, [1.3e7] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i < 5000]
+    want = []
+    for q, a in good:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+    assert max(s for *_, s in want) > 2**56
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (50, [2.0, 1.0]), (100, [1e307, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in topk.top_k(few).collect()) == [(0, 50), (50, 0)]
+
+
 def test_pruning_saves_work():
     rng = np.random.default_rng(6)
     v = np.floor(256 * rng.normal(0, 1, (20000, 32)) * np.linspace(2, 0.05, 32))
