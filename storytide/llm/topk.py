@@ -185,8 +185,8 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
     queries = common.written(common.map_arrow(asked, first, "row long, vec_id long, v binary, floor double, last int").where("last >= 0"), "vector-queries")
     groups = max(1, -(-queries.count() // GROUP))
     grouped = common.written(queries.repartitionByRange(groups, F.desc("last"), "row").withColumn("grp", F.spark_partition_id()), "query-groups")
-    meetings = grouped.groupBy("grp").agg(F.max("last").alias("last")).select("grp", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"))
-    asking = grouped.join(meetings, "grp")
+    meetings = grouped.groupBy("grp").agg(F.max("last").alias("to")).select("grp", F.explode(F.sequence(F.lit(0), F.col("to"))).alias("part"))
+    asking = grouped.join(meetings, "grp").toDF("q_grp", "row", "vec_id", "v", "floor", "last", "q_part")  # own names: both sides come from meetings
     candidates = dealt.join(meetings, "part")
 
     def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -197,6 +197,6 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, id_column: str = "
         qn, i, s = search(matrix(q["v"].tolist(), dim), of(q, "row"), q["floor"].to_numpy(), matrix(c["v"].tolist(), dim), of(c, "vec_id"), of(c, "row"), turn, k)
         return pd.DataFrame({"row": of(q, "row")[qn], "query_id": of(q, "vec_id")[qn], "vec_id": i, "score": s})
 
-    met = candidates.groupBy("part", "grp").cogroup(asking.groupBy("part", "grp")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    met = candidates.groupBy("part", "grp").cogroup(asking.groupBy("q_part", "q_grp")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
