@@ -69,7 +69,7 @@ def pooled(observations: DataFrame, grid: DataFrame, days: int) -> DataFrame:
     members = day.select(*keys, "date", F.explode(both).alias("x")).select(*keys, "date", "x.kind", "x.m")
     daily = day.groupBy(*keys, "date").agg(F.sum("weight").alias("weight"))
     cells = grid.join(daily.select(*keys).distinct(), "definition_id").join(daily, [*keys, "date"], "left")
-    x = rolling_distinct(members, cells, keys, days, {"all": "eligible", "hit": "hits"})
+    x = rolling_distinct(members, cells, keys, days, {"all": "eligible", "hit": "hits"}, brief=("all", "hit"))
     span = Window.partitionBy(*keys).orderBy("idx").rowsBetween(-(days - 1), 0)
     x = x.withColumn("attention", F.coalesce(F.sum("weight").over(span), F.lit(0.0))).where("eligible > 0")
     w = F.log1p("eligible")
@@ -85,13 +85,13 @@ def window_breadth(observations: DataFrame, grid: DataFrame, days: int) -> DataF
     all_ = F.concat(F.array(s("classified", F.col("document_id"))), F.when(F.col("raw_matched"), F.array(s("raw", F.col("document_id")))).otherwise(none), F.when(F.col("matched"), F.concat(F.array(*on_match), F.transform("entities", lambda e: s("entity", e)))).otherwise(none))
     members = observations.select("definition_id", "date", F.explode(all_).alias("x")).select("definition_id", "date", "x.kind", "x.m").where("m is not null")
     kinds = {"classified": "classified_documents", "matched": "matched_documents", "raw": "attention_matched_documents", "publisher": "publisher_breadth", "owner": "owner_breadth", "story": "story_breadth", "class": "class_breadth", "entity": "entity_breadth"}
-    return rolling_distinct(members, grid, ["definition_id"], days, kinds)
+    return rolling_distinct(members, grid, ["definition_id"], days, kinds, brief=("classified", "matched", "raw"))
 
 
 def window_corpus(corpus: DataFrame, calendar_: DataFrame, days: int) -> DataFrame:
     """Per day of the calendar: distinct documents of the trailing window."""
     members = corpus.select(F.lit(0).alias("all"), "date", F.lit("document").alias("kind"), F.col("document_id").cast("string").alias("m"))
-    return rolling_distinct(members, calendar_.select(F.lit(0).alias("all"), "date"), ["all"], days, {"document": "corpus_documents"}).drop("all")
+    return rolling_distinct(members, calendar_.select(F.lit(0).alias("all"), "date"), ["all"], days, {"document": "corpus_documents"}, brief=("document",)).drop("all")
 
 
 def tones(observations: DataFrame, grid: DataFrame, days: int) -> DataFrame:
@@ -149,4 +149,4 @@ def trend_series(observations: DataFrame, corpus: DataFrame, first: str, last: s
     x = x.withColumn("state", lifecycle(F.col("covered"), F.col("low_history"), F.col("density"), F.col("previous"), F.col("change"), F.col("previous_change"), F.col("density_percentile"), F.col("peak_density"), F.col("days_since_peak"), F.col("story_breadth"), F.col("owner_breadth"), policy))
     two = lambda c: half_up(F.col(c)).alias(c)
     x = x.select("definition_id", "date", *map(two, ("density", "attention_density", "risk_tone", "bullish_tone", "change", "acceleration", "density_z", "attention_z", "peak_density")), "density_percentile", "attention_percentile", "days_since_peak", "samples", "low_history", "coverage", "state", "corpus_documents", "classified_documents", "matched_documents", "attention_matched_documents", "publisher_breadth", "owner_breadth", "story_breadth", "class_breadth", "entity_breadth")
-    return written(x, "series")
+    return x

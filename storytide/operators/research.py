@@ -14,8 +14,11 @@ FACTS_PER_DOCUMENT = 40
 
 def facts(documents: DataFrame, most: int = FACTS_PER_DOCUMENT) -> DataFrame:
     """document_id, company, published, place, metric, basis, quote: passages of 45 to 600 characters with a quantity and
-    a reporting verb, not of an excluded kind; the metric named first counts. documents: one company each; only
-    filings and transcripts (source_class) are read."""
+    a reporting verb, not of an excluded kind; the metric named first counts. documents: document_id, company, published,
+    source_class, text, and optionally tickers (array): those of several companies, whose passages belong to none for
+    certain, are left out. Only filings and transcripts are read."""
+    if "tickers" in documents.columns:
+        documents = documents.where(F.size("tickers") == 1)
     rows = documents.where(F.col("source_class").isin("filing", "transcript")).select("document_id", "company", "published", F.posexplode(passages(F.col("text"))).alias("place", "quote"))
     q = F.col("quote")
     like = lambda p: q.rlike(f"(?i){p}")
@@ -43,18 +46,24 @@ def question(company: Column, names: Column, quotes: Column) -> Column:
 
 
 def leads(found: DataFrame, limit: int = 5) -> DataFrame:
-    """company, question, reported, metrics, metric_names, counter_evidence, invalidation, gaps, rank: the newest, most
-    relevant fact of each metric, a passage counting once; companies with two metrics at least."""
+    """company, question, reported, metrics, metric_names, facts, contrary, counter_evidence, invalidation, gaps, rank: the
+    newest, most relevant fact of each metric, companies with two metrics at least. facts: at most four of them, contrary:
+    the first two passages that say the opposite, each as metric, basis, document_id, quote, the newest first."""
     relevance = F.when(F.col("quote").rlike("(?i)prepayment|upfront license"), 6).otherwise(0) + F.when(F.col("quote").rlike("(?i)year.over.year|relative to|compared to|increased|decreased|grew|declined"), 3).otherwise(0)
     x = found.withColumn("relevance", relevance).withColumn("contrary", F.col("quote").rlike(f"(?i){lists.NEGATIVE}"))
-    best = top_per(x, ["company", "metric"], 1, F.desc("published"), F.desc("relevance"), F.asc("document_id"), F.asc("place"))
-    per = best.groupBy("company").agg(F.count("*").alias("metrics"), F.max("published").alias("reported"), F.array_sort(F.collect_list("metric")).alias("metric_names"), F.collect_list("quote").alias("quotes")).where("metrics >= 2")
-    against = x.where("contrary").select("company", "quote").distinct().groupBy("company").agg(F.least(F.count("*"), F.lit(2)).alias("counter_evidence"))
-    out = per.join(against, "company", "left").withColumn("counter_evidence", F.coalesce("counter_evidence", F.lit(0)))
+    newest = [F.desc("published"), F.desc("relevance"), F.asc("document_id"), F.asc("place")]
+    best = top_per(x, ["company", "metric"], 1, *newest)
+    named = F.struct("metric", "basis", "document_id", "quote")
+    sort_key = F.struct(F.negate(F.unix_date("published")).alias("p"), F.negate("relevance").alias("r"), "document_id", "place", named.alias("fact"))
+    listed = lambda most: F.slice(F.transform(F.array_sort(F.collect_list(sort_key)), lambda v: v["fact"]), 1, most)
+    per = best.groupBy("company").agg(F.count("*").alias("metrics"), F.max("published").alias("reported"), F.array_sort(F.collect_list("metric")).alias("metric_names"), F.collect_list("quote").alias("quotes"), listed(4).alias("facts")).where("metrics >= 2")  # a row a metric
+    once = top_per(x.where("contrary"), ["company", "quote"], 1, *newest)
+    against = top_per(once, ["company"], 2, *newest).groupBy("company").agg(F.count("*").alias("counter_evidence"), listed(2).alias("contrary"))
+    out = per.join(against, "company", "left").withColumns({"counter_evidence": F.coalesce("counter_evidence", F.lit(0)), "contrary": F.coalesce("contrary", F.slice("facts", 1, 0))})
     cash = F.array_contains("metric_names", "Cash and investment")
     # one report window is one source event, so independent evidence is always missing; so are expectations
     missing = F.array_compact(F.array(F.lit("one_source_event"), F.when(~cash, "no_cash_passage"), F.when(F.col("counter_evidence") == 0, "no_contrary_passage"), F.lit("management_reported"), F.lit("expectations_unchecked")))
-    out = out.select("company", question(F.col("company"), F.col("metric_names"), F.col("quotes")).alias("question"), "reported", "metrics", "metric_names", "counter_evidence", F.when(cash, "cash_conversion").otherwise("revenue_demand_margins").alias("invalidation"), missing.alias("gaps"))
+    out = out.select("company", question(F.col("company"), F.col("metric_names"), F.col("quotes")).alias("question"), "reported", "metrics", "metric_names", "facts", "contrary", "counter_evidence", F.when(cash, "cash_conversion").otherwise("revenue_demand_margins").alias("invalidation"), missing.alias("gaps"))
     order = [F.desc("reported"), F.desc("metrics"), F.asc("company")]
     return out.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 

@@ -152,17 +152,56 @@ def conversation_texts(spark, d):
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))), lambda x: x["line"]), "\n")).alias("text_md5"))
 
 
-@query()
+_REPORT = {
+    "revenue": "'Revenue increased ' || CAST(o_custkey % 40 + 7 AS INTEGER) || '.5% to $' || CAST(floor(o_totalprice) AS BIGINT) || ' million during the reported quarter.'",
+    "2-HIGH": "'Operating cash flow declined 12.7% to $' || CAST(floor(o_totalprice) AS BIGINT) || ' million during the same quarter.'",
+    "3-MEDIUM": "'Backlog and orders rose 12% on customer prepayments to $' || CAST(floor(o_totalprice) AS BIGINT) || ' million, as capital expenditure was lower.'",
+    "4-NOT SPECIFIED": "'Net income is expected to be $' || CAST(floor(o_totalprice) AS BIGINT) || ' million, compared to $3.25 million in the year before.'",
+    "5-LOW": "'The total debt capacity under the revolving credit facility was $4.6 billion at the end of it.'",
+}
+_REPORTS = "reports AS (SELECT o_orderkey AS document_id, 'C' || o_custkey AS company, CAST(o_orderdate AS DATE) AS published, CASE o_orderstatus WHEN 'F' THEN 'transcript' WHEN 'O' THEN 'filing' ELSE 'newspaper' END AS source_class, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS companies, " + _REPORT["revenue"] + " AS first_, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _REPORT.items() if k != "revenue") + " ELSE '' END AS second_ FROM orders)"
+_FIRST = lambda p: f"length(regexp_extract(quote, '(?is)^(.*?){p}', 1))"
+_FACTS = "WITH " + _REPORTS + f""", passages AS (SELECT document_id, company, published, place, quote FROM (SELECT document_id, company, published, 0 AS place, first_ AS quote FROM reports WHERE companies = 1 AND source_class <> 'newspaper' UNION ALL SELECT document_id, company, published, 1, second_ FROM reports WHERE companies = 1 AND source_class <> 'newspaper') WHERE length(quote) BETWEEN 45 AND 600 AND regexp_matches(quote, '(?i){lists.QUANTITY}') AND regexp_matches(quote, '(?i){lists.REPORTING_VERB}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[0]}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[1]}') AND len(regexp_extract_all(quote, '\d[\d,.]*')) <= 12),
+found AS (SELECT *, list_sort(list_filter([{", ".join(f"CASE WHEN regexp_matches(quote, '(?i){p}') THEN {{'at': {_FIRST(p)}, 'm': '{m}'}} END" for m, p in lists.METRICS)}], lambda x: x IS NOT NULL))[1].m AS metric FROM passages),
+facts AS (SELECT document_id, company, published, place, quote, metric, CASE WHEN regexp_matches(quote, '(?i){lists.OUTLOOK}') THEN 'Outlook' ELSE 'Reported result' END AS basis FROM found WHERE metric IS NOT NULL AND NOT (metric = 'Demand and capacity' AND regexp_matches(quote, '(?i){lists.FINANCING}')))"""
+
+
+def _reports(spark, d):
+    """Reports of companies, as texts, one an order: revenue, and a second passage by the order's priority."""
+    o = views.table(spark, d, "orders")
+    one = lambda k: F.expr(_REPORT[k])
+    second = F.lit("")
+    for k in _REPORT:
+        if k != "revenue":
+            second = F.when(F.col("o_orderpriority") == k, one(k)).otherwise(second)
+    company = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    tickers = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(company, F.lit("OTHER"))).otherwise(F.array(company))
+    kind = F.when(F.col("o_orderstatus") == "F", "transcript").when(F.col("o_orderstatus") == "O", "filing").otherwise("newspaper")
+    return o.select(F.col("o_orderkey").alias("document_id"), company.alias("company"), tickers.alias("tickers"), F.to_date("o_orderdate").alias("published"), kind.alias("source_class"), F.concat(one("revenue"), F.lit(" "), second).alias("text"))
+
+
+@query(_FACTS + " SELECT document_id, company, metric, basis, quote FROM facts")
 def research_facts(spark, d):
-    """Facts in the texts, one company per source; needs look-behind, so without SQL."""
-    t = views.texts(spark, d).select("document_id", F.col("publisher").alias("company"), F.col("date").alias("published"), "text")
-    return research.facts(t).select("document_id", "company", "metric", "basis", "quote")
-
-
-@query()
+    """Facts in reports of one company each."""
+    return research.facts(_reports(spark, d)).select("document_id", "company", "metric", "basis", "quote")
+
+
+@query(
+    _FACTS
+    + f""", rel AS (SELECT *, CASE WHEN regexp_matches(quote, '(?i)prepayment|upfront license') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(quote, '(?i)year.over.year|relative to|compared to|increased|decreased|grew|declined') THEN 3 ELSE 0 END AS relevance, regexp_matches(quote, '(?i){lists.NEGATIVE}') AS contrary FROM facts),
+best AS (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY company, metric ORDER BY published DESC, relevance DESC, document_id, place) = 1),
+per AS (SELECT company, count(*) AS metrics, max(published) AS reported, list_sort(list(metric)) AS names, list(quote ORDER BY published DESC, relevance DESC, document_id, place) AS quotes FROM best GROUP BY 1 HAVING count(*) >= 2),
+once AS (SELECT * FROM rel WHERE contrary QUALIFY row_number() OVER (PARTITION BY company, quote ORDER BY published DESC, relevance DESC, document_id, place) = 1),
+against AS (SELECT company, count(*) AS n, string_agg(quote, ' | ' ORDER BY published DESC, relevance DESC, document_id, place) AS quotes FROM (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY company ORDER BY published DESC, relevance DESC, document_id, place) <= 2) GROUP BY 1),
+leads AS (SELECT p.company, reported, metrics, array_to_string(names, ',') AS metric_names, array_to_string(p.quotes[1:4], ' | ') AS facts, coalesce(a.quotes, '') AS contrary, coalesce(a.n, 0) AS counter_evidence,
+  CASE WHEN len(list_filter(p.quotes, lambda q: regexp_matches(q, '(?i)prepayment'))) > 0 AND list_contains(names, 'Demand and capacity') THEN 'prepayments' WHEN list_contains(names, 'Cash and investment') AND list_contains(names, 'Demand and capacity') THEN 'demand' ELSE 'figures' END AS asks FROM per p LEFT JOIN against a ON a.company = p.company)
+SELECT *, row_number() OVER (ORDER BY reported DESC, metrics DESC, company) AS rank FROM leads ORDER BY reported DESC, metrics DESC, company LIMIT 5"""
+)
 def research_queue(spark, d):
-    t = views.texts(spark, d).select("document_id", F.col("publisher").alias("company"), F.col("date").alias("published"), "text")
-    return research.leads(research.facts(t))
+    """The leads, with the passages that they rest on and those that speak against them."""
+    x = research.leads(research.facts(_reports(spark, d)))
+    quotes = lambda c: F.array_join(F.transform(c, lambda f: f["quote"]), " | ")
+    return x.select("company", "reported", "metrics", F.array_join("metric_names", ",").alias("metric_names"), quotes("facts").alias("facts"), quotes("contrary").alias("contrary"), "counter_evidence", F.regexp_extract("question", "^([a-z]+)", 1).alias("asks"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH " + views.TEXTS_SQL + " SELECT DISTINCT publisher AS company FROM texts WHERE publisher NOT IN (SELECT publisher FROM texts WHERE source_class = 'transcript' AND date BETWEEN DATE '2024-03-31' - 20 AND DATE '2024-03-31')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from ..operators import board, bursts, evaluation, narrative, relational
 from ..plans import views
+from ..session import published
 from .registry import query, r
 
 FIRST, LAST, PREVIOUS = "2024-01-01", "2024-01-30", "2024-01-29"
@@ -66,8 +67,9 @@ series AS (SELECT *, CASE WHEN ok AND c1 AND c2 THEN change - previous_change EL
 
 
 def series(spark, d, w: int = 7):
+    """The published series of windows of w days, which all boards read."""
     p = narrative.NarrativePolicy(window=w, corpus_floor=POLICY.corpus_floor, low_history_days=POLICY.low_history_days)
-    return narrative.trend_series(views.observations(spark, d), views.corpus(spark, d), FIRST, LAST, p)
+    return published(spark, [f"{d}/events.parquet"], f"series-{w}", lambda: narrative.trend_series(views.observations(spark, d), views.corpus(spark, d), FIRST, LAST, p))
 
 
 @query("WITH " + series_sql() + f" SELECT definition_id, date, {r('density', 2)} AS density, {r('attention_density', 2)} AS attention_density, {r('risk_tone', 2)} AS risk_tone, {r('bullish_tone', 2)} AS bullish_tone FROM series")

@@ -9,7 +9,7 @@ from ..operators import bursts, relational, research, status, themes
 from ..plans import views
 from ..sources import readers
 from .registry import query, r
-from .themes import AS_OF, POLICY, _rows, _scores_sql
+from .themes import AS_OF, _rows, _scores_sql, scores
 
 _FORMS = ["10-K", "10-Q", "8-K", "20-F", "40-F", "6-K", "DEF 14A", "DEFA14A", "S-1/A", "424B3", "F-1", "F-4/A", "SC 13D/A", "SC 13G", "NT 10-K", "10-K/A", "8-K/A", "20-F/A", "NT 20-F", "13F-HR", "4", "425", "CORRESP"]
 _ITEMS = ["2.02", "5.02", "4.01", "9.01 and 1.01"]
@@ -211,7 +211,7 @@ _PUBLISHED = """, stored AS (SELECT theme_id, DATE '1998-05-01' + CAST(i * 10 AS
 @query(_scores_sql((7,)) + _PUBLISHED + f" SELECT date, count(*) AS themes, {r('sum(intensity)')} AS intensity FROM (SELECT theme_id, date, intensity FROM kept WHERE date BETWEEN DATE '1998-06-15' AND DATE '{AS_OF}' UNION ALL SELECT theme_id, date, intensity FROM stored WHERE date < DATE '1998-06-15' AND date >= DATE '1998-05-20' OR date > DATE '{AS_OF}') GROUP BY 1")
 def publication(spark, d):
     """Fresh rows of a range of days replace those stored; older ones are pruned."""
-    fresh = themes.window_scores(_rows(spark, d), AS_OF, themes.TrendPolicy(windows=(7,))).select("theme_id", "date", "intensity", "z_score")
+    fresh = scores(spark, d, 7).select("theme_id", "date", "intensity", "z_score")
     days = spark.range(8).select((F.date_add(F.lit("1998-05-01").cast("date"), (F.col("id") * 10).cast("int"))).alias("date"))
     stored = fresh.select("theme_id").distinct().crossJoin(F.broadcast(days)).select("theme_id", "date", F.lit(1.0).alias("intensity"), F.lit(0.0).alias("z_score"))  # eight days
     after, _ = themes.publication(stored, fresh.where("date >= date'1998-06-15'"), "1998-06-15", AS_OF, "1998-05-20")
@@ -229,8 +229,7 @@ SELECT s.theme_id, CASE WHEN candidate THEN 'confirmed' WHEN low_history AND evi
 FROM kept s LEFT JOIN te ON te.theme_id = s.theme_id LEFT JOIN td ON td.theme_id = s.theme_id WHERE s.date = DATE '{AS_OF}' AND trend_window = '7d'"""
 )
 def theme_details(spark, d):
-    rows = _rows(spark, d)
-    return themes.details(themes.window_scores(rows, AS_OF, POLICY), rows, AS_OF)
+    return themes.details(scores(spark, d), _rows(spark, d), AS_OF)
 
 
 @query("SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style.*?</style>|<script.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) > 0 AS has_text FROM pages")

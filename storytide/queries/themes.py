@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_up
 from ..operators import normalise, relational, themes
 from ..plans import views
+from ..session import published
 from ..sources.sinks import difference
 from .registry import query, r
 
@@ -95,9 +96,15 @@ def _scores_sql(windows=(7, 30), suppress=True) -> str:
     )
 
 
+def scores(spark, d, window: int | None = None):
+    """The published scores of all windows, or of one, which all reports read."""
+    x = published(spark, [f"{d}/lineitem.parquet", f"{d}/part.parquet"], "theme-scores", lambda: themes.window_scores(_rows(spark, d), AS_OF, POLICY))
+    return x if window is None else x.where(F.col("trend_window") == f"{window}d")
+
+
 @query(_scores_sql() + " SELECT * FROM kept")
 def theme_trend_scores(spark, d):
-    return themes.window_scores(_rows(spark, d), AS_OF, POLICY)
+    return scores(spark, d)
 
 
 @query(_scores_sql(suppress=False) + f" SELECT trend_window, count(*) AS n, count(*) FILTER (intensity <> 0 OR z_score <> 0 OR evidence_count <> 0 OR date = DATE '{AS_OF}') AS kept FROM kept GROUP BY 1")
@@ -112,7 +119,7 @@ _DASH = "4 * z_score + ln(1 + evidence_count) + ln(1 + entity_breadth) + ln(1 +
 
 @query(_scores_sql((7,)) + f" SELECT theme_id, z_score, evidence_count, {r(_DASH)} AS dashboard_score FROM kept WHERE date = DATE '{AS_OF}' ORDER BY {r(_DASH)} DESC, theme_id LIMIT 10")
 def dashboard_score_topk(spark, d):
-    x = themes.window_scores(_rows(spark, d), AS_OF, themes.TrendPolicy(windows=(7,))).where(F.col("date") == F.to_date(F.lit(AS_OF)))
+    x = scores(spark, d, 7).where(F.col("date") == F.to_date(F.lit(AS_OF)))
     s = half_up(themes.dashboard_score(F.col("z_score"), F.col("evidence_count"), F.col("entity_breadth"), F.col("source_diversity"), F.col("low_history")), 3)
     return x.select("theme_id", "z_score", "evidence_count", s.alias("dashboard_score")).orderBy(F.desc("dashboard_score"), "theme_id").limit(10)
 
@@ -126,7 +133,7 @@ SELECT action, count(*) AS n FROM (
   FROM kept k FULL JOIN stored s ON k.theme_id = s.theme_id AND k.date = s.date AND k.trend_window = s.trend_window) GROUP BY 1"""
 )
 def publication_diff(spark, d):
-    fresh = themes.window_scores(_rows(spark, d), AS_OF, themes.TrendPolicy(windows=(7,))).select("theme_id", "date", "trend_window", "intensity", "z_score")
+    fresh = scores(spark, d, 7).select("theme_id", "date", "trend_window", "intensity", "z_score")
     changed = F.when(F.col("date") == F.to_date(F.lit("1998-06-20")), F.col("intensity") + 1).otherwise(F.col("intensity"))
     stored = fresh.where("date <> date'1998-06-30'").withColumn("intensity", changed)
     stored = stored.unionByName(spark.sql("SELECT 'gone' AS theme_id, date'1998-06-29' AS date, '7d' AS trend_window, 1.0D AS intensity, 1.0D AS z_score"))
@@ -209,5 +216,5 @@ def theme_top_entities(spark, d):
 
 @query(_scores_sql() + " SELECT trend_window, trend_level, count(*) FILTER (candidate) AS candidates, count(DISTINCT theme_id) FILTER (candidate) AS themes, max(z_score) AS top_z FROM kept GROUP BY 1, 2")
 def candidate_themes(spark, d):
-    x = themes.window_scores(_rows(spark, d), AS_OF, POLICY)
+    x = scores(spark, d)
     return x.groupBy("trend_window", "trend_level").agg(F.count_if("candidate").alias("candidates"), F.count_distinct(F.when(F.col("candidate"), F.col("theme_id"))).alias("themes"), F.max("z_score").alias("top_z"))

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,8 +58,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_published: dict[tuple, DataFrame] = {}
+
+
+def published(spark: SparkSession, sources: list[str], name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written once for the application and these sources as they are, and read by all that ask by name.
+
+    sources: paths of what make reads; a file that is added, removed or written anew is another source.
+    """
+    stamps = []
+    for path in sources:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+        stamps.append((path, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found)))
+    key = (spark.sparkContext.applicationId, name, *stamps)
+    if key not in _published:
+        _published[key] = written(make(), "published")
+    return _published[key]
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the application's scratch tables. Frames that read them can't be used any more."""
+    for key in [k for k in _published if k[0] == spark.sparkContext.applicationId]:
+        del _published[key]
     for root in [r for r, s in _roots.items() if s is spark or s.sparkContext.applicationId == spark.sparkContext.applicationId]:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
