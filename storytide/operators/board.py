@@ -122,6 +122,25 @@ def brief(lane_rows: DataFrame, changed: DataFrame, counts: DataFrame, date: str
     return row.select(F.to_date(F.lit(date)).alias("date"), "lead", "lead_state", "fading", what.alias("headline"), "unmeasured", "transitions", "rising", "peaking", "steady", "fading_count", "emerging", "dormant")
 
 
+def brief_sections(lane_rows: DataFrame, changed: DataFrame, most: int = 8) -> DataFrame:
+    """section, place, definition_id, what: the parts of a brief in their order, rising, peaking, fading, emerging and what
+    changed; of the changes that are no movers the first `most`, in the order of reports. Parts without rows are absent."""
+    order = {lane: k for k, lane in enumerate(("rising", "peaking", "fading", "emerging"))}
+    rank = F.coalesce(*[F.when(F.col("lane") == lane, k) for lane, k in order.items()])
+    shown = lane_rows.select(rank.alias("section"), F.col("place").cast("long").alias("place"), "definition_id", F.col("lane").alias("what"))
+    kinds = F.coalesce(*[F.when(F.col("change_kind") == c, k) for k, c in enumerate(CHANGES)])
+    order_ = [kinds, F.desc(F.abs("change")), "name", "definition_id"]
+    told = changed.where("change_kind <> 'mover'").orderBy(*order_).limit(most)
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order_))
+    return shown.unionByName(told.select(F.lit(len(order)).alias("section"), place.cast("long").alias("place"), "definition_id", F.col("change_kind").alias("what")))
+
+
+def brief_ids(sections_: DataFrame) -> DataFrame:
+    """definition_id, place: the narratives that a brief's lanes name, each once, in the order in which they come up."""
+    first = sections_.where("what NOT IN ('" + "', '".join(CHANGES) + "')").groupBy("definition_id").agg(F.min(F.struct("section", "place")).alias("at"))
+    return first.select("definition_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("at")).cast("long").alias("place"))
+
+
 def brief_lines(lane_rows: DataFrame) -> DataFrame:
     """lane, place, line: the sentences of a daily brief."""
     sign = F.when(F.col("change") >= 0, "+").otherwise("")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists
+from ..functions.address import blocked_source
 from ..functions.similarity import attachment_floor, collision_floor
 from ..functions.text import tokens
 from .relational import first_per
@@ -96,3 +99,80 @@ def selected_evidence(evidence: DataFrame, most: int = 10) -> DataFrame:
 
     slim = evidence.select("candidate_id", "document_id", "score", "published", "snippet_key", "title_key", "near_key")
     return slim.groupBy("candidate_id").applyInPandas(choose, f"candidate_id {evidence.schema['candidate_id'].dataType.simpleString()}, document_id {evidence.schema['document_id'].dataType.simpleString()}, score double, rank int")
+
+
+#: What a promotion never goes below, and the days that its evidence never goes beyond, fixed values.
+FLOORS = PromotionPolicy()
+
+
+def bounded(policy: PromotionPolicy) -> PromotionPolicy:
+    """The policy, no looser than the floors."""
+    return PromotionPolicy(max(FLOORS.least_score, policy.least_score), max(FLOORS.least_stories, policy.least_stories), max(FLOORS.least_owners, policy.least_owners), min(FLOORS.window_days, max(1, policy.window_days)), policy.least_span_days)
+
+
+def promotion_queue(candidates: DataFrame, evidence: DataFrame, parents: DataFrame, as_of: str, policy: PromotionPolicy = FLOORS, limit: int = 5, unreliable: Sequence[str] = tuple(lists.UNRELIABLE)) -> DataFrame:
+    """candidate_id, stories, owners, latest, persistent, turn: the next candidates to validate, those with the newest
+    evidence first, `limit` at most; those that aren't persistent wait.
+
+    candidates: candidate_id, status, validation (status of the last validation), evaluated, updated (times); pending ones
+    without a sound validation, or changed since, are judged. evidence: candidate_id, document_id, published (time), score,
+    text_hash (of the text that was judged), content_hash (of the text now), content, owner, publisher, platform, url,
+    story. It counts if it is strong, recent, of the text as it is now, no preview, and of no unreliable source.
+    parents: definition_id, document_id of active structural definitions. A candidate persists if its strong evidence
+    spans enough days, or if a parent shares half of its documents, two at least. The policy can't loosen the floors.
+    """
+    p, now = bounded(policy), F.to_timestamp(F.lit(as_of))
+    again = (F.coalesce("validation", F.lit("")).isin("", "eligible")) | F.col("evaluated").isNull() | (F.col("updated") > F.col("evaluated"))
+    open_ = candidates.where((F.col("status") == "pending") & again).select("candidate_id")
+    strong = evidence.join(open_, "candidate_id", "left_semi").where((F.col("score") >= p.least_score))
+    source = F.trim(F.lower(F.coalesce(F.nullif(F.trim("owner"), F.lit("")), F.col("publisher"))))
+    clean = ~blocked_source(source, F.trim("publisher"), F.col("platform"), F.col("url"), F.array(*[F.lit(v.lower()) for v in unreliable]))
+    fresh = F.col("published").between(now - F.make_dt_interval(days=F.lit(p.window_days)), now)
+    recent = strong.where(fresh & F.col("text_hash").eqNullSafe(F.col("content_hash")) & (F.lower(F.coalesce("content", F.lit(""))) != "preview") & clean)
+    b = recent.groupBy("candidate_id").agg(F.count_distinct("story").alias("stories"), F.count_distinct(F.nullif(source, F.lit(""))).alias("owners"), F.max("published").alias("latest"))
+    b = b.where((F.col("stories") >= p.least_stories) & (F.col("owners") >= p.least_owners))
+    past = strong.where(F.col("published") <= now)
+    span = past.groupBy("candidate_id").agg(((F.unix_micros(F.max("published")) - F.unix_micros(F.min("published"))) / 86_400e6).alias("span_days"))
+    total = strong.groupBy("candidate_id").agg(F.count_distinct("document_id").alias("n"))
+    both = strong.select("candidate_id", "document_id").distinct().join(parents.select("definition_id", "document_id").distinct(), "document_id").groupBy("candidate_id", "definition_id").agg(F.count("*").alias("shared"))
+    attached = both.join(total, "candidate_id").where(F.col("shared") >= attachment_floor(F.col("n"))).select("candidate_id").distinct().withColumn("attached", F.lit(True))
+    x = b.join(span, "candidate_id", "left").join(attached, "candidate_id", "left")
+    x = x.withColumn("persistent", F.coalesce(F.col("span_days") >= p.least_span_days, F.lit(False)) | F.coalesce("attached", F.lit(False)))
+    order = [F.desc("latest"), F.asc("candidate_id")]
+    return x.orderBy(*order).limit(limit).withColumn("turn", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).select("candidate_id", "stories", "owners", "latest", "persistent", "turn")
+
+
+def promotion_verdicts(decisions: DataFrame, verdicts: DataFrame, policy: PromotionPolicy = FLOORS) -> DataFrame:
+    """candidate_id, status, reasons, supported, stories, events, entities, owners, classes of validated candidates.
+
+    decisions: candidate_id, decision (approve, manual_review or other), kind (event, else structural), event_label,
+    exclusion; verdicts, one for each item: candidate_id, evidence_id, verdict, supports, violates, event_key, entity_key,
+    story, owner, source_class. An item supports if all three say so. Empty keys are missing keys. A candidate without
+    reasons is eligible, one that the validator leaves to people is manual_review, any other ineligible.
+    """
+    said = lambda c: F.coalesce(F.col(c), F.lit(False))
+    key = lambda c: F.nullif(F.trim(c), F.lit(""))
+    ok = (F.col("verdict") == "support") & said("supports") & ~said("violates")
+    per = verdicts.where(ok).groupBy("candidate_id").agg(
+        F.count("*").alias("supported"), F.count_distinct("story").alias("stories"), F.count_distinct(key("event_key")).alias("events"), F.count_distinct(key("entity_key")).alias("entities"),
+        F.count_distinct(key("owner")).alias("owners"), F.count_distinct("source_class").alias("classes"), F.count_if(key("event_key").isNull()).alias("no_event"), F.count_if(key("entity_key").isNull()).alias("no_entity"),
+    )
+    x = decisions.join(per, "candidate_id", "left").fillna(0, ["supported", "stories", "events", "entities", "owners", "classes", "no_event", "no_entity"])
+    event, decision = F.coalesce(F.col("kind") == "event", F.lit(False)), F.coalesce("decision", F.lit(""))
+    tests = (
+        (decision == "manual_review", "VALIDATOR_REQUIRES_MANUAL_REVIEW"),
+        (~decision.isin("manual_review", "approve"), "VALIDATOR_REJECTED"),
+        (F.col("stories") < policy.least_stories, "INSUFFICIENT_UNIQUE_STORIES"),
+        (F.col("owners") < policy.least_owners, "INSUFFICIENT_PUBLISHER_OWNERS"),
+        (F.col("no_event") > 0, "MISSING_EVENT_KEYS"),
+        (F.col("no_entity") > 0, "MISSING_PRIMARY_ENTITY_KEYS"),
+        (event & (F.trim(F.coalesce("event_label", F.lit(""))) == ""), "EVENT_LABEL_REQUIRED"),
+        (event & (F.col("events") != 1), "EVENT_KEY_MUST_BE_SINGULAR"),
+        (~event & (F.col("events") < 2) & (F.col("entities") < 2), "STRUCTURAL_REQUIRES_MULTIPLE_EVENTS_OR_ENTITIES"),
+        (~event & (F.col("classes") < 2) & (F.col("events") < 2), "STRUCTURAL_REQUIRES_SOURCE_OR_EVENT_BREADTH"),
+        (F.coalesce("exclusion", F.lit("")).rlike("(?i)single[- ]company") & (F.col("entities") < 2), "SINGLE_COMPANY_EXCLUSION_VIOLATED"),
+    )
+    reasons = F.array_compact(F.array(*[F.when(test, code) for test, code in tests]))
+    x = x.withColumn("reasons", reasons)
+    status = F.when(F.size("reasons") == 0, "eligible").when(decision == "manual_review", "manual_review").otherwise("ineligible")
+    return x.select("candidate_id", status.alias("status"), "reasons", "supported", "stories", "events", "entities", "owners", "classes")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, ratio
-from .relational import top_per
+from .relational import eligible_within, top_per
 
 #: Stages of the ingestion funnel after `ingested`, in order, fixed values.
 STAGES = ("with_text", "extracted", "with_signals", "classified", "matched", "approved", "candidate_evidence")
@@ -79,3 +79,63 @@ def backfill_cursor(days: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """key, cursor: the first day of each key that is not done, from which a backfill goes on; null where all are."""
     open_ = days.join(done.select(key, "date"), [key, "date"], "left_anti")
     return days.select(key).distinct().join(open_.groupBy(key).agg(F.min("date").alias("cursor")), key, "left")
+
+
+def polling(runs: DataFrame) -> DataFrame:
+    """One row: runs, fetched, inserted, skipped, failed of completed polls, and dedupe_rate, the share of what was fetched
+    that was there. runs: stage, status, metadata (JSON with the counters)."""
+    n = lambda k: F.coalesce(F.sum(F.get_json_object("metadata", f"$.{k}").try_cast("double")), F.lit(0.0)).cast("long").alias(k)
+    done = runs.where((F.col("stage") == "poll_sources") & (F.col("status") == "completed"))
+    x = done.agg(F.count("*").alias("runs"), *map(n, ("fetched", "inserted", "skipped", "failed")))
+    return x.withColumn("dedupe_rate", F.when(F.col("fetched") > 0, half_up(ratio(F.col("skipped"), F.col("fetched")), 3)).otherwise(0.0))
+
+
+def source_telemetry(documents: DataFrame, extraction: DataFrame, discovery: DataFrame, observations: DataFrame, rules: DataFrame, checkpoints: DataFrame, feeds: DataFrame, as_of: str, *, extraction_attempts: int = 5, discovery_attempts: int = 3, discovery_days: int = 30) -> DataFrame:
+    """Per source, of documents, checkpoints or feeds: its documents, what was analysed, what waits for extraction,
+    classification and discovery, its matches by review, its last attempts.
+
+    documents: document_id, source_id, source_class, published (date), retention, category, text_hash, text_length;
+    extraction and discovery: document_id, status, attempts and, for discovery, text_hash (a run each); observations:
+    document_id, rule, matched, review_status; rules: rule, days (a bounded table); checkpoints: source_id, last_attempt,
+    last_success, last_error; feeds: source_id, name, enabled.
+    """
+    today = F.to_date(F.lit(as_of))
+    kept = documents.where(F.coalesce("retention", F.lit("full_text")) != "metadata_only")
+    age = F.datediff(today, "published")
+    busy = lambda c: F.coalesce(c, F.lit("")).isin("completed", "running")
+    about = documents.groupBy("source_id").agg(F.min("source_class").alias("source_class"), F.count("*").alias("documents"), F.max("published").alias("latest"))
+    runs = extraction.select("document_id", F.col("status").alias("s"), F.coalesce("attempts", F.lit(0)).alias("a"))
+    read = kept.where(~((F.col("source_id") == "sec-filings") & (F.coalesce("category", F.lit("")) == "capital_markets"))).join(runs, "document_id", "left")
+    extracted = read.groupBy("source_id").agg(F.count_distinct(F.when(F.col("s") == "completed", F.col("document_id"))).alias("analysed"), F.count_distinct(F.when(~busy(F.col("s")) & (F.coalesce("a", F.lit(0)) < extraction_attempts), F.col("document_id"))).alias("extraction_backlog"))
+    judged = observations.select("document_id", "rule")
+    open_ = eligible_within(kept.select("document_id", "published"), "document_id", "published", rules, "rule", "days", judged, as_of)
+    classified = kept.join(open_, "document_id", "left_semi").groupBy("source_id").agg(F.count_distinct("document_id").alias("classification_backlog"))
+    found = discovery.select("document_id", F.col("status").alias("s"), F.coalesce("attempts", F.lit(0)).alias("a"), F.col("text_hash").alias("h"), F.lit(True).alias("ran"))
+    looked = kept.where(F.coalesce("text_length", F.lit(0)) > 0).join(found, "document_id", "left")
+    waits = F.col("ran").isNull() | (F.col("h").isNotNull() & ~F.col("h").eqNullSafe(F.col("text_hash"))) | (~busy(F.col("s")) & (F.col("a") < discovery_attempts))
+    discovered = looked.groupBy("source_id").agg(F.count_distinct(F.when((age <= discovery_days) & waits, F.col("document_id"))).alias("discovery_backlog"))
+    own = observations.where("matched").join(documents.select("document_id", "source_id"), "document_id")
+    matches = own.groupBy("source_id").agg(*[F.count_if(F.col("review_status") == s).alias(f"matched_{s}") for s in ("pending", "approved", "rejected")])
+    ids = documents.select("source_id").union(checkpoints.select("source_id")).union(feeds.select("source_id")).distinct()
+    out = telemetry(ids, "source_id", about, extracted, classified, discovered, matches).join(checkpoints, "source_id", "left").join(feeds, "source_id", "left")
+    return out.select("source_id", "source_class", F.coalesce("name", "source_id").alias("label"), "enabled", "documents", "latest", "analysed", "extraction_backlog", "classification_backlog", "discovery_backlog", "matched_pending", "matched_approved", "matched_rejected", "last_attempt", "last_success", "last_error")
+
+
+#: What an event makes of a job in a state; all other pairs leave it as it is.
+JOB_STEPS = {
+    ("none", "queue"): "queued", ("queued", "claim"): "running", ("running", "finish"): "completed", ("running", "fail"): "failed",
+    ("stop_requested", "finish"): "cancelled", ("stop_requested", "fail"): "failed",
+    ("queued", "stop"): "cancelled", ("running", "stop"): "stop_requested", ("stop_requested", "stop"): "cancelled",
+}
+LEASE_MINUTES = 5
+
+
+def controlled_jobs(events: DataFrame, as_of: str, lease: int = LEASE_MINUTES) -> DataFrame:
+    """job, state, last, stale: what each job's events (job, at, event) made of it, in order of time; a running job or
+    one that is asked to stop, whose last event is older than the lease, has failed. A job's events are few."""
+    log = events.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("at", "event"))).alias("log"), F.max("at").alias("last"))
+    steps = F.create_map(*[F.lit(v) for (s, e), to in JOB_STEPS.items() for v in (f"{s} {e}", to)])
+    walked = F.aggregate("log", F.lit("none"), lambda s, x: F.coalesce(F.try_element_at(steps, F.concat(s, F.lit(" "), x["event"])), s))
+    x = log.select("job", walked.alias("state"), "last")
+    stale = F.col("state").isin("running", "stop_requested") & (F.col("last") < F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(mins=F.lit(lease)))
+    return x.select("job", F.when(stale, "failed").otherwise(F.col("state")).alias("state"), "last", stale.alias("stale"))

@@ -168,6 +168,13 @@ def details(scores: DataFrame, rows: DataFrame, as_of: str, most: int = 5, evide
     return out.fillna("", ["top_entities", "evidence"])
 
 
+def subthemes(themes: DataFrame, most: int = 12) -> DataFrame:
+    """theme_id, place, subtheme_id: the themes below each theme, by sector (null last) and label, `most` at most.
+    themes: theme_id, parent_theme_id, sector, label."""
+    own = themes.where("parent_theme_id IS NOT NULL").select(F.col("parent_theme_id").alias("theme_id"), F.col("theme_id").alias("subtheme_id"), "sector", "label")
+    return top_per(own, ["theme_id"], most, F.asc_nulls_last("sector"), F.asc("label"), F.asc("subtheme_id"), rank="place").select("theme_id", "place", "subtheme_id")
+
+
 def average_score(daily: DataFrame, as_of: str, window: int, baseline: int) -> DataFrame:
     """The older scorer: mean daily intensity of the window against that of the baseline before it; deviation 0 counts as 1."""
     age = F.datediff(F.to_date(F.lit(as_of)), "date")
