@@ -6,10 +6,13 @@ licence words are looked up in that index. For each template the file's anchor i
 the word of the mandatory key phrase that it has least often, the rarer among
 the templates of equals; its places give the places where the template would
 begin, which may lie before the text. There the postings are intersected by
-relative position: all key phrases must stand word by word, and the weights of
-the template words in place are summed. A template counts when enough weight
+relative position: the first key phrase must stand word by word, the others word
+by word within `DRIFT` words of their places, and the weights of the template
+words within `DRIFT` words of theirs are summed, as list numbers, names and
+inserted words shift what follows them. A template counts when enough weight
 agrees. As the key phrase is mandatory and all places of one of its words are
-tried, nothing that the definition holds for is missed.
+tried, nothing that the definition holds for is missed. A licence whose key
+phrase may be broken has a second template with another one.
 
 Short phrases that count on their own (the base) are found the same way.
 """
@@ -33,6 +36,8 @@ FREQUENT = "a an and any as at be by for from in is it mit not of on or software
 
 #: A template counts when so much of its weight agrees.
 AGREE = 0.6
+#: Words by which a template's words may be out of place.
+DRIFT = 4
 
 
 @dataclass(frozen=True)
@@ -49,6 +54,9 @@ _BSD = "redistribution and use in source and binary forms with or without modifi
 _GNU = "this {what} is free software you can redistribute it and or modify it under the terms of the gnu {kind}general public license as published by the free software foundation either version {version} of the license or at your option any later version this {what} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind}general public license for more details"
 _CC = "this work is licensed under {a} creative commons attribution{kind} {version} international license"
 
+#: Labels of the Creative Commons licences with what stands behind "attribution", fixed values.
+_CC_KINDS = (("cc-by", ""), ("cc-by-sa", " sharealike"), ("cc-by-nc", " noncommercial"), ("cc-by-nd", " noderivatives"), ("cc-by-nc-sa", " noncommercial sharealike"), ("cc-by-nc-nd", " noncommercial noderivatives"))
+
 
 def _gnu(label: str, what: str, kind: str, version: str) -> Template:
     return Template(label, _GNU.format(what=what, kind=kind, version=version), (f"gnu {kind}general public license as published", f"either version {version} of the license"))
@@ -76,12 +84,33 @@ TEMPLATES = (
     Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ("to alter it and redistribute it freely",)),
     Template("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ("covered by this license the software to use reproduce",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("unencumbered software released into the public domain",)),
-    Template("cc-by", _CC.format(a="a", kind="", version="4 0"), ("creative commons attribution 4 0",)),
-    Template("cc-by-sa", _CC.format(a="a", kind=" sharealike", version="4 0"), ("creative commons attribution sharealike",)),
-    Template("cc-by-nc", _CC.format(a="a", kind=" noncommercial", version="4 0"), ("creative commons attribution noncommercial",)),
+    *(Template(label, _CC.format(a="a", kind=kind, version=version), (f"creative commons attribution{kind} {version}",)) for label, kind in _CC_KINDS for version in ("4 0", "3 0")),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
 )
 
+#: Second keys of licences: where the first key phrase is broken, another one gives the label.
+SECOND_KEYS = {
+    "mit": ("the above copyright notice and this permission notice shall be included in all copies",),
+    "apache-2": ("you may not use this file except in compliance with the license",),
+    "bsd-2": ("redistributions in binary form must reproduce the above copyright notice",),
+    "bsd-3": ("redistributions in binary form must reproduce the above copyright notice", "promote products derived from this software without specific prior written permission"),
+    "isc": ("the above copyright notice and this permission notice appear in all copies",),
+    "gpl-2": ("the terms of the gnu general public license", "version 2 of the license"),
+    "gpl-3": ("the terms of the gnu general public license", "version 3 of the license"),
+}
+
+
+def with_second_keys(templates: tuple[Template, ...], second: dict[str, tuple[str, ...]] = SECOND_KEYS) -> tuple[Template, ...]:
+    """The templates, and each licence's longest one once more with its second keys."""
+    longest = {label: max((t for t in templates if t.label == label), key=lambda t: len(t.text)) for label in second}
+    return templates + tuple(Template(label, longest[label].text, keys) for label, keys in second.items())
+
+
+TEMPLATES = with_second_keys(TEMPLATES)
+
+#: Labels that say less than another one, which is left alone where both are found.
+LESS = {"bsd": ("bsd-2", "bsd-3"), "bsd-2": ("bsd-3",)}
+
 #: Everything that is no word character: ASCII but digits and letters. The second keeps capitals as letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -147,29 +176,34 @@ def _table(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<{schema}>")
 
 
-def _begins(phrase: Column) -> Column:
+def _begins(phrase: Column, drift: int = 0) -> Column:
     """Where the phrase begins, before the text too: from the places of its anchor, the word that the file has least
-    often, all begins of which all keys stand word by word."""
+    often, all begins of which the first key stands word by word, and the others do within `drift` words."""
     places = lambda w: F.coalesce(F.try_element_at("hits", w), F.array().cast("array<int>"))
     anchor = F.array_min(F.transform(phrase["anchors"], lambda a: F.struct(F.size(places(a["w"])).alias("n"), a["rank"], a["at"], a["w"])))
     begins = F.transform(places(anchor["w"]), lambda i: i - anchor["at"])
-    stands = lambda s: F.forall(phrase["keys"], lambda k: F.forall(F.transform(k["words"], lambda w, j: F.coalesce(F.get("words", s + k["at"] + j) == w, F.lit(False))), lambda x: x))
-    return F.filter(begins, stands)
+    at = lambda s, k: F.forall(F.transform(k["words"], lambda w, j: F.coalesce(F.get("words", s + k["at"] + j) == w, F.lit(False))), lambda x: x)
+    near = lambda s, k: at(s, k) | F.exists(F.sequence(F.lit(-drift), F.lit(drift)), lambda d: at(s + d, k)) if drift else at(s, k)
+    return F.filter(begins, lambda s: at(s, phrase["keys"][0]) & F.forall(phrase["keys"], lambda k: near(s, k)))
 
 
-def _share(template: Column) -> Column:
-    """The largest share of the template's weight in place at any begin; words before or behind the text agree with none."""
-    in_place = lambda s: F.aggregate(template["postings"], F.lit(0), lambda t, p: t + F.when(F.get("words", s + p["j"]) == p["w"], p["x"]).otherwise(0))
-    return F.coalesce(F.array_max(F.transform(_begins(template), in_place)), F.lit(0)).cast("double") / template["total"]
+def _share(template: Column, drift: int) -> Column:
+    """The largest share of the template's weight in place at any begin, within `drift` words; words before or behind the
+    text agree with none."""
+    low = lambda k: F.greatest(F.lit(1), k + 1 - drift)
+    beside = lambda k: F.slice("words", low(k), F.greatest(F.lit(0), k + 2 + drift - low(k)))
+    in_place = lambda s: F.aggregate(template["postings"], F.lit(0), lambda t, p: t + F.when(F.array_contains(beside(s + p["j"]), p["w"]), p["x"]).otherwise(0))
+    return F.coalesce(F.array_max(F.transform(_begins(template, drift), in_place)), F.lit(0)).cast("double") / template["total"]
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE, drift: int = DRIFT) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     docs: doc_id, text; other columns are ignored. A null or empty text has no words, no labels ('')
     and score 0; repeated rows and null ids stay; an empty table gives no rows. Words are counted from 0. score: 1
     where a base phrase stands, else the largest share of a template's weight in place (0 where no template's key
-    phrases stand). Several templates may have one label; any of them gives it.
+    phrases stand). Several templates may have one label; any of them gives it. Of labels of one family the one that
+    says most is left (`LESS`); labels of the base stay.
     """
     entries, phrases = index(templates), [(split_words(p), label) for p, label in base.items()]
     rarity = {w: x for e in entries for w, x in zip(e.words, e.weights, strict=True)}
@@ -190,10 +224,12 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     bases = _table([_phrase(label, words, 0, [(0, words)], rarity) for words, label in phrases], _PHRASE + ">")
     table = _table([_phrase(e.label, e.keys[0][1], e.keys[0][0], e.keys, rarity) | {"total": sum(e.weights), "postings": [{"w": w, "j": j, "x": x} for j, (w, x) in enumerate(zip(e.words, e.weights, strict=True))]} for e in entries], _PHRASE + ",total:int,postings:array<struct<w:string,j:int,x:int>>>")
     base_found = F.transform(bases, lambda p: F.struct(p["label"].alias("label"), _begins(p).alias("at")))
-    found = F.transform(table, lambda t: F.struct(t["label"].alias("label"), _share(t).alias("share")))
+    found = F.transform(table, lambda t: F.struct(t["label"].alias("label"), _share(t, drift).alias("share")))
     rows = rows.select("doc_id", "n_words", F.when(F.col("words").isNotNull(), F.struct(base_found.alias("base"), found.alias("more"))).alias("x"))
     own = F.transform(F.filter("x.base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
     more = F.transform(F.filter("x.more", lambda t: t["share"] >= agree), lambda t: t["label"])
+    for less, others in LESS.items():
+        more = F.when(F.arrays_overlap(more, F.array(*map(F.lit, others))), F.array_remove(more, F.lit(less))).otherwise(more)
     none, join = F.array().cast("array<string>"), lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     places = F.coalesce(F.flatten(F.transform("x.base", lambda b: b["at"])), F.array().cast("array<int>"))
     best = F.coalesce(F.array_max(F.transform("x.more", lambda t: t["share"])), F.lit(0.0))
@@ -210,7 +246,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     )
 
 
-def sql(templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE, table: str = "documents") -> str:
+def sql(templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, agree: float = AGREE, table: str = "documents", drift: int = DRIFT) -> str:
     """The same in DuckDB's SQL, which tries every place of every text."""
     listed = lambda words: "[" + ", ".join(f"'{w}'" if isinstance(w, str) else str(w) for w in words) + "]"
     at = lambda words, shift="": f"w[i{shift} + 1 : i{shift} + {len(words)}] = {listed(words)}"
@@ -220,13 +256,17 @@ def sql(templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE
     sums, shares = [], []
     for k, e in enumerate(index(templates)):
         m, first = len(e.words), e.keys[0][0]
-        keys = " AND ".join(at(words, f" + {place - first}") for place, words in e.keys)
+        near = lambda words, place: "(" + " OR ".join(f"(i + {place + d} >= 0 AND {at(words, f' + {place + d}')})" for d in range(-drift, drift + 1)) + ")"
+        keys = " AND ".join([at(e.keys[0][1])] + [near(words, place - first) for place, words in e.keys[1:]])
         place = f"i - {first} + j"
-        in_place = f"list_sum(list_transform(range({m}), lambda j: CASE WHEN {place} >= 0 AND w[{place} + 1] = ({listed(e.words)})[j + 1] THEN ({listed(e.weights)})[j + 1] ELSE 0 END))"
+        beside = f"w[greatest(1, {place} + 1 - {drift}) : greatest(0, {place} + 1 + {drift})]"
+        in_place = f"list_sum(list_transform(range({m}), lambda j: CASE WHEN list_contains({beside}, ({listed(e.words)})[j + 1]) THEN ({listed(e.weights)})[j + 1] ELSE 0 END))"
         sums.append(f"coalesce(list_max(list_transform({places(e.keys[0][1], keys)}, lambda i: {in_place})), 0) / {sum(e.weights)}::DOUBLE AS t{k}")
         shares.append((f"t{k}", e.label))
     own = ", ".join(f"CASE WHEN len(b{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))
-    more = ", ".join(f"CASE WHEN {t} >= {agree} THEN '{label}' END" for t, label in shares)
+    any_of = lambda labels: "(" + " OR ".join(f"{t} >= {agree}" for t, label in shares if label in labels) + ")"
+    unless = lambda label: "".join(f" AND NOT {any_of((o,))}" for o in LESS.get(label, ()) if any(x == o for _, x in shares))
+    more = ", ".join(f"CASE WHEN {t} >= {agree}{unless(label)} THEN '{label}' END" for t, label in shares)
     join = lambda x: f"array_to_string(list_sort(list_distinct(list_filter([{x}], lambda l: l IS NOT NULL))), ',')"
     found = " || ".join(f"b{k}" for k in range(len(phrases)))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
