@@ -30,8 +30,11 @@ from .bpe import tokenizer_file
 FIT_TEXTS = 1_500
 #: Rounds of expectation-maximisation.
 ROUNDS = 4
-#: Letters of a word that are segmented together; a longer run of letters is cut.
+#: Letters of a word up to which words are scored together; longer ones are scored one by one, whole. Estimation cuts
+#: runs of letters there.
 LONGEST = 32
+#: Letters of a long word whose pieces are looked up at once.
+STRETCH = 4096
 #: Entries of a worker's word table before it is begun anew.
 TABLE_WORDS = 300_000
 UNDETERMINED = "und"
@@ -67,6 +70,7 @@ class Vocabulary:
         self.trie = tv.HashIndex(1 << 17)
         self.trie.add(np.array(list(nodes), np.uint64) + np.uint64(1), np.array(list(nodes.values()), np.int64))
         self.ends = np.array(ends, np.int64)
+        self.longest = max(map(len, self.pieces))
 
     def lattice(self, cp: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Edges (word, start, end, piece) of all segmentations, by end and word. cp: the letters of all words in a row."""
@@ -116,6 +120,33 @@ def forward(edges, n_words: int, prob: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def forward_long(vocab: Vocabulary, letters: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """The log of the summed probability of all segmentations of one word of any length, in each language.
+
+    Sums are carried from letter to letter: as many are held as the longest piece has letters, and scaled on the way.
+    """
+    slots = vocab.longest + 1
+    alpha, log = np.zeros((slots, prob.shape[1])), np.zeros(prob.shape[1])
+    alpha[0] = 1
+    for a in range(0, len(letters), STRETCH):
+        b = min(len(letters), a + STRETCH)
+        part = letters[a : b + vocab.longest]
+        _, start, end, piece = vocab.lattice(part, np.array([len(part)]))
+        order = np.argsort(start, kind="stable")
+        start, end, piece = start[order], end[order] + a, piece[order]
+        cut = np.searchsorted(start, np.arange(b - a + 1))
+        for k in range(b - a):
+            own = slice(cut[k], cut[k + 1])
+            now = alpha[(a + k) % slots].copy()
+            alpha[(a + k) % slots] = 0
+            alpha[end[own] % slots] += now * prob[piece[own]]  # a piece of each length at most
+            if (a + k) % 16 == 15:
+                most = np.maximum(alpha.max(axis=0), 1e-300)
+                alpha /= most
+                log += np.log(most)
+    return log + np.log(np.maximum(alpha[len(letters) % slots], 1e-300))
+
+
 def backward(edges, n_words: int, lens: np.ndarray, prob: np.ndarray) -> np.ndarray:
     w, a, e, p = edges
     order = np.lexsort((w, -a))
@@ -158,8 +189,9 @@ def estimate(counts: dict[str, dict[str, int]], name: str, rounds: int = ROUNDS,
     return prob
 
 
-def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, starts, ends) of the runs of letters in lower-cased texts, cut to LONGEST letters; and offsets."""
+def letter_runs(texts: list[str], longest: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, starts, ends) of the runs of letters in lower-cased texts, cut to `longest` letters if it is given;
+    and offsets."""
     cp, off = tv.codepoints([t.lower() for t in texts])
     letter = tv.classes()[cp] == tv.LETTER
     new = tv.run_starts(letter, off)
@@ -167,10 +199,10 @@ def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.append(starts[1:], len(cp))
     keep = letter[starts] if len(starts) else np.empty(0, bool)
     starts, ends = starts[keep], ends[keep]
-    if len(starts) and int((ends - starts).max()) > LONGEST:
-        parts = -(-(ends - starts) // LONGEST)
-        begin = np.repeat(starts, parts) + tv.ragged(np.zeros(len(parts), np.int64), parts) * LONGEST
-        ends, starts = np.minimum(begin + LONGEST, np.repeat(ends, parts)), begin
+    if longest and len(starts) and int((ends - starts).max()) > longest:
+        parts = -(-(ends - starts) // longest)
+        begin = np.repeat(starts, parts) + tv.ragged(np.zeros(len(parts), np.int64), parts) * longest
+        ends, starts = np.minimum(begin + longest, np.repeat(ends, parts)), begin
     return cp, starts, ends, off
 
 
@@ -198,15 +230,20 @@ class Model:
             first, n = new[tv.first_seen(codes, len(uniq))], self.index.n
             while n + len(uniq) > len(self.logp):
                 self.logp = np.concatenate([self.logp, np.zeros_like(self.logp)])
-            for k in range(0, len(uniq), 4096):
-                own = first[k : k + 4096]
+            size, vocab = ends[first] - starts[first], vocabulary(self.tokenizer)
+            for k in np.flatnonzero(size > LONGEST).tolist():
+                letters = np.concatenate([np.array([_BEGIN], np.uint32), cp[starts[first[k]] : ends[first[k]]]])
+                self.logp[n + k] = forward_long(vocab, letters, self.prob)
+            short = np.flatnonzero(size <= LONGEST)
+            for k in range(0, len(short), 4096):
+                own = first[short[k : k + 4096]]
                 lens = ends[own] - starts[own]
                 letters = np.full(int((lens + 1).sum()), _BEGIN, np.uint32)
                 body = np.ones(len(letters), bool)
                 body[np.cumsum(lens + 1) - lens - 1] = False
                 letters[body] = cp[tv.ragged(starts[own], lens)]
-                alpha = forward(vocabulary(self.tokenizer).lattice(letters, lens + 1), len(own), self.prob)
-                self.logp[n + k : n + k + len(own)] = np.log(np.maximum(alpha[np.arange(len(own)), lens + 1], 1e-300))
+                alpha = forward(vocab.lattice(letters, lens + 1), len(own), self.prob)
+                self.logp[n + short[k : k + 4096]] = np.log(np.maximum(alpha[np.arange(len(own)), lens + 1], 1e-300))
             self.index.add(uniq, np.arange(n, n + len(uniq)))
             at[new] = n + codes
         return self.logp[at]
@@ -254,7 +291,7 @@ def fit(docs: DataFrame, tokenizer: str = "piece_bpe_32k.model", texts: int = FI
         for b in batches:
             texts_, langs = common.texts_of(b.column(0)), b.column(1).to_pylist()
             for i, j in tv.blocks(texts_):
-                cp, starts, ends, off = letter_runs(texts_[i:j])
+                cp, starts, ends, off = letter_runs(texts_[i:j], LONGEST)
                 whole = cp.tobytes().decode("utf-32-le")
                 doc = np.searchsorted(off, starts, side="right") - 1
                 seen.update((langs[i + d], whole[s:e]) for d, s, e in zip(doc.tolist(), starts.tolist(), ends.tolist(), strict=True))

@@ -93,6 +93,39 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(alpha[k, len(w)], brute(w)) and np.allclose(beta[k, 0], brute(w))
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Words beyond LONGEST: the sums of all segmentations, over the borders of stretches, and far below 1e-300."""
+    import math
+    from fractions import Fraction
+
+    name = "piece_bpe_32k.model"
+    v = language.vocabulary(name)
+    rng = np.random.default_rng(2)
+    prob = rng.random((len(v.pieces), 2)) / 1000
+    at = {p: k for k, p in enumerate(v.pieces) if p}
+
+    def brute(w, lang):
+        total = [Fraction(1)] + [Fraction(0)] * len(w)
+        for j in range(1, len(w) + 1):
+            for i in range(max(0, j - v.longest), j):
+                k = at.get(w[i:j], 0 if j - i == 1 else None)
+                if k is not None:
+                    total[j] += total[i] * Fraction(float(prob[k, lang]))
+        return math.log(total[-1].numerator) - math.log(total[-1].denominator)
+
+    words = ["donaudampfschifffahrtsgesellschaft", "thenationof" * 9, "ёж漢字" * 20, "ab" * 150, "the" * 11]
+    model = language.Model(["aa", "bb"], prob, name)
+    for stretch in (7, 4096):
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        for w in words:
+            letters = np.frombuffer(("▁" + w).encode("utf-32-le"), np.uint32)
+            assert language.forward_long(v, letters, prob) == pytest.approx([brute("▁" + w, 0), brute("▁" + w, 1)], rel=1e-9)
+    cp, starts, ends, _ = language.letter_runs([" ".join(["short", *words, "word"])])
+    got = model.word_scores(cp, starts, ends)
+    assert got.ravel() == pytest.approx([brute("▁" + w, k) for w in ["short", *words, "word"] for k in (0, 1)], rel=1e-9)
+    assert model.predict(["x" * 100_000])[0][0] in ("aa", "bb")
+
+
 @there
 def test_language_held_out(spark):
     docs = common.table(spark, DATA, "documents")
