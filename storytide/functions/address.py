@@ -45,9 +45,10 @@ def blocked_source(owner: Column, publisher: Column, platform: Column, url: Colu
     return F.exists(blocked, lambda v: (v != "") & (F.array_contains(names, v) | at(v)[0] | at(v)[1] | at(v)[2] | at(v)[3]))
 
 
-def owner_of(url: Column, publisher: Column, owners: tuple = lists.OWNERS) -> Column:
-    """The owner by domain, then by a name in the publisher with no letter or digit beside it, else the publisher's slug."""
-    h, out = hostname(url), slug(publisher)
+def owner_of(url: Column, publisher: Column, owners: tuple = lists.OWNERS, fallback: Column | None = None) -> Column:
+    """The owner by domain, then by a name in the publisher with no letter or digit beside it, else the fallback, which is
+    the publisher's slug if none is given."""
+    h, out = hostname(url), slug(publisher) if fallback is None else fallback
     for owner, _, names in reversed(owners):
         for name in reversed(names):
             out = F.when(F.lower(publisher).rlike(rf"(^|[^a-z0-9]){re.escape(name)}([^a-z0-9]|$)"), owner).otherwise(out)

@@ -58,10 +58,12 @@ def html_to_text(x: Column) -> Column:
 
 
 def without_chrome(html: Column) -> Column:
-    """A newsletter's HTML without its widgets (subscription boxes, buttons, digests, paywalls) and closing calls to share."""
-    widgets = "subscribe|button-wrapper|post-ufi|digest|share-dialog|paywall|subscription-widget"
-    out = F.regexp_replace(html, f"""(?is)<([a-z0-9]+)[^>]*class=["'][^"']*(?:{widgets})[^"']*["'][^>]*>.*?</\\1>""", " ")
-    return F.regexp_replace(out, r"(?is)<(p|div)[^>]*>\s*(?:thanks for reading|share this post).*?</\1>", " ")
+    """A newsletter's HTML without its widgets (elements of a class that names one) and closing calls to share."""
+    named = "|".join(lists.WIDGETS)
+    quoted = "|".join(f"{q}[^{q}]*(?:{named})[^{q}]*{q}" for q in ("\"", "'"))
+    out = F.regexp_replace(html, rf"(?is)<(\w+)\b[^>]*\bclass\s*=\s*(?:{quoted})[^>]*>.*?</\1\s*>", " ")
+    calls = "|".join(lists.CLOSING_CALLS)
+    return F.regexp_replace(out, rf"(?is)<(p|div)\b[^>]*>\s*(?:{calls}).*?</\1\s*>", " ")
 
 
 def slug(x: Column, cap: int | None = None, default: str | None = None) -> Column:

@@ -15,8 +15,8 @@ def first_per(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return top_per(df, keys, 1, *order)
 
 
-def top_per(df: DataFrame, keys: Sequence[str], k: int, *order: Column, rank: str | None = None) -> DataFrame:
-    """The first k rows of each key. Spark filters groups before the shuffle (WindowGroupLimit)."""
+def top_per(df: DataFrame, keys: Sequence[str], k: int | Column, *order: Column, rank: str | None = None) -> DataFrame:
+    """The first k rows of each key. Spark filters groups before the shuffle (WindowGroupLimit) where k is a number."""
     name = rank or "__rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
     return out if rank else out.drop(name)

@@ -12,7 +12,7 @@ from ..plans import views
 from ..session import scratch
 from ..sources import readers
 from ..sources.sinks import DayTable
-from .corpus import reasons_sql
+from .corpus import _HTML, reasons_sql
 from .registry import query, r
 
 #: Definitions with contracts: patterns and term groups, some of them no patterns at all.
@@ -160,3 +160,46 @@ def publication_rules(spark, d):
 
 def _all_days(df):
     return df, [str(x[0]) for x in df.select("date").distinct().collect()]
+
+
+_WIDGET = "'<div id=\"w\" class=\"x " + lists.WIDGETS[0] + "-box\"><p>Subscribe now</p></div>' || html || '<P class=''post-ufi''>12 likes</P><p> Thanks for reading this! <b>More</b></p>'"
+
+
+@query(f"SELECT page_id, md5(trim(regexp_replace({_HTML}, '\\s+', ' ', 'g'))) AS text_md5 FROM pages")
+def widget_free_pages(spark, d):
+    """Pages with a newsletter's widgets and closing calls around them: the text of the page alone."""
+    html = F.concat(F.lit(f'<div id="w" class="x {lists.WIDGETS[0]}-box"><p>Subscribe now</p></div>'), F.col("html"), F.lit("<P class='post-ufi'>12 likes</P><p> Thanks for reading this! <b>More</b></p>"))
+    return views.table(spark, d, "pages").select("page_id", F.md5(text.html_to_text(text.without_chrome(html))).alias("text_md5"))
+
+
+_FILES = "SELECT p_partkey, name, type, CASE p_size % 9 WHEN 3 THEN name ELSE 'main.htm' END AS main FROM (SELECT p_partkey, p_size, CASE p_partkey % 8 WHEN 0 THEN 'Ex99-1.htm' WHEN 1 THEN 'exhibit_99.txt' WHEN 2 THEN 'merger-plan.html' WHEN 3 THEN 'ex10a.htm' WHEN 4 THEN 'chart.jpg' WHEN 5 THEN 'doc.htm' WHEN 6 THEN 'ex99_2.xml' ELSE 'ex-2.htm' END AS name, CASE p_size % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN ' ex- 10.1' WHEN 2 THEN NULL ELSE 'EX-31' END AS type FROM part)"
+
+
+@query(f"""WITH f AS ({_FILES}), t AS (SELECT *, upper(regexp_replace(coalesce(type, ''), '\\s+', '', 'g')) AS u, lower(name) AS n FROM f),
+k AS (SELECT *, CASE WHEN regexp_matches(u, '^EX-[0-9]') THEN u WHEN regexp_matches(n, 'ex(hibit)?[-_]?99') THEN CASE WHEN regexp_extract(n, 'ex(hibit)?[-_]?99([._-]?([12]))?', 3) <> '' THEN 'EX-99.' || regexp_extract(n, 'ex(hibit)?[-_]?99([._-]?([12]))?', 3) ELSE 'EX-99' END WHEN contains(n, 'ex10') OR contains(n, 'ex-10') THEN 'EX-10' WHEN contains(n, 'ex2') OR contains(n, 'ex-2') THEN 'EX-2' ELSE name END AS kind FROM t)
+SELECT p_partkey, kind AS exhibit_type, CASE WHEN regexp_matches(lower(kind || ' ' || name), '99\\.1|99\\.2|earnings|presentation|investor') THEN 'high' WHEN regexp_matches(lower(kind || ' ' || name), '10\\.|2\\.1') THEN 'medium' ELSE 'low' END AS relevance FROM k WHERE name <> main AND regexp_matches(n, '\\.(htm|html|txt)$') AND (kind IN {tuple(lists.EXHIBIT_TYPES)!r} OR regexp_matches(n, '{"|".join(lists.EXHIBIT_NAMES)}'))""")
+def filing_exhibits(spark, d):
+    p, k, n = views.table(spark, d, "part"), F.col("p_partkey") % 8, F.col("p_size") % 4
+    names = ("Ex99-1.htm", "exhibit_99.txt", "merger-plan.html", "ex10a.htm", "chart.jpg", "doc.htm", "ex99_2.xml", "ex-2.htm")
+    name = F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    kind = F.when(n == 0, "text/html").when(n == 1, " ex- 10.1").when(n == 3, "EX-31")
+    x = p.select("p_partkey", name.alias("name"), kind.alias("type"), F.when(F.col("p_size") % 9 == 3, name).otherwise("main.htm").alias("primary"))
+    return readers.exhibits(x).select("p_partkey", "exhibit_type", "relevance")
+
+
+@query("WITH " + views.TEXTS_SQL + """, feeds AS (SELECT DISTINCT publisher AS feed_id, length(publisher) % 2 = 0 AS fresh FROM texts WHERE publisher IS NOT NULL AND publisher <> 'src3'),
+rows_ AS (SELECT t.publisher, document_id, date, CASE WHEN fresh THEN 12 ELSE 24 * 20 END AS hours, document_id % 5 = 0 AS empty_ FROM texts t JOIN feeds f ON f.feed_id = t.publisher WHERE document_id IS NOT NULL)
+SELECT publisher AS source, document_id, 'https://news.test/' || CAST(document_id AS VARCHAR) AS url, date, CASE WHEN length(publisher) % 2 = 0 THEN 2000 ELSE 2500 END AS length FROM rows_ WHERE NOT empty_ AND date + INTERVAL 8 HOUR BETWEEN TIMESTAMP '2024-03-20 18:00:00' - to_hours(hours) AND TIMESTAMP '2024-03-20 18:00:00' QUALIFY row_number() OVER (PARTITION BY publisher ORDER BY date DESC, 'https://news.test/' || CAST(document_id AS VARCHAR)) <= 7""")
+def registered_feed_scan(spark, d):
+    """Feeds of all publishers, written as RSS and read in one scan, each by its own lookback, cap and retention."""
+    as_of = "2024-03-20 18:00:00"
+    t = views.texts(spark, d).where("publisher IS NOT NULL AND document_id IS NOT NULL")
+    n = F.col("document_id")
+    body = F.when(n % 5 == 0, "<p> </p>").otherwise(F.concat(F.lit("<p>"), F.repeat(F.lit("0123456789"), 250), F.lit("</p>")))
+    items = t.select(F.col("publisher").alias("feed"), F.concat(F.lit("Title & <"), n.cast("string")).alias("title"), F.concat(F.lit("https://news.test/"), n.cast("string")).alias("link"), F.date_format(F.col("date").cast("timestamp") + F.expr("INTERVAL 8 HOURS"), "EEE, d MMM yyyy HH:mm:ss Z").alias("pubDate"), body.alias("description"), n.cast("string").alias("guid"))
+    path = scratch(spark, "feeds")
+    items.repartition("feed").write.partitionBy("feed").format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    fresh = F.length("publisher") % 2 == 0
+    feeds = t.select("publisher").distinct().where("publisher <> 'src3'").select(F.col("publisher").alias("feed_id"), F.col("publisher").alias("name"), F.lit("owner").alias("owner"), F.when(fresh, "snippet").otherwise("full_text").alias("retention"), F.when(fresh, F.to_timestamp(F.lit("2024-03-20 15:30:00"))).alias("last_published"), F.lit(20).alias("backfill_days"), F.lit(7).alias("most"))
+    x = readers.registered(spark, f"{path}/feed=*", feeds, as_of)
+    return x.select("source", F.col("document_id").cast("long").alias("document_id"), "url", F.to_date("published").alias("date"), F.length("text").alias("length"))

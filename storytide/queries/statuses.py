@@ -78,14 +78,14 @@ def usage_accounting(spark, d):
 def tumbling_daily_counts(spark, d):
     """The streaming aggregate, run over what is there."""
     s = streams.daily_counts(streams.parquet_stream(spark, f"{d}/events.parquet"), "ts", "event_type")
-    x = streams.drain(s, "tumbling_daily_counts", "complete")
+    x = streams.drain(s, "tumbling_daily_counts", "update", ("date", "event_type"))
     return x.select("date", "event_type", "n", half_up(F.col("total")).alias("total"))
 
 
 @query("SELECT event_type, CAST(ts AS DATE) + CAST(i AS INTEGER) AS date, count(*) AS n FROM events, range(7) t(i) GROUP BY 1, 2")
 def sliding_7d_counts(spark, d):
     s = streams.sliding_counts(streams.parquet_stream(spark, f"{d}/events.parquet"), "ts", "event_type")
-    return streams.drain(s, "sliding_7d_counts", "complete").select("event_type", "date", "n")
+    return streams.drain(s, "sliding_7d_counts", "update", ("event_type", "date")).select("event_type", "date", "n")
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(DISTINCT k) AS sessions, max(n) AS longest FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1")
@@ -98,8 +98,9 @@ def session_activity(spark, d):
 @query("SELECT count(*) AS documents FROM (SELECT DISTINCT sha256(text) FROM documents)")
 def stream_content_dedupe(spark, d):
     """Stateful removal of repeated texts from a stream: the first of each hash stays."""
-    x = streams.parquet_stream(spark, f"{d}/documents.parquet").select(F.sha2("text", 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("seen"))
-    return streams.drain(streams.first_by_hash(x, "seen", "hash"), "stream_content_dedupe").agg(F.count("*").alias("documents"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 91).cast("int")).cast("timestamp")
+    x = streams.parquet_stream(spark, f"{d}/documents.parquet").select(F.sha2("text", 256).alias("hash"), day.alias("seen"))
+    return streams.drain(streams.first_by_hash(x, "seen", "hash", "120 days"), "stream_content_dedupe").agg(F.count("*").alias("documents"))
 
 
 @query("WITH " + views.TEXTS_SQL + ", x AS (SELECT document_id, CASE WHEN source_class = 'transcript' THEN 0 WHEN source_class = 'filing' AND document_id % 3 = 0 THEN 1 ELSE 2 END AS band FROM texts) SELECT band, count(*) AS n, min(document_id) AS first_document FROM x GROUP BY 1")

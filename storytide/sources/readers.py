@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.address import hostname
+from ..functions.address import hostname, owner_of
 from ..functions.text import html_to_text
 from ..operators.relational import top_per
 
@@ -178,6 +178,61 @@ def exhibit_relevance(kind: Column, name: Column) -> Column:
     return F.when(_holds(text, lists.EXHIBIT_HIGH), "high").when(_holds(text, lists.EXHIBIT_MEDIUM), "medium").otherwise("low")
 
 
+def exhibit_type(declared: Column, name: Column) -> Column:
+    """The exhibit form that a filing's index declares, else the one that the file's name tells, else the name."""
+    own = F.regexp_replace(F.upper(F.coalesce(declared, F.lit(""))), r"\s+", "")
+    low = F.lower(name)
+    which = F.regexp_extract(low, r"ex(?:hibit)?[-_]?99(?:[._-]?([12]))?", 1)
+    by_name = F.when(low.rlike(r"ex(?:hibit)?[-_]?99"), F.when(which != "", F.concat(F.lit("EX-99."), which)).otherwise("EX-99")).when(_holds(low, ["ex10", "ex-10"]), "EX-10").when(_holds(low, ["ex2", "ex-2"]), "EX-2").otherwise(name)
+    return F.when(own.rlike(r"^EX-\d"), own).otherwise(by_name)
+
+
+def exhibits(files: DataFrame) -> DataFrame:
+    """The files of filings that are exhibits to read, with exhibit_type and relevance. files: name, type (as the index has
+    it), primary (the filing's own document) and what else there is."""
+    kind, low = exhibit_type(F.col("type"), F.col("name")), F.lower("name")
+    read = F.lit(False)
+    for end in lists.EXHIBIT_FILES:
+        read = read | low.endswith(end)
+    wanted = kind.isin(lists.EXHIBIT_TYPES) | _holds(low, lists.EXHIBIT_NAMES)
+    rows = files.where(~F.col("name").eqNullSafe(F.col("primary")) & read & wanted)
+    return rows.withColumn("exhibit_type", kind).withColumn("relevance", exhibit_relevance(F.col("exhibit_type"), F.col("name")))
+
+
+def lookback_hours(last_published: Column, backfill_days: Column, as_of: str) -> Column:
+    """How far back a feed is read: the days of its backfill at first, then the whole hours since its last post and six
+    more, twelve at least."""
+    hours = F.greatest(F.unix_micros(F.to_timestamp(F.lit(as_of))) - F.unix_micros(last_published), F.lit(0)) / 3_600e6
+    return F.when(last_published.isNull(), backfill_days * 24).otherwise(F.greatest(F.ceil(hours) + 6, F.lit(12))).cast("int")
+
+
+def registered(spark: SparkSession, path: str, feeds: DataFrame, as_of: str) -> DataFrame:
+    """The documents of all registered feeds in one scan: each feed with its own lookback, cap, retention and owner.
+
+    path: payloads below feed=<feed_id>/. feeds: feed_id, name, owner, retention, last_published, backfill_days,
+    most; payloads of other feeds are left out. Entries need a title, an address, a body and a date in the lookback.
+    """
+    own = _entries(spark, path).withColumn("feed_id", F.regexp_extract("file", "/feed=([^/]+)/", 1)).join(feeds, "feed_id")
+    stamp, end = F.col("stamp"), F.to_timestamp(F.lit(as_of))
+    when = F.coalesce(F.try_to_timestamp(F.regexp_replace(stamp, r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(stamp))
+    hours = lookback_hours(F.col("last_published"), F.col("backfill_days"), as_of)
+    body = html_to_text(F.col("html"))
+    rows = own.withColumns({"published": when, "text": F.when(F.col("retention") == "snippet", F.substring(body, 1, SNIPPET)).otherwise(body)})
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    kept = rows.where(has(F.col("title")) & has(F.col("url")) & has(F.col("text")) & F.col("published").between(end - F.make_interval(hours=hours), end))
+    kept = top_per(kept, ["feed_id"], F.col("most"), F.desc("published"), F.asc("url"), F.asc("document_id"))
+    return kept.select("document_id", F.col("feed_id").alias("source"), F.lit("newspaper").alias("source_class"), "title", F.col("name").alias("publisher"), "url", "published", "text", "retention", "owner")
+
+
+def preset_feeds(presets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Registered feeds from a list of presets (id, group, name, url, homepage): the owner is the group's (groups: group,
+    owner), else the one that address or name tell, else the first part of the homepage's host; snippets of a week."""
+    slug_of = F.regexp_extract(hostname(F.col("homepage")), r"^([^.]+)", 1)
+    known = owner_of(F.col("url"), F.col("name"), fallback=slug_of)
+    x = presets.join(groups.select("group", F.nullif("owner", F.lit("")).alias("__owner")), "group", "left")
+    return x.select(F.col("id").alias("feed_id"), "name", "url", F.coalesce("__owner", known).alias("owner"), F.lit("snippet").alias("retention"), F.lit(7).alias("backfill_days"), F.lit(50).alias("most"))
+
+
 def filing_part(text: Column) -> Column:
     """What part of a filing a text is, by its first 50 000 characters; null if they name none."""
     begin, out = F.lower(F.substring(text, 1, 50_000)), F.lit(None).cast("string")

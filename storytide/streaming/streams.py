@@ -56,11 +56,11 @@ def touched_days(stream: DataFrame, date: str, recompute: Callable[[DataFrame, l
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs the stream over what is there into Parquet in the shared folder, and reads that. Checkpoints lie beside it.
 
-    Each batch writes a folder of its own, so that a batch that is run again replaces its rows. In complete mode
-    the last batch is the result.
+    Each batch writes a folder of its own, so that a batch that is run again replaces its rows. In update mode the last
+    row of each key is the result, so that state that the watermark has passed can go; in complete mode the last batch.
     """
     spark = stream.sparkSession
     path, last = scratch(spark, name), []
@@ -73,5 +73,10 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(stream.schema)
-    return rows.parquet(f"{path}/rows/batch={max(last)}") if mode == "complete" else rows.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={max(last)}")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    if mode == "update":
+        values = F.struct(*[F.col(c) for c in stream.columns if c not in keys])
+        rows = rows.groupBy(*keys).agg(F.max_by(values, "batch").alias("v")).select(*keys, "v.*")
+    return rows.select(*stream.columns)
