@@ -26,10 +26,6 @@ def promotion_duplicate(name_a: Column, name_b: Column, text_a: Column, text_b:
     return (jaccard(name_a, name_b) >= 0.5) | (overlap(name_a, name_b) >= 0.5) | (jaccard(text_a, text_b) >= 0.55)
 
 
-def discovery_duplicate(name_a: Column, name_b: Column, text_a: Column, text_b: Column) -> Column:
-    return (jaccard(name_a, name_b) >= 0.74) | (jaccard(text_a, text_b) >= 0.72)
-
-
 def collision_floor(n: Column) -> Column:
     """Shared documents from which two evidence sets collide: two thirds of n, at least 3."""
     return F.greatest(F.lit(3), F.ceil(n * 2 / 3.0)).cast("long")

@@ -56,17 +56,29 @@ def evidence_collisions(evidence: DataFrame, definition_documents: DataFrame) ->
     return both.join(size, "candidate_id").where(F.col("shared") >= collision_floor(F.col("n")))
 
 
-def description_collisions(candidates: DataFrame, definitions: DataFrame) -> DataFrame:
-    """candidate_id, definition_id of the pairs whose descriptions say the same: names with half of their words or,
-    of three shared words at least, half of the shorter's, or propositions with 0.55 of theirs. Both sides may be large:
-    equal descriptions are compared once, and only sets that share rare words are."""
-    words = lambda d, key, of: distinct_sets(d.select(key, tokens(F.col(of)).alias("w")), key, "w")
-    (names_a, called_a), (names_b, called_b) = words(candidates, "candidate_id", "name"), words(definitions, "definition_id", "name")
-    (texts_a, told_a), (texts_b, told_b) = words(candidates, "candidate_id", "proposition"), words(definitions, "definition_id", "proposition")
-    names = jaccard_pairs(names_a, names_b, 0.5).select("a", "b").union(overlap_pairs(names_a, names_b, 0.5, 3)).distinct()
-    texts = jaccard_pairs(texts_a, texts_b, 0.55).select("a", "b")
+def _alike(a: DataFrame, b: DataFrame, words, names: float, texts: float, shared: int | None) -> DataFrame:
+    """candidate_id, definition_id of the pairs whose names or propositions are alike. Both sides may be large: equal
+    descriptions are compared once, and only sets that share rare words are."""
+    sets = lambda d, key, of: distinct_sets(d.select(key, words(F.col(of)).alias("w")), key, "w")
+    (names_a, called_a), (names_b, called_b) = sets(a, "candidate_id", "name"), sets(b, "definition_id", "name")
+    (texts_a, told_a), (texts_b, told_b) = sets(a, "candidate_id", "proposition"), sets(b, "definition_id", "proposition")
+    near = jaccard_pairs(names_a, names_b, names).select("a", "b")
+    if shared is not None:
+        near = near.union(overlap_pairs(names_a, names_b, names, shared)).distinct()
     of = lambda pairs, x, y: pairs.join(x.withColumnRenamed("id", "a"), "a").join(y.withColumnRenamed("id", "b"), "b").select("candidate_id", "definition_id")
-    return of(names, called_a, called_b).union(of(texts, told_a, told_b)).distinct()
+    return of(near, called_a, called_b).union(of(jaccard_pairs(texts_a, texts_b, texts).select("a", "b"), told_a, told_b)).distinct()
+
+
+def description_collisions(candidates: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The pairs of candidate and definition whose descriptions say the same: names with half of their words or,
+    of three shared words at least, half of the shorter's, or propositions with 0.55 of theirs."""
+    return _alike(candidates, definitions, tokens, 0.5, 0.55, 3)
+
+
+def discovery_duplicates(candidates: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The pairs of a new candidate and one that is there that are the same: 0.74 of the names' words or 0.72 of the
+    propositions'; words as they are, with the stop words of discovery."""
+    return _alike(candidates, definitions, lambda x: tokens(x, lists.DISCOVERY_STOPWORDS, synonyms=False), 0.74, 0.72, None)
 
 
 def promotable(evidence: DataFrame, as_of: str, definition_documents: DataFrame, policy: PromotionPolicy = PromotionPolicy()) -> DataFrame:

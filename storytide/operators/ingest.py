@@ -47,9 +47,3 @@ def preview(is_public: Column, delivered: Column, reported: Column) -> Column:
     """Whether a text is only a preview: not public, and under nine tenths of the reported words or none delivered."""
     words = F.size(F.filter(F.split(F.coalesce(delivered, F.lit("")), r"\s+"), lambda w: w != ""))
     return ~is_public & ((words == 0) | (words < 0.9 * reported))
-
-
-def newest(documents: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
-    from .relational import top_per
-
-    return top_per(documents, [key], k, *order)

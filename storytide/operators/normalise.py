@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..functions.text import contains_loosely, evidence_reasons, slug, squeezed
 from . import guards
-from .relational import first_per, small, top_per
+from .relational import first_per, running_sums, small, top_per
 
 #: The directions of tone, fixed values.
 STANCES = ("risk", "bullish", "mixed", "neutral")
@@ -93,5 +93,5 @@ def apply_mappings(signals: DataFrame, mappings: DataFrame, least: float = 80.0)
 
 
 def sequence(df: DataFrame, *order: Column) -> DataFrame:
-    """A dense number from 1 over all rows in order. For reports of bounded size."""
-    return df.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
+    """A dense number from 1 over all rows in a total order, counted range by range."""
+    return running_sums(df, [], order, {"seq": F.lit(1)})

@@ -6,14 +6,15 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import lists, text
-from ..operators import bursts, normalise, review, themes
+from ..functions import address, lists, text
+from ..operators import bursts, candidates, ingest, normalise, review, themes
 from ..plans import views
 from ..session import scratch
 from ..sources import readers
 from ..sources.sinks import DayTable
-from .corpus import _HTML, reasons_sql
+from .corpus import _BODY, _FOLD, _HTML, reasons_sql
 from .registry import query, r
+from .reviews import _described
 
 #: Definitions with contracts: patterns and term groups, some of them no patterns at all.
 DEFINITIONS = (
@@ -203,3 +204,48 @@ def registered_feed_scan(spark, d):
     feeds = t.select("publisher").distinct().where("publisher <> 'src3'").select(F.col("publisher").alias("feed_id"), F.col("publisher").alias("name"), F.lit("owner").alias("owner"), F.when(fresh, "snippet").otherwise("full_text").alias("retention"), F.when(fresh, F.to_timestamp(F.lit("2024-03-20 15:30:00"))).alias("last_published"), F.lit(20).alias("backfill_days"), F.lit(7).alias("most"))
     x = readers.registered(spark, f"{path}/feed=*", feeds, as_of)
     return x.select("source", F.col("document_id").cast("long").alias("document_id"), "url", F.to_date("published").alias("date"), F.length("text").alias("length"))
+
+
+@query("WITH " + views.TEXTS_SQL + f""", k AS (SELECT document_id, date, 'https://news.test/' || CAST(document_id % 40 AS VARCHAR) AS address, CASE WHEN lang = 'es' THEN sha256(publisher || ':https://news.test/' || CAST(document_id % 40 AS VARCHAR) || ':' || CAST(date AS VARCHAR)) ELSE sha256({_BODY}) END AS content_hash, sha256({_FOLD.replace("{x}", "title")}) AS near_duplicate_key FROM texts WHERE text <> '')
+SELECT content_hash, document_id, near_duplicate_key, address AS canonical_url FROM k QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY date, document_id) = 1""")
+def first_writers(spark, d):
+    """Of equal texts the first document; of those with metadata alone (here Spanish ones) the first of an address and day."""
+    t = views.texts(spark, d).where("text <> ''")
+    url = F.concat(F.lit("https://news.test/"), (F.col("document_id") % 40).cast("string"), F.lit("?utm_source=x#top"))
+    docs = t.select("document_id", F.when(F.col("lang") != "es", F.col("text")).alias("text"), "title", F.col("publisher").alias("source"), F.col("date").alias("published"), url.alias("url"))
+    x = ingest.first_writer(ingest.with_keys(docs), F.asc("published"), F.asc("document_id"))
+    return x.select("content_hash", "document_id", "near_duplicate_key", "canonical_url")
+
+
+@query("SELECT p_partkey, 'theme:' || CASE WHEN p_size % 2 = 0 THEN 'sector:' || trim(regexp_replace(replace(lower(p_brand || ':' || p_type), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') ELSE 'market:' || trim(regexp_replace(replace(lower(p_type), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') END AS theme_id FROM part")
+def theme_ids(spark, d):
+    level = F.when(F.col("p_size") % 2 == 0, "sector").otherwise("market")
+    return views.table(spark, d, "part").select("p_partkey", normalise.normalised_theme_id(level, F.col("p_type"), F.col("p_brand")).alias("theme_id"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events")
+def global_sequence(spark, d):
+    """All events numbered in the order of time."""
+    e = views.table(spark, d, "events")
+    return normalise.sequence(e.select("event_id", "ts"), F.col("ts"), F.col("event_id")).select("event_id", "seq")
+
+
+_BLOCKED = ["example.com", "thth.test", "www.none.test"]
+
+
+@query("SELECT page_id, " + " OR ".join(f"host = '{b}' OR ends_with(host, '.{b}')" for b in _BLOCKED) + " AS blocked FROM (SELECT page_id, regexp_replace(lower(regexp_extract(u, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS host FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://www.Example.com/a' WHEN 2 THEN 'http://notexample.com/' ELSE 'https://a.thth.test/b' END AS u FROM pages))")
+def blocked_hosts(spark, d):
+    p, k = views.table(spark, d, "pages"), F.col("page_id") % 4
+    url = F.when(k == 0, F.col("url")).when(k == 1, "https://www.Example.com/a").when(k == 2, "http://notexample.com/").otherwise("https://a.thth.test/b")
+    return p.select("page_id", address.blocked_host(url, _BLOCKED).alias("blocked"))
+
+
+_WORDS_OF = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1 AND NOT list_contains(" + repr(lists.DISCOVERY_STOPWORDS) + ", w)))"
+_NEAR = "(len({a}) > 0 AND len({b}) > 0 AND CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) >= {t})"
+
+
+@query("WITH x AS (SELECT doc_id, " + _WORDS_OF.replace("{x}", "regexp_extract(text, '^([^\\n]*)', 1)") + " AS n, " + _WORDS_OF.replace("{x}", "text") + " AS t FROM documents), y AS (SELECT item_id, " + _WORDS_OF.replace("{x}", "regexp_extract(text, '^([^\\n]*)', 1)") + " AS n, " + _WORDS_OF.replace("{x}", "text") + " AS t FROM benchmark) SELECT doc_id AS candidate_id, item_id AS definition_id FROM x JOIN y ON " + _NEAR.format(a="x.n", b="y.n", t=0.74) + " OR " + _NEAR.format(a="x.t", b="y.t", t=0.72))
+def discovery_duplicates(spark, d):
+    """New candidates that say the same as what is there, documents against benchmark items."""
+    a = _described(views.table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "candidate_id")
+    return candidates.discovery_duplicates(a, _described(views.table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "definition_id"))
