@@ -33,3 +33,18 @@ def merged(a: Column, b: Column) -> Column:
 
 def without(x: Column, key: str) -> Column:
     return F.to_json(F.map_filter(as_map(x), lambda k, _: k != key))
+
+
+def with_path(x: Column, path: list[str], value: Column, create: bool = True) -> Column:
+    """The object with the value (JSON) at a path of keys, as jsonb_set does it: a missing last key is added if `create`;
+    where an inner key is missing or no object, the document stays as it is."""
+    if not path:
+        return value
+    key, held = path[0], as_map(x)
+    there = F.coalesce(F.map_contains_key(held, F.lit(key)), F.lit(False))
+    own = F.to_json(F.try_element_at(held, F.lit(key)))
+    inner = with_path(own, path[1:], value, create)
+    put = F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(inner))))
+    if len(path) == 1:
+        return put if create else F.when(there, put).otherwise(x)
+    return F.when(there & own.startswith("{"), put).otherwise(x)

@@ -178,6 +178,13 @@ def evidence_reasons(quote: Column, interpretation: Column, proposition: Column)
     return F.array_compact(F.array(*found))
 
 
+def posix_regex(pattern: str) -> str:
+    """A pattern of POSIX kind with the word borders \\m and \\M, \\y and \\Y, and classes like [[:alpha:]], for rlike."""
+    borders = {r"\m": r"\b(?=\w)", r"\M": r"\b(?<=\w)", r"\y": r"\b", r"\Y": r"\B"}
+    out = "".join(borders.get(x, x) for x in re.findall(r"\\.|.", pattern, re.S))
+    return re.sub(r"\[:(\w+):\]", lambda m: r"\p{" + {"xdigit": "XDigit"}.get(m[1], m[1].capitalize()) + "}", out)
+
+
 def passes_guard(evidence: Column, required: list[str], forbidden: list[str]) -> Column:
     """Every required pattern matches and no forbidden one, whatever the case; patterns that don't compile are left out."""
 

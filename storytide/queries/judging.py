@@ -6,15 +6,16 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import address, lists, text
+from ..functions import address, jsondoc, lists, text
 from ..operators import bursts, candidates, ingest, normalise, review, themes
 from ..plans import views
 from ..session import scratch
 from ..sources import readers
 from ..sources.sinks import DayTable
 from .corpus import _BODY, _FOLD, _HTML, reasons_sql
-from .registry import query, r
-from .reviews import _described
+from .narratives import _BURST_SQL
+from .registry import SQL, query, r
+from .reviews import _CAND, _described
 
 #: Definitions with contracts: patterns and term groups, some of them no patterns at all.
 DEFINITIONS = (
@@ -136,6 +137,9 @@ def title_bursts(spark, d):
     return x.select("term", "stories", "owners", "score", F.col("rank").cast("long").alias("rank"))
 
 
+SQL["title_ngrams"] = "WITH " + views.TEXTS_SQL + f", titled AS (SELECT document_id, {_WORDS} AS w FROM texts) SELECT gram, count(DISTINCT document_id) AS documents FROM (SELECT document_id, unnest({_GRAMS}) AS gram FROM titled) GROUP BY 1"
+
+
 _TRENDS = "SELECT p_brand AS theme_id, DATE '2024-01-01' + CAST(p_size AS INTEGER) AS date, CAST(count(*) AS DOUBLE) AS intensity FROM part WHERE p_size <= 40 GROUP BY 1, 2"
 
 
@@ -249,3 +253,55 @@ def discovery_duplicates(spark, d):
     """New candidates that say the same as what is there, documents against benchmark items."""
     a = _described(views.table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "candidate_id")
     return candidates.discovery_duplicates(a, _described(views.table(spark, d, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "definition_id"))
+
+
+_NEWS = ("https://markets.wsj.com/a", "https://www.nytimes.com/b", "https://paper.test/c", "http://ft.com/d", "https://notft.com/e", "https://reuters.com:443/f")
+_PUBS = ("Some Paper", "The FT", "Reuters.", "Bloomberg L.P.", "Soft Paper", "Barron's & Sons")
+_PICK = lambda column, values: f"CASE {column} " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in enumerate(values)) + " END"
+_BY_DOMAIN = " ".join(f"WHEN host = '{x}' OR ends_with(host, '.{x}') THEN '{owner}'" for owner, domains, _ in lists.OWNERS for x in domains)
+_BY_NAME = " ".join("WHEN regexp_matches(lower(pub), '(^|[^a-z0-9])" + x.replace("'", "''").replace(".", "\\.") + f"([^a-z0-9]|$)') THEN '{owner}'" for owner, _, names in lists.OWNERS for x in names)
+
+
+@query(f"SELECT p_partkey, CASE {_BY_DOMAIN} {_BY_NAME} ELSE trim(regexp_replace(replace(lower(pub), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') END AS owner FROM (SELECT p_partkey, regexp_replace(lower(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, pub FROM (SELECT p_partkey, {_PICK('p_size % 6', _NEWS)} AS u, {_PICK('p_partkey % 6', _PUBS)} AS pub FROM part))")
+def publisher_owner_table(spark, d):
+    """The owners of publishers by address, by name and by neither."""
+    pick = lambda c, values: F.element_at(F.array(*map(F.lit, values)), (c + 1).cast("int"))
+    p = views.table(spark, d, "part")
+    return p.select("p_partkey", address.owner_of(pick(F.col("p_size") % 6, _NEWS), pick(F.col("p_partkey") % 6, _PUBS)).alias("owner"))
+
+
+@query("SELECT p_partkey, regexp_matches(p_type, '\\bST[A-Z]*\\b') AS whole, regexp_matches(p_type, 'ED\\b.*[0-9[:upper:]]$') AS ends FROM part")
+def posix_words(spark, d):
+    """Patterns with POSIX word borders and classes."""
+    x = F.col("p_type")
+    return views.table(spark, d, "part").select("p_partkey", x.rlike(text.posix_regex(r"\mST[A-Z]*\M")).alias("whole"), x.rlike(text.posix_regex(r"ED\M.*[0-9[:upper:]]$")).alias("ends"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind, CASE WHEN event_type = 'click' THEN 7 END AS deep FROM events")
+def json_paths(spark, d):
+    """JSON documents with values put at paths: a new key, one below an object, one below what is no object."""
+    e = views.table(spark, d, "events")
+    own = F.when(F.col("event_type") == "click", jsondoc.with_path(F.col("props"), ["o"], F.lit("{}"))).otherwise(F.col("props"))
+    x = jsondoc.with_path(own, ["kind"], F.to_json(F.struct(F.col("event_type").alias("v"))))
+    x = jsondoc.with_path(x, ["kind", "v"], F.concat(F.lit('"'), F.col("event_type"), F.lit('"')), create=False)
+    x = jsondoc.with_path(jsondoc.with_path(x, ["o", "deep"], F.lit("7")), ["k", "below"], F.lit("1"))
+    return e.select("event_id", jsondoc.number(x, "k").cast("long").alias("k"), jsondoc.get(x, "kind.v").alias("kind"), jsondoc.number(x, "o.deep").cast("int").alias("deep"))
+
+
+SQL["burst_suppression"] = f"""WITH RECURSIVE {_BURST_SQL}, scored AS (SELECT term, CASE WHEN starts_with(term, 'entity') THEN 'entity' ELSE 'title_ngram' END AS kind, stories, owners, {r('mean', 2)} AS baseline_mean, {r('z', 2)} AS z_score, novel, {r('CASE WHEN novel THEN stories + z ELSE z END', 2)} AS score FROM burst WHERE novel OR z >= 0.5),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, owners DESC, len(string_split(term, ' ')) DESC, term) AS k FROM scored),
+greedy AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR, n BIGINT, g BOOLEAN)[]) AS kept
+  UNION ALL
+  SELECT g.k + 1, CASE WHEN b.kind = 'title_ngram' AND len(list_filter(g.kept, lambda x: x.g AND x.n = b.stories AND (contains(x.t, b.term) OR contains(b.term, x.t)))) > 0 THEN g.kept ELSE list_append(g.kept, {{'t': b.term, 'n': b.stories, 'g': b.kind = 'title_ngram'}}) END
+  FROM greedy g JOIN ranked b ON b.k = g.k + 1 WHERE len(g.kept) < 60
+),
+final AS (SELECT unnest(kept) AS x FROM greedy WHERE k = (SELECT max(k) FROM greedy))
+SELECT s.term, kind, stories, owners, baseline_mean, z_score, novel, score, row_number() OVER (ORDER BY s.k) AS rank FROM final JOIN ranked s ON s.term = x.t"""
+
+SQL["promotion_evidence_selection"] = f"""WITH {_CAND}, items AS (SELECT candidate_id, list({{'d': [{{'id': document_id, 'score': score}}], 's': ['s' || document_id % 17], 't': ['t' || document_id % 29], 'n': [story_fingerprint]}} ORDER BY score DESC, published DESC, document_id) AS own FROM cand GROUP BY 1),
+kept AS (SELECT candidate_id, list_reduce(own, lambda a, x: CASE WHEN len(a.d) < 10 AND NOT list_contains(a.s, x.s[1]) AND NOT list_contains(a.t, x.t[1]) AND NOT coalesce(list_contains(a.n, x.n[1]), false) THEN {{'d': list_concat(a.d, x.d), 's': list_concat(a.s, x.s), 't': list_concat(a.t, x.t), 'n': list_concat(a.n, x.n)}} ELSE a END) AS a FROM items)
+SELECT candidate_id, d.id AS document_id, d.score AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT candidate_id, unnest(a.d) AS d, generate_subscripts(a.d, 1) AS rank FROM kept)"""
+
+SQL["source_quotations"] = "SELECT doc_id AS document_id, CASE WHEN q = '' THEN NULL WHEN contains(text, q) THEN q ELSE nullif(regexp_extract(text, replace(regexp_escape(q), '\\ \\ ', '\\s+')), '') END AS quotation FROM (SELECT doc_id, text, " + _TRIM("regexp_replace(substr(text, 5, 60), '\\s+', '  ', 'g')") + " AS q FROM documents)"
+SQL["publisher_owners"] = f"SELECT page_id, CASE {_BY_DOMAIN} {_BY_NAME} ELSE trim(regexp_replace(replace(lower(pub), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') END AS owner FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS pub FROM pages)"

@@ -33,8 +33,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the warehouse where that is unset: both are shared by the driver and all executors."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """spark.checkpoint.dir, which the driver and all executors share, or the warehouse where that is unset. A warehouse on
+    a machine's own disk will do for a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    own = folder.startswith("file:") or "://" not in folder
+    if own and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 

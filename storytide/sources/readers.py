@@ -187,9 +187,15 @@ def exhibit_type(declared: Column, name: Column) -> Column:
     return F.when(own.rlike(r"^EX-\d"), own).otherwise(by_name)
 
 
-def exhibits(files: DataFrame) -> DataFrame:
+#: The forms whose exhibits are read, fixed values.
+EXHIBIT_FORMS = ("8-K", "6-K")
+
+
+def exhibits(files: DataFrame, forms: tuple[str, ...] = EXHIBIT_FORMS) -> DataFrame:
     """The files of filings that are exhibits to read, with exhibit_type and relevance. files: name, type (as the index has
-    it), primary (the filing's own document) and what else there is."""
+    it), primary (the filing's own document), optionally form (only those of `forms` are read), and what else there is."""
+    if "form" in files.columns:
+        files = files.where(F.col("form").isin(*forms))
     kind, low = exhibit_type(F.col("type"), F.col("name")), F.lower("name")
     read = F.lit(False)
     for end in lists.EXHIBIT_FILES:
