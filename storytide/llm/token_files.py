@@ -37,7 +37,7 @@ BLOCK = 256
 PERCENTILE = 95
 MAGIC = b"TPF1"
 #: A file is closed after so many ids; a longer single document makes a longer file.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 18
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
