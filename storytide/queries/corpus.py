@@ -161,7 +161,7 @@ _REPORT = {
 }
 _REPORTS = "reports AS (SELECT o_orderkey AS document_id, 'C' || o_custkey AS company, CAST(o_orderdate AS DATE) AS published, CASE o_orderstatus WHEN 'F' THEN 'transcript' WHEN 'O' THEN 'filing' ELSE 'newspaper' END AS source_class, CASE WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 1 END AS companies, " + _REPORT["revenue"] + " AS first_, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _REPORT.items() if k != "revenue") + " ELSE '' END AS second_ FROM orders)"
 _FIRST = lambda p: f"length(regexp_extract(quote, '(?is)^(.*?){p}', 1))"
-_FACTS = "WITH " + _REPORTS + f""", passages AS (SELECT document_id, company, published, place, quote FROM (SELECT document_id, company, published, 0 AS place, first_ AS quote FROM reports WHERE companies = 1 AND source_class <> 'newspaper' UNION ALL SELECT document_id, company, published, 1, second_ FROM reports WHERE companies = 1 AND source_class <> 'newspaper') WHERE length(quote) BETWEEN 45 AND 600 AND regexp_matches(quote, '(?i){lists.QUANTITY}') AND regexp_matches(quote, '(?i){lists.REPORTING_VERB}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[0]}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[1]}') AND len(regexp_extract_all(quote, '\d[\d,.]*')) <= 12),
+_FACTS = "WITH " + _REPORTS + f""", passages AS (SELECT document_id, company, published, place, quote FROM (SELECT document_id, company, published, 0 AS place, first_ AS quote FROM reports WHERE companies = 1 AND source_class <> 'newspaper' UNION ALL SELECT document_id, company, published, 1, second_ FROM reports WHERE companies = 1 AND source_class <> 'newspaper') WHERE length(quote) BETWEEN 45 AND 600 AND regexp_matches(quote, '(?i){lists.QUANTITY}') AND regexp_matches(quote, '(?i){lists.REPORTING_VERB}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[0]}') AND NOT regexp_matches(quote, '(?i){lists.NOT_RESEARCH[1]}') AND len(regexp_extract_all(quote, '\\d[\\d,.]*')) <= 12),
 found AS (SELECT *, list_sort(list_filter([{", ".join(f"CASE WHEN regexp_matches(quote, '(?i){p}') THEN {{'at': {_FIRST(p)}, 'm': '{m}'}} END" for m, p in lists.METRICS)}], lambda x: x IS NOT NULL))[1].m AS metric FROM passages),
 facts AS (SELECT document_id, company, published, place, quote, metric, CASE WHEN regexp_matches(quote, '(?i){lists.OUTLOOK}') THEN 'Outlook' ELSE 'Reported result' END AS basis FROM found WHERE metric IS NOT NULL AND NOT (metric = 'Demand and capacity' AND regexp_matches(quote, '(?i){lists.FINANCING}')))"""
 
