@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..session import ship
-from . import corpus, judging, narratives, operations, relations, reports, reviews, statuses, themes
+from . import corpus, judging, narratives, operations, relations, reports, reviews, scans, statuses, themes
 from .registry import QUERIES, SQL
 
-__all__ = ["corpus", "flagship", "judging", "narratives", "operations", "oracle_sql", "queries", "relations", "reports", "reviews", "statuses", "themes"]
+__all__ = ["corpus", "flagship", "judging", "narratives", "operations", "oracle_sql", "queries", "relations", "reports", "reviews", "scans", "statuses", "themes"]
 
 
 def flagship(spark, sf_dir: str):
