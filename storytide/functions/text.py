@@ -134,8 +134,9 @@ def passages(x: Column) -> Column:
 
 
 def speakers(x: Column) -> Column:
-    """The number of different speaker headings at line starts."""
-    return F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?:^|\n)([A-Z][A-Za-z .'-]{2,80}):"), 1)))
+    """The number of different speaker headings at line starts; the one that opens the text is a heading of its own, also
+    where its speaker comes again."""
+    return F.size(F.array_distinct(F.regexp_extract_all(x, F.lit(r"((?:^|\n)[A-Z][A-Za-z .'-]{2,80}:)"), 1)))
 
 
 def transcript_text(x: Column) -> Column:

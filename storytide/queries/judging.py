@@ -305,3 +305,29 @@ SELECT candidate_id, d.id AS document_id, d.score AS score, CAST(rank AS INTEGER
 
 SQL["source_quotations"] = "SELECT doc_id AS document_id, CASE WHEN q = '' THEN NULL WHEN contains(text, q) THEN q ELSE nullif(regexp_extract(text, replace(regexp_escape(q), '\\ \\ ', '\\s+')), '') END AS quotation FROM (SELECT doc_id, text, " + _TRIM("regexp_replace(substr(text, 5, 60), '\\s+', '  ', 'g')") + " AS q FROM documents)"
 SQL["publisher_owners"] = f"SELECT page_id, CASE {_BY_DOMAIN} {_BY_NAME} ELSE trim(regexp_replace(replace(lower(pub), '&', ' and '), '[^a-z0-9]+', '-', 'g'), '-') END AS owner FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS pub FROM pages)"
+
+
+_SPOKEN = "upper(substr(role, 1, 1)) || substr(role, 2) || CASE WHEN turn % 3 = 0 THEN ' Jr.' ELSE '' END || ': ' || text"
+
+
+@query(f"SELECT conv_id, len(list_distinct(regexp_extract_all(string_agg({_SPOKEN}, chr(10) ORDER BY turn, role, text), '(^|\\n)[A-Z][A-Za-z .''-]{{2,80}}:'))) AS speakers FROM conversations GROUP BY 1")
+def speaker_counts(spark, d):
+    """The headings of speakers in dialogues."""
+    c = views.table(spark, d, "conversations")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", F.expr(_SPOKEN).alias("line")))), lambda x: x["line"])
+    return c.groupBy("conv_id").agg(text.speakers(F.array_join(lines, "\n")).cast("long").alias("speakers"))
+
+
+_SECTIONED = """CASE doc_id % 7 WHEN 0 THEN '{"transcriptSections":{"sections":[{"label":"prepared_remarks","start":0,"end":' || n || '},{"label":"qa","start":' || n || ',"end":' || n_chars || '}]}}' WHEN 1 THEN '{"transcriptSections":{"sections":[{"label":"other","start":0,"end":1}]}}'
+  WHEN 2 THEN '{"transcriptSections":{"sections":[{"label":"qa","start":0.5,"end":1}]}}' WHEN 3 THEN '{"transcriptSections":{"sections":[{"label":"qa","start":0,"end":' || (n_chars + 1) || '}]}}' WHEN 4 THEN '{"transcriptSections":{"sections":[]}}' WHEN 5 THEN '{"sections":1}' ELSE '{"transcriptSections":{"sections":[{"label":"qa","start":3,"end":3}]}}' END"""
+
+
+@query(f"""WITH j AS (SELECT doc_id, n_chars, {_SECTIONED} AS j FROM (SELECT doc_id, n_chars, n_chars // 2 AS n FROM documents WHERE n_chars > 1)),
+s AS (SELECT doc_id, n_chars, CAST(json_extract(j, '$.transcriptSections.sections') AS JSON[]) AS own FROM j),
+g AS (SELECT doc_id, own, len(list_filter(own, lambda x: json_extract_string(x, '$.label') IN ('prepared_remarks', 'qa') AND regexp_full_match(json_extract_string(x, '$.start'), '[0-9]+') AND regexp_full_match(json_extract_string(x, '$.end'), '[0-9]+') AND TRY_CAST(json_extract_string(x, '$.end') AS BIGINT) <= n_chars AND TRY_CAST(json_extract_string(x, '$.end') AS BIGINT) > TRY_CAST(json_extract_string(x, '$.start') AS BIGINT))) AS good FROM s)
+SELECT doc_id, CASE WHEN len(own) > 0 AND good = len(own) THEN len(own) END AS sections FROM g""")
+def stored_sections(spark, d):
+    """The sections that documents carry, where all of them are sound."""
+    t = views.table(spark, d, "documents").where("n_chars > 1").withColumn("n", F.floor(F.col("n_chars") / 2).cast("int"))
+    spans = text.stored_spans(F.expr(_SECTIONED), F.col("n_chars"))
+    return t.select("doc_id", F.when(spans.isNotNull(), F.size(spans)).cast("long").alias("sections"))
