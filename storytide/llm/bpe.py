@@ -24,7 +24,7 @@ import pandas as pd
 from . import textvec as tv
 
 #: Words and letters of a worker's word table before it is begun anew.
-TABLE_WORDS, TABLE_LETTERS = 300_000, 1 << 24
+TABLE_WORDS, TABLE_LETTERS = 150_000, 1 << 21
 
 
 def tokenizer_file(name: str) -> str:
