@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,29 +51,49 @@ def window_ends(df: DataFrame, days: int, date: str = "date", to: str = "end_dat
     return df.withColumn(to, F.explode(F.sequence(F.col(date), F.date_add(F.col(date), days - 1))))
 
 
-def rolling_distinct(members: DataFrame, grid: DataFrame, keys: Sequence[str], days: int, kinds: dict[str, str], brief: Sequence[str] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class MemberDays:
+    """The days of members (keys, kind, m), listed once for windows of any length: for brief kinds the first and the last
+    (low, high), for the others all of them (on)."""
+
+    members: DataFrame
+    keys: tuple[str, ...]
+    brief: tuple[str, ...]
+    spans: DataFrame | None
+    runs: DataFrame
+
+
+def member_days(members: DataFrame, keys: Sequence[str], brief: Sequence[str] = ()) -> MemberDays:
+    """members: keys, date, kind, m. brief: kinds whose members have few days, as documents do."""
+    each = [*keys, "kind", "m"]
+    spans = written(members.where(F.col("kind").isin(*brief)).groupBy(*each).agg(F.min("date").alias("low"), F.max("date").alias("high")), "spans") if brief else None
+    rest = members.where(~F.col("kind").isin(*brief)) if brief else members
+    return MemberDays(members, tuple(keys), tuple(brief), spans, rest.groupBy(*each).agg(F.array_sort(F.collect_set("date")).alias("on")))
+
+
+def rolling_distinct(members: DataFrame | MemberDays, grid: DataFrame, keys: Sequence[str], days: int, kinds: dict[str, str], brief: Sequence[str] = ()) -> DataFrame:
     """The grid (keys, date) with, for each kind, the number of distinct members of the trailing window of `days` days.
 
-    members: keys, date, kind, m; repeated rows and days outside the grid's calendar count as they are. The days of a
-    member become runs of windows that hold it: a step up where a run begins, a step down where it ends. Steps are
-    summed by key and day, then along the calendar, so that a member costs two rows a run, not one a window.
-    grid: has all days of each key that lie between the first member's and the last. kinds: kind -> column. brief: kinds
-    whose members have few days, as documents do. The first and the last of them tell a member's run unless they lie
-    more than a window apart, so that only such members have their days listed.
+    members: keys, date, kind, m, or their days; repeated rows and days outside the grid's calendar count as they are. The
+    days of a member become runs of windows that hold it: a step up where a run begins, a step down where it ends. Steps
+    are summed by key and day, then along the calendar, so that a member costs two rows a run, not one a window.
+    grid: has all days of each key that lie between the first member's and the last. kinds: kind -> column. The first and
+    the last day tell the run of a brief member unless they lie more than a window apart, so that only such members
+    have their days listed.
     """
-    gap = F.lit(days)
-    listed, steps = members.where(~F.col("kind").isin(*brief)) if brief else members, None
-    if brief:
-        short = members.where(F.col("kind").isin(*brief))
-        spans = written(short.groupBy(*keys, "kind", "m").agg(F.min("date").alias("low"), F.max("date").alias("high")), "spans")
+    held = members if isinstance(members, MemberDays) else member_days(members, keys, brief)
+    gap, runs, steps = F.lit(days), held.runs, None
+    if held.spans is not None:
         apart = F.datediff("high", "low") > days
-        far = spans.where(apart)
+        far = held.spans.where(apart)
         ends = F.array(F.struct(F.col("low").alias("date"), F.lit(1).alias("n")), F.struct(F.date_add("high", gap).alias("date"), F.lit(-1).alias("n")))
-        steps = spans.where(~apart).select(*keys, "kind", F.explode(ends).alias("x")).select(*keys, "kind", "x.date", "x.n")
+        steps = held.spans.where(~apart).select(*keys, "kind", F.explode(ends).alias("x")).select(*keys, "kind", "x.date", "x.n")
         if not far.isEmpty():
-            listed = listed.unionByName(short.join(far.drop("low", "high"), [*keys, "kind", "m"], "left_semi").select(*listed.columns))
-    if not brief or set(kinds) - set(brief) or not far.isEmpty():
-        runs = listed.groupBy(*keys, "kind", "m").agg(F.array_sort(F.collect_set("date")).alias("on"))
+            own = held.members.where(F.col("kind").isin(*held.brief)).join(far.drop("low", "high"), [*keys, "kind", "m"], "left_semi")
+            runs = runs.unionByName(own.groupBy(*keys, "kind", "m").agg(F.array_sort(F.collect_set("date")).alias("on")))
+        elif not set(kinds) - set(held.brief):
+            runs = None
+    if runs is not None:
         up = F.filter("on", lambda d, i: (i == 0) | (F.date_add(F.get("on", i - 1), gap) < d))
         down = F.transform(F.filter("on", lambda d, i: (i == F.size("on") - 1) | (F.date_add(d, gap) < F.get("on", i + 1))), lambda d: F.date_add(d, gap))
         step = lambda x, n: F.transform(x, lambda d: F.struct(d.alias("date"), F.lit(n).alias("n")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import deviation_of, half_up, mean_of, percentile_rank
 from ..session import written
 from ..sources.sinks import DayTable
-from .relational import calendar, rolling_distinct, top_per
+from .relational import calendar, member_days, rolling_distinct, top_per
 
 
 @dataclass(frozen=True)
@@ -96,12 +96,13 @@ def window_scores(rows: DataFrame, as_of: str, policy: TrendPolicy = TrendPolicy
     grid = levels.crossJoin(F.broadcast(calendar(spark, first, as_of)))  # a bounded calendar
     dense = grid.join(daily.select("theme_id", "date", "intensity", "base_intensity", "evidence_count"), ["theme_id", "date"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("intensity", "base_intensity", "evidence_count")})
     dense = written(dense, "daily-themes")
-    members = written(breadth_members(own).distinct(), "theme-members")  # each window reads them
+    held = member_days(breadth_members(own), ["theme_id"], brief=("d",))
+    held = replace(held, runs=written(held.runs, "theme-members"))  # each window reads them
     series = Window.partitionBy("theme_id").orderBy("idx")
     out = None
     for w in policy.windows:
         roll = series.rowsBetween(-(w - 1), 0)
-        x = rolling_distinct(members, dense, ["theme_id"], w, {"d": "document_breadth", "c": "source_diversity", "e": "entity_breadth"}, brief=("d",))
+        x = rolling_distinct(held, dense, ["theme_id"], w, {"d": "document_breadth", "c": "source_diversity", "e": "entity_breadth"})
         x = x.withColumns({c: F.sum(c).over(roll) for c in ("intensity", "base_intensity", "evidence_count")})
         x = x.withColumn("total", F.when(F.col("idx") >= w - 1, F.col("intensity")))
         # what ended before the current window began; a partial first total only where no whole one is there
