@@ -1,15 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source is to give a share of the mix's words, so each of its documents is to be copied r = target / size of the
-source times: floor(r) copies for certain, and one more with probability p = r - floor(r). Pairs of documents then
-settle these probabilities together: words are moved from the one to the other, in a direction drawn so that neither
-probability changes on average, until one of the two is 0 or 1; the other goes on to the next pair. What a pair takes
-in words stays the same, so a source misses its target only by the one document that is left over in the end.
-
-The pairs form a tree. A source's documents are dealt to leaves by a hash, each leaf settles all of its documents but
-one, and of those that are left over 64 leaves make one leaf of the next level, until a source has one leaf. Within a
-leaf documents come by descending size, so that what is left over tends to be short. Leaves, order and draws follow
-from the rows alone, so that reruns agree however rows are partitioned.
+source times: floor(r) copies for certain, and one more with probability p = r - floor(r). Pairs then settle these probabilities: words are
+moved from the one side to the other, in a direction drawn so that neither probability changes on average, until one of
+the two is 0 or 1; the other goes on to the next pair. What a pair takes in words stays the same, so a source misses
+its target only by the one document that is left over in the end.
+
+The pairs form a tree. A source's documents are dealt to leaves by a hash, and each leaf settles all of its documents but
+one: by descending size, a document is paired with the rest of its leaf, whose documents have one probability in
+common and take or give the words alike, so that a long document is made up for by all shorter ones, and the shortest
+is left over, unless all shorter ones together can't make up for one. Of the documents that
+are left over 64 leaves make one leaf of the next level, whose documents are paired one by one, until a source has one
+leaf. Leaves, order and draws follow from the rows alone, so that reruns agree however rows are partitioned.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import running_sums
@@ -107,6 +109,43 @@ ROW = "doc_id long, source string, tag long, size long, source_size long, target
 COLUMNS = [c.split()[0] for c in ROW.split(", ")]
 
 
+def _sorted(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.sortWithinPartitions("source", "leaf", F.desc("size"), "tag", "doc_id").select(*COLUMNS, *more)
+
+
+def _settle_leaves(rows: DataFrame) -> DataFrame:
+    """The rows, all but one of each leaf with p 0, from rows whose p is the same within a source: one pass along each sorted
+    leaf, which holds the words and the probability of the rest and a single open row."""
+
+    def run(batches):
+        leaf, open_, p, rest, k = None, None, 0.0, 0, 0
+        for b in batches:
+            out = []
+            for row in zip(*[b.column(i).to_pylist() for i in range(len(COLUMNS) + 1)], strict=True):
+                row, words = list(row[:-1]), row[-1]
+                if (row[1], row[6]) != leaf:
+                    if open_:
+                        out.append(open_)
+                    leaf, open_, p, rest, k = (row[1], row[6]), None, row[9], words, 0
+                k, rest = k + 1, rest - row[3]
+                own = p
+                if rest > 0 and 0.0 < p < 1.0:
+                    own, p = pair(row[3], p, rest, p, _draw(row[2], k, k))
+                    own, p = (0.0 if x < 1e-12 else 1.0 if x > 1 - 1e-12 else x for x in (own, p))
+                row[8] += own == 1.0
+                row[9] = own if 0.0 < own < 1.0 else 0.0
+                if row[9]:
+                    open_ = row
+                else:
+                    out.append(row)
+            yield _batch(out)
+        if open_:
+            yield _batch([open_])
+
+    dealt = rows.repartition("source", "leaf").withColumn("words", F.sum("size").over(Window.partitionBy("source", "leaf")))
+    return _sorted(dealt, "words").mapInArrow(run, ROW)
+
+
 def _settle(rows: DataFrame) -> DataFrame:
     """The rows, all but one of each leaf with p 0: one pass along each sorted leaf, which holds a single open row."""
 
@@ -139,8 +178,7 @@ def _settle(rows: DataFrame) -> DataFrame:
         if open_:
             yield _batch([open_])
 
-    by_leaf = rows.repartition("source", "leaf").sortWithinPartitions("source", "leaf", F.desc("size"), "tag", "doc_id")
-    return by_leaf.select(*COLUMNS).mapInArrow(run, ROW)
+    return _sorted(rows.repartition("source", "leaf")).mapInArrow(run, ROW)
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
@@ -164,12 +202,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: int = CEIL
     aimed = aimed.withColumns({"copies": F.floor(times).cast("long"), "p": F.when(F.col("size") > 0, times - F.floor(times)).otherwise(F.lit(0.0)), "leaves": leaves, "leaf": F.pmod("tag", leaves)})
     now = common.written(aimed.select(*COLUMNS), "mix-aimed")
     most = now.agg(F.max("leaves")).first()[0] or 0
-    done, now = now.where("p = 0"), now.where("p > 0")
+    done, now, settle = now.where("p = 0"), now.where("p > 0"), _settle_leaves
     while most:
-        settled = common.written(_settle(now), "mix-settled")
+        settled = common.written(settle(now), "mix-settled")
         done, now = done.unionByName(settled.where("p = 0")), settled.where("p > 0")
         if most == 1:
             break
+        settle = _settle
         now = now.withColumns({"leaf": F.floor(F.col("leaf") / FAN), "leaves": F.ceil(F.col("leaves") / FAN)})
         most = -(-most // FAN)
     u = F.pmod(F.xxhash64("tag", F.lit("last")), F.lit(1 << 53)) / (1 << 53)
