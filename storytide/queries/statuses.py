@@ -188,7 +188,7 @@ def archive_scan(spark, d):
     t = views.texts(spark, d).where("document_id IS NOT NULL AND publisher IS NOT NULL")
     posts = t.select(F.col("publisher").alias("publication"), F.concat(F.lit("post-"), F.col("document_id").cast("string")).alias("slug"), F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T08:00:00Z")).alias("post_date"), "title")
     path = scratch(spark, "archive")
-    posts.repartition("publication").sortWithinPartitions("publication", F.desc("post_date"), F.desc("slug")).write.partitionBy("publication").json(f"{path}/pages")
+    posts.repartitionByRange("publication", F.desc("post_date"), F.desc("slug")).sortWithinPartitions("publication", F.desc("post_date"), F.desc("slug")).write.partitionBy("publication").json(f"{path}/pages")
     stream = lambda: archive.archive_stream(spark, f"{path}/pages", "2024-01-20T08:00:00Z", 500)
     archive.drain_polls(spark, stream, f"{path}/posts", f"{path}/checkpoint")
     return spark.read.schema(archive.POST).option("basePath", f"{path}/posts").parquet(f"{path}/posts").select("publication", "slug", "post_date", "title")

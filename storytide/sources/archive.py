@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -33,21 +34,31 @@ class FolderPages:
         there = files.get_file_info(fs.FileSelector(root))
         return sorted(x.base_name.split("=", 1)[1] for x in there if x.type == fs.FileType.Directory and "=" in x.base_name)
 
-    def page(self, publication: str, offset: int, size: int) -> list[dict]:
+    def walk(self, publication: str, at: int) -> Iterator[list[tuple[dict, int]]]:
+        """Pages of posts, each with its place, from the place on. A place is the byte in the archive's files, one after the
+        other, where a line begins; one that lies within a line, as posts were put in front, stands for the next line."""
         from pyarrow import fs
 
         files, root = self._fs()
-        out, at = [], 0
-        there = sorted(x.path for x in files.get_file_info(fs.FileSelector(f"{root}/publication={publication}")) if x.base_name.endswith(".json"))
-        for path in there:
-            with files.open_input_stream(path) as f:
-                for line in f.read().decode().splitlines():
-                    if at >= offset:
-                        out.append(json.loads(line))
-                        if len(out) == size:
-                            return out
-                    at += 1
-        return out
+        found = files.get_file_info(fs.FileSelector(f"{root}/publication={publication}"))
+        begin, out = 0, []
+        for x in sorted((x for x in found if x.base_name.endswith(".json")), key=lambda x: x.path):
+            if begin + x.size > at:
+                with io.BufferedReader(files.open_input_file(x.path), 1 << 16) as f:
+                    place = begin
+                    if at > begin:
+                        f.seek(at - begin - 1)  # the line break before a line that begins there
+                        place = at - 1 + len(f.readline())
+                    for line in f:
+                        if line.strip():
+                            out.append((json.loads(line), place))
+                        if len(out) == PAGE:
+                            yield out
+                            out = []
+                        place += len(line)
+            begin += x.size
+        if out:
+            yield out
 
 
 def _key(post: dict) -> str:
@@ -81,17 +92,12 @@ class ArchiveReader(DataSourceStreamReader):
 
     def _walk(self, publication: str, state: dict) -> Iterator[tuple[dict, int]]:
         """The posts that the walk has left, each with its place, newest first."""
-        at = int(state["next"])
-        while True:
-            page = self.pages.page(publication, at, PAGE)
-            for k, post in enumerate(page):
+        for page in self.pages.walk(publication, int(state["next"])):
+            for post, at in page:
                 if _key(post) <= state["since"]:
                     return
                 if not state["last"] or _key(post) < state["last"]:
-                    yield post, at + k
-            if len(page) < PAGE:
-                return
-            at += PAGE
+                    yield post, at
 
     def _after(self, publication: str, state: dict) -> dict:
         """Where a batch from the state on ends."""
@@ -155,14 +161,20 @@ def archive_stream(spark: SparkSession, path: str, since: str = "", cap: int = 5
 
 
 def drain_polls(spark: SparkSession, stream: Callable[[], DataFrame], out: str, checkpoint: str, most: int = 10_000) -> int:
-    """Polls until a poll brings no batch; rows go to out/batch=<n>, which a batch that runs again replaces. Returns the
-    number of batches that were committed by now."""
-    done = -1
-    for _ in range(most):
-        before, q = done, stream().writeStream.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
-        ids = [p["batchId"] for p in q.recentProgress if p["numInputRows"]]
-        done = max([done, *ids])
-        if done == before:
-            break
-    return done + 1
+    """Polls, one batch each, until a poll brings no batch; rows go to out/batch=<n>, which a batch that runs again
+    replaces. Returns the number of batches that were committed by now. One query does up to `most` polls, as starting one
+    takes longer than a batch."""
+    done = []
+
+    def batch(df: DataFrame, k: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={k}")
+        done.append(k)
+        if len(done) > most:
+            raise RuntimeError(f"no end after {most} polls")
+
+    q = stream().writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return max(done, default=-1) + 1

@@ -167,3 +167,62 @@ def test_archive_is_read_on(spark, tmp_path):
     write_archive(f"{tmp_path}/a", posts)
     poll()
     assert ("two", "p78") in got() and len(got()) == 47
+
+
+def test_archive_pages_go_on_from_their_place(tmp_path):
+    """A page that is far down an archive is read from its place, not from the archive's begin."""
+    write_archive(f"{tmp_path}/a", {"one": [post(k, k % 300) for k in range(20_000)]})
+    pages, read = archive.FolderPages(f"file://{tmp_path}/a"), []
+    first = [x for page in pages.walk("one", 0) for x in page]
+    assert len(first) == 20_000 and [len(p) for p in pages.walk("one", 0)][:-1] == [archive.PAGE] * 1666
+
+    class Counted:
+        def __init__(self, f):
+            self.f = f
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def readable(self):
+            return True
+
+        def readinto(self, b):
+            n = self.f.readinto(b)
+            read.append(n)
+            return n
+
+    class Files:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def get_file_info(self, at):
+            return self.fs.get_file_info(at)
+
+        def open_input_file(self, path):
+            return Counted(self.fs.open_input_file(path))
+
+    own, root = pages._fs()
+    pages._fs = lambda: (Files(own), root)
+    for k in (0, 1, 9_999, 19_999):
+        read.clear()
+        assert next(pages.walk("one", first[k][1]))[0] == first[k]
+        assert sum(read) <= 1 << 17
+    more = next(pages.walk("one", first[5][1] + 3))  # posts in front have moved the lines
+    assert more[0] == first[6]
+
+
+def test_polls_are_drained_and_taken_up_again(spark, tmp_path):
+    posts = {"one": [post(k, k) for k in range(50)], "two": [post(k, 2) for k in range(5)]}
+    write_archive(f"{tmp_path}/a", posts)
+    stream = lambda: archive.archive_stream(spark, f"file://{tmp_path}/a", "2024-01-02T12:00:00Z", 15)
+    drain = lambda: archive.drain_polls(spark, stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck")
+    got = lambda: sorted((r.publication, r.slug) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    assert drain() == 4
+    want = [*(("one", f"p{k}") for k in range(2, 50)), *(("two", f"p{k}") for k in range(5))]
+    assert got() == sorted(want)
+    drain()
+    assert got() == sorted(want)
+    posts["one"].append(post(99, 60))
+    write_archive(f"{tmp_path}/a", posts)
+    assert drain() == 5
+    assert got() == sorted([*want, ("one", "p99")])
