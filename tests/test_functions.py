@@ -1,6 +1,8 @@
 """Expressions on hand-computed values."""
 
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +209,39 @@ def test_stored_sections(spark):
     for bad in (ok.replace('"qa"', '"other"'), ok.replace('"end":9', '"end":10'), ok.replace('"end":9', '"end":5'), ok.replace('"start":0', '"start":-1'), ok.replace('"end":5', '"end":5.5'), '{"transcriptSections":{"sections":[]}}', "{}", None):
         assert read(bad) is None
 
+
+
+def test_documents_of_one_day_are_counted_once(spark):
+    """Documents of one day come as counts, others as rows, null ids among them; windows count both."""
+    rng = random.Random(7)
+    rows = []
+    for doc in [*range(60), None]:
+        for _ in range(1 if doc is not None and doc < 50 else 4):
+            day, matched = rng.randrange(12), rng.random() < 0.6
+            rows.append((rng.choice("ab"), doc, datetime.date(2024, 1, 1 + day), rng.choice(["f", "g", None]), matched, matched or rng.random() < 0.5, rng.uniform(0, 120), f"p{rng.randrange(4)}", f"o{rng.randrange(3)}", rng.choice(["", "s1", "s2"]), [f"e{rng.randrange(5)}"]))
+    o = spark.createDataFrame(rows, "definition_id string, document_id long, date date, source_class string, matched boolean, raw_matched boolean, match_score double, publisher_id string, publisher_owner string, story_fingerprint string, entities array<string>")
+    got = narrative.document_days(o)
+    listed = {(r[0], r[1]) for r in got.several.collect()}
+    several = {k for k in {r[:2] for r in rows} if k[1] is None or len({r[2:4] for r in rows if r[:2] == k}) > 1}
+    assert listed == several
+    assert got.single.agg(F.sum("n")).first()[0] == len({r[:2] for r in rows} - several)
+    grid = spark.createDataFrame([(k, datetime.date(2024, 1, 1 + i), i) for k in "ab" for i in range(12)], "definition_id string, date date, idx int")
+    docs = lambda k, day, w, ok: len({r[1] for r in rows if r[0] == k and r[1] is not None and 0 <= (day - r[2]).days < w and ok(r)})
+    for w in (1, 5):
+        for r in narrative.window_breadth(o, grid, w).collect():
+            assert r.classified_documents == docs(r.definition_id, r.date, w, lambda x: True)
+            assert r.matched_documents == docs(r.definition_id, r.date, w, lambda x: x[4])
+            assert r.attention_matched_documents == docs(r.definition_id, r.date, w, lambda x: x[5])
+            assert r.publisher_breadth == len({x[7] for x in rows if x[0] == r.definition_id and x[4] and 0 <= (r.date - x[2]).days < w})
+        for r in narrative.pooled(o, grid, w).collect():
+            total = weights = attention = 0.0
+            for c in ("f", "g", None):
+                own = [x for x in rows if x[0] == r.definition_id and x[3] == c and 0 <= (r.date - x[2]).days < w]
+                n, hit = len({x[1] for x in own}), len({x[1] for x in own if x[4]})
+                best = {}
+                for x in own:
+                    if x[5]:
+                        best[x[1], x[2]] = max(best.get((x[1], x[2]), 0.0), min(x[6], 100.0) / 100)
+                if n and c is not None:
+                    total, weights, attention = total + 100 * hit / n * math.log1p(n), weights + math.log1p(n), attention + 100 * sum(best.values()) / n * math.log1p(n)
+            assert abs(r.density - total / weights) < 1e-9 and abs(r.attention_density - attention / weights) < 1e-9
