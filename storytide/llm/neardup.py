@@ -25,7 +25,7 @@ is what they are copies of. A group left with several components goes on:
   Members for which it is not form a group with those members that are small
   enough to be linked to one of them.
 
-The new groups lack the pivot and begin again. No linked pair that shares a band
+The new groups lack the pivot and begin again. Groups of one pivot are one group. No linked pair that shares a band
 is lost, and a member meets one pivot, or few others, in a group.
 """
 
@@ -200,6 +200,14 @@ def extend(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
     return common.written(moved.unionByName(fresh), "labels")
 
 
+def merged(left: DataFrame) -> DataFrame:
+    """key, m, label: the groups of one pivot as one group, in which each member stands once. What copies have in common makes
+    most of their groups have the same pivot, and what a member has and the pivot lacks is then listed once, not once a group."""
+    pivots = left.groupBy("key").agg(F.min("m").alias("p"))
+    rows = left.join(pivots.select("key", F.xxhash64("p.node").alias("to")), "key")
+    return common.written(rows.select(F.col("to").alias("key"), "m", "label").distinct(), "groups")
+
+
 def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: float) -> DataFrame:
     """key, m, label: the groups that the members of the given ones fall into by what their pivot lacks.
 
@@ -257,6 +265,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
     found = labels = rest = None
     few = SMALL
     while not left.isEmpty() or rest is not None:
+        left = merged(left)
         groups = left.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("size"), F.min("m.n").alias("low"))
         groups = common.written(groups.select("key", F.col("p.node").alias("a"), "size", "low"), "pivots")
         against = left.join(groups, "key").where("m.node <> a").groupBy("a", F.col("m.node").alias("b")).agg(F.max("size").alias("size"))

@@ -192,3 +192,13 @@ def test_registers_estimate_probability_jaccard():
     assert abs((a == b).mean() - want) < 0.03
     one, drawn = neardup.registers(np.zeros(50_000, np.int64), rng.integers(1, 2**63, 50_000, dtype=np.uint64), np.ones(50_000), 1, 64)
     assert drawn < 52_000  # early termination
+
+
+def test_groups_of_one_pivot_are_merged(spark):
+    """A member that meets its pivot in several groups stands once; groups of other pivots stay apart."""
+    rows = [(key, (w, 9, node), node) for key, own in ((1, "abc"), (2, "abd"), (3, "ab"), (4, "cd")) for node, w in zip("abcd", (-9, -5, -4, -3), strict=True) if node in own]
+    left = spark.createDataFrame(rows, "key long, m struct<w:long,n:int,node:string>, label string")
+    groups = {}
+    for r in neardup.merged(left).collect():
+        groups.setdefault(r.key, []).append(r.m.node)
+    assert sorted("".join(sorted(g)) for g in groups.values()) == ["abcd", "cd"]
