@@ -245,3 +245,15 @@ def test_documents_of_one_day_are_counted_once(spark):
                 if n and c is not None:
                     total, weights, attention = total + 100 * hit / n * math.log1p(n), weights + math.log1p(n), attention + 100 * sum(best.values()) / n * math.log1p(n)
             assert abs(r.density - total / weights) < 1e-9 and abs(r.attention_density - attention / weights) < 1e-9
+
+
+def test_nested_expressions_are_computed_once(spark):
+    from storytide.sources import readers
+
+    df = spark.createDataFrame([('{"k":1}', "Our BUSINESS")], "j string, t string")
+    plan = lambda x: df.select(x.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(readers.filing_part(F.col("t"))).count("lower(") == 1
+    x = F.col("j")
+    for k in range(4):
+        x = jsondoc.with_path(x, [f"p{k}"], F.lit("1"))
+    assert plan(x).count("from_json(") + plan(x).lower().count("jsontostructs(") <= 4
