@@ -98,11 +98,34 @@ def store(changes: DataFrame) -> DataFrame:
     return first_per(changes, ["stored_id"], rank.asc(), F.asc("at"), F.asc("hash"))
 
 
+def _files(spark: SparkSession, path: str) -> list:
+    """The data files of a folder, as Hadoop names them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return [f.getPath() for f in found if not f.getPath().getName().startswith(("_", "."))]
+
+
 def written_in_order(df: DataFrame, path: str, part: str, parts: int) -> None:
-    """Writes the rows as files that a stream reads one part after the other: parts 0 .. parts - 1 of the column."""
+    """Writes the rows as files that a stream reads one part after the other: parts 0 .. parts - 1 of the column.
+
+    Each part has a folder and, with empty files for what its tasks left out, as many files as df has partitions, so that
+    a stream knows a part by their number and no task reads or writes a part alone.
+    """
+    spark, n = df.sparkSession, df.rdd.getNumPartitions()
     for k in range(parts):
-        df.where(F.col(part) == k).drop(part).coalesce(1).write.mode("append").parquet(path)
+        rows, to = df.where(F.col(part) == k).drop(part).coalesce(n), f"{path}/{k}"
+        rows.write.parquet(to)
+        there = _files(spark, to)
+        if len(there) < n:
+            one = f"{path}-empty-{k}"
+            spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(one)
+            empty, conf = _files(spark, one)[0], spark._jsc.hadoopConfiguration()
+            files = empty.getFileSystem(conf)
+            for i in range(n - len(there)):
+                copy = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/part-empty-{i:05d}.parquet")
+                spark._jvm.org.apache.hadoop.fs.FileUtil.copy(files, empty, copy.getFileSystem(conf), copy, False, conf)
 
 
 def arrivals_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A stream of what `written_in_order` wrote, a batch a part."""
+    return spark.readStream.schema(spark.read.parquet(f"{path}/0").schema).option("maxFilesPerTrigger", len(_files(spark, f"{path}/0"))).parquet(f"{path}/*")
