@@ -24,8 +24,18 @@ class BurstPolicy:
     results: int = 60
 
 
+#: Documents a task takes when terms are listed.
+DOCUMENTS_A_TASK = 20_000
+
+
 def burst_terms(documents: DataFrame) -> DataFrame:
-    """documents x term, kind: title n-grams, entities and labels; within a document a later kind wins (n-gram, entity, label)."""
+    """documents x term, kind: title n-grams, entities and labels; within a document a later kind wins (n-gram, entity, label).
+
+    Documents are dealt out by id before their terms are listed, so many to a task: a small file holds a great many short
+    titles, and what counts by document and term needs no further exchange.
+    """
+    slim = documents.select("document_id", "date", "story_fingerprint", "publisher_owner", "title", "entities", "theme_labels")
+    documents = slim.repartition(max(1, -(-documents.count() // DOCUMENTS_A_TASK)), "document_id")
     entity = F.filter(F.transform("entities", normalise_term), lambda e: (F.length(e) >= 3) & ~e.isin(lists.GENERIC_ENTITIES) & ~e.isin(lists.TITLE_STOPWORDS))
     label = F.filter(F.transform("theme_labels", normalise_term), lambda e: F.length(e) >= 4)
     tag = lambda a, kind: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
