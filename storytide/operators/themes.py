@@ -33,20 +33,27 @@ def promotes(z: Column, percentile: Column, evidence: Column, policy: TrendPolic
     return (z >= policy.least_z) & (percentile >= policy.least_percentile) & (evidence >= policy.least_evidence)
 
 
-def contributions(signals: DataFrame, themes: DataFrame) -> DataFrame:
+def contributions(signals: DataFrame, themes: DataFrame, between: tuple[str, str] | None = None) -> DataFrame:
     """theme_id, trend_level and the signal's columns: a row for the market theme and one for the sector theme, if any.
 
     A signal whose two themes are equal counts twice. Themes that are not listed drop out. A theme's level
     is that of its non-sector rows where it has any; between them, that of the smallest document, then signal.
     The signals are read once, and their rows written, as levels and all that follows read them several times.
+    between: a first and a last day; then the signals are read twice, for the levels, which all days make, and for the rows
+    of these days, which alone are written.
     """
     keep = ["signal_id", "document_id", "date", "source_class", "entities", "score"]
     theme = lambda t, level: F.struct(t.alias("theme_id"), level.alias("level"))
     market = theme(F.coalesce("canonical_theme_id", "theme_id"), F.when(F.col("canonical_theme_id").isNull(), "unmapped").otherwise("market"))
     sector = F.when(F.col("canonical_subtheme_id").isNotNull(), theme(F.col("canonical_subtheme_id"), F.lit("sector")))
     rows = signals.select(F.explode(F.array_compact(F.array(market, sector))).alias("x"), *keep).select("x.*", *keep)
-    rows = written(rows.join(themes.select("theme_id"), "theme_id", "left_semi"), "contributions")
+    rows = rows.join(themes.select("theme_id"), "theme_id", "left_semi")
+    if between is None:
+        rows = written(rows, "contributions")
     level = rows.groupBy("theme_id").agg(F.min_by("level", F.struct((F.col("level") == "sector").alias("s"), "document_id", "signal_id")).alias("trend_level"))
+    if between is not None:
+        rows = rows.where(F.col("date").between(*(F.to_date(F.lit(d)) for d in between)))
+        return written(rows.drop("level").join(level, "theme_id"), "contributions")
     return rows.drop("level").join(level, "theme_id")
 
 
@@ -80,6 +87,11 @@ def breadth_members(rows: DataFrame) -> DataFrame:
     return rows.select("theme_id", "date", F.explode(all_).alias("x")).select("theme_id", "date", "x.kind", "x.m")
 
 
+def lookback(spark, as_of: str, policy: TrendPolicy = TrendPolicy()) -> tuple[str, str]:
+    """The first and the last day of the contributions that window scores rest on."""
+    return spark.sql(f"SELECT CAST(date_sub(date'{as_of}', {policy.lookback_days - 1}) AS STRING)").first()[0], as_of
+
+
 def window_scores(rows: DataFrame, as_of: str, policy: TrendPolicy = TrendPolicy(), suppress: bool = True) -> DataFrame:
     """Per theme, stored day and window: the window's intensity against all earlier windows of the lookback.
 

@@ -15,8 +15,8 @@ AS_OF = "1998-06-30"
 POLICY = themes.TrendPolicy()
 
 
-def _rows(spark, d):
-    return themes.contributions(views.signals(spark, d), views.themes(spark, d))
+def _rows(spark, d, between=None):
+    return themes.contributions(views.signals(spark, d), views.themes(spark, d), between)
 
 
 @query("WITH " + views.CONTRIBUTIONS_SQL + " SELECT theme_id, trend_level, count(*) AS n, count(DISTINCT document_id) AS documents, floor(sum(score) * 1000 + 0.5) / 1000.0 AS score FROM contributions GROUP BY 1, 2")
@@ -98,7 +98,7 @@ def _scores_sql(windows=(7, 30), suppress=True) -> str:
 
 def scores(spark, d, window: int | None = None):
     """The published scores of all windows, or of one, which all reports read."""
-    x = published(spark, [f"{d}/lineitem.parquet", f"{d}/part.parquet"], "theme-scores", lambda: themes.window_scores(_rows(spark, d), AS_OF, POLICY))
+    x = published(spark, [f"{d}/lineitem.parquet", f"{d}/part.parquet"], "theme-scores", lambda: themes.window_scores(_rows(spark, d, themes.lookback(spark, AS_OF, POLICY)), AS_OF, POLICY))
     return x if window is None else x.where(F.col("trend_window") == f"{window}d")
 
 
@@ -109,7 +109,7 @@ def theme_trend_scores(spark, d):
 
 @query(_scores_sql(suppress=False) + f" SELECT trend_window, count(*) AS n, count(*) FILTER (intensity <> 0 OR z_score <> 0 OR evidence_count <> 0 OR date = DATE '{AS_OF}') AS kept FROM kept GROUP BY 1")
 def no_information_suppression(spark, d):
-    x = themes.window_scores(_rows(spark, d), AS_OF, POLICY, suppress=False)
+    x = themes.window_scores(_rows(spark, d, themes.lookback(spark, AS_OF, POLICY)), AS_OF, POLICY, suppress=False)
     kept = themes.informative(x, AS_OF)
     return x.groupBy("trend_window").agg(F.count("*").alias("n")).join(kept.groupBy("trend_window").agg(F.count("*").alias("kept")), "trend_window")
 
