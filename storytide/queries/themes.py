@@ -13,6 +13,8 @@ from .registry import query, r
 
 AS_OF = "1998-06-30"
 POLICY = themes.TrendPolicy()
+#: Signals that a task takes when the documents of all contributions are counted.
+SIGNALS_A_TASK = 250_000
 
 
 def _rows(spark, d, between=None):
@@ -21,7 +23,10 @@ def _rows(spark, d, between=None):
 
 @query("WITH " + views.CONTRIBUTIONS_SQL + " SELECT theme_id, trend_level, count(*) AS n, count(DISTINCT document_id) AS documents, floor(sum(score) * 1000 + 0.5) / 1000.0 AS score FROM contributions GROUP BY 1, 2")
 def union_all_contributions(spark, d):
-    return _rows(spark, d).groupBy("theme_id", "trend_level").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"), half_up(F.sum("score"), 3).alias("score"))
+    # dealt out by document, so many signals to a task: documents are counted there, in tables of bounded size, and what is exchanged by theme is counts
+    rows = _rows(spark, d).select("theme_id", "trend_level", "document_id", "score")
+    tasks = max(1, -(-views.table(spark, d, "lineitem").count() // SIGNALS_A_TASK))
+    return rows.repartition(tasks, "document_id").groupBy("theme_id", "trend_level").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("documents"), half_up(F.sum("score"), 3).alias("score"))
 
 
 _BOOST = "CASE WHEN base = 0 THEN 0.0 ELSE base * (1 + least(greatest(classes - 1, 0) * 0.05, 0.15) + least(greatest(entities - 1, 0) * 0.02, 0.15)) END"
