@@ -47,6 +47,11 @@ BANDS, ROWS = 24, 5
 SMALL, MORE = 16, 8
 #: Members of one pivot that one task compares with it.
 PER_TASK = 256
+#: Rows of one task, where tables of a known size are written: what rounds leave over is small, and hundreds of tasks for
+#: it take longer than the work.
+ROWS_PER_TASK = 20_000
+#: Texts of one task, for the same.
+TEXTS_PER_TASK = 4_000
 #: Characters of texts whose registers are filled together.
 BLOCK = 1_000_000
 _MULT = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,12 +134,22 @@ def signatures(texts: list[str], n_bands: int = BANDS, rows: int = ROWS, width:
     return keys, sizes
 
 
+def _tasks(df: DataFrame, rows: int, each: int = ROWS_PER_TASK) -> int:
+    """How many tasks so many rows take: all cores are used, and none has much more than `each` rows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def _in(df: DataFrame, tasks: int | None) -> DataFrame:
+    """df in so many tasks at most; partitions that meet in a task are read one after the other."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
 def _node(text):
     """The node of a text: its MD5 as 16 bytes."""
     return F.unhex(F.md5(text))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, tasks: int | None = None) -> DataFrame:
     """a, b, na, nb, both (sizes of the whole shingle sets and of what they share), own (what b has and a lacks,
     sorted; null if not asked for) of the pairs (a, b, size, ask). sets: node, items (sorted, 32 bits each).
 
@@ -152,32 +167,33 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], ["a", "b", "na", "nb", "both", "own"])
 
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / PER_TASK))
-    withb = pairs.withColumn("salt", salt).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    dealt = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    met = withb.join(dealt, ["a", "salt"]).select("a", "b", "x", "y", "ask")
+    withb = _in(pairs.withColumn("salt", salt).join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"), tasks)
+    dealt = _in(pairs.select("a", salt.alias("salt")).distinct(), tasks).join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    met = _in(withb.join(_in(dealt, tasks), ["a", "salt"]).select("a", "b", "x", "y", "ask"), tasks)
     return common.written(common.map_arrow(met, run, "a binary, b binary, na int, nb int, both int, own array<int>"), "near-pairs")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """node, label: the smallest node of its connected component, for every node of the edges (a, b).
 
     Each component's root takes the smallest root next to it as its parent, chains of parents are halved
     until they are single steps, and edges are carried to the roots; a few rounds leave no edge.
     """
-    e = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    labels = common.written(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
+    written = lambda df, name: common.written(_in(df, tasks), name)
+    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = written(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
     while not e.isEmpty():
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = common.written(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a").select(F.col("a").alias("root"), "p"), "parents")
+        parent = written(both.groupBy("a").agg(F.min("b").alias("p")).where("p < a").select(F.col("a").alias("root"), "p"), "parents")
         while True:
             up = parent.select(F.col("root").alias("p"), F.col("p").alias("q"))
             if parent.join(up, "p", "left_semi").isEmpty():
                 break
-            parent = common.written(parent.join(up, "p", "left").select("root", F.coalesce("q", "p").alias("p")), "parents")
-        labels = common.written(labels.join(parent.withColumnRenamed("root", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+            parent = written(parent.join(up, "p", "left").select("root", F.coalesce("q", "p").alias("p")), "parents")
+        labels = written(labels.join(parent.withColumnRenamed("root", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
         for side in ("a", "b"):
             e = e.join(parent.select(F.col("root").alias(side), F.col("p").alias("to")), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-        e = common.written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        e = written(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     return labels
 
 
@@ -186,30 +202,30 @@ def _labelled(df: DataFrame, labels: DataFrame, column: str, to: str) -> DataFra
     return df.join(own, column, "left").withColumn(to, F.coalesce(to, column))
 
 
-def extend(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+def extend(labels: DataFrame | None, pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     """The labels once the linked pairs (a, b) are added: only what joins different components is worked on."""
     if labels is None:
-        return components(pairs)
+        return components(pairs, tasks)
     e = _labelled(_labelled(pairs.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    e = common.written(e, "edges")
+    e = common.written(_in(e, tasks), "edges")
     if e.isEmpty():
         return labels
-    more = components(e).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    more = components(e, tasks).select(F.col("node").alias("label"), F.col("label").alias("to"))
     moved = labels.join(more, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = more.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
-    return common.written(moved.unionByName(fresh), "labels")
+    return common.written(moved.unionByName(_in(fresh, tasks)), "labels")
 
 
-def merged(left: DataFrame) -> DataFrame:
+def merged(left: DataFrame, tasks: int | None = None) -> DataFrame:
     """key, m, label: the groups of one pivot as one group, in which each member stands once. What copies have in common makes
     most of their groups have the same pivot, and what a member has and the pivot lacks is then listed once, not once a group."""
     pivots = left.groupBy("key").agg(F.min("m").alias("p"))
-    rows = left.join(pivots.select("key", F.xxhash64("p.node").alias("to")), "key")
-    return common.written(rows.select(F.col("to").alias("key"), "m", "label").distinct(), "groups")
+    rows = left.join(_in(pivots.select("key", F.xxhash64("p.node").alias("to")), tasks), "key")
+    return common.written(_in(_in(rows.select(F.col("to").alias("key"), "m", "label"), tasks).distinct(), tasks), "groups")
 
 
-def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: float) -> DataFrame:
-    """key, m, label: the groups that the members of the given ones fall into by what their pivot lacks.
+def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: float, tasks: int | None = None) -> DataFrame:
+    """key, m, label: the groups that the members of the given ones fall into by what their pivot lacks, as `merged` has them.
 
     left: key, m, label; groups: key, a (the pivot), low; sims: what `verify` found of the pivots.
     """
@@ -217,19 +233,19 @@ def refined(left: DataFrame, groups: DataFrame, sims: DataFrame, similarity: flo
     of = sims.where("own is not null").select("a", "b", "both", "own", (F.col("both") >= c * (F.col("na") + F.col("nb")) - 1e-6).alias("linked"))
     rows = left.join(groups, "key").where("m.node <> a").withColumn("b", F.col("m.node")).join(of, ["a", "b"])
     need = F.ceil(c * (F.col("m.n") + F.col("low")) - F.col("both") - 1e-6)
-    rows = common.written(rows.select("key", "m", "label", "both", "own", "linked", need.alias("need")), "members")
+    rows = common.written(_in(rows.select("key", "m", "label", "both", "own", "linked", need.alias("need")), tasks), "members")
     # shingles of one component only bring nothing together: they come first in the order that what is left out is last in
     each = rows.select("key", "m", "label", F.greatest(F.lit(0), F.col("need") - 1).alias("spare"), F.explode("own").alias("s"))
     met = each.groupBy("key", "s").agg(F.count("*").alias("times"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key", "s", "times")
-    shared = each.join(met, ["key", "s"]).groupBy("key", "m", "label", "spare").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("own"))
+    shared = each.join(_in(met, tasks), ["key", "s"]).groupBy("key", "m", "label", "spare").agg(F.array_sort(F.collect_list(F.struct("times", "s"))).alias("own"))
     some = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - F.col("spare")).cast("int"))
     split = shared.select(F.explode(some).alias("x"), "key", "m", "label").select(F.xxhash64("key", "x.s").alias("key"), "m", "label")
     loose = rows.where("not linked and need <= 0")
     caps = loose.groupBy("key").agg(F.max(F.col("both") / c - F.col("m.n")).alias("cap"))
     small = rows.join(caps, "key").where(((~F.col("linked")) & (F.col("need") <= 0)) | (F.col("m.n") <= F.col("cap") + 1e-6))
-    split = common.written(split.unionByName(small.select(F.xxhash64("key", F.lit("small")).alias("key"), "m", "label")), "groups")
+    split = common.written(_in(split, tasks).unionByName(_in(small.select(F.xxhash64("key", F.lit("small")).alias("key"), "m", "label"), tasks)), "groups")
     several = split.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    return common.written(split.join(several, "key", "left_semi"), "groups")
+    return merged(split.join(_in(several, tasks), "key", "left_semi"), tasks)
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,12 +262,14 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["id", "node", "bands", "n"])
 
     signed = common.written(common.map_arrow(source.select("id", "text", "node"), sign, "id long, node binary, bands array<long>, n int"), "signatures")
-    texts = signed.where("node is not null and bands is not null").groupBy("node").agg(F.min(F.struct("bands", "n")).alias("s"))
+    count = signed.count()
+    tasks, many = _tasks(signed, count), _tasks(signed, count * n_bands)
+    texts = _in(signed.where("node is not null and bands is not null").groupBy("node").agg(F.min(F.struct("bands", "n")).alias("s")), many)
     keyed = texts.select("node", F.col("s.n").alias("n"), F.explode("s.bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("mates")).where("mates > 1")
-    mated = common.written(keyed.join(shared, "key"), "buckets")
-    weight = mated.groupBy("node").agg(F.negate(F.sum("mates")).alias("w"))
-    left = common.written(mated.join(weight, "node").select("key", F.struct("w", "n", "node").alias("m"), F.col("node").alias("label")), "groups")
+    mated = common.written(_in(keyed.join(shared, "key"), many), "buckets")
+    weight = _in(mated.groupBy("node").agg(F.negate(F.sum("mates")).alias("w")), tasks)
+    left = merged(common.written(_in(mated.join(weight, "node").select("key", F.struct("w", "n", "node").alias("m"), F.col("node").alias("label")), many), "groups"), many)
 
     def pack(b):
         owner, items, _ = shingles(common.texts_of(b.column(1)), width)
@@ -259,41 +277,44 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n_bands: int = BANDS,
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([small[i:j].tobytes() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], ["node", "items"])
 
     whole = source.where("node is not null").select("node", "text").join(weight.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = common.written(common.map_arrow(whole, pack, "node binary, items binary"), "shingle-sets")
+    sets = common.written(common.map_arrow(_in(whole, _tasks(signed, count, TEXTS_PER_TASK)), pack, "node binary, items binary"), "shingle-sets")
 
     c = similarity / (1 + similarity)
     found = labels = rest = None
-    few = SMALL
-    while not left.isEmpty() or rest is not None:
-        left = merged(left)
+    few, alike = SMALL, 0
+    while (members := left.count()) or rest is not None:
+        tasks = _tasks(left, members + alike)
         groups = left.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("size"), F.min("m.n").alias("low"))
-        groups = common.written(groups.select("key", F.col("p.node").alias("a"), "size", "low"), "pivots")
-        against = left.join(groups, "key").where("m.node <> a").groupBy("a", F.col("m.node").alias("b")).agg(F.max("size").alias("size"))
-        pairs = against.withColumn("ask", F.lit(True))
+        groups = common.written(_in(groups.select("key", F.col("p.node").alias("a"), "size", "low"), tasks), "pivots")
+        # a group has a pivot of its own, so that no pair comes twice
+        pairs = left.join(groups, "key").where("m.node <> a").select("a", F.col("m.node").alias("b"), "size", F.lit(True).alias("ask"))
         if rest is not None:
             pairs = pairs.unionByName(rest)
-        sims = verify(pairs, sets)
+        sims = verify(pairs, sets, _tasks(left, members + alike, TEXTS_PER_TASK))
         linked = sims.where(F.col("both") >= c * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
         found = linked if found is None else found.unionByName(linked)
-        labels = extend(labels, linked)
+        labels = extend(labels, linked, tasks)
         now = _labelled(left.select("key", "m", F.col("m.node").alias("node")), labels, "node", "label")
         several = now.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        open_ = common.written(now.join(several, "key", "left_semi").select("key", "m", "label"), "groups")
-        if open_.isEmpty():
+        open_ = common.written(_in(now.join(_in(several, tasks), "key", "left_semi").select("key", "m", "label"), tasks), "groups")
+        unsettled = open_.count()
+        if not unsettled:
             break
         # the pivot has met all of its group
+        tasks = _tasks(left, unsettled)
         others = open_.join(groups.where(F.col("size") <= few), "key").where("m.node <> a")
         side = lambda k: others.select("key", F.col("m.node").alias(k), F.col("label").alias(f"l{k}"), F.col("m.n").alias(f"n{k}"))
         like = (F.col("na") >= similarity * F.col("nb") - 1e-6) & (F.col("nb") >= similarity * F.col("na") - 1e-6)
         rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & like)
-        rest = common.written(rest.select("a", "b", F.lit(1).cast("long").alias("size"), F.lit(False).alias("ask")).distinct(), "candidates")
-        left = refined(open_, groups.where(F.col("size") > few), sims, similarity)
+        rest = common.written(_in(rest.select("a", "b", F.lit(1).cast("long").alias("size"), F.lit(False).alias("ask")).distinct(), tasks), "candidates")
+        left = refined(open_, groups.where(F.col("size") > few), sims, similarity, tasks)
         few *= MORE
-        rest = None if rest.isEmpty() else rest
+        alike = rest.count()
+        rest = rest if alike else None
         needed = left.select("m.node")
         if rest is not None:
             needed = needed.union(rest.select("a")).union(rest.select("b"))
-        sets = common.written(sets.join(needed.distinct(), "node", "left_semi"), "shingle-sets")
+        sets = common.written(_in(sets.join(needed.distinct(), "node", "left_semi"), _tasks(left, unsettled, TEXTS_PER_TASK)), "shingle-sets")
     if found is None:
         nodes = weight.select("node")
         empty = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
@@ -310,11 +331,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", similarity: float = SIMI
     unless the whole class has none; an empty table gives no rows.
     """
     rows, _, labels = links(docs.select(F.col(id_column).cast("long").alias("id"), "text"), similarity)
+    tasks = _tasks(rows, rows.count())
     own = rows.where("node is not null")
-    per_node = own.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"))
-    labelled = per_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per_node = _in(own.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n")), tasks)
+    labelled = _in(per_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), tasks)
     per_class = labelled.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = common.written(labelled.select("node", "label").join(per_class, "label").select("node", "class_id", "class_size"), "classes")
+    of_node = common.written(_in(labelled.select("node", "label").join(_in(per_class, tasks), "label").select("node", "class_id", "class_size"), tasks), "classes")
     found = own.join(of_node, "node").select("id", "class_id", "class_size")
     alone = rows.where("node is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(alone).withColumnRenamed("id", id_column)

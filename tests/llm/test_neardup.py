@@ -3,10 +3,11 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 
-from storytide.llm import neardup
+from storytide.llm import common, neardup
 
 from .frames import none, odd
 
@@ -202,3 +203,29 @@ def test_groups_of_one_pivot_are_merged(spark):
     for r in neardup.merged(left).collect():
         groups.setdefault(r.key, []).append(r.m.node)
     assert sorted("".join(sorted(g)) for g in groups.values()) == ["abcd", "cd"]
+
+
+def test_small_tables_take_few_tasks(spark, monkeypatch):
+    """What rounds write goes by rows: with hundreds of shuffle partitions a few rows are no hundreds of tasks."""
+    files = {}
+
+    def written(df, name):
+        out = common.written(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardup, "common", SimpleNamespace(written=written, map_arrow=common.map_arrow, texts_of=common.texts_of))
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = odd(spark, group_of_copies()[:60]).selectExpr("doc_id AS id", "text")
+        neardup.links(docs, n_bands=6, rows=1)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert {"buckets", "groups", "pivots", "near-pairs", "shingle-sets"} <= set(files)
+    # a union has the files of both of its sides
+    assert {k: n for k, n in files.items() if k != "signatures" and n > 2 * cores} == {}
