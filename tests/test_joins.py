@@ -240,3 +240,19 @@ def test_contributions_are_counted_by_many_tasks(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "document_id" in line]
     assert n > 1 and len(dealt) == 1 and f", {n}), REPARTITION_BY_NUM" in dealt[0]
+
+
+def test_few_candidates_of_few_words(spark):
+    """Sets of few words all meet on rare ones; pairs that share little else are no candidates, and none that do are lost."""
+    rng = random.Random(4)
+    sets = [(k, sorted(rng.sample([f"w{i}" for i in range(200)], 20))) for k in range(300)]
+    sets += [(1000 + k, sorted({*w[k % 7 :], f"x{k}"})) for k, w in sets[:40]]
+    sets += [(2000 + k, sorted({f"y{i}" for i in range(700)} - {f"y{i * (k + 2)}" for i in range(200)})) for k in range(4)]  # more words than bits
+    df = spark.createDataFrame(sets, "id long, w array<string>")
+    want = {(a, b) for a, u in sets for b, v in sets if a < b and len({*u} & {*v}) >= 0.5 * len({*u} | {*v})}
+    assert len(want) > 40
+    assert {(r.a, r.b) for r in setjoin.jaccard_pairs(df, df, 0.5, one_way=True).collect()} == want
+    assert setjoin.jaccard_candidates(df, df, 0.5, one_way=True).count() <= 2 * len(want)
+    most = {(a, b) for a, u in sets for b, v in sets if len({*u} & {*v}) >= max(3, 0.5 * min(len(u), len(v)))}
+    assert {(r.a, r.b) for r in setjoin.overlap_pairs(df, df, 0.5).collect()} == most
+    assert setjoin.overlap_candidates(df, df, 0.5, 3).count() <= 2 * len(most)
