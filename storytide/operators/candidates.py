@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.address import blocked_source
 from ..functions.similarity import attachment_floor, collision_floor
 from ..functions.text import tokens
-from .relational import first_per
+from ..session import written
+from .relational import first_per, top_per
 from .setjoin import distinct_sets, jaccard_pairs, overlap_pairs
 
 
@@ -90,27 +93,84 @@ def promotable(evidence: DataFrame, as_of: str, definition_documents: DataFrame,
     return out.join(evidence_collisions(evidence, definition_documents).select("candidate_id").distinct(), "candidate_id", "left_anti")
 
 
+#: A candidate with more rows than this is large; the shares by which a large one's rows are counted off.
+LARGE, SHARES = 50_000, 64
+_KEYS = ("snippet_key", "title_key", "near_key")
+
+
+def _contenders(evidence: DataFrame, most: int, order: Sequence[Column]) -> DataFrame:
+    """The evidence without rows that can't be selected, whatever else there is: for ten selected ones at most 27 730 rows
+    of a candidate are left, and no task orders all of them.
+
+    A row is left out if enough rows that share keys with it stand before it. Suppose it were selected. Then at most
+    m = `most` - 1 rows are by then, none with a key of its, so that rows with a key of its were all rejected for other
+    keys. After a row of its three keys that can't be. Of rows that share two keys with it and have no third in common, the
+    selected ones reject at most m; of rows that share one key with it and no other with each other, at most 2 m. As m + 1 of
+    each pair are left, each of those meets at most 2 m others, so that 2 m (2 m + 1) + 1 of one key hold 2 m + 1 that don't
+    meet. Of rows that share no key with each other, 3 m at most are selected or rejected, and a row meets at most
+    3 (one - 1) others.
+    """
+    m = most - 1
+    one = 2 * m * (2 * m + 1) + 1
+    all_ = 3 * m * (3 * (one - 1) + 1) + 1
+    own = [f"__{c}" for c in _KEYS]
+    alone = lambda c: F.struct(c, F.when(F.col(c).isNull(), F.monotonically_increasing_id()))  # noqa: E731 - a missing key is equal to no other
+    rows = evidence.withColumns({o: alone(c) for o, c in zip(own, _KEYS, strict=True)})
+    for n, k in ((3, 1), (2, most), (1, one)):
+        for keys in combinations(own, n):
+            rows = top_per(rows, ["candidate_id", *keys], k, *order)
+    rows = rows.withColumn("__share", F.pmod(F.xxhash64("document_id", *own), F.lit(SHARES)))
+    return top_per(top_per(rows, ["candidate_id", "__share"], all_, *order), ["candidate_id"], all_, *order).drop(*own, "__share")
+
+
 def selected_evidence(evidence: DataFrame, most: int = 10) -> DataFrame:
     """Per candidate, by score, date and id: evidence whose snippet, title and near-duplicate key are all unseen, at most `most`.
 
-    A candidate's evidence is small (its documents); the greedy choice runs in one task per candidate.
+    Rows come sorted by candidate, and the greedy choice is made for all candidates of an Arrow batch at once; what is
+    selected of its last candidate stands before the next batch. Large candidates are thinned out first.
     """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: tuple[set, set, set] = (set(), set(), set())
-        rows = []
-        pdf = pdf.sort_values(["score", "published", "document_id"], ascending=[False, False, True])
-        for i, r in enumerate(pdf.itertuples()):
-            keys = (r.snippet_key, r.title_key, r.near_key)
-            if len(rows) < most and not any(k and k in s for k, s in zip(keys, seen, strict=True)):
-                rows.append(i)
-                for k, s in zip(keys, seen, strict=True):
-                    s.add(k)
-        out = pdf.iloc[rows]
-        return out.assign(rank=range(1, len(out) + 1))[["candidate_id", "document_id", "score", "rank"]]
-
-    slim = evidence.select("candidate_id", "document_id", "score", "published", "snippet_key", "title_key", "near_key")
-    return slim.groupBy("candidate_id").applyInPandas(choose, f"candidate_id {evidence.schema['candidate_id'].dataType.simpleString()}, document_id {evidence.schema['document_id'].dataType.simpleString()}, score double, rank int")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = lambda t, c: t[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+        def told(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            rank = np.arange(len(group)) - np.searchsorted(group, group) + 1
+            yield from t.select(["candidate_id", "document_id", "score"]).append_column("rank", pa.array(rank, pa.int32())).to_batches()
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            if not t.num_rows:
+                continue
+            candidate, keys = codes(t, "candidate_id"), [codes(t, c) for c in _KEYS]
+            group = np.cumsum(np.diff(candidate, prepend=candidate[0]) != 0)
+            left, picked = np.arange(t.num_rows), []
+            for _ in range(most):
+                first = np.diff(group[left], prepend=-1) != 0
+                heads = left[first]
+                picked.append(heads)
+                head = heads[np.cumsum(first) - 1]  # of each row that is left, the row selected last
+                ok = ~first
+                for k in keys:
+                    ok &= (k[left] < 0) | (k[left] != k[head])
+                left = left[ok]
+                if not len(left):
+                    break
+            pick = np.sort(np.concatenate(picked))
+            ended = group[pick] < group[-1]
+            yield from told(t.take(pick[ended]), group[pick[ended]])
+            held = t.take(pick[~ended])
+        if held is not None:
+            yield from told(held, np.zeros(held.num_rows, int))
+
+    order = [F.desc("score"), F.desc("published"), F.asc("document_id"), *map(F.asc, _KEYS)]
+    slim = evidence.select("candidate_id", "document_id", F.col("score").cast("double").alias("score"), "published", *[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in _KEYS])
+    large = written(slim.groupBy("candidate_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("candidate_id"), "large")
+    if not large.isEmpty():
+        large = F.broadcast(large)  # one in `LARGE` rows at most
+        slim = slim.join(large, "candidate_id", "left_anti").unionByName(_contenders(slim.join(large, "candidate_id", "left_semi"), most, order))
+    ordered = slim.repartition("candidate_id").sortWithinPartitions("candidate_id", *order).drop("published")
+    return ordered.mapInArrow(choose, f"candidate_id {slim.schema['candidate_id'].dataType.simpleString()}, document_id {slim.schema['document_id'].dataType.simpleString()}, score double, rank int")
 
 
 #: What a promotion never goes below, and the days that its evidence never goes beyond, fixed values.

@@ -137,6 +137,49 @@ def test_selected_evidence(spark):
     assert [r["document_id"] for r in candidates.selected_evidence(e).orderBy("rank").collect()] == [1, 3]
 
 
+def _selected_by_loop(rows, most):
+    out = []
+    for c in {r[0] for r in rows}:
+        seen, n = [set(), set(), set()], 0
+        for r in sorted((r for r in rows if r[0] == c), key=lambda r: (-r[2], -r[3].toordinal(), r[1])):
+            if n < most and not any(k and k in s for k, s in zip(r[4:], seen, strict=True)):
+                n += 1
+                out.append((c, r[1], r[2], n))
+                for k, s in zip(r[4:], seen, strict=True):
+                    s.add(k)
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("large", [50_000, 100])
+def test_selected_evidence_in_batches(spark, monkeypatch, large):
+    """Candidates of all sizes, none with a Python call of its own; batches end within them; keys are missing or empty."""
+    rng, d = random.Random(5), datetime.date(2024, 1, 1)
+    key = lambda p, n: rng.choice([None, "", *[f"{p}{rng.randrange(n)}"] * 12])
+    rows = []
+    for c, n, kinds in [(f"c{i}", 1 + i % 9, 6) for i in range(150)] + [("few keys", 1500, 4), ("rare third", 1500, 2), ("many keys", 1500, 10_000)]:
+        rows += [(c, len(rows) + i, float(rng.randrange(8)), d + datetime.timedelta(rng.randrange(4)), key("s", 4 if c == "few keys" else kinds), key("t", kinds), key("n", 300 if c == "rare third" else kinds)) for i in range(n)]
+    e = spark.createDataFrame(rows, "candidate_id string, document_id int, score double, published date, snippet_key string, title_key string, near_key string")
+    monkeypatch.setattr(candidates, "LARGE", large, raising=False)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "61")
+    try:
+        for most in (3, 10):
+            got = candidates.selected_evidence(e, most)
+            assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, got.collect()), key=str) == _selected_by_loop(rows, most)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_contenders_of_large_candidates(spark):
+    """Of 20 000 rows those are left that can be selected whatever else there is, up to a bound."""
+    rows = spark.range(20_000).selectExpr("'c' AS candidate_id", "id AS document_id", "1.0D AS score", "date'2024-01-01' AS published", "concat('s', id % 3) AS snippet_key", "concat('t', id % 5) AS title_key", "concat('n', id) AS near_key")
+    order = [F.desc("score"), F.desc("published"), F.asc("document_id")]
+    assert candidates._contenders(rows, 3, order).count() == 3 * 5 * 3  # of each snippet and title three rows
+    free = rows.withColumns({"snippet_key": F.concat(F.lit("s"), "document_id"), "title_key": F.lit(None).cast("string")})
+    assert [r["document_id"] for r in candidates._contenders(free, 3, order).orderBy("document_id").collect()] == list(range(367))
+
+
 def test_chain(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11)], "s int, t int")
     assert {r["s"]: (r["t"], r["steps"]) for r in relational.resolve_chain(links, "s", "t").collect()} == {1: (4, 3), 2: (4, 2), 3: (4, 1), 10: (11, 1)}
